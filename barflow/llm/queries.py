@@ -6,18 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_query
 from .common import table
 from .decontaminate import decontaminate_query
 from .quality_rules import quality_rules_query
+from .token_counts import token_count_query
+from .token_shards import token_shard_query
+from .unigram import unigram_query
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies on the driver; operators send its bytes on."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules_query(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_query(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shard_query(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count_query(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_query(spark, table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op8_decontaminate)}
+    return {f.__name__: f for f in (
+        op2_quality_rules, op4_sentencepiece, op5_token_shards, op7_token_counts, op8_decontaminate, op10_chat_format,
+    )}
