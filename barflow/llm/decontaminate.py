@@ -1,10 +1,11 @@
 """Benchmark decontamination: a broadcast set of test n-grams, scanned natively.
 
 Every benchmark item is cut into windows of ``n`` words (a shorter item is one window).
-Each window is filed under one of its words, the longest (ties: the smallest), which is
-its anchor. Scanning a corpus then is: explode the words of each text, look each up in
-the broadcast anchors, and keep only the few positions that match. For those the whole
-window is compared with the text word by word, so a hit is never a hash collision.
+Each window is filed under two neighbouring words of it, the longest such pair (ties: the
+smallest), which is its anchor. Scanning a corpus then is: explode the word pairs of each
+text, look each up in the broadcast hash set of anchors, and keep only the few positions
+that match. For those the whole window is compared with the text word by word, so a hit
+is never a hash collision.
 
 The broadcast is sent only while the benchmark has at most ``max_broadcast_windows``
 windows; beyond that the same join runs as a shuffled join. All of it is DataFrame and
@@ -26,8 +27,6 @@ from .common import lower_ascii, materialize
 N = 13
 #: 13 words and an anchor are about 200 bytes: 200,000 windows are 40 MB at most.
 MAX_BROADCAST_WINDOWS = 200_000
-#: A (key, candidates) row per document with candidates; 100,000 rows are a few MB.
-MAX_BROADCAST_DOCS = 100_000
 
 
 def norm_words(text: Column) -> Column:
@@ -37,7 +36,7 @@ def norm_words(text: Column) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, n: int = N) -> DataFrame:
-    """anchor, off (of the anchor in the window), win array<string>, items array<string>."""
+    """anchor, off (where it is in the window), win array<string>, items array<string>."""
     w = bench.select(F.col("item_id").cast("string").alias("item"), norm_words(F.col("text")).alias("w"))
     w = w.filter(F.size("w") > 0).select(
         "item",
@@ -45,36 +44,35 @@ def benchmark_windows(bench: DataFrame, n: int = N) -> DataFrame:
             F.expr(f"transform(sequence(0, greatest(size(w) - {n}, 0)), i -> slice(w, i + 1, {n}))")
         ).alias("win"),
     )
-    best = F.expr("array_min(transform(win, x -> struct(-length(x) as l, x as x))).x")
+    pairs = "transform(sequence(0, greatest(size(win) - 2, 0)), i -> array_join(slice(win, i + 1, 2), ' '))"
+    best = F.expr(f"array_min(transform({pairs}, (x, i) -> struct(-length(x) as l, x as x, i as i)))")
     return (
         w.groupBy("win")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
-        .withColumn("anchor", best)
-        .withColumn("off", F.array_position("win", F.col("anchor")).cast("int") - 1)
+        .withColumn("_b", best)
+        .select("win", "items", F.col("_b.x").alias("anchor"), F.col("_b.i").alias("off"))
     )
 
 
 def find_hits(docs: DataFrame, bench: DataFrame, n: int = N, key: str = "doc_id") -> DataFrame:
     """One row per document row: ``key``, ``text``, ``w`` (its words), and verified
     ``hits`` array<struct<start,len,items>>."""
-    spark = docs.sparkSession
     windows = materialize(benchmark_windows(bench, n), "windows")
     small = windows.count() <= MAX_BROADCAST_WINDOWS
-    by_anchor = windows.groupBy(F.col("anchor").alias("word")).agg(
-        F.collect_list(F.struct("off", "win", "items")).alias("cands")
-    )
-    tokens = docs.select(key, F.posexplode(norm_words(F.col("text"))).alias("pos", "word"))
-    found = tokens.join(F.broadcast(by_anchor) if small else by_anchor, "word")
-    found = found.select(key, "pos", F.explode("cands").alias("c"))
+    by_anchor = windows.groupBy("anchor").agg(F.collect_list(F.struct("off", "win", "items")).alias("cands"))
+    by_anchor = F.broadcast(by_anchor) if small else by_anchor
+    words = docs.select(key, norm_words(F.col("text")).alias("w"))
+    pairs = words.select(key, F.posexplode(F.arrays_zip("w", F.expr("slice(w, 2, size(w))").alias("next"))).alias("pos", "p"))
+    tokens = pairs.select(key, "pos", F.concat_ws(" ", "p.w", "p.next").alias("anchor")).filter("p.next is not null")
+    if windows.filter("size(win) = 1").head(1):
+        tokens = tokens.unionByName(words.select(key, F.posexplode("w").alias("pos", "anchor")))
+    found = tokens.join(by_anchor, "anchor").select(key, "pos", F.explode("cands").alias("c"))
     # keys only here: what a document may contain is compared with its own words below
     found = found.filter("pos >= c.off").select(
         F.col(key).alias("_key"), (F.col("pos") - F.col("c.off")).alias("start"), "c.win", "c.items"
     )
-    cands = materialize(
-        found.distinct().groupBy("_key").agg(F.collect_list(F.struct("start", "win", "items")).alias("cands")), "cands"
-    )
-    few = cands.count() <= MAX_BROADCAST_DOCS
-    out = docs.join(F.broadcast(cands) if few else cands, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+    cands = found.groupBy("_key").agg(F.collect_set(F.struct("start", "win", "items")).alias("cands"))
+    out = docs.join(cands, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key")
     out = out.withColumn("w", norm_words(F.col("text")))
     hits = F.expr(
         "transform(filter(cands, c -> slice(w, c.start + 1, size(c.win)) = c.win), "

@@ -56,24 +56,27 @@ class Trie:
         size = 2 * count + 512
         base, check, value = [0] * size, [-1] * size, [-1] * size
         check[0] = 0
-        place, free = {0: 0}, 1
+        place, free, cursor = {0: 0}, 257, 1
         for node in range(count):  # parents come before children
             s = place[node]
             value[s] = ends.get(node, -1)
             kids = sorted(children[node])
             if not kids:
                 continue
-            while check[free] != -1:
-                free += 1
-            b = max(free - kids[0], 1)
-            while True:
-                while b + 256 >= len(check):
-                    base += [0] * size
-                    check += [-1] * size
-                    value += [-1] * size
-                if all(check[b + c] == -1 for c in kids):
-                    break
-                b += 1
+            if len(kids) == 1:  # fills the holes
+                while check[free] != -1:
+                    free += 1
+                b = free - kids[0]
+            else:  # searches on from where the last such node found room
+                b = cursor
+                while any(check[b + c] != -1 for c in kids):
+                    b += 1
+                cursor = max(cursor, b - 32)
+            more = b + 1024 - len(check)
+            if more > 0:
+                base += [0] * (more + size)
+                check += [-1] * (more + size)
+                value += [-1] * (more + size)
             base[s] = b
             for c in kids:
                 check[b + c] = s
