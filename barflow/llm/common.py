@@ -55,3 +55,13 @@ def lower_ascii(text: Column) -> Column:
 def parallelism(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Partitions for ``rows`` rows: at least the session's, more as data grows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
+
+
+#: Ids of 8 bytes: 2 million of them make a hash relation of about 64 MB.
+MAX_BROADCAST_IDS = 2_000_000
+
+
+def only_ids(df: DataFrame, ids: DataFrame, key: str, without: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids`` (or is not). Broadcast up to a checked size."""
+    few = ids.count() <= MAX_BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_anti" if without else "left_semi")

@@ -10,6 +10,7 @@ from .chat import chat_query
 from .common import table
 from .decontaminate import decontaminate_query
 from .quality_rules import quality_rules_query
+from .substring_dedup import substring_dedup_query
 from .token_counts import token_count_query
 from .token_shards import token_shard_query
 from .unigram import unigram_query
@@ -42,11 +43,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup_query(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_query(spark, table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_quality_rules, op4_sentencepiece, op5_token_shards, op7_token_counts, op8_decontaminate, op10_chat_format,
+        op2_quality_rules, op4_sentencepiece, op5_token_shards, op7_token_counts, op8_decontaminate,
+        op9_substring_dedup, op10_chat_format,
     )}

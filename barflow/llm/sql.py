@@ -82,5 +82,27 @@ FROM g
 """
 
 
+OP9 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents
+), win AS (
+  SELECT rid, coalesce(doc_id, -9223372036854775808) AS k, i, list_slice(w, i + 1, i + 20) AS win
+  FROM (SELECT rid, doc_id, w, unnest(range(0, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)
+), o AS (
+  SELECT rid, i, rank() OVER (PARTITION BY win ORDER BY k, i) AS n FROM win
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 20)) AS p FROM o WHERE n > 1
+), x AS (
+  SELECT rid, p, word FROM (SELECT rid, unnest(range(0, len(w))) AS p, unnest(w) AS word FROM d)
+), kept AS (
+  SELECT x.rid, count(*) AS n, string_agg(word, ' ' ORDER BY x.p) AS t
+  FROM x LEFT JOIN gone ON x.rid = gone.rid AND x.p = gone.p WHERE gone.rid IS NULL GROUP BY x.rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.rid = kept.rid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op8_decontaminate": OP8, "op10_chat_format": OP10}
+    return {"op2_quality_rules": OP2, "op8_decontaminate": OP8, "op9_substring_dedup": OP9, "op10_chat_format": OP10}
