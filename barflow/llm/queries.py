@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_query
 from .common import table
 from .decontaminate import decontaminate_query
+from .near_dedup import near_dedup_query
 from .quality_rules import quality_rules_query
 from .substring_dedup import substring_dedup_query
 from .token_counts import token_count_query
@@ -35,6 +36,10 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shard_query(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup_query(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count_query(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -53,6 +58,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_quality_rules, op4_sentencepiece, op5_token_shards, op7_token_counts, op8_decontaminate,
+        op2_quality_rules, op4_sentencepiece, op5_token_shards, op6_near_dedup, op7_token_counts, op8_decontaminate,
         op9_substring_dedup, op10_chat_format,
     )}

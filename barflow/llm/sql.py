@@ -39,6 +39,26 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM k
 """
 
+OP6 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, doc_id, list_slice(w, i + 1, i + 2) AS g
+  FROM (SELECT rid, doc_id, w, unnest(range(0, greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT rid, doc_id, count(*) AS n FROM s GROUP BY rid, doc_id), common AS (
+  SELECT x.rid AS a, y.rid AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.rid < y.rid GROUP BY x.rid, y.rid
+), link AS (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM common JOIN n p ON p.rid = a JOIN n q ON q.rid = b
+  WHERE 100 * k >= 80 * (p.n + q.n - k)
+), sym AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a
+), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n ON d.rid = n.rid JOIN c ON c.a = d.doc_id
+"""
+
 OP8 = rf"""
 WITH b AS (
   SELECT CAST(item_id AS VARCHAR) AS item, {_NORM} AS w FROM benchmark
@@ -105,4 +125,4 @@ FROM d LEFT JOIN kept ON d.rid = kept.rid
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op8_decontaminate": OP8, "op9_substring_dedup": OP9, "op10_chat_format": OP10}
+    return {"op2_quality_rules": OP2, "op6_near_dedup": OP6, "op8_decontaminate": OP8, "op9_substring_dedup": OP9, "op10_chat_format": OP10}
