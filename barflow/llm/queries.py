@@ -10,10 +10,12 @@ from .chat import chat_query
 from .common import table
 from .decontaminate import decontaminate_query
 from .near_dedup import near_dedup_query
+from .quality_crf import quality_query
 from .quality_rules import quality_rules_query
 from .substring_dedup import substring_dedup_query
 from .token_counts import token_count_query
 from .token_shards import token_shard_query
+from .toxicity import toxicity_query
 from .unigram import unigram_query
 
 
@@ -24,10 +26,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules_query(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_query(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -58,6 +68,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_quality_rules, op4_sentencepiece, op5_token_shards, op6_near_dedup, op7_token_counts, op8_decontaminate,
+        op1_quality_crf, op2_quality_rules, op3_toxicity, op4_sentencepiece, op5_token_shards, op6_near_dedup, op7_token_counts, op8_decontaminate,
         op9_substring_dedup, op10_chat_format,
     )}
