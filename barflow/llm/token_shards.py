@@ -22,6 +22,7 @@ import os
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,9 @@ SHARD_IDS = 1 << 17
 BLOCK = 512  # ids between two rank counts
 MEMO_LIMIT = 1_000_000
 _NULL_ID = -(2**63)
+#: How byte-level models write bytes: printable ones as themselves, the others from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _state: dict[int, tuple] = {}
 
 
@@ -162,12 +166,13 @@ def _load(source: bytes):
 def encode_texts(source: bytes, texts: list[str]) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 16-bit integers.
 
-    A pre-token's ids do not depend on its neighbours, so each distinct one is encoded by
-    the library once and remembered. Texts that hold special strings, odd characters, text
+    A pre-token's ids do not depend on its neighbours, so each distinct one is merged by
+    the library's model once and remembered. Texts that hold special strings, odd characters, text
     that normalisation would recompose, or a capital sigma (whose lower case depends on
     context) are encoded whole by the library.
     """
     tok, memo, special = _load(source)
+    merge = tok.model.tokenize
     odd, split = classes()[2], word_level()
     for a, b in chunks(texts):
         if len(memo) > MEMO_LIMIT:
@@ -180,8 +185,9 @@ def encode_texts(source: bytes, texts: list[str]) -> Iterator[bytes]:
             else:
                 parts.append(np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes())
         new = list(set().union(*(p for p in parts if isinstance(p, list))) - memo.keys())
-        for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, "<u2").tobytes()
+        for w in new:
+            t = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+            memo[w] = array("H", [x.id for x in merge(t)]).tobytes()
         for p in parts:
             yield b"".join(map(memo.__getitem__, p)) if isinstance(p, list) else p
 
