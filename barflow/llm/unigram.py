@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MEMO_LIMIT = 1_000_000
+MEMO_LIMIT = 500_000
 MEMO_UNIT = 64  # longer units are rarely seen twice
 
 
@@ -156,35 +156,44 @@ class Model:
             n = at
         return tuple(reversed(out))
 
-    def encode(self, text: str, memo: dict, split: re.Pattern) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        for u in split.findall(MARK + text.replace(" ", MARK)):
-            got = memo.get(u)
-            if got is None:
-                got = self.segment(u)
-                if len(u) <= MEMO_UNIT:
-                    if len(memo) >= MEMO_LIMIT:
-                        memo.clear()
-                    memo[u] = got
-            out += got
-        return out
-
     def pieces_as_bytes(self) -> list[bytes]:
         as_byte = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         return [as_byte.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
 
 
-_state: dict[int, tuple] = {}
+class Codec(dict):
+    """Encodes and decodes texts; remembers each short unit's ids, packed as 32-bit integers."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self._units, self._pieces = model, model.unit_pattern().findall, model.pieces_as_bytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        got = np.array(self.model.segment(unit), "<i4").tobytes()
+        if len(unit) <= MEMO_UNIT:
+            if len(self) >= MEMO_LIMIT:
+                self.clear()
+            self[unit] = got
+        return got
+
+    def encode(self, text: str) -> np.ndarray:
+        units = self._units(MARK + text.replace(" ", MARK)) if text else []
+        return np.frombuffer(b"".join(map(self.__getitem__, units)), "<i4")
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(map(self._pieces.__getitem__, ids.tolist()))
+        return text.decode("utf-8", "replace").removeprefix(" ")
+
 
+_state: dict[int, Codec] = {}
 
-def _load(data: bytes):
+
+def codec(data: bytes) -> Codec:
+    """The worker's codec for a model file's bytes."""
     key = hash(data)
     if key not in _state:
         _state.clear()
-        m = Model.load(data)
-        _state[key] = m, m.unit_pattern(), {}, m.pieces_as_bytes()
+        _state[key] = Codec(Model.load(data))
     return _state[key]
 
 
@@ -199,26 +208,22 @@ def encoder(spark: SparkSession, path: str):
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, split, memo, _ = _load(source.value)
+        c = codec(source.value)
         for s in batches:
-            yield pd.Series([np.array(m.encode(t or "", memo, split), np.int32) for t in s], dtype=object)
+            yield pd.Series([c.encode(t or "") for t in s], dtype=object)
 
     return encode
 
 
-def decode_ids(pieces: list[bytes], ids) -> str:
-    return b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
-
-
 def decoder(spark: SparkSession, path: str):
     """A function of an array<int> column giving the text."""
     source = _source(spark, path)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = _load(source.value)[3]
+        c = codec(source.value)
         for s in batches:
-            yield pd.Series([decode_ids(pieces, [] if x is None else x.tolist()) for x in s], dtype=object)
+            yield pd.Series(["" if x is None else c.decode(x) for x in s], dtype=object)
 
     return decode
 
@@ -234,22 +239,26 @@ def decode_documents(df: DataFrame, path: str, ids_col: str = "ids") -> DataFram
     return df.withColumn("decoded", decoder(df.sparkSession, path)(F.col(ids_col)))
 
 
-def ids_crc32(ids: Column) -> Column:
-    """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
+def digester(spark: SparkSession, path: str):
+    """A function of a text column: number of ids, their crc32 (as little-endian unsigned 32-bit
+    integers), and whether decoding them gives the text back (its U+2581 as spaces).
 
-    @F.pandas_udf("long")
-    def crc(s: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(x.astype("<u4").tobytes()) for x in s], dtype="int64")
+    The ids stay in the worker, so that a batch is never held twice."""
+    source = _source(spark, path)
+
+    @F.pandas_udf("n_tokens long, ids_crc32 long, round_trip boolean")
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(source.value)
+        for s in batches:
+            rows = []
+            for t in s:
+                ids = c.encode(t)
+                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), c.decode(ids) == t.replace(MARK, " ")))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "round_trip"])
 
-    return crc(ids)
+    return digest
 
 
 def unigram_query(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, round_trip (decoding gives the text, its U+2581 as spaces)."""
-    e = decode_documents(encode_documents(docs.select("doc_id", "text"), path), path)
-    return e.select(
-        "doc_id",
-        "n_tokens",
-        ids_crc32(F.col("ids")).alias("ids_crc32"),
-        (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")).alias("round_trip"),
-    )
+    digest = digester(docs.sparkSession, path)(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select("doc_id", digest.alias("d")).select("doc_id", "d.*")
