@@ -91,7 +91,7 @@ class Symbols:
         """Pair left symbols with right ones; names and spans follow."""
         name, doc, lo, hi = self.name, self.doc, self.lo, self.hi
         n = len(name)
-        right = (mix(name + np.uint64(level) * GOLD) & np.uint64(1)).astype(bool)
+        right = (mix(name + np.full(1, level, np.uint64) * GOLD) & np.uint64(1)).astype(bool)
         beside = np.zeros(n + 1, bool)  # [i]: symbols i - 1 and i are of one document
         beside[1:n] = doc[1:] == doc[:-1]
         pair = np.zeros(n, bool)
@@ -162,14 +162,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-_ROWS = "bucket int, data binary, doc long, pos array<long>"
-
-
-def _by_doc(doc: np.ndarray, pos: np.ndarray) -> tuple[list, list]:
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    ids, at = np.unique(doc, return_index=True)
-    return ids.tolist(), [p.tolist() for p in np.split(pos, at[1:])] if len(ids) else []
+_ROWS = "bucket int, known boolean, data binary"
 
 
 class _Gather:
@@ -198,8 +191,12 @@ class _Gather:
             known = (doc > doc[at][group]) | (pos > pos[at][group])
         else:
             known = many[group]
-        ids, lists = _by_doc(doc[known], pos[known])
-        rows = [(int(d % self.buckets), None, d, p) for d, p in zip(ids, lists)]
+        rows = []
+        if known.any():  # settled here: it passes through any bucket
+            k = np.flatnonzero(known)
+            k = k[np.lexsort((pos[k], doc[k]))]
+            none = np.zeros(len(k), np.uint8)
+            rows.append((int(h[0] % np.uint64(self.buckets)), True, _pack(none, none, doc[k], pos[k], none)))
         h, c, doc, pos = h[at], c[at], doc[at], pos[at]
         bucket = (h >> np.uint64(8)) % np.uint64(self.buckets)
         order = np.lexsort((pos, doc, bucket))
@@ -207,17 +204,20 @@ class _Gather:
         for b in range(self.buckets):
             i = order[cut[b] : cut[b + 1]]
             if len(i):
-                rows.append((b, _pack(h[i], c[i], doc[i], pos[i], many[i]), None, None))
-        out = pd.DataFrame(rows, columns=["bucket", "data", "doc", "pos"])
-        out["doc"] = out["doc"].astype("Int64")
-        return out
+                rows.append((b, False, _pack(h[i], c[i], doc[i], pos[i], many[i])))
+        return pd.DataFrame(rows, columns=["bucket", "known", "data"])
 
 
 def _resolve(first: bool):
+    """What is repeated among the entries of a bucket: doc, pos."""
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        passed = pdf[pdf["data"].isna()]
-        ids, lists = passed["doc"].tolist(), passed["pos"].tolist()
-        packed = [_unpack(x) for x in pdf["data"].dropna()]
+        docs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for data in pdf.loc[pdf["known"], "data"]:
+            _, _, doc, pos, _ = _unpack(data)
+            docs.append(doc)
+            places.append(pos)
+        packed = [_unpack(x) for x in pdf.loc[~pdf["known"], "data"]]
         if packed:
             h, c, doc, pos, many = (np.concatenate(x) for x in zip(*packed))
             order = np.lexsort((pos, doc, c, h))
@@ -229,17 +229,17 @@ def _resolve(first: bool):
                 hit = (doc > doc[at][group]) | (pos > pos[at][group])
             else:
                 hit = (np.add.reduceat(many.astype(np.int64) + 1, at)[group] > 1) & (many == 0)
-            more, positions = _by_doc(doc[hit], pos[hit])
-            ids, lists = ids + more, lists + positions
-        return pd.DataFrame({"doc": pd.array(ids, "Int64"), "pos": lists})
+            docs.append(doc[hit])
+            places.append(pos[hit])
+        return pd.DataFrame({"doc": np.concatenate(docs), "pos": np.concatenate(places)})
 
     return one
 
 
 def _found(entries: DataFrame, first: bool) -> DataFrame:
     """doc, pos array<long>: what is repeated, of packed entries; one row per document."""
-    hits = entries.groupBy("bucket").applyInPandas(_resolve(first), "doc long, pos array<long>")
-    return hits.groupBy("doc").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    hits = entries.groupBy("bucket").applyInPandas(_resolve(first), "doc long, pos long")
+    return hits.groupBy("doc").agg(F.collect_list("pos").alias("pos"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
