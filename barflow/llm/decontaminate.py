@@ -115,7 +115,9 @@ def _judged(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
 
 def remove_documents(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    return _judged(docs, bench, n).filter(~F.col("contaminated")).select("_row.*").select(*docs.columns)
+    out = _judged(docs, bench, n)
+    # not a filter: it would be pushed below the judgement, with all of it written out in it
+    return out.select(F.explode(F.when(~F.col("contaminated"), F.array("_row"))).alias("_row")).select("_row.*")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:

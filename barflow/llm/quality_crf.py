@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ for _bytes, _bit in ((b" \t\r\x0b\x0c", 1), (b"#*$%&|<>", 2), (bytes(range(65, 9
 _CLASS[65:91] |= 32
 _CLASS[97:123] |= 32
 _CLASS[0xC0:] |= 32  # first byte of a longer UTF-8 character
-BASE = 10
+BASE = 12
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,9 +64,13 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     words = np.maximum(per_line(begins), 1)
     chars = np.maximum(size - per_line(space), 1).astype(np.float32)
     letters = np.maximum(per_line(kind & 32 != 0), 1)
+    split = [x.split() for x in flat]
+    # neighbours that are one word, and words that are not new in their line
+    stutter = np.fromiter((sum(map(eq, w, w[1:])) for w in split), np.float32, len(flat)) / words
+    old = np.fromiter((len(w) - len(set(w)) for w in split), np.float32, len(flat)) / words
     again = np.fromiter((y for ls in lines for y in _seen(ls)), np.float32, len(flat))
     base = np.column_stack([
-        np.log1p(words) / 3,
+        np.minimum(np.log1p(words), 5) / 3,
         np.minimum(chars / words, 30) / 10,
         np.minimum(per_line(kind & 2 != 0) / words, 4) / 2,
         np.minimum(per_line(kind & 4 != 0) / letters, 1),
@@ -75,6 +80,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         np.minimum(per_line(raw == 0x7C) / words, 2),
         again,
         (words < 4).astype(np.float32),
+        stutter,
+        old * (words > 8),
     ]).astype(np.float32)
     before, after = np.zeros_like(base), np.zeros_like(base)
     doc = np.repeat(np.arange(len(lines)), counts)
@@ -192,6 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int, rest: int, label: str = "q
 
     m = sample.mapInPandas(means, "y int, m double").filter("not isnan(m)").toPandas()
     model.calibration = logistic(m[["m"]].to_numpy(), m["y"].to_numpy())
+    # the sample is balanced, the labels are not
+    share = labels.filter(~held_out(mod, rest)).groupBy(F.col(label).alias("y")).count().collect()
+    share = {r["y"]: r["count"] for r in share if r["y"] in (0, 1)}
+    model.calibration[1] += np.log(share[1] / share[0])
     return model
 
 

@@ -137,6 +137,14 @@ def apply_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     )
 
 
+def keep_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs``, its columns unchanged, without the documents that fail a rule."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    out = apply_rules(rows, "_text", rules)
+    # not a filter: it would be pushed below the measures, with all of them written out in it
+    return out.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
+
+
 def quality_rules_query(docs: DataFrame) -> DataFrame:
     return apply_rules(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
