@@ -33,8 +33,12 @@ def last_rows(n: int, keys=KEYS) -> WindowSpec:
 
 
 def round6(c: Column) -> Column:
-    """Half away from zero at six decimals."""
-    return F.round(c * 1e6, 0) / 1e6
+    """Half away from zero at six decimals.
+
+    A sum's last bits depend on its order; nine decimals first, so that they can't turn a
+    tie. No negative zero.
+    """
+    return F.round(F.round(c * 1e6, 3), 0) / 1e6 + F.lit(0.0)
 
 
 def typical_price() -> Column:

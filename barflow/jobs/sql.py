@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.schema import TIMEFRAMES
 from ..operators.backtest import MODULUS, mixed
 
-R6 = "round(({}) * 1e6) / 1e6"
+R6 = "(round(round(({}) * 1e6, 3)) / 1e6 + 0.0)"
 
 
 def r6(x: str) -> str:
@@ -22,7 +22,7 @@ def bars(kind: str, tf: str, name: str = "bars") -> str:
     return f"""{name} AS (
   SELECT symbol, '{tf}' AS timeframe, b * {step} AS open_ts, b * {step} + {step - 1} AS close_ts,
     first(p ORDER BY ms, {tie}) AS open, max(p) AS high, min(p) AS low, last(p ORDER BY ms, {tie}) AS close, sum(v) AS volume
-  FROM (SELECT CAST({sym} AS VARCHAR) AS symbol, epoch_ms({ts}) AS ms, epoch_ms({ts}) // {step} AS b,
+  FROM (SELECT CAST({sym} AS VARCHAR) AS symbol, epoch_us({ts}) // 1000 AS ms, epoch_us({ts}) // 1000 // {step} AS b,
     CAST({price} AS DOUBLE) AS p, CAST({size} AS DOUBLE) AS v, {tie} FROM {table}) GROUP BY symbol, b)"""
 
 
@@ -242,7 +242,7 @@ SQL = {
     "rolling_pair": f"""WITH {EV}, al AS (SELECT x.symbol, x.timeframe, x.close_ts, x.close, y.close AS rc FROM bars x JOIN bars y ON x.close_ts = y.close_ts AND y.symbol = 'click' WHERE x.symbol <> 'click')
         SELECT symbol, close_ts, CASE WHEN count(close) OVER {rows(20)} = 20 THEN {r6(f'corr(close, rc) OVER {rows(20)}')} END AS corr,
         CASE WHEN count(close) OVER {rows(20)} = 20 THEN {r6(f'covar_samp(close, rc) OVER {rows(20)} / (var_samp(rc) OVER {rows(20)})')} END AS beta, {r6('close - rc')} AS spread FROM al""",
-    "asof_price": f"""WITH {EV}, e AS (SELECT event_id, event_type AS symbol, epoch_ms(ts) AS ts FROM events)
+    "asof_price": f"""WITH {EV}, e AS (SELECT event_id, event_type AS symbol, epoch_us(ts) // 1000 AS ts FROM events)
         SELECT e.event_id, e.symbol, e.ts, b.close AS price FROM e ASOF LEFT JOIN bars b ON e.symbol = b.symbol AND e.ts >= b.close_ts""",
     "expand_params": f"WITH {DAY}, {grid_sql([0.02, 0.05], [0, 5])} SELECT symbol, close_ts, close, CAST(param_id AS BIGINT) AS param_id, entry, cost_bps FROM bars, params",
     "walk_windows": f"""WITH {EV}, i AS (SELECT symbol, close_ts, row_number() OVER ({W}) - 1 AS bar_idx, count(*) OVER (PARTITION BY symbol, timeframe) AS n FROM bars),

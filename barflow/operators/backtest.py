@@ -147,7 +147,7 @@ def permute_returns(bars: DataFrame, n_reps: int, seed: int = 0, block: int = 1)
     r = bar_returns(bars).filter("ret is not null")
     w = Window.partitionBy(*KEYS).orderBy("close_ts")
     r = r.withColumn("_i", F.row_number().over(w).cast("long") - 1).select(*KEYS, "close_ts", "ret", "_i")
-    reps = r.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))).cast("long"))
+    reps = r.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_reps - 1).cast("long"))))
     reps = reps.withColumn("_h", F.expr(mixed(f"_i div {block}", f"rep + {seed}")))
     drawn = reps.withColumn("_j", F.row_number().over(Window.partitionBy("rep", *KEYS).orderBy("_h", "_i")).cast("long") - 1)
     here = reps.select("rep", *KEYS, "close_ts", F.col("_i").alias("_j"))
