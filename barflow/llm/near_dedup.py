@@ -13,12 +13,14 @@ all: every pair within reach shares a key.
 
 Links, not pairs, are the aim, so equal sets are one node, and a bucket is not expanded:
 
-1. each node pairs with the first member of its buckets, in one order for all buckets,
-   and takes of these the one nearest by signature; the pair is confirmed on full sets;
-   the links' components join most of every group.
+1. in rounds, each node pairs with the most central member of its buckets (the one whose
+   own buckets are fullest) that is not yet of its component, and takes of these the one
+   nearest by signature; the pair is confirmed on full sets. This joins most of every
+   group at one pair a node and round.
 2. buckets that still hold more than one component are joined with themselves, across
-   components only, within reach and within the sizes that the threshold allows. All those
-   pairs are confirmed too. What is left out lies within a component already.
+   components only, within reach and within the sizes that the threshold allows, each pair
+   in the first bucket it shares. All those pairs are confirmed. What is left out lies
+   within a component already.
 
 Components are found by alternating large-star and small-star rounds, each written to the
 shared folder. Joins are sort-merge joins on evenly dealt keys, with hubs left to the
@@ -46,7 +48,8 @@ from .pretokens import chunks
 POSITIONS, REACH, CHUNKS = 128, 45, 23
 _CUTS = np.linspace(0, POSITIONS, CHUNKS + 1).astype(int)
 _CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(_CUTS))
-_LONGS = POSITIONS // 8
+#: Rounds of pairing with central members before the rest is joined exactly.
+ROUNDS = 3
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
@@ -108,7 +111,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
-    """key, id: one row for each node and place of its signature left out."""
+    """key, place, id: one row for each node and place of its signature left out."""
     table = mix(np.arange(POSITIONS * 256, dtype=np.uint64) + GOLD).reshape(POSITIONS, 256)
     salt = _seeds(POSITIONS, 3)
 
@@ -121,30 +124,58 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
                 each = table[place, sig]
                 rest = np.add.reduceat(each, _CUTS[:-1], axis=1)[:, _CHUNK_OF] - each
                 key = mix(rest * GOLD + salt).view(np.int64)
-                yield pd.DataFrame({"key": key.ravel(), "id": np.repeat(part["id"].to_numpy(), POSITIONS)})
+                ids = np.repeat(part["id"].to_numpy(), POSITIONS)
+                yield pd.DataFrame({"key": key.ravel(), "place": np.tile(place, len(part)), "id": ids})
 
-    return nodes.select("id", "sig").mapInPandas(emit, "key long, id long")
+    return nodes.select("id", "sig").mapInPandas(emit, "key long, place short, id long")
+
+
+_CHUNK_COLUMNS = [f"s{i}" for i in range(CHUNKS)]
+
+
+def _sided(side: str) -> list[Column]:
+    """n and the chunks under a prefix, not null: conditions on them compile to short code."""
+    return [F.coalesce(c, F.lit(0).cast("long")).alias(side + c) for c in ("n", *_CHUNK_COLUMNS)]
+
+
+def chunk_columns(nodes: DataFrame) -> DataFrame:
+    """id, n and the signature as one long for each chunk."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            sig = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(-1, POSITIONS)
+            wide = np.zeros((len(df), CHUNKS, 8), np.uint8)
+            wide[:, _CHUNK_OF, np.arange(POSITIONS) - _CUTS[_CHUNK_OF]] = sig
+            longs = wide.view("<i8").reshape(len(df), CHUNKS)
+            yield pd.concat([df[["id", "n"]], pd.DataFrame(longs, columns=_CHUNK_COLUMNS, index=df.index)], axis=1)
+
+    return nodes.select("id", "n", "sig").mapInPandas(emit, "id long, n long, " + ", ".join(f"{c} long" for c in _CHUNK_COLUMNS))
+
+
+def _chunk_difference(a: str, b: str, i: int) -> Column:
+    """Places in which two signatures differ within chunk ``i``."""
+    x = F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))
+    for s in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, s))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
 def differing(a: str, b: str) -> Column:
-    """Places in which two signatures (arrays of longs) differ."""
-    terms = []
-    for i in range(_LONGS):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
-        for s in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-        terms.append(F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
+    """Places in which two signatures differ."""
+    total = _chunk_difference(a, b, 0)
+    for i in range(1, CHUNKS):
+        total = total + _chunk_difference(a, b, i)
     return total
 
 
-def _longs() -> list[Column]:
-    """The signature as long columns s0, s1, ..."""
-    return [
-        F.conv(F.hex(F.substring("sig", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(_LONGS)
-    ]
+def first_shared(a: str, b: str, place: Column) -> Column:
+    """Whether ``place`` is the first whose bucket two signatures share."""
+    ok = F.lit(True)
+    for i in range(CHUNKS):
+        d, start, end = _chunk_difference(a, b, i), int(_CUTS[i]), int(_CUTS[i + 1])
+        # an earlier chunk must differ twice; in its own, equal chunks share every place
+        ok = ok & F.when(place >= end, d >= 2).when(place > start, d == 1).otherwise(True)
+    return ok
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -211,6 +242,16 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(comp.unionByName(tops.join(comp.select("id"), "id", "left_anti")), "components")
 
 
+def _mixed(filed: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Keys with more than one component and their most central member; the rows with components."""
+    told = filed.withColumn("comp", F.col("id"))
+    if comp is not None:
+        told = filed.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    told = materialize(told, "told")
+    top = told.groupBy("key").agg(F.max(F.struct("c", "id", "comp")).alias("t"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    return materialize(top.filter("a < b").select("key", F.col("t.id").alias("lead"), F.col("t.comp").alias("lead_comp")), "mixed"), told
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     sigs = materialize(signatures(docs, k), "signatures")
@@ -218,45 +259,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = materialize(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id")), "classes")
     rows = materialize(full.join(reps, ["h1", "h2", "n"]).select("doc_id", "id", "n", "sig"), "members")
     nodes = materialize(rows.filter("doc_id = id").select("id", "n", "sig").dropDuplicates(["id"]), "nodes")
-    packed = nodes.select("id", "n", *_longs())
-
-    # buckets with company, each member with the first of its bucket
-    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-    filed = bucket_keys(nodes).withColumns(
-        {"lead": F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("id").over(order)}
-    )
-    filed = materialize(
-        filed.filter((F.col("lead") != F.col("id")) | F.col("next").isNotNull()).select("key", "id", "lead"), "buckets"
-    )
-    first = materialize(filed.filter("lead <> id").select("lead", "id").distinct(), "first")
-    one = first.join(packed.select(F.col("id").alias("lead"), F.struct("n", *[f"s{i}" for i in range(_LONGS)]).alias("x")), "lead")
-    one = one.join(packed.select("id", F.struct("n", *[f"s{i}" for i in range(_LONGS)]).alias("y")), "id")
-    fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    one = one.select("id", "lead", differing("x", "y").alias("d"), fits.alias("fits")).filter((F.col("d") <= REACH) & F.col("fits"))
-    pairs = one.groupBy("id").agg(F.min(F.struct("d", "lead")).alias("best"))
-    pairs = materialize(pairs.select(F.least("id", "best.lead").alias("a"), F.greatest("id", "best.lead").alias("b")).distinct(), "pairs")
-    links = materialize(confirmed(pairs, docs, k, percent), "links")
-    comp = components(links)
+    packed = materialize(chunk_columns(nodes), "packed")
+    left = packed.select("id", *_sided("x"))
+    right = packed.select(F.col("id").alias("lead"), *_sided("y"))
+    fits = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
+
+    # buckets with company, and how much of it each node has
+    order = Window.partitionBy("key").orderBy("id")
+    filed = bucket_keys(nodes).withColumns({"_p": F.lag("id").over(order), "_n": F.lead("id").over(order)})
+    filed = materialize(filed.filter("_p is not null or _n is not null").select("key", "place", "id"), "buckets")
+    sizes = materialize(filed.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    central = materialize(filed.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("c")), "central")
+    filed = materialize(filed.join(central, "id"), "filed")
+
+    links, tested, comp = None, None, None
+    for _ in range(ROUNDS):
+        mixed, told = _mixed(filed, comp)
+        pairs = told.join(mixed, "key").filter("comp <> lead_comp").select("id", "lead").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["id", "lead"], "left_anti")
+        near = pairs.join(left, "id").join(right, "lead").select("id", "lead", differing("x", "y").alias("d"), fits.alias("fits"))
+        best = near.filter((F.col("d") <= REACH) & F.col("fits")).groupBy("id").agg(F.min(F.struct("d", "lead")).alias("best"))
+        best = materialize(best.select("id", "best.lead"), "best")
+        tested = best if tested is None else tested.unionByName(best)
+        found = confirmed(best.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), docs, k, percent)
+        found = materialize(found, "links")
+        if links is not None and not found.head(1):
+            break
+        links = found if links is None else links.unionByName(found)
+        comp = components(links)
 
     # buckets that hold more than one component: all pairs across
-    told = materialize(
-        filed.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "told"
-    )
-    mixed = materialize(
-        told.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("key"), "mixed"
-    )
-    side = materialize(told.join(mixed, "key").join(packed, "id"), "across")
-    cols = F.struct("id", "comp", "n", *[f"s{i}" for i in range(_LONGS)])
-    x, y = side.select("key", cols.alias("x")), side.select(F.col("key").alias("key2"), cols.alias("y"))
-    near = (
-        (F.col("key") == F.col("key2"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & (F.col("x.id") < F.col("y.id"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (differing("x", "y") <= REACH)
+    mixed, told = _mixed(filed, comp)
+    side = materialize(told.join(mixed.select("key"), "key").join(packed, "id"), "across")
+    zero = F.lit(0).cast("long")
+    x = side.select("key", F.coalesce("place", F.lit(0).cast("short")).alias("place"), F.coalesce("id", zero).alias("a"), F.coalesce("comp", zero).alias("ca"), *_sided("x"))
+    y = side.select(F.col("key").alias("key2"), F.coalesce("id", zero).alias("b"), F.coalesce("comp", zero).alias("cb"), *_sided("y"))
+    pair = (
+        (F.col("key") == F.col("key2")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+        & fits & (differing("x", "y") <= REACH) & first_shared("x", "y", F.col("place"))
     )
-    across = materialize(x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    more = materialize(confirmed(across, docs, k, percent), "links")
+    across = x.join(y, pair).select("a", "b")
+    across = across.join(tested.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")), ["a", "b"], "left_anti")
+    more = materialize(confirmed(materialize(across, "pairs"), docs, k, percent), "links")
     if more.head(1):
         comp = components(links.unionByName(more))
 
