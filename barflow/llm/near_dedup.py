@@ -50,6 +50,10 @@ _CUTS = np.linspace(0, POSITIONS, CHUNKS + 1).astype(int)
 _CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(_CUTS))
 #: Rounds of pairing with central members before the rest is joined exactly.
 ROUNDS = 3
+#: Members of a bucket's block, about.
+BLOCK = 1024
+#: Texts in a block when pairs across components are confirmed, about.
+TEXTS = 64
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
@@ -168,14 +172,53 @@ def differing(a: str, b: str) -> Column:
     return total
 
 
-def first_shared(a: str, b: str, place: Column) -> Column:
-    """Whether ``place`` is the first whose bucket two signatures share."""
-    ok = F.lit(True)
-    for i in range(CHUNKS):
-        d, start, end = _chunk_difference(a, b, i), int(_CUTS[i]), int(_CUTS[i + 1])
-        # an earlier chunk must differ twice; in its own, equal chunks share every place
-        ok = ok & F.when(place >= end, d >= 2).when(place > start, d == 1).otherwise(True)
-    return ok
+def _place_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of signatures: the first place whose bucket they share, or -1 beyond reach."""
+    out = np.full(len(x), -1)
+    apart = x != y
+    at = np.flatnonzero(apart.sum(axis=1) <= REACH)
+    apart = apart[at]
+    chunk = np.add.reduceat(apart, _CUTS[:-1], axis=1, dtype=np.int64)
+    first = (chunk <= 1).argmax(axis=1)  # pigeonhole: there is one
+    start, row = _CUTS[first], np.arange(len(at))
+    inside = apart & (_CHUNK_OF[None, :] == first[:, None])
+    out[at] = np.where(chunk[row, first] == 1, inside.argmax(axis=1), start)
+    return out
+
+
+def across_components(side: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket, within reach, each pair once.
+
+    ``side`` has key, place, id, comp, n, sig. A bucket is dealt to blocks of about ``BLOCK``
+    members by a hash; block meets block, so no task holds a whole large bucket.
+    """
+    rows = side.join(sizes, "key")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    lists = [F.collect_list(c).alias(c) for c in ("id", "comp", "n", "sig")]
+    blocks = materialize(rows.groupBy("key", "place", block.alias("block")).agg(*lists), "blocks")
+    other = blocks.select(F.col("key").alias("key2"), *[F.col(c).alias(c + "2") for c in ("block", "id", "comp", "n", "sig")])
+    met = blocks.join(other, (F.col("key") == F.col("key2")) & (F.col("block") <= F.col("block2"))).drop("key", "key2")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r in df.itertuples(index=False):
+                apart = r.comp[:, None] != r.comp2[None, :]
+                if r.block == r.block2:
+                    apart &= r.id[:, None] < r.id2[None, :]
+                small, large = np.minimum(r.n[:, None], r.n2[None, :]), np.maximum(r.n[:, None], r.n2[None, :])
+                i, j = np.nonzero(apart & (100 * small >= percent * large))
+                if len(i):
+                    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, POSITIONS) for v in (r.sig, r.sig2))
+                    for at in range(0, len(i), 50_000):
+                        a, b = i[at : at + 50_000], j[at : at + 50_000]
+                        hit = _place_shared(x[a], y[b]) == r.place
+                        left.append(r.id[a[hit]])
+                        right.append(r.id2[b[hit]])
+            a, b = np.concatenate(left), np.concatenate(right)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return met.mapInPandas(compare, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -201,6 +244,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
 
 
+def confirmed_in_blocks(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """As ``confirmed``, for pairs across components, where one node may be in many.
+
+    Nodes are dealt to blocks of about ``TEXTS`` within their component (a node linked with
+    nothing yet: the component it has pairs with), so texts travel once for each pair of
+    blocks, not for each pair of nodes.
+    """
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    both = materialize(both.select(F.col("p.a").alias("id"), F.col("p.b").alias("other")), "both")
+    near = both.join(comp.select(F.col("id").alias("other"), "comp"), "other").groupBy("id").agg(F.min("comp").alias("next"))
+    home = both.select("id").distinct().join(comp, "id", "left").join(near, "id", "left")
+    home = materialize(home.select("id", F.coalesce("comp", "next", "id").alias("g")), "home")
+    size = materialize(home.groupBy("g").agg(F.count("*").alias("size")), "size")
+    place = F.struct("g", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TEXTS)).alias("k"))
+    home = materialize(home.join(size, "g").select("id", place.alias("at")), "at")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
+    texts = only_ids(texts, home.select("id"), "id").join(home, "id")
+    blocks = materialize(texts.groupBy("at").agg(F.collect_list("id").alias("ids"), F.collect_list("text").alias("texts")), "texts")
+    met = pairs.join(home.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(home.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
+    met = met.groupBy("x", "y").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    met = met.join(blocks.select(F.col("at").alias("x"), F.col("ids").alias("xi"), F.col("texts").alias("xt")), "x")
+    met = met.join(blocks.select(F.col("at").alias("y"), F.col("ids").alias("yi"), F.col("texts").alias("yt")), "y")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for r in df.itertuples(index=False):
+                sets: dict[int, list] = {}
+                for i, t in {*zip(r.xi.tolist(), r.xt), *zip(r.yi.tolist(), r.yt)}:
+                    sets.setdefault(i, []).append(_shingles(t, k))
+                good = [
+                    (a, b)
+                    for a, b in zip(r.a.tolist(), r.b.tolist())
+                    if any(100 * (n := len(x & y)) >= percent * (len(x) + len(y) - n) for x in sets[a] for y in sets[b])
+                ]
+                yield pd.DataFrame(good, columns=["a", "b"])
+
+    return met.select("a", "b", "xi", "xt", "yi", "yt").mapInPandas(check, "a long, b long")
+
+
 def _shingles(text: str, k: int) -> set:
     w = words_of(text)
     if len(w) < k:
@@ -291,17 +374,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # buckets that hold more than one component: all pairs across
     mixed, told = _mixed(filed, comp)
-    side = materialize(told.join(mixed.select("key"), "key").join(packed, "id"), "across")
-    zero = F.lit(0).cast("long")
-    x = side.select("key", F.coalesce("place", F.lit(0).cast("short")).alias("place"), F.coalesce("id", zero).alias("a"), F.coalesce("comp", zero).alias("ca"), *_sided("x"))
-    y = side.select(F.col("key").alias("key2"), F.coalesce("id", zero).alias("b"), F.coalesce("comp", zero).alias("cb"), *_sided("y"))
-    pair = (
-        (F.col("key") == F.col("key2")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-        & fits & (differing("x", "y") <= REACH) & first_shared("x", "y", F.col("place"))
-    )
-    across = x.join(y, pair).select("a", "b")
+    side = told.join(mixed.select("key"), "key").join(nodes.select("id", "n", "sig"), "id")
+    across = across_components(materialize(side.select("key", "place", "id", "comp", "n", "sig"), "side"), sizes, percent)
     across = across.join(tested.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(across, "pairs"), docs, k, percent), "links")
+    more = materialize(confirmed_in_blocks(materialize(across, "pairs"), comp, docs, k, percent), "links")
     if more.head(1):
         comp = components(links.unionByName(more))
 
