@@ -189,6 +189,10 @@ def _binned(x: str, n: int) -> str:
     return f"CAST(least(greatest(floor(({x} + {_P}) / {2 * _P} * {n}), 0), {n - 1}) AS BIGINT)"
 
 
+_FACTORS = (0.85, 0.9, 0.95, 1.0, 1.05, 1.1, 1.15)
+PERTURBED = "fac(param_id, base_id, base_entry, factor) AS (VALUES " + ", ".join(
+    f"({7 * i + k}, {i}, CAST({e} AS DOUBLE), CAST({x} AS DOUBLE))" for i, e in enumerate((0.1, 0.3)) for k, x in enumerate(_FACTORS)
+) + "), params AS (SELECT param_id, base_entry * factor AS entry, CAST(5 AS DOUBLE) AS cost_bps FROM fac)"
 NULL = f"""{EV}, {RET}, {grid_sql([0.3], [5])}, {THR}, {perm(50, 7)},
 nn AS (SELECT rep, symbol, coalesce(CASE WHEN -lag(ret) OVER (PARTITION BY rep, symbol ORDER BY close_ts) >= 0.3 THEN 1 ELSE 0 END, 0) * (ret - 0.0005) AS r FROM null_ret),
 ns AS (SELECT rep, symbol, {r6('avg(r) / nullif(stddev_samp(r), 0)')} AS sharpe FROM nn GROUP BY rep, symbol),
@@ -217,6 +221,10 @@ SQL = {
     "last_n": f"WITH {EV} SELECT * FROM (SELECT {COLS}, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY close_ts DESC) AS rank FROM bars) WHERE rank <= 20",
     "sort_events": f"WITH {DAY} SELECT {COLS} FROM bars ORDER BY close_ts, symbol",
     "volume_direction": f"WITH {EV} SELECT {COLS}, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM bars",
+    "typical": f"WITH {EV} SELECT symbol, close_ts, {r6('(high + low + close) / 3')} AS typical_price, strftime(make_timestamp(close_ts * 1000), '%Y-%m-%d %H:%M:%S.%g') AS closed FROM bars",
+    "perturb": f"""WITH {EV}, {RET}, {PERTURBED}, {THR}, m AS (SELECT base_id, factor, symbol, {r6('total')} AS total FROM ps JOIN fac USING (param_id)),
+        l AS (SELECT m.base_id, m.symbol, m.factor, (b.total - m.total) / nullif(abs(b.total), 0) AS loss FROM m JOIN m b ON m.base_id = b.base_id AND m.symbol = b.symbol AND b.factor = 1.0)
+        SELECT CAST(base_id AS BIGINT) AS base_id, symbol, factor, {r6('loss')} AS loss, abs(factor - 1) > 0.1 + 1e-9 OR loss <= 0.2 AS ok FROM l""",
     "pattern_markers": f"""WITH {EV}, e AS (SELECT *, {ENGULF} FROM bars) SELECT symbol, close_ts, {r6('CASE WHEN engulfing_candle = 1 THEN low * 0.998 ELSE high * 1.002 END')} AS y,
         CASE WHEN engulfing_candle = 1 THEN 'bullish' ELSE 'bearish' END AS kind FROM e WHERE engulfing_candle IN (1, -1)""",
     "unpivot_features": f"""WITH {EV}, {CHANGE}, e AS (SELECT {COLS}, {FEATURES} FROM ch) """ + " UNION ALL ".join(
