@@ -1,12 +1,16 @@
-"""Streaming twins: bars as they come, bars out of ticks, lossless fan-out, paced replay."""
+"""Streaming twins: bars as they come, bars out of ticks, rolling features, lossless fan-out, paced replay."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.features import spec
+from ..functions.kernels import KERNELS
 from ..functions.schema import step_ms
 
 BAR_SCHEMA = "symbol string, timeframe string, open_ts long, close_ts long, open double, high double, low double, close double, volume double"
@@ -54,3 +58,30 @@ def fan_out(stream: DataFrame, sinks: Iterable[Callable[[DataFrame, int], None]]
 def replay(writer, interval: str | None = None):
     """Start a writer paced by an interval ("100 milliseconds"), or as a backfill of what is there."""
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def stream_features(stream: DataFrame, specs: list[tuple[str, dict]]) -> DataFrame:
+    """Rolling features of a bar stream, with as many bars of history as they look back on.
+
+    ``specs`` are (kind, options), as ``[("sma", {"period": 20})]``. State is the last bars of
+    each symbol. Bars at or before the last one seen are late or repeated and are dropped;
+    for bars in order the result equals ``feature_chain``.
+    """
+    built = [spec(kind, **options) for kind, options in specs]
+    keep, ids = max(s.lookback for s in built), [s.id for s in built]
+    names = ["open_ts", "close_ts", "open", "high", "low", "close", "volume"]
+
+    def step(key, batches, state):
+        past = json.loads(state.get[0]) if state.exists else []
+        old = pd.DataFrame(past, columns=names)
+        new = pd.concat(list(batches)).sort_values("close_ts").drop_duplicates("close_ts")
+        if past:
+            new = new[new["close_ts"] > past[-1][1]]
+        bars = pd.concat([old, new[names]], ignore_index=True) if past else new[names].reset_index(drop=True)
+        bars = bars.astype({n: "int64" if n.endswith("_ts") else "float64" for n in names})
+        out = bars.assign(**{i: KERNELS[kind](bars, **options) for i, (kind, options) in zip(ids, specs)}).iloc[len(old) :]
+        state.update((json.dumps(bars.tail(keep).astype(object).values.tolist()),))
+        yield out.assign(symbol=key[0], timeframe=key[1])[["symbol", "timeframe", *names, *ids]]
+
+    schema = BAR_SCHEMA + "".join(f", `{i}` double" for i in ids)
+    return stream.groupBy("symbol", "timeframe").applyInPandasWithState(step, schema, "bars string", "append", "NoTimeout")
