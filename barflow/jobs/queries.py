@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from ..functions.schema import bars_per_year, round6, typical_price
 from ..operators import backtest as bt
 from ..operators import joins, quality, sobol, strategy, validation
 from ..sources import bars as src
+from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -467,3 +470,31 @@ def missing_samples(spark, sf):
 @query
 def sample_plan(spark, sf):
     return sobol.sample_plan(src.user_bars(spark, sf).groupBy("symbol").agg(F.count("*").alias("n_bars")), PROBLEM)
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """All rows that a stream emits for what is there now."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    at = f"{base.rstrip('/')}/barflow-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress")
+    streams.replay(writer).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query
+def stream_ticks_to_bars(spark, sf):
+    ticks = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    return _drained(streams.stream_ticks_to_bars(ticks, "ts", "event_type", "value", "1.0", "1h", "10 minutes"))
+
+
+@query
+def stream_features(spark, sf):
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    at = f"{base.rstrip('/')}/barflow-{uuid.uuid4().hex}"
+    src.event_bars(spark, sf).write.parquet(at)
+    specs = [("sma", {"period": 20}), ("ema", {"period": 20}), ("rsi", {"period": 14}), ("engulfing_candle", {})]
+    out = _drained(streams.stream_features(streams.stream_bars(spark, at, 10_000), specs))
+    ids = ["sma_20", "ema_20", "rsi_14", "engulfing_candle"]
+    out = out.select("symbol", "close_ts", "close", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ids])
+    return out.withColumn("engulfing_candle", F.col("engulfing_candle").cast("int"))

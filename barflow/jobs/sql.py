@@ -221,6 +221,8 @@ SQL = {
     "last_n": f"WITH {EV} SELECT * FROM (SELECT {COLS}, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY close_ts DESC) AS rank FROM bars) WHERE rank <= 20",
     "sort_events": f"WITH {DAY} SELECT {COLS} FROM bars ORDER BY close_ts, symbol",
     "volume_direction": f"WITH {EV} SELECT {COLS}, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM bars",
+    "stream_ticks_to_bars": f"WITH {EV} SELECT {COLS} FROM bars WHERE (close_ts + 1) * 1000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)",
+    "stream_features": f"WITH {EV}, {CHANGE} SELECT symbol, close_ts, close, {_sma(20)}, {_ema(20)}, {_rsi(14)}, {ENGULF} FROM ch",
     "typical": f"WITH {EV} SELECT symbol, close_ts, {r6('(high + low + close) / 3')} AS typical_price, strftime(make_timestamp(close_ts * 1000), '%Y-%m-%d %H:%M:%S.%g') AS closed FROM bars",
     "perturb": f"""WITH {EV}, {RET}, {PERTURBED}, {THR}, m AS (SELECT base_id, factor, symbol, {r6('total')} AS total FROM ps JOIN fac USING (param_id)),
         l AS (SELECT m.base_id, m.symbol, m.factor, (b.total - m.total) / nullif(abs(b.total), 0) AS loss FROM m JOIN m b ON m.base_id = b.base_id AND m.symbol = b.symbol AND b.factor = 1.0)
