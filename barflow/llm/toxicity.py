@@ -16,9 +16,15 @@ The fit sees at most ``PER_CLASS`` labelled documents of each class, never held-
 words are counted in Spark, and the driver receives at most ``MAX_WORDS`` words a class.
 A window's ratio depends on its word only, so each worker computes it once a word.
 
-Edge cases: null and empty texts have no window and get the score of no hits; texts are
-never cut (a window longer than 64 bytes is compared by its first 64: no dictionary word
-is that long); with one class missing in the labels every score is 0; rows are independent.
+Words end at ASCII other than letters and at Unicode spaces and punctuation. A run longer
+than ``LONG`` bytes, or in a script written without spaces, has no word bounds to go by: it
+is cut at every character into pieces of about 6 and 12 bytes, in the fit and in scoring, so
+every part of it is compared and a word stands out wherever it begins. That is two windows a
+character, many more than in a spaced text.
+
+Edge cases: null and empty texts have no window and get the score of no hits; texts and
+words are never cut short; with one class missing in the labels every score is 0; rows are
+independent.
 """
 
 from __future__ import annotations
@@ -42,15 +48,42 @@ DICTIONARY_BYTES = 16384
 MIN_CONTEXTS, MIN_LIFT = 4, 8
 THRESHOLDS = (1.1, 1.15, 1.2, 1.25, 1.3)
 MEMO_LIMIT = 1_000_000
+#: Longer runs of letters (bytes) are cut into overlapping pieces of about ``PIECES`` bytes.
+LONG, PIECES = 64, (6, 12)
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
+#: Spaces and punctuation beyond ASCII (joiners within words, U+200C and U+200D, are none).
+_BREAK = re.compile(
+    "[\x80-\xa9\xab\xac\xae-\xb4\xb6-\xb9\xbb-\xbf\u1680\u2000-\u200b\u200e-\u206f\u2190-\u2bff\u2e00-\u2e7f\u3000-\u3004\u3008-\u3020\u3030"
+    "\u30fb\ufe10-\ufe1f\ufe30-\ufe6f\ufeff\uff00-\uff20\uff3b-\uff40\uff5b-\uff65]+"
+)
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han: written without spaces.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def pieces(run: bytes) -> list[bytes]:
+    """A run without word bounds as overlapping pieces of each size, one from every character."""
+    starts = np.flatnonzero((np.frombuffer(run, np.uint8) & 0xC0) != 0x80)
+    bounds, out = np.append(starts, len(run)), []
+    for size in PIECES:
+        at = np.searchsorted(bounds, starts + size)
+        whole = at < len(bounds)
+        out += [run[a:b] for a, b in zip(starts[whole].tolist(), bounds[at[whole]].tolist())]
+    return out or [run]
 
 
 def tokens(text: str) -> list[bytes]:
-    return _WORD.findall(text.lower().encode())
+    """The windows' words: words, and the pieces of runs without word bounds."""
+    text = text.lower()
+    plain = text.isascii()
+    found = _WORD.findall((text if plain else _BREAK.sub(" ", text)).encode())
+    unspaced = not plain and _UNSPACED.search(text)
+    if not unspaced and max(map(len, found), default=0) <= LONG:
+        return found
+    return [p for w in found for p in (pieces(w) if len(w) > LONG or unspaced and _UNSPACED.search(w.decode()) else [w])]
 
 
 def window(word: bytes) -> bytes:
-    return (b" " + word[:64]) * 2 + b" "
+    return (b" " + word) * 2 + b" "
 
 
 class Ratio(dict):

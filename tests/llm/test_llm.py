@@ -204,6 +204,45 @@ def test_classifiers_learn_and_score_everything(spark):
         assert held and sum(got[i].predicted == labels[i][col] for i in held) / len(held) > 0.9, name
 
 
+def test_toxicity_reads_long_runs_to_their_end(spark):
+    import random
+
+    for run in ("漢字仮名交文" * 50, "abcdefghij" * 30, "สวัสดี" * 30, "é漢" * 70):
+        for size in toxicity.PIECES:
+            found = {p for p in toxicity.tokens(run) if size <= len(p) < size + 4}
+            step = len(run[0].encode())
+            assert all(any(run.encode()[a : a + size] == p[:size] for p in found) for a in range(0, 40 * step, step) if run.encode()[a] & 0xC0 != 0x80)
+    assert toxicity.tokens("one\u00a0two\u2014three\u2019s \u00abfour\u00bb") == [b"one", b"two", b"three", b"s", b"four"]
+
+    rnd, rows, labels = random.Random(1), [], []
+    signs = [chr(0x4E00 + 7 * i) for i in range(300)]
+    for i in range(400):
+        w = "".join(rnd.choice(signs) for _ in range(90))
+        if i % 3 == 0:  # beyond the first 64 bytes
+            at = rnd.randrange(40, 90)
+            w = w[:at] + "魑魅魍魎" + w[at:]
+        rows.append((i, w))
+        labels.append((i, 1, int(i % 3 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(toxicity.toxicity_query(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    held = [i for i in range(400) if got[i].held_out]
+    assert sum(got[i].predicted == labels[i][2] for i in held) / len(held) > 0.9
+
+    rows, labels = [], []
+    for i in range(300):  # learnt from spaced words, met in text without
+        w = [rnd.choice("red green blue tree house river cloud stone light wind".split()) for _ in range(40)]
+        if i % 3 == 0:
+            w[rnd.randrange(40)] = "zorgulous"
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    plain = ["red", "house", "river", "light"] * 10
+    late = [*plain, "zorgulous", "wind"]
+    rows += [(1000, "".join(late)), (1001, "\u00a0".join(late)), (1002, "".join(plain)), (1003, "\u2014".join(plain))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(toxicity.toxicity_query(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    assert [got[i].toxic_words > 0 for i in (1000, 1001, 1002, 1003)] == [True, True, False, False]
+
+
 def test_pipeline(spark, tmp_path):
     rnd = np.random.default_rng(0)
     vocabulary = [f"wo{i}" for i in range(900)] + ["the", "and", "of"] * 100
