@@ -28,8 +28,11 @@ adaptive skew split; nothing is collected.
 
 Edge cases: null, empty and wordless texts have an empty set, no links, and are their own
 component; a text with fewer words than a shingle is one shingle; rows that share a
-``doc_id`` are judged each by its own text; a null ``doc_id`` is linked with nothing and has
-a null component; empty tables work; extra columns are kept by ``keep_one``.
+``doc_id`` are judged each by its own text: ``near_duplicates`` gives a component to a
+``doc_id``, so it joins what any of its texts is linked with, while ``keep_one`` follows the
+texts alone and removes the rows that are near copies, not others of their ``doc_id`` (rows
+equal in ``doc_id`` and text stay or go together); a null ``doc_id`` is linked with nothing
+and has a null component; empty tables work; extra columns are kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, only_ids
+from .common import MAX_BROADCAST_IDS, materialize, only_ids
 from .hashing import GOLD, WordHash, hash_words, mix
 from .pretokens import chunks
 
@@ -96,8 +99,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(low) >> np.uint64(56)).astype(np.uint8)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text, which tells apart the rows of one doc_id), text (not null)."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (hash of the set), sig (bytes; null for an empty set)."""
+    """doc_id, t, n (set size), h1, h2 (hash of the set), sig (bytes; null for an empty set)."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
@@ -108,10 +117,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 for s in shingle_hashes(words, n, k):
                     h1, h2 = (int(mix(s * g).sum(dtype=np.uint64).view(np.int64)) for g in (GOLD, GOLD + np.uint64(8)))
                     rows.append((len(s), h1, h2, signature(s).tobytes() if len(s) else None))
-            yield df[["doc_id"]].assign(**dict(zip(("n", "h1", "h2", "sig"), zip(*rows)))) if rows else df[["doc_id"]].assign(n=0, h1=0, h2=0, sig=None)
+            at = df[["doc_id", "t"]]
+            yield at.assign(**dict(zip(("n", "h1", "h2", "sig"), zip(*rows)))) if rows else at.assign(n=0, h1=0, h2=0, sig=None)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(emit, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return _texts(docs).mapInPandas(emit, "doc_id long, t long, n long, h1 long, h2 long, sig binary")
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -221,7 +230,18 @@ def across_components(side: DataFrame, sizes: DataFrame, percent: int) -> DataFr
     return met.mapInPandas(compare, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` (three longs a row), to be broadcast up to a checked size."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS // 2 else df
+
+
+def node_texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the nodes in ``ids``: each node's own text, whatever else its doc_id has."""
+    at = materialize(only_ids(nodes.select("id", "doc_id", "t"), ids, "id"), "at")
+    return _texts(docs).join(_few(at), ["doc_id", "t"]).select("id", "text")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose texts' full shingle sets are similar enough."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,14 +257,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             yield df.loc[good, ["a", "b"]]
 
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    texts = materialize(only_ids(texts, ids, "id"), "texts")
+    texts = materialize(node_texts(docs, nodes, ids), "texts")
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
 
 
-def confirmed_in_blocks(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed_in_blocks(pairs: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """As ``confirmed``, for pairs across components, where one node may be in many.
 
     Nodes are dealt to blocks of about ``TEXTS`` within their component (a node linked with
@@ -260,8 +279,7 @@ def confirmed_in_blocks(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: i
     place = F.struct("g", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TEXTS)).alias("k"))
     home = materialize(home.join(size, "g").select("id", place.alias("at")), "at")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    texts = only_ids(texts, home.select("id"), "id").join(home, "id")
+    texts = node_texts(docs, nodes, home.select("id")).join(home, "id")
     blocks = materialize(texts.groupBy("at").agg(F.collect_list("id").alias("ids"), F.collect_list("text").alias("texts")), "texts")
     met = pairs.join(home.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(home.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
     met = met.groupBy("x", "y").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
@@ -271,13 +289,11 @@ def confirmed_in_blocks(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: i
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for r in df.itertuples(index=False):
-                sets: dict[int, list] = {}
-                for i, t in {*zip(r.xi.tolist(), r.xt), *zip(r.yi.tolist(), r.yt)}:
-                    sets.setdefault(i, []).append(_shingles(t, k))
+                sets = {i: _shingles(t, k) for i, t in {*zip(r.xi.tolist(), r.xt), *zip(r.yi.tolist(), r.yt)}}
                 good = [
                     (a, b)
                     for a, b in zip(r.a.tolist(), r.b.tolist())
-                    if any(100 * (n := len(x & y)) >= percent * (len(x) + len(y) - n) for x in sets[a] for y in sets[b])
+                    if 100 * (n := len(sets[a] & sets[b])) >= percent * (len(sets[a]) + len(sets[b]) - n)
                 ]
                 yield pd.DataFrame(good, columns=["a", "b"])
 
@@ -335,13 +351,20 @@ def _mixed(filed: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFra
     return materialize(top.filter("a < b").select("key", F.col("t.id").alias("lead"), F.col("t.comp").alias("lead_comp")), "mixed"), told
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+def _grouped(docs: DataFrame, k: int, percent: int, tied: bool) -> tuple[DataFrame, DataFrame]:
+    """Signatures, and doc_id, t, first for each row that can be linked.
+
+    ``first`` is the least (doc_id, t) of the row's component. ``tied``: texts that share a
+    doc_id are of one component.
+    """
     sigs = materialize(signatures(docs, k), "signatures")
     full = sigs.filter("doc_id is not null and n > 0")
-    reps = materialize(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    rows = materialize(full.join(reps, ["h1", "h2", "n"]).select("doc_id", "id", "n", "sig"), "members")
-    nodes = materialize(rows.filter("doc_id = id").select("id", "n", "sig").dropDuplicates(["id"]), "nodes")
+    # a node is a set, numbered apart from doc_ids: one doc_id may have several
+    reps = full.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "t")).alias("own"))
+    reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "classes")
+    rows = materialize(full.join(reps, ["h1", "h2", "n"]).select("doc_id", "t", "own", "id", "n", "sig"), "members")
+    nodes = rows.filter(F.struct("doc_id", "t") == F.col("own")).select("id", "doc_id", "t", "n", "sig")
+    nodes = materialize(nodes.dropDuplicates(["id"]), "nodes")
     packed = materialize(chunk_columns(nodes), "packed")
     left = packed.select("id", *_sided("x"))
     right = packed.select(F.col("id").alias("lead"), *_sided("y"))
@@ -356,6 +379,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     filed = materialize(filed.join(central, "id"), "filed")
 
     links, tested, comp = None, None, None
+    if tied:
+        tie = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
+        tie = materialize(tie.select("doc_id", "a"), "shared")
+        if tie.head(1):
+            links = materialize(rows.join(tie, "doc_id").filter("id > a").select("a", F.col("id").alias("b")).distinct(), "ties")
+            comp = components(links)
     for _ in range(ROUNDS):
         mixed, told = _mixed(filed, comp)
         pairs = told.join(mixed, "key").filter("comp <> lead_comp").select("id", "lead").distinct()
@@ -365,7 +394,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         best = near.filter((F.col("d") <= REACH) & F.col("fits")).groupBy("id").agg(F.min(F.struct("d", "lead")).alias("best"))
         best = materialize(best.select("id", "best.lead"), "best")
         tested = best if tested is None else tested.unionByName(best)
-        found = confirmed(best.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), docs, k, percent)
+        found = confirmed(best.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), docs, nodes, k, percent)
         found = materialize(found, "links")
         if links is not None and not found.head(1):
             break
@@ -377,23 +406,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     side = told.join(mixed.select("key"), "key").join(nodes.select("id", "n", "sig"), "id")
     across = across_components(materialize(side.select("key", "place", "id", "comp", "n", "sig"), "side"), sizes, percent)
     across = across.join(tested.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(confirmed_in_blocks(materialize(across, "pairs"), comp, docs, k, percent), "links")
+    more = materialize(confirmed_in_blocks(materialize(across, "pairs"), comp, docs, nodes, k, percent), "links")
     if more.head(1):
         comp = components(links.unionByName(more))
 
-    grouped = rows.select("doc_id", "id").distinct().join(comp, "id", "left")
-    groups = materialize(
-        grouped.groupBy("doc_id").agg(F.min(F.coalesce("comp", "id")).alias("component_id")), "groups"
-    )
+    linked = nodes.select("id", F.struct("doc_id", "t").alias("own")).join(comp, "id")
+    least = materialize(linked.groupBy("comp").agg(F.min("own").alias("first")), "least")
+    linked = materialize(linked.join(_few(least), "comp").select("id", "first"), "linked")
+    grouped = rows.select("doc_id", "t", "own", "id").join(_few(linked), "id", "left")
+    return sigs, grouped.select("doc_id", "t", F.coalesce("first", "own").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    sigs, grouped = _grouped(docs, k, percent, tied=True)
+    groups = materialize(grouped.groupBy("doc_id").agg(F.min("first.doc_id").alias("component_id")), "groups")
     out = sigs.join(groups, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that are not the first of their group."""
-    gone = materialize(near_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct(), "gone")
-    return only_ids(docs, gone, "doc_id", without=True).select(*docs.columns)
+    """``docs`` without the rows whose text is not the first of its group of near copies."""
+    _, grouped = _grouped(docs, k, percent, tied=False)
+    gone = grouped.filter(F.struct("doc_id", "t") != F.col("first")).select("doc_id", F.col("t").alias("_t"))
+    gone = materialize(gone.distinct(), "gone")
+    told = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return told.join(_few(gone), ["doc_id", "_t"], "left_anti").select(*docs.columns)
 
 
 def near_dedup_query(docs: DataFrame) -> DataFrame:

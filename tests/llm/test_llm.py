@@ -93,6 +93,22 @@ def test_near_dedup(spark):
     assert near_dedup.near_duplicates(docs(spark, []), k=2).count() == 0
 
 
+def test_near_dedup_judges_each_text_of_a_doc_id(spark):
+    a, b, c, d = ([f"{x}{i}" for i in range(100)] for x in "abcd")
+    rows = [(5, a), (5, b), (7, [*a, "more"]), (3, [*b, "more"]), (9, c), (9, d), (11, [*c, "more"]), (12, [*d, "more"]), (13, c), (9, c), (2, ["alone"])]
+    rows = [(i, " ".join(t), str(n), "r") for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame([*rows, (9, None, "11", "r"), (None, " ".join(a), "12", "r")], SCHEMA)
+    got = near_dedup.near_duplicates(docs, k=2).collect()
+    component = {5: 3, 7: 3, 3: 3, 9: 9, 11: 9, 12: 9, 13: 9, 2: 2, None: None}
+    assert len(got) == 13 and all(r.component_id == component[r.doc_id] for r in got)
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+    assert sorted(r.n_shingles for r in got if r.doc_id == 9) == [0, 99, 99, 99]
+    kept = near_dedup.keep_one(docs, k=2)
+    assert kept.columns == docs.columns
+    # of b the first is in doc_id 3, so only that text of doc_id 5 goes
+    assert sorted(int(r.extra) for r in kept.collect()) == [0, 3, 4, 5, 9, 10, 11, 12]
+
+
 def test_signature_buckets_hold_every_pair_within_reach():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 256, (300, near_dedup.POSITIONS)).astype(np.uint8)
