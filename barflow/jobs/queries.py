@@ -317,11 +317,15 @@ def permute_returns(spark, sf):
     return rounded(bt.permute_returns(src.event_bars(spark, sf, "1d"), 20, seed=1).drop("timeframe"), "ret")
 
 
-def _null(spark, sf):
+#: Null series of a significance test (the reference asks for 1,000 or more).
+N_NULL = 1000
+
+
+def _null(spark, sf, n_reps=50):
     bars = src.event_bars(spark, sf)
     params = validation.grid(spark, {"entry": [0.3], "cost_bps": [5]})
     observed = validation.param_sweep(bars, params).select("symbol", "sharpe")
-    null = bt.permute_returns(bars, 50, seed=7)
+    null = bt.permute_returns(bars, n_reps, seed=7)
     w_params = {"entry": 0.3, "cost": 5 / 1e4}
     from pyspark.sql import Window
 
@@ -352,15 +356,26 @@ def wf_stability(spark, sf):
     return rounded(validation.wf_stability(_walk(spark, sf)), "train_sharpe", "test_sharpe", "decay")
 
 
+def _mc_walk(spark, sf):
+    null = bt.permute_returns(src.event_bars(spark, sf), N_NULL, seed=3)
+    return validation.mc_walk_forward(null, validation.grid(spark, _GRID), 200, 50, 50)
+
+
+def _walk_test(stability, null):
+    return validation.walk_forward_test(rounded(stability, "test_sharpe"), rounded(null, "test_sharpe"))
+
+
 @query
 def mc_walk_forward(spark, sf):
-    null = bt.permute_returns(src.event_bars(spark, sf), 5, seed=3)
-    return rounded(validation.mc_walk_forward(null, validation.grid(spark, _GRID), 200, 50, 50), "test_sharpe")
+    """Every null series' mean test Sharpe ratio, beside the real one and its p value."""
+    null = rounded(_mc_walk(spark, sf), "test_sharpe")
+    return null.join(_walk_test(validation.wf_stability(_walk(spark, sf)), null), "symbol", "left").select("rep", "symbol", "test_sharpe", "observed", "n_null", "p_value", "rejects")
 
 
 @query
 def progress_gate(spark, sf):
-    return validation.progress_gate(validation.wf_stability(_walk(spark, sf)), _null(spark, sf))
+    stability = validation.wf_stability(_walk(spark, sf))
+    return validation.progress_gate(stability, _null(spark, sf, N_NULL), out_of_sample=_walk_test(stability, _mc_walk(spark, sf)))
 
 
 #: Three parameters of the Ishigami function; every symbol scales its second term by its own volatility.

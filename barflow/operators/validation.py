@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .backtest import MODULUS, bar_returns, mixed
+from .backtest import MODULUS, bar_returns, mixed, null_test
 from .joins import expand_params
 
 
@@ -129,11 +129,30 @@ def mc_walk_forward(null_returns: DataFrame, params: DataFrame, train: int, test
     return wf.select(parts[0].cast("long").alias("rep"), parts[1].alias("symbol"), "test_sharpe")
 
 
-def progress_gate(stability: DataFrame, significance: DataFrame, max_decay: float = 0.5, max_params: int = 4) -> DataFrame:
-    """Of each symbol: stable walk-forward, significant against the null, and both."""
+def walk_forward_test(stability: DataFrame, null: DataFrame) -> DataFrame:
+    """The real mean test Sharpe ratio against those of ``mc_walk_forward``, as ``null_test``.
+
+    Symbols without a real test Sharpe ratio are left out: nothing of theirs is significant.
+    """
+    observed = stability.filter("test_sharpe is not null").select("symbol", "test_sharpe")
+    return null_test(observed, null.filter("test_sharpe is not null"), ("symbol",), "test_sharpe")
+
+
+def progress_gate(
+    stability: DataFrame, significance: DataFrame, max_decay: float = 0.5, max_params: int = 4, out_of_sample: DataFrame | None = None
+) -> DataFrame:
+    """Of each symbol: stable walk-forward, significant against the null, and both.
+
+    With ``out_of_sample`` (``walk_forward_test``), significant means both in the whole sample
+    and in the walk-forward's test windows.
+    """
     j = stability.join(significance.select("symbol", "rejects"), "symbol")
+    significant = F.col("rejects")
+    if out_of_sample is not None:
+        j = j.join(out_of_sample.select("symbol", F.col("rejects").alias("_oos")), "symbol", "left")
+        significant = significant & F.coalesce("_oos", F.lit(False))
     stable = (F.col("decay") <= max_decay) & (F.col("n_params") <= max_params)
-    return j.select("symbol", stable.alias("stable"), F.col("rejects").alias("significant"), (stable & F.col("rejects")).alias("go"))
+    return j.select("symbol", stable.alias("stable"), significant.alias("significant"), (stable & significant).alias("go"))
 
 
 def surface_slice(metrics: DataFrame, params: DataFrame, x: str, others: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import features as ft
 from barflow.functions.schema import BAR_COLUMNS, step_ms
+from barflow.jobs import queries
 from barflow.operators import backtest, joins, quality, sobol, strategy, validation
 from barflow.sources import bars as src
 from barflow.sources import files
@@ -183,3 +184,18 @@ def test_streamed_bars_equal_batch(spark, tmp_path):
     want = src.ticks_to_bars(t, "ts", "symbol", "p", "1.0", "1h", ["id"])
     closed = {(r.symbol, r.open_ts): r for r in want.select(*BAR_COLUMNS).collect()}
     assert got and set(got) <= set(closed) and all(got[k].close == closed[k].close and got[k].volume == closed[k].volume for k in got)
+
+
+def test_gate_compares_the_real_walk_forward_with_its_null(spark):
+    stability = spark.createDataFrame([("a", 0.1, 1, 9.5), ("b", 0.1, 1, 3.0), ("c", 0.1, 1, None)], "symbol string, decay double, n_params long, test_sharpe double")
+    null = spark.createDataFrame([(i, s, i / 10.0) for i in range(99) for s in "abc"], "rep long, symbol string, test_sharpe double")
+    oos = validation.walk_forward_test(stability, null)
+    got = {r.symbol: (r.n_null, r.p_value, r.rejects) for r in oos.collect()}
+    assert got == {"a": (99, pytest.approx(0.05), True), "b": (99, pytest.approx(0.7), False)}
+    every = stability.select("symbol", F.lit(True).alias("rejects"))
+    gate = validation.progress_gate(stability, every, out_of_sample=oos)
+    assert {r.symbol: (r.stable, r.significant, r.go) for r in gate.collect()} == {"a": (True, True, True), "b": (True, False, False), "c": (True, False, False)}
+
+
+def test_significance_queries_take_a_thousand_null_series():
+    assert queries.N_NULL >= 1000
