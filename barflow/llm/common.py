@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete_dir, shared_dir
+
 #: White space that separates words in the contracts: space, \t, \n, \v, \f, \r.
 WHITE = "\t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,19 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share.
-
-    It lies under ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder of this machine takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/barflow-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -41,6 +27,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between the steps of one operator; each can be deleted once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._at = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._at[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete_dir(self.spark, self._at.pop(id(t))[1])
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` as array<string>; null text has none."""
     parts = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")

@@ -9,22 +9,24 @@ than 45 with a chance of about 1 in 100,000).
 The join is by pigeonhole: a signature is split into 23 chunks. Two that differ in at
 most 45 places have a chunk in which they differ in one place at most, so they agree on
 it with that place left out. Each chunk is filed once per place left out, 128 keys in
-all: every pair within reach shares a key.
+all: every pair within reach shares a bucket.
 
-Links, not pairs, are the aim, so equal sets are one node, and a bucket is not expanded:
+Links, not pairs, are the aim, so texts with equal word sequences are one node, and pairs
+are never listed:
 
-1. in rounds, each node pairs with the most central member of its buckets (the one whose
-   own buckets are fullest) that is not yet of its component, and takes of these the one
-   nearest by signature; the pair is confirmed on full sets. This joins most of every
-   group at one pair a node and round.
-2. buckets that still hold more than one component are joined with themselves, across
-   components only, within reach and within the sizes that the threshold allows, each pair
-   in the first bucket it shares. All those pairs are confirmed. What is left out lies
-   within a component already.
+1. families. In rounds, each bucket has one leader (the least by a hash); a member within
+   reach of it joins its family, and the leader, now compared with all of its bucket, leaves
+   it. Buckets whose members are of one family are done. One bit of each place goes along in
+   the buckets: bits that differ are places that differ, so most pairs are told apart there.
+2. buckets that are not done after ``ROUNDS`` rounds are compared with themselves, block
+   against block, and yield the fewest pairs that tie their families together.
+3. links. Two nodes within reach are of one family now. Each family is dealt to blocks of
+   about ``BLOCK_BYTES`` of text; a task holds two blocks, compares all their full shingle
+   sets (by the words, not by hashes), and yields a spanning forest of the links.
 
 Components are found by alternating large-star and small-star rounds, each written to the
 shared folder. Joins are sort-merge joins on evenly dealt keys, with hubs left to the
-adaptive skew split; nothing is collected.
+adaptive skew split; nothing is collected, and superseded tables are deleted.
 
 Edge cases: null, empty and wordless texts have an empty set, no links, and are their own
 component; a text with fewer words than a shingle is one shingle; rows that share a
@@ -32,11 +34,14 @@ component; a text with fewer words than a shingle is one shingle; rows that shar
 ``doc_id``, so it joins what any of its texts is linked with, while ``keep_one`` follows the
 texts alone and removes the rows that are near copies, not others of their ``doc_id`` (rows
 equal in ``doc_id`` and text stay or go together); a null ``doc_id`` is linked with nothing
-and has a null component; empty tables work; extra columns are kept by ``keep_one``.
+and has a null component; empty tables work; extra columns are kept by ``keep_one``, whatever
+their names; ``near_duplicates`` reads ``doc_id`` and ``text`` only.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,19 +49,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_IDS, materialize, only_ids
+from .common import MAX_BROADCAST_IDS, Scratch, only_ids
 from .hashing import GOLD, WordHash, hash_words, mix
 from .pretokens import chunks
 
 POSITIONS, REACH, CHUNKS = 128, 45, 23
 _CUTS = np.linspace(0, POSITIONS, CHUNKS + 1).astype(int)
 _CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(_CUTS))
-#: Rounds of pairing with central members before the rest is joined exactly.
+#: Rounds of joining leaders' families before the rest is joined block against block.
 ROUNDS = 3
 #: Members of a bucket's block, about.
-BLOCK = 1024
-#: Texts in a block when pairs across components are confirmed, about.
-TEXTS = 64
+BLOCK = 512
+#: Text of a family's block, about: bytes, and nodes.
+BLOCK_BYTES, BLOCK_NODES = 1 << 19, 512
+#: Cells of a table of shingles (float32) when sets are compared.
+CELLS = 1 << 22
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
@@ -106,21 +113,21 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, t, n (set size), h1, h2 (hash of the set), sig (bytes; null for an empty set)."""
+    """doc_id, t, n (set size), size (bytes of its words), h (digest of the word sequence), sig (null for an empty set)."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
         for df in batches:
             texts, rows = df["text"].tolist(), []
             for a, b in chunks(texts):
-                words, n = hash_words([words_of(t) for t in texts[a:b]], memo)
-                for s in shingle_hashes(words, n, k):
-                    h1, h2 = (int(mix(s * g).sum(dtype=np.uint64).view(np.int64)) for g in (GOLD, GOLD + np.uint64(8)))
-                    rows.append((len(s), h1, h2, signature(s).tobytes() if len(s) else None))
-            at = df[["doc_id", "t"]]
-            yield at.assign(**dict(zip(("n", "h1", "h2", "sig"), zip(*rows)))) if rows else at.assign(n=0, h1=0, h2=0, sig=None)
+                split = [words_of(t) for t in texts[a:b]]
+                for w, s in zip(split, shingle_hashes(*hash_words(split, memo), k)):
+                    whole = b" ".join(w)
+                    digest = hashlib.blake2b(whole, digest_size=16).digest()
+                    rows.append((len(s), len(whole), digest, signature(s).tobytes() if len(s) else None))
+            yield df[["doc_id", "t"]].assign(**dict(zip(("n", "size", "h", "sig"), zip(*rows) if rows else [()] * 4)))
 
-    return _texts(docs).mapInPandas(emit, "doc_id long, t long, n long, h1 long, h2 long, sig binary")
+    return _texts(docs).mapInPandas(emit, "doc_id long, t long, n long, size long, h binary, sig binary")
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -143,171 +150,241 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "sig").mapInPandas(emit, "key long, place short, id long")
 
 
-_CHUNK_COLUMNS = [f"s{i}" for i in range(CHUNKS)]
+_LONGS = [f"s{i}" for i in range(POSITIONS // 8)]
 
 
-def _sided(side: str) -> list[Column]:
-    """n and the chunks under a prefix, not null: conditions on them compile to short code."""
-    return [F.coalesce(c, F.lit(0).cast("long")).alias(side + c) for c in ("n", *_CHUNK_COLUMNS)]
-
-
-def chunk_columns(nodes: DataFrame) -> DataFrame:
-    """id, n and the signature as one long for each chunk."""
+def _packed(nodes: DataFrame) -> DataFrame:
+    """id, n, one bit of each place (b0, b1), and the signature as longs."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             sig = np.frombuffer(b"".join(df["sig"]), np.uint8).reshape(-1, POSITIONS)
-            wide = np.zeros((len(df), CHUNKS, 8), np.uint8)
-            wide[:, _CHUNK_OF, np.arange(POSITIONS) - _CUTS[_CHUNK_OF]] = sig
-            longs = wide.view("<i8").reshape(len(df), CHUNKS)
-            yield pd.concat([df[["id", "n"]], pd.DataFrame(longs, columns=_CHUNK_COLUMNS, index=df.index)], axis=1)
+            bits = np.packbits(sig & 1, axis=1).view("<i8")
+            longs = np.concatenate((bits, sig.view("<i8")), axis=1)
+            yield pd.concat([df[["id", "n"]], pd.DataFrame(longs, columns=["b0", "b1", *_LONGS], index=df.index)], axis=1)
 
-    return nodes.select("id", "n", "sig").mapInPandas(emit, "id long, n long, " + ", ".join(f"{c} long" for c in _CHUNK_COLUMNS))
+    columns = ", ".join(f"{c} long" for c in ("id", "n", "b0", "b1", *_LONGS))
+    return nodes.select("id", "n", "sig").mapInPandas(emit, columns)
 
 
-def _chunk_difference(a: str, b: str, i: int) -> Column:
-    """Places in which two signatures differ within chunk ``i``."""
-    x = F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))
+def _told_apart(x: Column) -> Column:
+    """Bytes of a long (an exclusive or) that are not zero."""
     for s in (4, 2, 1):
         x = x.bitwiseOR(F.shiftrightunsigned(x, s))
     return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
-def differing(a: str, b: str) -> Column:
-    """Places in which two signatures differ."""
-    total = _chunk_difference(a, b, 0)
-    for i in range(1, CHUNKS):
-        total = total + _chunk_difference(a, b, i)
+def _sum(parts: list[Column]) -> Column:
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
     return total
 
 
-def _place_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For pairs of signatures: the first place whose bucket they share, or -1 beyond reach."""
-    out = np.full(len(x), -1)
-    apart = x != y
-    at = np.flatnonzero(apart.sum(axis=1) <= REACH)
-    apart = apart[at]
-    chunk = np.add.reduceat(apart, _CUTS[:-1], axis=1, dtype=np.int64)
-    first = (chunk <= 1).argmax(axis=1)  # pigeonhole: there is one
-    start, row = _CUTS[first], np.arange(len(at))
-    inside = apart & (_CHUNK_OF[None, :] == first[:, None])
-    out[at] = np.where(chunk[row, first] == 1, inside.argmax(axis=1), start)
+def _xor(a: str, b: str, columns) -> list[Column]:
+    return [F.col(a + c).bitwiseXOR(F.col(b + c)) for c in columns]
+
+
+def _prefixed(df: DataFrame, prefix: str, columns) -> list[Column]:
+    """Columns under a prefix, not null: conditions on them compile to short code."""
+    return [F.coalesce(df[c], F.lit(0).cast("long")).alias(prefix + c) for c in columns]
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` (a few longs a row), to be broadcast up to a checked size."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS // 2 else df
+
+
+class Forest(dict):
+    """Disjoint sets, by the least member; ``join`` says whether two were apart."""
+
+    def top(self, x):
+        while (up := self.get(x, x)) != x:
+            self[x] = self.get(up, up)
+            x = up
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _within_reach(x: dict, y: dict | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of families that a block (or two) of one bucket ties together, without the needless ones."""
+    one = y is None
+    y = x if one else y
+    a, b = np.asarray(x["n"])[:, None], np.asarray(y["n"])[None, :]
+    apart = np.asarray(x["fam"])[:, None] != np.asarray(y["fam"])[None, :]
+    fits = apart & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    i, j = np.nonzero(np.triu(fits, 1) if one else fits)
+    left, right = (np.frombuffer(b"".join(v["sig"]), np.uint8).reshape(-1, POSITIONS) for v in (x, y))
+    forest, out = Forest(), []
+    for at in range(0, len(i), 50_000):
+        p, q = i[at : at + 50_000], j[at : at + 50_000]
+        near = (left[p] != right[q]).sum(axis=1) <= REACH
+        for u, v in set(zip(np.asarray(x["fam"])[p[near]].tolist(), np.asarray(y["fam"])[q[near]].tolist())):
+            if forest.join(u, v):
+                out.append((u, v))
     return out
 
 
-def across_components(side: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket, within reach, each pair once.
+def _against(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Each block (keys, block, of) beside each other block of its key once, the other's columns suffixed with 2.
 
-    ``side`` has key, place, id, comp, n, sig. A bucket is dealt to blocks of about ``BLOCK``
-    members by a hash; block meets block, so no task holds a whole large bucket.
+    Block i meets the next half of a circle of blocks, so every block has as many partners.
     """
-    rows = side.join(sizes, "key")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    lists = [F.collect_list(c).alias(c) for c in ("id", "comp", "n", "sig")]
-    blocks = materialize(rows.groupBy("key", "place", block.alias("block")).agg(*lists), "blocks")
-    other = blocks.select(F.col("key").alias("key2"), *[F.col(c).alias(c + "2") for c in ("block", "id", "comp", "n", "sig")])
-    met = blocks.join(other, (F.col("key") == F.col("key2")) & (F.col("block") <= F.col("block2"))).drop("key", "key2")
+    half = F.expr("of div 2")
+    i = blocks.filter("of > 1").withColumn("d", F.explode(F.sequence(F.lit(1).cast("long"), half)))
+    i = i.filter("not (2 * d = of and block >= d)").withColumn("block2", F.col("block") + F.col("d"))
+    i = i.withColumn("block2", F.when(F.col("block2") >= F.col("of"), F.col("block2") - F.col("of")).otherwise(F.col("block2")))
+    j = blocks.filter("of > 1").select(*keys, F.col("block").alias("block2"), *[F.col(c).alias(c + "2") for c in columns])
+    return i.join(j, [*keys, "block2"]).select(*columns, *[c + "2" for c in columns])
+
+
+def tied_families(told: DataFrame, nodes: DataFrame, percent: int, keep: Scratch) -> DataFrame:
+    """a, b: families tied by two members of one bucket within reach, enough to join all that are.
+
+    ``told`` has key, id, fam. A bucket is dealt to blocks of about ``BLOCK`` members.
+    """
+    mixed = told.groupBy("key").agg(F.count("*").alias("size"), F.min("fam").alias("lo"), F.max("fam").alias("hi")).filter("lo < hi")
+    rows = told.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).alias("of")), "key").join(nodes.select("id", "n", "sig"), "id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "of"))
+    blocks = keep.write(rows.groupBy("key", "block", "of").agg(*[F.collect_list(c).alias(c) for c in ("fam", "n", "sig")]), "blocks")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for r in df.itertuples(index=False):
-                apart = r.comp[:, None] != r.comp2[None, :]
-                if r.block == r.block2:
-                    apart &= r.id[:, None] < r.id2[None, :]
-                small, large = np.minimum(r.n[:, None], r.n2[None, :]), np.maximum(r.n[:, None], r.n2[None, :])
-                i, j = np.nonzero(apart & (100 * small >= percent * large))
-                if len(i):
-                    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, POSITIONS) for v in (r.sig, r.sig2))
-                    for at in range(0, len(i), 50_000):
-                        a, b = i[at : at + 50_000], j[at : at + 50_000]
-                        hit = _place_shared(x[a], y[b]) == r.place
-                        left.append(r.id[a[hit]])
-                        right.append(r.id2[b[hit]])
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return met.mapInPandas(compare, "a long, b long")
+            two, out = "fam2" in df, []
+            for r in df.to_dict("records"):
+                out += _within_reach(r, {c: r[c + "2"] for c in ("fam", "n", "sig")} if two else None, percent)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    inside = blocks.select("fam", "n", "sig").mapInPandas(compare, "a long, b long")
+    across = _against(blocks, ["key"], ["fam", "n", "sig"]).mapInPandas(compare, "a long, b long")
+    out = keep.write(inside.unionByName(across).distinct(), "ties")
+    keep.drop(blocks)
+    return out
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df`` (three longs a row), to be broadcast up to a checked size."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS // 2 else df
+def families(nodes: DataFrame, percent: int, keep: Scratch) -> DataFrame:
+    """id, comp of the nodes that are in a family of several: nodes within reach are in one."""
+    packed = keep.write(_packed(nodes), "packed")
+    order = Window.partitionBy("key").orderBy("id")
+    filed = bucket_keys(nodes).withColumns({"_p": F.lag("id").over(order), "_n": F.lead("id").over(order)})
+    filed = filed.filter("_p is not null or _n is not null").select("key", "id")
+    told = keep.write(filed.join(packed.select("id", "n", "b0", "b1"), "id").withColumn("fam", F.col("id")), "buckets")
+    left = packed.select("id", *_prefixed(packed, "x", _LONGS))
+    right = packed.select(F.col("id").alias("lead"), *_prefixed(packed, "y", _LONGS))
+    found = None
+    for turn in range(ROUNDS):
+        row = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "fam", "n", "b0", "b1")
+        top = told.groupBy("key").agg(F.min(row).alias("t"), F.min("fam").alias("lo"), F.max("fam").alias("hi")).filter("lo < hi")
+        lead = [F.col("t.id").alias("lead"), F.col("t.fam").alias("lead_fam"), *[F.coalesce(f"t.{c}", F.lit(0).cast("long")).alias(f"l{c}") for c in ("n", "b0", "b1")]]
+        top = keep.write(top.select("key", *lead), "leaders")
+        beside = told.select("key", "id", "fam", *_prefixed(told, "m", ("n", "b0", "b1"))).join(top, "key").filter("id <> lead")
+        fits = 100 * F.least("mn", "ln") >= percent * F.greatest("mn", "ln")
+        bits = _sum([F.bit_count(x) for x in _xor("m", "l", ("b0", "b1"))])
+        pairs = beside.filter((F.col("fam") != F.col("lead_fam")) & fits & (bits <= REACH)).select("id", "lead", "fam", "lead_fam").distinct()
+        near = pairs.join(left, "id").join(right, "lead").filter(_sum([_told_apart(x) for x in _xor("x", "y", _LONGS)]) <= REACH)
+        comp = components(near.select(F.col("fam").alias("a"), F.col("lead_fam").alias("b")), keep)
+        now = F.coalesce("comp", "fam")
+        rest = beside.select("key", "id", "fam", F.col("mn").alias("n"), F.col("mb0").alias("b0"), F.col("mb1").alias("b1"))
+        rest = rest.join(_few(comp.withColumnRenamed("id", "fam")), "fam", "left").withColumn("fam", now).drop("comp")
+        told, old = keep.write(rest, "buckets"), told
+        keep.drop(old, top)
+        found = comp if found is None else _followed(found, comp, keep)
+    ties = tied_families(told.select("key", "id", "fam"), nodes, percent, keep)
+    out = _followed(found, components(ties, keep), keep)
+    keep.drop(told, packed, ties)
+    return out
 
 
-def node_texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the nodes in ``ids``: each node's own text, whatever else its doc_id has."""
-    at = materialize(only_ids(nodes.select("id", "doc_id", "t"), ids, "id"), "at")
-    return _texts(docs).join(_few(at), ["doc_id", "t"]).select("id", "text")
+def _followed(first: DataFrame, then: DataFrame, keep: Scratch) -> DataFrame:
+    """id, comp: components ``first``, whose names ``then`` joins further."""
+    on = then.select(F.col("id").alias("comp"), F.col("comp").alias("now"))
+    moved = first.join(on, "comp", "left").select("id", F.coalesce("now", "comp").alias("comp"))
+    out = keep.write(moved.unionByName(then.join(first.select("id"), "id", "left_anti")), "families")
+    keep.drop(first, then)
+    return out
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose texts' full shingle sets are similar enough."""
+def _shingles(words: list[bytes], k: int) -> set:
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(k))))
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, left = None, set()
-        for df in batches:
-            good = []
-            for a, ta, tb in zip(df["a"], df["ta"], df["tb"]):
-                if (a, ta) != last:
-                    last, left = (a, ta), _shingles(ta, k)
-                right = _shingles(tb, k)
-                both = len(left & right)
-                good.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield df.loc[good, ["a", "b"]]
-
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
-    texts = materialize(node_texts(docs, nodes, ids), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
-
-
-def confirmed_in_blocks(pairs: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """As ``confirmed``, for pairs across components, where one node may be in many.
-
-    Nodes are dealt to blocks of about ``TEXTS`` within their component (a node linked with
-    nothing yet: the component it has pairs with), so texts travel once for each pair of
-    blocks, not for each pair of nodes.
+
+def links_between(left: list[str], right: list[str] | None, k: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ``left`` and ``right`` (or within ``left``), by full sets.
+
+    Pairs are indexes into left + right. Intersections are counted for all pairs at once, as
+    products of tables of which shingle is in which set.
     """
-    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
-    both = materialize(both.select(F.col("p.a").alias("id"), F.col("p.b").alias("other")), "both")
-    near = both.join(comp.select(F.col("id").alias("other"), "comp"), "other").groupBy("id").agg(F.min("comp").alias("next"))
-    home = both.select("id").distinct().join(comp, "id", "left").join(near, "id", "left")
-    home = materialize(home.select("id", F.coalesce("comp", "next", "id").alias("g")), "home")
-    size = materialize(home.groupBy("g").agg(F.count("*").alias("size")), "size")
-    place = F.struct("g", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TEXTS)).alias("k"))
-    home = materialize(home.join(size, "g").select("id", place.alias("at")), "at")
-
-    texts = node_texts(docs, nodes, home.select("id")).join(home, "id")
-    blocks = materialize(texts.groupBy("at").agg(F.collect_list("id").alias("ids"), F.collect_list("text").alias("texts")), "texts")
-    met = pairs.join(home.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(home.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
-    met = met.groupBy("x", "y").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    met = met.join(blocks.select(F.col("at").alias("x"), F.col("ids").alias("xi"), F.col("texts").alias("xt")), "x")
-    met = met.join(blocks.select(F.col("at").alias("y"), F.col("ids").alias("yi"), F.col("texts").alias("yt")), "y")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for r in df.itertuples(index=False):
-                sets = {i: _shingles(t, k) for i, t in {*zip(r.xi.tolist(), r.xt), *zip(r.yi.tolist(), r.yt)}}
-                good = [
-                    (a, b)
-                    for a, b in zip(r.a.tolist(), r.b.tolist())
-                    if 100 * (n := len(sets[a] & sets[b])) >= percent * (len(sets[a]) + len(sets[b]) - n)
-                ]
-                yield pd.DataFrame(good, columns=["a", "b"])
+    sets = [_shingles(words_of(t), k) for t in [*left, *(right or [])]]
+    n, m = len(sets), len(left) if right is not None else 0
+    size = np.fromiter(map(len, sets), np.int64, n)
+    times = Counter(x for s in sets for x in s)
+    code = {x: c for c, x in enumerate(x for x, f in times.items() if f > 1)}
+    each = [np.fromiter((code[x] for x in s if x in code), np.int64) for s in sets]
+    row, col = np.repeat(np.arange(n), [len(e) for e in each]), np.concatenate([*each, np.zeros(0, np.int64)])
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    a, b = (slice(0, m), slice(m, n)) if right is not None else (slice(0, n), slice(0, n))
+    both = np.zeros((a.stop - a.start, b.stop - b.start), np.float32)
+    wide = max(1, CELLS // max(n, 1))
+    for at in range(0, len(code), wide):
+        lo, hi = np.searchsorted(col, (at, at + wide))
+        table = np.zeros((n, min(wide, len(code) - at)), np.float32)
+        table[row[lo:hi], col[lo:hi] - at] = 1
+        both += table[a] @ table[b].T
+    both = both.astype(np.int64)
+    linked = (both > 0) & (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both))
+    # breadth first, each node once
+    open_, out = np.ones(n, bool), []
+    for start in range(m if right is not None else n):
+        todo, open_[start] = [start] if open_[start] else [], False
+        while todo:
+            u = todo.pop()
+            if right is None:
+                near = np.flatnonzero(linked[u] & open_)
+            elif u < m:
+                near = m + np.flatnonzero(linked[u] & open_[m:])
+            else:
+                near = np.flatnonzero(linked[:, u - m] & open_[:m])
+            open_[near] = False
+            todo += near.tolist()
+            out += [(u, v) for v in near.tolist()]
+    return out
 
-    return met.select("a", "b", "xi", "xt", "yi", "yt").mapInPandas(check, "a long, b long")
 
+def confirmed_links(docs: DataFrame, nodes: DataFrame, fams: DataFrame, k: int, percent: int, keep: Scratch) -> DataFrame:
+    """a, b: links between nodes of one family, confirmed on full shingle sets, enough to join all that are linked."""
+    home = nodes.select("id", "doc_id", "t", "size").join(_few(fams), "id")
+    count = F.greatest(F.sum("size") / BLOCK_BYTES, F.count("*") / BLOCK_NODES)
+    of = keep.write(home.groupBy("comp").agg(F.greatest(F.ceil(count), F.lit(1)).cast("long").alias("of")), "of")
+    home = keep.write(home.join(_few(of), "comp").select("id", "doc_id", "t", "comp", "of", F.pmod(F.xxhash64("id"), "of").alias("block")), "home")
+    texts = _texts(docs).join(_few(home), ["doc_id", "t"])
+    blocks = keep.write(texts.groupBy("comp", "block", "of").agg(F.collect_list("id").alias("ids"), F.collect_list("text").alias("texts")), "texts")
 
-def _shingles(text: str, k: int) -> set:
-    w = words_of(text)
-    if len(w) < k:
-        return {tuple(w)} if w else set()
-    return set(zip(*(w[i:] for i in range(k))))
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            two = "ids2" in df
+            for r in df.to_dict("records"):
+                # a row may stand twice in the documents: each node once
+                sides = [dict(zip(r[f"ids{s}"].tolist(), r[f"texts{s}"])) for s in ("", *["2"] * two)]
+                ids = [i for s in sides for i in s]
+                pairs = links_between(list(sides[0].values()), list(sides[1].values()) if two else None, k, percent)
+                yield pd.DataFrame([(ids[u], ids[v]) for u, v in pairs], columns=["a", "b"], dtype="int64")
+
+    inside = blocks.select("ids", "texts").mapInPandas(compare, "a long, b long")
+    across = _against(blocks, ["comp"], ["ids", "texts"]).mapInPandas(compare, "a long, b long")
+    out = keep.write(inside.unionByName(across), "links")
+    keep.drop(of, home, blocks)
+    return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """id, comp (least id reachable) of every id in edges (a, b)."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -317,18 +394,20 @@ def components(edges: DataFrame) -> DataFrame:
             sides = sides.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             sides = sides.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = materialize(sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         out = sides.join(least, "u")
         if large:
             out = out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = out.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
-        return materialize(out.filter("a <> b").distinct(), "edges")
+        out = keep.write(out.filter("a <> b").distinct(), "edges")
+        keep.drop(e)
+        return out
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
 
-    e = materialize(edges.select("a", "b").distinct(), "edges")
+    e = keep.write(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     seen = mark(e)
     while seen[0]:
         e = star(star(e, True), False)
@@ -338,17 +417,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     comp = e.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("id"), "comp")
     tops = e.select(F.col("b").alias("id")).distinct().withColumn("comp", F.col("id"))
-    return materialize(comp.unionByName(tops.join(comp.select("id"), "id", "left_anti")), "components")
-
-
-def _mixed(filed: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Keys with more than one component and their most central member; the rows with components."""
-    told = filed.withColumn("comp", F.col("id"))
-    if comp is not None:
-        told = filed.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    told = materialize(told, "told")
-    top = told.groupBy("key").agg(F.max(F.struct("c", "id", "comp")).alias("t"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-    return materialize(top.filter("a < b").select("key", F.col("t.id").alias("lead"), F.col("t.comp").alias("lead_comp")), "mixed"), told
+    out = keep.write(comp.unionByName(tops.join(comp.select("id"), "id", "left_anti")), "components")
+    keep.drop(e)
+    return out
 
 
 def _grouped(docs: DataFrame, k: int, percent: int, tied: bool) -> tuple[DataFrame, DataFrame]:
@@ -357,70 +428,36 @@ def _grouped(docs: DataFrame, k: int, percent: int, tied: bool) -> tuple[DataFra
     ``first`` is the least (doc_id, t) of the row's component. ``tied``: texts that share a
     doc_id are of one component.
     """
-    sigs = materialize(signatures(docs, k), "signatures")
+    keep = Scratch(docs.sparkSession)
+    sigs = keep.write(signatures(docs, k), "signatures")
     full = sigs.filter("doc_id is not null and n > 0")
-    # a node is a set, numbered apart from doc_ids: one doc_id may have several
-    reps = full.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "t")).alias("own"))
-    reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "classes")
-    rows = materialize(full.join(reps, ["h1", "h2", "n"]).select("doc_id", "t", "own", "id", "n", "sig"), "members")
-    nodes = rows.filter(F.struct("doc_id", "t") == F.col("own")).select("id", "doc_id", "t", "n", "sig")
-    nodes = materialize(nodes.dropDuplicates(["id"]), "nodes")
-    packed = materialize(chunk_columns(nodes), "packed")
-    left = packed.select("id", *_sided("x"))
-    right = packed.select(F.col("id").alias("lead"), *_sided("y"))
-    fits = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
-
-    # buckets with company, and how much of it each node has
-    order = Window.partitionBy("key").orderBy("id")
-    filed = bucket_keys(nodes).withColumns({"_p": F.lag("id").over(order), "_n": F.lead("id").over(order)})
-    filed = materialize(filed.filter("_p is not null or _n is not null").select("key", "place", "id"), "buckets")
-    sizes = materialize(filed.groupBy("key").agg(F.count("*").alias("size")), "sizes")
-    central = materialize(filed.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("c")), "central")
-    filed = materialize(filed.join(central, "id"), "filed")
-
-    links, tested, comp = None, None, None
+    # a node is a word sequence, numbered apart from doc_ids: one doc_id may have several
+    own = F.min(F.struct("doc_id", "t", "n", "size", "sig")).alias("own")
+    nodes = full.groupBy("h").agg(own, F.count("*").alias("rows")).select(F.monotonically_increasing_id().alias("id"), "h", "rows", "own.*")
+    nodes = keep.write(nodes, "nodes")
+    links = confirmed_links(docs, nodes, families(nodes, percent, keep), k, percent, keep)
     if tied:
-        tie = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
-        tie = materialize(tie.select("doc_id", "a"), "shared")
-        if tie.head(1):
-            links = materialize(rows.join(tie, "doc_id").filter("id > a").select("a", F.col("id").alias("b")).distinct(), "ties")
-            comp = components(links)
-    for _ in range(ROUNDS):
-        mixed, told = _mixed(filed, comp)
-        pairs = told.join(mixed, "key").filter("comp <> lead_comp").select("id", "lead").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["id", "lead"], "left_anti")
-        near = pairs.join(left, "id").join(right, "lead").select("id", "lead", differing("x", "y").alias("d"), fits.alias("fits"))
-        best = near.filter((F.col("d") <= REACH) & F.col("fits")).groupBy("id").agg(F.min(F.struct("d", "lead")).alias("best"))
-        best = materialize(best.select("id", "best.lead"), "best")
-        tested = best if tested is None else tested.unionByName(best)
-        found = confirmed(best.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), docs, nodes, k, percent)
-        found = materialize(found, "links")
-        if links is not None and not found.head(1):
-            break
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-
-    # buckets that hold more than one component: all pairs across
-    mixed, told = _mixed(filed, comp)
-    side = told.join(mixed.select("key"), "key").join(nodes.select("id", "n", "sig"), "id")
-    across = across_components(materialize(side.select("key", "place", "id", "comp", "n", "sig"), "side"), sizes, percent)
-    across = across.join(tested.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(confirmed_in_blocks(materialize(across, "pairs"), comp, docs, nodes, k, percent), "links")
-    if more.head(1):
-        comp = components(links.unionByName(more))
-
-    linked = nodes.select("id", F.struct("doc_id", "t").alias("own")).join(comp, "id")
-    least = materialize(linked.groupBy("comp").agg(F.min("own").alias("first")), "least")
-    linked = materialize(linked.join(_few(least), "comp").select("id", "first"), "linked")
-    grouped = rows.select("doc_id", "t", "own", "id").join(_few(linked), "id", "left")
-    return sigs, grouped.select("doc_id", "t", F.coalesce("first", "own").alias("first"))
+        several = full.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a < z").select("doc_id")
+        several = keep.write(several, "several")
+        if several.head(1):
+            ids = only_ids(full.select("doc_id", "h"), several, "doc_id").join(nodes.select("h", "id"), "h")
+            ids = keep.write(ids.groupBy("doc_id", "id").count(), "shared")
+            least = ids.groupBy("doc_id").agg(F.min("id").alias("a"))
+            links = links.unionByName(ids.join(least, "doc_id").select("a", F.col("id").alias("b")))
+    comp = components(links, keep)
+    linked = nodes.select("id", "h", F.struct("doc_id", "t").alias("own")).join(comp, "id")
+    least = linked.groupBy("comp").agg(F.min("own").alias("first"))
+    linked = linked.join(least, "comp").select("h", "first")
+    copied = nodes.filter("rows > 1").join(comp.select("id"), "id", "left_anti").select("h", F.struct("doc_id", "t").alias("first"))
+    first = keep.write(linked.unionByName(copied), "first")
+    grouped = full.select("doc_id", "t", "h").join(_few(first), "h", "left")
+    return sigs, grouped.select("doc_id", "t", F.coalesce("first", F.struct("doc_id", "t")).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
     sigs, grouped = _grouped(docs, k, percent, tied=True)
-    groups = materialize(grouped.groupBy("doc_id").agg(F.min("first.doc_id").alias("component_id")), "groups")
+    groups = grouped.groupBy("doc_id").agg(F.min("first.doc_id").alias("component_id"))
     out = sigs.join(groups, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
@@ -429,10 +466,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows whose text is not the first of its group of near copies."""
     _, grouped = _grouped(docs, k, percent, tied=False)
-    gone = grouped.filter(F.struct("doc_id", "t") != F.col("first")).select("doc_id", F.col("t").alias("_t"))
-    gone = materialize(gone.distinct(), "gone")
-    told = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return told.join(_few(gone), ["doc_id", "_t"], "left_anti").select(*docs.columns)
+    gone = grouped.filter(F.struct("doc_id", "t") != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    gone = Scratch(docs.sparkSession).write(gone.distinct(), "gone")
+    at = (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_t"])
+    return docs.join(_few(gone), at, "left_anti")
 
 
 def near_dedup_query(docs: DataFrame) -> DataFrame:

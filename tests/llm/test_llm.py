@@ -82,7 +82,7 @@ def test_near_dedup(spark):
     texts = TEXTS + [" ".join(base), " ".join(base[:-9]), " ".join(base[9:] + ["z"]), " ".join(base[60:])]
     for k in (2, 5):
         got = by_id(near_dedup.near_duplicates(docs(spark, texts), k=k))
-        sets = [near_dedup._shingles(t or "", k) for t in texts]
+        sets = [near_dedup._shingles(near_dedup.words_of(t or ""), k) for t in texts]
         comp = list(range(len(texts)))
         for i, a in enumerate(sets):
             for j in range(i):
@@ -109,14 +109,36 @@ def test_near_dedup_judges_each_text_of_a_doc_id(spark):
     assert sorted(int(r.extra) for r in kept.collect()) == [0, 3, 4, 5, 9, 10, 11, 12]
 
 
-def test_signature_buckets_hold_every_pair_within_reach():
+def test_signature_buckets_hold_every_pair_within_reach(spark):
     rng = np.random.default_rng(0)
-    x = rng.integers(0, 256, (300, near_dedup.POSITIONS)).astype(np.uint8)
+    x = rng.integers(0, 256, (200, near_dedup.POSITIONS)).astype(np.uint8)
     y = x.copy()
     for r in y:
         at = rng.choice(near_dedup.POSITIONS, near_dedup.REACH, replace=False)
         r[at] ^= 1
-    assert (near_dedup._place_shared(x, y) >= 0).all()
+    nodes = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(np.concatenate((x, y)))], "id long, sig binary")
+    keys = near_dedup.bucket_keys(nodes)
+    met = keys.alias("a").join(keys.alias("b"), "key").filter("a.id + 200 = b.id").select("a.id").distinct()
+    assert met.count() == 200
+
+
+def test_links_between_is_a_spanning_forest():
+    rng = np.random.default_rng(3)
+    base = [f"q{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > rng.choice([0, 0.02, 0.06]) else f"x{rng.integers(9)}" for w in base) for _ in range(80)] + ["", "q1"]
+    sets = [near_dedup._shingles(near_dedup.words_of(t), 2) for t in texts]
+    hit = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+
+    def comps(pairs):
+        f = near_dedup.Forest()
+        return [f.join(a, b) for a, b in pairs], [f.top(i) for i in range(len(texts))]
+
+    got = near_dedup.links_between(texts, None, 2, 80)
+    joined, top = comps(got)
+    assert all(joined) and set(got) <= hit and top == comps(hit)[1]
+    got = near_dedup.links_between(texts[:30], texts[30:], 2, 80)
+    joined, top = comps(got)
+    assert all(joined) and set(got) <= hit and top == comps({(a, b) for a, b in hit if a < 30 <= b})[1]
 
 
 def test_substring_dedup(spark):
