@@ -1,10 +1,11 @@
 """Token ids in binary form: one wavelet matrix per shard.
 
 A shard holds the ids of consecutive documents. Its file is a magic word, a zstandard
-frame of the header (document ids, lengths, plane sizes) and one zstandard frame per bit
-plane. Plane ``l`` holds bit ``l`` (from the top) of all ids in the order that the planes above
-leave: zeros first, then ones, each in order. With counts of ones per block (rank) this
-gives access to any token, counts and positions of any id, without the ids themselves.
+frame of the header (document ids, lengths, plane sizes, ones in each block of each plane)
+and one zstandard frame per bit plane, inflated when first asked for. Plane ``l`` holds bit
+``l`` (from the top) of all ids in the order that the planes above leave: zeros first, then
+ones, each in order. With the counts of ones per block, rank and select read one block of a
+plane each; they give access to any token, counts and positions of any id, without the ids.
 
 ``write_shards`` puts documents in ascending ``doc_id`` order by a range partitioning,
 encodes and writes them; the files are rows of a Parquet folder, so that Spark's commit
@@ -47,12 +48,19 @@ _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SH
 _state: dict[int, tuple] = {}
 
 
+def block_ones(plane: np.ndarray) -> np.ndarray:
+    """Ones in each block of a plane."""
+    if not len(plane):
+        return np.zeros(0, np.uint16)
+    return np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK // 8), dtype=np.uint16)
+
+
 class WaveletMatrix:
-    """Rank, select and access over a sequence of ids, kept as bit planes."""
+    """Rank, select and access over a sequence of ids, kept as bit planes (arrays, or functions that give them)."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, planes: list, zeros: list[int], ones: list[np.ndarray]):
+        self.n, self.zeros, self.ones, self._planes = n, zeros, ones, planes
+        self._ranks: list[np.ndarray | None] = [None] * len(planes)
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -65,25 +73,42 @@ class WaveletMatrix:
             low, high = x[~one], x[one]
             zeros.append(len(low))
             x[: len(low)], x[len(low) :] = low, high
-        return cls(len(ids), planes, zeros)
+        return cls(len(ids), planes, zeros, [block_ones(p) for p in planes])
+
+    def plane(self, level: int) -> np.ndarray:
+        if callable(self._planes[level]):
+            self._planes[level] = self._planes[level]()
+        return self._planes[level]
+
+    def _upto(self, level: int) -> np.ndarray:
+        """Ones before each block of a plane."""
+        if self._ranks[level] is None:
+            self._ranks[level] = np.concatenate(([0], np.cumsum(self.ones[level], dtype=np.int64)))
+        return self._ranks[level]
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
-        if self._ranks is None:
-            step = BLOCK // 8
-            self._ranks = [
-                np.concatenate(([0], np.cumsum(np.add.reduceat(np.bitwise_count(p), np.arange(0, len(p), step), dtype=np.int64))))
-                if len(p) else np.zeros(1, np.int64)
-                for p in self.planes
-            ]
-        k, p = i // BLOCK, self.planes[level]
-        part = np.unpackbits(p[k * BLOCK // 8 : (i + 7) // 8])[: i - k * BLOCK]
-        return int(self._ranks[level][k]) + int(part.sum())
+        k = i // BLOCK
+        part = np.unpackbits(self.plane(level)[k * BLOCK // 8 : (i + 7) // 8])[: i - k * BLOCK] if i % BLOCK else ()
+        return int(self._upto(level)[k]) + int(np.sum(part, dtype=np.int64))
+
+    def _select(self, level: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Where the ``nth`` (from 0, ascending) ones or zeros of a plane stand."""
+        before = self._upto(level)
+        if not bit:
+            before = np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
+        block, out = np.searchsorted(before, nth, side="right") - 1, np.empty(len(nth), np.int64)
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(nth)]):
+            k = int(block[a])
+            inside = np.unpackbits(self.plane(level)[k * BLOCK // 8 : (k + 1) * BLOCK // 8])[: self.n - k * BLOCK]
+            out[a:b] = k * BLOCK + np.flatnonzero(inside == bit)[nth[a:b] - before[k]]
+        return out
 
     def access(self, i: int) -> int:
         value = 0
         for level, z in enumerate(self.zeros):
-            bit = self.planes[level][i >> 3] >> (7 - (i & 7)) & 1
+            bit = self.plane(level)[i >> 3] >> (7 - (i & 7)) & 1
             ones = self._rank1(level, i)
             value, i = value << 1 | int(bit), z + ones if bit else i - ones
         return value
@@ -107,9 +132,8 @@ class WaveletMatrix:
         lo, hi = self._range(value, self.n)
         at, bits = np.arange(lo, hi), len(self.zeros)
         for level in range(bits - 1, -1, -1):
-            plane = np.unpackbits(self.planes[level], count=self.n)
             bit = value >> (bits - 1 - level) & 1
-            at = np.flatnonzero(plane == bit)[at - (self.zeros[level] if bit else 0)]
+            at = self._select(level, bit, at - (self.zeros[level] if bit else 0))
         return at.tolist()
 
     def decode(self) -> np.ndarray:
@@ -117,7 +141,7 @@ class WaveletMatrix:
         bits = len(self.zeros)
         v = np.zeros(self.n, np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            one = np.unpackbits(self.plane(level), count=self.n).view(bool)
             z, out = self.zeros[level], np.empty_like(v)
             out[~one] = v[:z]
             out[one] = v[z:] | v.dtype.type(1 << (bits - 1 - level))
@@ -127,11 +151,12 @@ class WaveletMatrix:
 
 def shard_bytes(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
     m, c = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1)
-    planes = [c.compress(p.tobytes()) for p in m.planes]
+    planes = [c.compress(m.plane(level).tobytes()) for level in range(len(m.zeros))]
     head = c.compress(
         struct.pack("<QIQ", m.n, len(planes), len(doc_ids))
         + np.array(m.zeros + [len(p) for p in planes], "<u8").tobytes()
         + np.array(doc_ids, "<i8").tobytes() + np.array(lengths, "<u8").tobytes()
+        + np.concatenate(m.ones).astype("<u2").tobytes()
     )
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(planes)
 
@@ -140,15 +165,16 @@ def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     """Document ids, their lengths, and the ids' wavelet matrix, from a shard file's bytes."""
     if data[:4] != MAGIC:
         raise ValueError("not a token shard")
-    d, size = zstandard.ZstdDecompressor(), struct.unpack("<I", data[4:8])[0]
-    head, at = d.decompress(data[8 : 8 + size]), 8 + size
+    size = struct.unpack("<I", data[4:8])[0]
+    head, at = zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]), 8 + size
     n, bits, docs = struct.unpack("<QIQ", head[:20])
-    rest = np.frombuffer(head, "<i8", offset=20)
+    rest = np.frombuffer(head, "<i8", offset=20, count=2 * bits + 2 * docs)
+    ones = np.frombuffer(head, "<u2", offset=20 + rest.nbytes).reshape(bits, -1)
     planes = []
-    for k in rest[bits : 2 * bits]:
-        planes.append(np.frombuffer(d.decompress(data[at : at + int(k)]), np.uint8))
-        at += int(k)
-    return rest[2 * bits : 2 * bits + docs], rest[2 * bits + docs :], WaveletMatrix(n, planes, rest[:bits].tolist())
+    for k in rest[bits : 2 * bits].tolist():
+        planes.append(lambda a=at, b=at + k: np.frombuffer(zstandard.ZstdDecompressor().decompress(data[a:b]), np.uint8))
+        at += k
+    return rest[2 * bits : 2 * bits + docs], rest[2 * bits + docs :], WaveletMatrix(n, planes, rest[:bits].tolist(), list(ones))
 
 
 def _load(source: bytes):
@@ -159,21 +185,22 @@ def _load(source: bytes):
     if key not in _state:
         _state.clear()
         tok = Tokenizer.from_buffer(source)
-        _state[key] = tok, {}, [t.content for t in tok.get_added_tokens_decoder().values()]
+        width = "<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        _state[key] = tok, {}, [t.content for t in tok.get_added_tokens_decoder().values()], width
     return _state[key]
 
 
 def encode_texts(source: bytes, texts: list[str]) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 16-bit integers.
+    """Ids of each text as little-endian unsigned integers of 16 bits (32 for a vocabulary beyond them).
 
     A pre-token's ids do not depend on its neighbours, so each distinct one is merged by
     the library's model once and remembered. Texts that hold special strings, odd characters, text
     that normalisation would recompose, or a capital sigma (whose lower case depends on
     context) are encoded whole by the library.
     """
-    tok, memo, special = _load(source)
+    tok, memo, special, width = _load(source)
     merge = tok.model.tokenize
-    odd, split = classes()[2], word_level()
+    odd, split, kind = classes()[2], word_level(), "H" if width == "<u2" else "I"
     for a, b in chunks(texts):
         if len(memo) > MEMO_LIMIT:
             memo.clear()
@@ -183,11 +210,11 @@ def encode_texts(source: bytes, texts: list[str]) -> Iterator[bytes]:
             if plain and not ("<" in t and any(s in t for s in special)):
                 parts.append(split.findall(t.lower()))
             else:
-                parts.append(np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes())
+                parts.append(np.array(tok.encode(t, add_special_tokens=False).ids, width).tobytes())
         new = list(set().union(*(p for p in parts if isinstance(p, list))) - memo.keys())
         for w in new:
-            t = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
-            memo[w] = array("H", [x.id for x in merge(t)]).tobytes()
+            t = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_BYTES)
+            memo[w] = array(kind, [x.id for x in merge(t)]).tobytes()
         for p in parts:
             yield b"".join(map(memo.__getitem__, p)) if isinstance(p, list) else p
 
@@ -200,21 +227,22 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:  # a vocabulary file: its size is fixed, about 2 MB
         source = spark.sparkContext.broadcast(f.read())
-    end = np.array([end_id], "<u2").tobytes()
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = np.dtype(_load(source.value)[3])
+        end = np.array([end_id], width).tobytes()
         part, shard, names, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(parts), "<u2")
-            data = shard_bytes(names, [len(p) // 2 for p in parts], ids)
+            ids = np.frombuffer(b"".join(parts), width)
+            data = shard_bytes(names, [len(p) // width.itemsize for p in parts], ids)
             return pd.DataFrame({"part": [part], "shard": [shard], "n_ids": [len(ids)], "data": [data]})
 
         for df in batches:
             for doc_id, ids in zip(df["id"].tolist(), encode_texts(source.value, df["text"].tolist())):
                 names.append(doc_id)
                 parts.append(ids + end)
-                size += len(ids) // 2 + 1
+                size += len(ids) // width.itemsize + 1
                 if size >= shard_ids:
                     yield flush()
                     shard, names, parts, size = shard + 1, [], [], 0
