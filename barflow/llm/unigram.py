@@ -5,9 +5,11 @@ scores, and the best segmentation of a text is the one with the largest sum. A s
 becomes the marker U+2581, one marker is put in front, and a character that no piece
 covers becomes the byte pieces of its UTF-8 form. Decoding reverses all of it.
 
-A text falls apart where no piece can reach across: before every marker, and around each
-character that occurs in no longer piece (as the line feed). Segmentation works on these
-units, each distinct one once per worker; the units' bests add up to the text's best.
+A text falls apart where no piece can reach across: before every run of markers (a run may be
+one piece, or several), and around each character that occurs in no longer piece (as the line
+feed). Segmentation works on these units, each distinct one once per worker; the units' bests
+add up to the text's best. A model with pieces of several words has no such place before
+markers, and its texts are segmented in one go.
 
 Edge cases: null and empty texts give no ids and decode to the empty text; a literal
 U+2581 in a text reads as a space, as in the format; ties go to the segmentation found
@@ -24,9 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pretokens import chunks
+
 MARK = "▁"
 MEMO_LIMIT = 500_000
 MEMO_UNIT = 64  # longer units are rarely seen twice
@@ -100,8 +104,7 @@ class Model:
         proto = pb.ModelProto()
         proto.ParseFromString(data)
         pieces = list(proto.pieces)
-        # a marker run scored as good as minus infinity never wins against its single markers
-        normal = [(i, p) for i, p in enumerate(pieces) if p.type == 1 and not (len(p.piece) > 1 and MARK in p.piece[1:])]
+        normal = [(i, p) for i, p in enumerate(pieces) if p.type == 1]
         byte_ids = [next(i for i, p in enumerate(pieces) if p.type == 6 and p.piece == f"<0x{b:02X}>") for b in range(256)]
         return cls(
             [p.piece for p in pieces],
@@ -115,9 +118,10 @@ class Model:
     def unit_pattern(self) -> re.Pattern:
         """Splits a marked text into units that no piece reaches across."""
         inside = {c for i in self.ids for c in self.pieces[i] if len(self.pieces[i]) > 1}
-        alone = "".join(c for c in "\n\r\t" if c not in inside)
-        cls_ = f"{MARK}{re.escape(alone)}"
-        return re.compile(f"[{re.escape(alone)}]|{MARK}[^{cls_}]*|[^{cls_}]+" if alone else f"{MARK}[^{MARK}]*|[^{MARK}]+")
+        alone = re.escape("".join(c for c in "\n\r\t" if c not in inside))
+        several = any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in self.ids)
+        other = f"[^{alone}]+" if several else f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+"
+        return re.compile(f"[{alone}]|{other}" if alone else other if not several else "[\\s\\S]+")
 
     def segment(self, unit: str) -> tuple[int, ...]:
         """Ids of the best segmentation of one unit (Viterbi over its bytes)."""
@@ -239,26 +243,32 @@ def decode_documents(df: DataFrame, path: str, ids_col: str = "ids") -> DataFram
     return df.withColumn("decoded", decoder(df.sparkSession, path)(F.col(ids_col)))
 
 
-def digester(spark: SparkSession, path: str):
-    """A function of a text column: number of ids, their crc32 (as little-endian unsigned 32-bit
-    integers), and whether decoding them gives the text back (its U+2581 as spaces).
+def encode_and_check(docs: DataFrame, path: str, chars: int = 2_000_000) -> DataFrame:
+    """doc_id, ids, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), and
+    round_trip: whether decoding them gives the text back (its U+2581 as spaces).
 
-    The ids stay in the worker, so that a batch is never held twice."""
-    source = _source(spark, path)
+    A worker hands its rows on after about ``chars`` characters, so no batch is held whole twice.
+    """
+    source = _source(docs.sparkSession, path)
 
-    @F.pandas_udf("n_tokens long, ids_crc32 long, round_trip boolean")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(source.value)
-        for s in batches:
-            rows = []
-            for t in s:
-                ids = c.encode(t)
-                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), c.decode(ids) == t.replace(MARK, " ")))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "round_trip"])
-
-    return digest
+        for df in batches:
+            names, texts = df["doc_id"], df["text"].tolist()
+            for a, b in chunks(texts, chars):
+                ids = [c.encode(t) for t in texts[a:b]]
+                yield pd.DataFrame({
+                    "doc_id": names.iloc[a:b].to_numpy(),
+                    "ids": pd.Series(ids, dtype=object),
+                    "n_tokens": [len(x) for x in ids],
+                    "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids],
+                    "round_trip": [c.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts[a:b])],
+                })
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInPandas(encode, f"doc_id {kind}, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def unigram_query(docs: DataFrame, path: str) -> DataFrame:
-    digest = digester(docs.sparkSession, path)(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select("doc_id", digest.alias("d")).select("doc_id", "d.*")
+    return encode_and_check(docs, path)

@@ -189,22 +189,71 @@ def test_wavelet_matrix():
         assert m.positions(v) == np.flatnonzero(ids == v).tolist() and m.rank(v, 1500) == int((ids[:1500] == v).sum())
 
 
+def test_token_shards_equal_the_library_on_every_character():
+    import random
+
+    from tokenizers import Tokenizer
+
+    rnd, every = random.Random(2), [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    mixed = [chr(i) for i in range(0x180)] + list("漢字😀ΣσÅ") + ["<|endoftext|>", " the "]
+    texts = every + [f"x {c} y" for c in every] + ["".join(rnd.choice(mixed) for _ in range(rnd.randrange(1, 30))) for _ in range(3000)]
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        source = f.read()
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_buffer(source).encode_batch(texts, add_special_tokens=False)]
+    assert list(token_shards.encode_texts(source, texts)) == want
+
+
+def best_total(score, unknown, text):
+    """The best segmentation's sum of scores, by trying every piece at every place."""
+    marked = "▁" + text.replace(" ", "▁") if text else ""
+    best, most = [0.0] + [None] * len(marked), max(map(len, score))
+    for i in range(len(marked)):
+        for j in range(i + 1, min(len(marked), i + most) + 1):
+            s = score.get(marked[i:j], unknown if j == i + 1 else None)
+            if s is not None and (best[j] is None or best[i] + s > best[j]):
+                best[j] = best[i] + s
+    return best[-1]
+
+
 def test_unigram(spark):
-    c = unigram.codec(open(P.path("piece_bpe_32k.model"), "rb").read())
-    m = c.model
-    score = {m.pieces[i]: s for i, s in zip(m.ids, m.scores)}
-    for t in ["hello world", "a  b", "漢字😀x\ny", "the thinking"]:
-        ids, marked = c.encode(t), "▁" + t.replace(" ", "▁")
-        best = [0.0] + [None] * len(marked)
-        for i in range(len(marked)):
-            for j in range(i + 1, len(marked) + 1):
-                s = score.get(marked[i:j], m.unknown if j == i + 1 else None)
-                if s is not None and (best[j] is None or best[i] + s > best[j]):
-                    best[j] = best[i] + s
-        total = sum(score.get(m.pieces[i], 0) for i in ids) + m.unknown * sum(ch not in score for ch in t if ch != " ")
-        assert abs(total - best[-1]) < 1e-6 and c.decode(ids) == t
-    out = unigram.unigram_query(docs(spark), P.path("piece_bpe_32k.model")).collect()
-    assert len(out) == len(TEXTS) and all(r.round_trip for r in out)
+    import random
+
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    proto = pb.ModelProto()
+    proto.ParseFromString(data)
+    score = {p.piece: p.score for p in proto.pieces if p.type == 1}
+    by_id_, as_byte = [p.score for p in proto.pieces], {i: int(p.piece[1:-1], 16) for i, p in enumerate(proto.pieces) if p.type == 6}
+    c, rnd = unigram.codec(data), random.Random(5)
+    texts = ["hello world", "a  b", "a   b", "漢字😀x\ny", "the thinking", "", " ", "   x", "\x1c"]
+    for k in range(300):
+        texts.append((" " * rnd.randrange(40) if k % 3 else "") + "".join(rnd.choice("ab  \t\n  theE漢字é😀.,") for _ in range(rnd.randrange(40))))
+    for t in texts:
+        ids = c.encode(t).tolist()
+        unknown = bytes(as_byte[i] for i in ids if i in as_byte).decode()
+        total = sum(by_id_[i] for i in ids if i not in as_byte) + (min(score.values()) - 10) * len(unknown)
+        assert abs(total - best_total(score, min(score.values()) - 10, t)) < 1e-3 and c.decode(ids_array(ids)) == t, t
+    out = by_id(unigram.unigram_query(docs(spark), P.path("piece_bpe_32k.model")))
+    assert len(out) == len(TEXTS) and all(r.round_trip for r in out.values())
+    for i, t in enumerate(TEXTS):
+        assert out[i].ids == c.encode(t or "").tolist() and out[i].n_tokens == len(out[i].ids)
+        assert out[i].ids_crc32 == zlib.crc32(np.array(out[i].ids, "<u4").tobytes())
+    assert unigram.unigram_query(docs(spark, []), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_unigram_pieces_of_several_words():
+    """A model may have pieces that reach over a word's end: then texts are not parted at markers."""
+    scores = {"▁": -5.0, "a": -3.0, "b": -3.0, "▁a": -4.0, "a▁b": -1.0, "▁b": -3.5}
+    pieces = list(scores)
+    m = unigram.Model(pieces, unigram.Trie.build([p.encode() for p in pieces]), list(range(len(pieces))), list(scores.values()), list(range(100, 356)), -50.0)
+    units = m.unit_pattern().findall("▁a▁b▁b")
+    assert sum(scores[pieces[i]] for u in units for i in m.segment(u)) == best_total(scores, -50.0, "a b b")
+
+
+def ids_array(ids):
+    return np.array(ids, "<i4")
 
 
 def test_chat(spark):
