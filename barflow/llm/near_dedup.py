@@ -14,15 +14,15 @@ all: every pair within reach shares a bucket.
 Links, not pairs, are the aim, so texts with equal word sequences are one node, and pairs
 are never listed:
 
-1. families. In rounds, each bucket has one leader (the least by a hash); a member within
-   reach of it joins its family, and the leader, now compared with all of its bucket, leaves
-   it. Buckets whose members are of one family are done. One bit of each place goes along in
-   the buckets: bits that differ are places that differ, so most pairs are told apart there.
-2. buckets that are not done after ``ROUNDS`` rounds are compared with themselves, block
-   against block, and yield the fewest pairs that tie their families together.
+1. families. Each bucket has ``LEADERS`` leaders (the first by a hash); a member within reach
+   of one joins its family. One bit of each place goes along in the buckets: bits that differ
+   are places that differ, so most pairs are told apart there.
+2. buckets whose other members are still of several families are compared with themselves,
+   block against block, and yield the fewest pairs that tie their families together.
 3. links. Two nodes within reach are of one family now. Each family is dealt to blocks of
    about ``BLOCK_BYTES`` of text; a task holds two blocks, compares all their full shingle
-   sets (by the words, not by hashes), and yields a spanning forest of the links.
+   sets (by the words, not by hashes), and yields a spanning forest of the links; a family
+   of one block, as nearly all are, is settled there.
 
 Components are found by alternating large-star and small-star rounds, each written to the
 shared folder. Joins are sort-merge joins on evenly dealt keys, with hubs left to the
@@ -56,8 +56,8 @@ from .pretokens import chunks
 POSITIONS, REACH, CHUNKS = 128, 45, 23
 _CUTS = np.linspace(0, POSITIONS, CHUNKS + 1).astype(int)
 _CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(_CUTS))
-#: Rounds of joining leaders' families before the rest is joined block against block.
-ROUNDS = 3
+#: Leaders of a bucket: with these all others are compared first.
+LEADERS = 2
 #: Members of a bucket's block, about.
 BLOCK = 512
 #: Text of a family's block, about: bytes, and nodes.
@@ -191,8 +191,8 @@ def _prefixed(df: DataFrame, prefix: str, columns) -> list[Column]:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """``df`` (a few longs a row), to be broadcast up to a checked size."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS // 2 else df
+    """``df`` (longs), to be broadcast up to a checked size."""
+    return F.broadcast(df) if df.count() * len(df.columns) <= MAX_BROADCAST_IDS else df
 
 
 class Forest(dict):
@@ -270,34 +270,29 @@ def tied_families(told: DataFrame, nodes: DataFrame, percent: int, keep: Scratch
 def families(nodes: DataFrame, percent: int, keep: Scratch) -> DataFrame:
     """id, comp of the nodes that are in a family of several: nodes within reach are in one."""
     packed = keep.write(_packed(nodes), "packed")
-    order = Window.partitionBy("key").orderBy("id")
-    filed = bucket_keys(nodes).withColumns({"_p": F.lag("id").over(order), "_n": F.lead("id").over(order)})
-    filed = filed.filter("_p is not null or _n is not null").select("key", "id")
-    told = keep.write(filed.join(packed.select("id", "n", "b0", "b1"), "id").withColumn("fam", F.col("id")), "buckets")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+    filed = bucket_keys(nodes).select("key", "id", F.row_number().over(order).alias("r"), F.lead("id").over(order).alias("_n"))
+    filed = filed.filter("r > 1 or _n is not null").drop("_n")
+    told = keep.write(filed.join(packed.select("id", "n", "b0", "b1"), "id"), "buckets")
+
+    few = ("n", "b0", "b1")
+    lead = told.filter(F.col("r") <= LEADERS).select(F.col("key").alias("lead_key"), F.col("id").alias("lead"), F.col("r").alias("lead_r"), *_prefixed(told, "l", few))
+    member = told.filter("r > 1").select("key", "id", "r", *_prefixed(told, "m", few))
+    fits = 100 * F.least("mn", "ln") >= percent * F.greatest("mn", "ln")
+    bits = _sum([F.bit_count(x) for x in _xor("m", "l", ("b0", "b1"))])
+    pairs = member.join(lead, (F.col("key") == F.col("lead_key")) & (F.col("lead_r") < F.col("r")) & fits & (bits <= REACH))
     left = packed.select("id", *_prefixed(packed, "x", _LONGS))
     right = packed.select(F.col("id").alias("lead"), *_prefixed(packed, "y", _LONGS))
-    found = None
-    for turn in range(ROUNDS):
-        row = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "fam", "n", "b0", "b1")
-        top = told.groupBy("key").agg(F.min(row).alias("t"), F.min("fam").alias("lo"), F.max("fam").alias("hi")).filter("lo < hi")
-        lead = [F.col("t.id").alias("lead"), F.col("t.fam").alias("lead_fam"), *[F.coalesce(f"t.{c}", F.lit(0).cast("long")).alias(f"l{c}") for c in ("n", "b0", "b1")]]
-        top = keep.write(top.select("key", *lead), "leaders")
-        beside = told.select("key", "id", "fam", *_prefixed(told, "m", ("n", "b0", "b1"))).join(top, "key").filter("id <> lead")
-        fits = 100 * F.least("mn", "ln") >= percent * F.greatest("mn", "ln")
-        bits = _sum([F.bit_count(x) for x in _xor("m", "l", ("b0", "b1"))])
-        pairs = beside.filter((F.col("fam") != F.col("lead_fam")) & fits & (bits <= REACH)).select("id", "lead", "fam", "lead_fam").distinct()
-        near = pairs.join(left, "id").join(right, "lead").filter(_sum([_told_apart(x) for x in _xor("x", "y", _LONGS)]) <= REACH)
-        comp = components(near.select(F.col("fam").alias("a"), F.col("lead_fam").alias("b")), keep)
-        now = F.coalesce("comp", "fam")
-        rest = beside.select("key", "id", "fam", F.col("mn").alias("n"), F.col("mb0").alias("b0"), F.col("mb1").alias("b1"))
-        rest = rest.join(_few(comp.withColumnRenamed("id", "fam")), "fam", "left").withColumn("fam", now).drop("comp")
-        told, old = keep.write(rest, "buckets"), told
-        keep.drop(old, top)
-        found = comp if found is None else _followed(found, comp, keep)
-    ties = tied_families(told.select("key", "id", "fam"), nodes, percent, keep)
-    out = _followed(found, components(ties, keep), keep)
+    near = pairs.select("id", "lead").distinct().join(left, "id").join(right, "lead")
+    near = near.filter(_sum([_told_apart(x) for x in _xor("x", "y", _LONGS)]) <= REACH)
+    found = components(near.select(F.col("id").alias("a"), F.col("lead").alias("b")), keep)
+
+    rest = told.filter(F.col("r") > LEADERS).select("key", "id").join(_few(found), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("fam"))
+    ties = tied_families(rest, nodes, percent, keep)
+    if ties.head(1):
+        found = _followed(found, components(ties, keep), keep)
     keep.drop(told, packed, ties)
-    return out
+    return found
 
 
 def _followed(first: DataFrame, then: DataFrame, keep: Scratch) -> DataFrame:
@@ -359,7 +354,10 @@ def links_between(left: list[str], right: list[str] | None, k: int, percent: int
 
 
 def confirmed_links(docs: DataFrame, nodes: DataFrame, fams: DataFrame, k: int, percent: int, keep: Scratch) -> DataFrame:
-    """a, b: links between nodes of one family, confirmed on full shingle sets, enough to join all that are linked."""
+    """a, b, settled: links between nodes of one family, confirmed on full shingle sets, enough to join all that are linked.
+
+    Settled: the family was compared in one task, and a is a node's component (its least node b).
+    """
     home = nodes.select("id", "doc_id", "t", "size").join(_few(fams), "id")
     count = F.greatest(F.sum("size") / BLOCK_BYTES, F.count("*") / BLOCK_NODES)
     of = keep.write(home.groupBy("comp").agg(F.greatest(F.ceil(count), F.lit(1)).cast("long").alias("of")), "of")
@@ -369,16 +367,24 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, fams: DataFrame, k: int,
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            two = "ids2" in df
+            two, out = "ids2" in df, []
             for r in df.to_dict("records"):
                 # a row may stand twice in the documents: each node once
                 sides = [dict(zip(r[f"ids{s}"].tolist(), r[f"texts{s}"])) for s in ("", *["2"] * two)]
                 ids = [i for s in sides for i in s]
                 pairs = links_between(list(sides[0].values()), list(sides[1].values()) if two else None, k, percent)
-                yield pd.DataFrame([(ids[u], ids[v]) for u, v in pairs], columns=["a", "b"], dtype="int64")
-
-    inside = blocks.select("ids", "texts").mapInPandas(compare, "a long, b long")
-    across = _against(blocks, ["comp"], ["ids", "texts"]).mapInPandas(compare, "a long, b long")
+                if two or r["of"] > 1:
+                    out += [(ids[u], ids[v], False) for u, v in pairs]
+                else:
+                    forest = Forest()
+                    for u, v in pairs:
+                        forest.join(ids[u], ids[v])
+                    out += [(i, forest.top(i), True) for i in {ids[u] for p in pairs for u in p}]
+            yield pd.DataFrame(out, columns=["a", "b", "settled"]).astype({"a": "int64", "b": "int64", "settled": bool})
+
+    form = "a long, b long, settled boolean"
+    inside = blocks.select("of", "ids", "texts").mapInPandas(compare, form)
+    across = _against(blocks, ["comp"], ["ids", "texts"]).mapInPandas(compare, form)
     out = keep.write(inside.unionByName(across), "links")
     keep.drop(of, home, blocks)
     return out
@@ -400,7 +406,8 @@ def components(edges: DataFrame, keep: Scratch) -> DataFrame:
             out = out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = out.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
-        out = keep.write(out.filter("a <> b").distinct(), "edges")
+        out = out.filter("a <> b")
+        out = keep.write(out if large else out.distinct(), "edges")
         keep.drop(e)
         return out
 
@@ -436,6 +443,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, tied: bool) -> tuple[DataFra
     nodes = full.groupBy("h").agg(own, F.count("*").alias("rows")).select(F.monotonically_increasing_id().alias("id"), "h", "rows", "own.*")
     nodes = keep.write(nodes, "nodes")
     links = confirmed_links(docs, nodes, families(nodes, percent, keep), k, percent, keep)
+    settled, links = links.filter("settled").select(F.col("a").alias("id"), F.col("b").alias("comp")), links.filter("not settled").select("a", "b")
     if tied:
         several = full.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a < z").select("doc_id")
         several = keep.write(several, "several")
@@ -444,7 +452,8 @@ def _grouped(docs: DataFrame, k: int, percent: int, tied: bool) -> tuple[DataFra
             ids = keep.write(ids.groupBy("doc_id", "id").count(), "shared")
             least = ids.groupBy("doc_id").agg(F.min("id").alias("a"))
             links = links.unionByName(ids.join(least, "doc_id").select("a", F.col("id").alias("b")))
-    comp = components(links, keep)
+            links, settled = links.unionByName(settled.select(F.col("id").alias("a"), F.col("comp").alias("b"))), settled.limit(0)
+    comp = settled.unionByName(components(links, keep)) if links.head(1) else settled
     linked = nodes.select("id", "h", F.struct("doc_id", "t").alias("own")).join(comp, "id")
     least = linked.groupBy("comp").agg(F.min("own").alias("first"))
     linked = linked.join(least, "comp").select("h", "first")
