@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,8 @@ from ..functions.schema import bars_per_year, round6, typical_price
 from ..operators import backtest as bt
 from ..operators import joins, quality, sobol, strategy, validation
 from ..sources import bars as src
+from ..sources import files
+from ..sources.shared import shared_dir
 from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,13 @@ def table(spark, sf, name) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, for queries that read it several times."""
+    path = f"{shared_dir(df.sparkSession)}/stored"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query
 def ticks_to_bars(spark, sf):
     return src.event_bars(spark, sf, "1h")
@@ -153,13 +160,11 @@ def export_summary(spark, sf):
 
 @query
 def month_range(spark, sf):
-    """Months between a symbol's first and last bar, and whether it traded in them."""
-    b = src.line_bars(spark, sf).select("symbol", F.trunc(F.timestamp_millis("open_ts"), "MM").alias("month"))
-    span = b.groupBy("symbol").agg(F.min("month").alias("a"), F.max("month").alias("z"))
-    months = span.select("symbol", F.explode(F.expr("sequence(a, z, interval 1 month)")).alias("month"))
-    return months.join(b.distinct().withColumn("traded", F.lit(True)), ["symbol", "month"], "left").select(
-        "symbol", F.col("month").cast("string").alias("month"), F.coalesce("traded", F.lit(False)).alias("traded")
-    )
+    """The months of all bars, and which symbols traded in them."""
+    b = src.line_bars(spark, sf).select("symbol", F.trunc(F.timestamp_millis("open_ts"), "MM").alias("month")).distinct()
+    span = b.agg(F.min("month").cast("string").alias("a"), F.max("month").cast("string").alias("z")).first()
+    months = files.month_range(spark, span["a"] or "1970-01-01", span["z"] or "1970-01-01")
+    return months.join(b, "month", "left").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("symbol").alias("n_symbols"))
 
 
 @query
@@ -253,8 +258,9 @@ def run_backtest(spark, sf):
 
 @query
 def backtest_metrics(spark, sf):
-    m = bt.backtest_metrics(_run(spark, sf), ("symbol",), bars_per_year("1h"))
-    return rounded(m.drop("cagr"), "sharpe", "max_drawdown", "profit_factor", "total")
+    m = bt.backtest_metrics(_run(spark, sf), ("symbol", "timeframe"), bars_per_year("1h"))
+    m = m.withColumn("cagr", F.least("cagr", F.lit(1000.0)))  # beyond it only the last digits differ
+    return rounded(m, "sharpe", "cagr", "max_drawdown", "profit_factor", "total", "win_rate")
 
 
 @query
@@ -264,13 +270,20 @@ def trades(spark, sf):
 
 @query
 def trade_concentration(spark, sf):
-    return rounded(bt.trade_concentration(bt.trades(_run(spark, sf), 5, 5)), "total_pnl", "top_pnl", "rest_pnl")
+    c = bt.trade_concentration(bt.trades(_run(spark, sf), 5, 5))
+    return rounded(c.drop("timeframe", "top_share"), "total_pnl", "top_pnl", "rest_pnl", "trade_sharpe", "rest_sharpe")
+
+
+@query
+def trade_periods(spark, sf):
+    t = bt.trade_periods(bt.trades(_run(spark, sf), 5, 5)).withColumn("period", F.col("period").cast("string"))
+    return rounded(t, "total_pnl", "win_rate")
 
 
 def _fills(spark, sf):
     return table(spark, sf, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("symbol"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
-        F.col("l_quantity").alias("fill_size"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("fill_price"),
+        F.col("l_quantity").alias("fill_size"), F.try_divide("l_extendedprice", "l_quantity").alias("fill_price"),
         F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("filled_at"), F.struct("l_orderkey", "l_linenumber", "l_partkey").cast("string").alias("order_id"),
     )
 
@@ -285,116 +298,165 @@ def average_cost(spark, sf):
     return rounded(bt.average_cost(_fills(spark, sf)), "entry_price", "realised")
 
 
+@query
+def positions_from_fills(spark, sf):
+    prices = src.line_bars(spark, sf).groupBy("symbol").agg(F.max_by("close", "close_ts").alias("price"))
+    return rounded(bt.positions_from_fills(_fills(spark, sf), prices), "entry_price", "realised", "price", "unrealised", "exposure")
+
+
 _GRID = {"entry": [0.05, 0.1, 0.2, 0.3, 0.5], "cost_bps": [0, 5, 10]}
+#: A coarse sweep of the size that the reference asks for: 2,000 sets.
+SWEEP = {"entry": [round(0.01 * k, 2) for k in range(1, 51)], "cost_bps": list(range(40))}
+
+
+def _swept(spark, sf):
+    m = validation.param_sweep(src.event_bars(spark, sf, "1d"), validation.grid(spark, SWEEP, ints=["cost_bps"]))
+    return rounded(m.drop("timeframe"), "total", "sharpe")
 
 
 @query
 def param_sweep(spark, sf):
-    return rounded(validation.param_sweep(src.event_bars(spark, sf), validation.grid(spark, _GRID)), "total", "sharpe")
+    return _swept(spark, sf)
 
 
 @query
 def best_params(spark, sf):
-    return validation.best_params(param_sweep(spark, sf), ["symbol"], "total")
+    return validation.best_params(_swept(spark, sf), ["symbol"], "total")
+
+
+def _perturbed(spark, sf):
+    p = validation.perturb(validation.grid(spark, {"entry": [0.1, 0.3], "cost_bps": [5]}), ["entry", "cost_bps"], combined=True)
+    m = validation.param_sweep(src.event_bars(spark, sf), p)
+    return validation.degradation(rounded(m, "total"), p, "total")
 
 
 @query
 def perturb(spark, sf):
-    p = validation.perturb(validation.grid(spark, {"entry": [0.1, 0.3], "cost_bps": [5]}), "entry")
-    m = validation.param_sweep(src.event_bars(spark, sf), p)
-    return rounded(validation.degradation(rounded(m, "total"), p, "total"), "loss")
+    return rounded(_perturbed(spark, sf).drop("timeframe"), "loss")
 
 
 @query
 def surface_slice(spark, sf):
-    grid = validation.grid(spark, _GRID)
-    s = validation.surface_slice(validation.param_sweep(src.event_bars(spark, sf), grid), grid, "entry", ["cost_bps"])
+    grid = validation.grid(spark, SWEEP)
+    s = validation.surface_slice(_swept(spark, sf), grid, "entry", ["cost_bps"])
     return rounded(s, "mean_total")
 
 
 @query
-def permute_returns(spark, sf):
-    return rounded(bt.permute_returns(src.event_bars(spark, sf, "1d"), 20, seed=1).drop("timeframe"), "ret")
+def surface_plane(spark, sf):
+    """Two parameters of three over a plane, the third at its lower quartile."""
+    params = validation.grid(spark, {"entry": _GRID["entry"], "cost_bps": list(range(40)), "lookback": [1, 2, 3, 4, 5]})
+    m = rounded(validation.param_sweep(src.event_bars(spark, sf, "1d"), params), "total")
+    return rounded(validation.surface_slice(m, params, ["cost_bps", "lookback"], ["entry"], anchor=0.25), "mean_total")
+
+
+@query
+def lhs_sweep(spark, sf):
+    """2,000 sets drawn as a Latin hypercube, two of their parameters whole numbers."""
+    bounds = {"entry": (0.02, 0.5), "cost_bps": (0, 40), "lookback": (1, 5)}
+    params = validation.lhs_params(spark, bounds, 2000, seed=2, ints=["cost_bps", "lookback"])
+    m = validation.param_sweep(src.event_bars(spark, sf, "1d"), params)
+    return rounded(m.select("param_id", "symbol", "n_trades", "total"), "total")
 
 
 #: Null series of a significance test (the reference asks for 1,000 or more).
 N_NULL = 1000
 
 
-def _null(spark, sf, n_reps=50):
-    bars = src.event_bars(spark, sf)
-    params = validation.grid(spark, {"entry": [0.3], "cost_bps": [5]})
-    observed = validation.param_sweep(bars, params).select("symbol", "sharpe")
-    null = bt.permute_returns(bars, n_reps, seed=7)
-    w_params = {"entry": 0.3, "cost": 5 / 1e4}
-    from pyspark.sql import Window
+@query
+def permute_returns(spark, sf):
+    return rounded(bt.permute_returns(src.event_bars(spark, sf, "1d"), N_NULL, seed=1, block=3).drop("timeframe"), "ret")
 
-    w = Window.partitionBy("rep", "symbol").orderBy("close_ts")
-    pos = (-F.lag("ret").over(w) >= w_params["entry"]).cast("int")
-    n = null.withColumn("r", F.coalesce(pos, F.lit(0)) * (F.col("ret") - w_params["cost"]))
-    null = n.groupBy("rep", "symbol").agg((F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0))).alias("sharpe"))
-    return bt.null_test(rounded(observed, "sharpe"), rounded(null, "sharpe"), ("symbol",), "sharpe")
+
+@query
+def null_prices(spark, sf):
+    """Prices rebuilt along every null series of daily bars."""
+    bars = src.event_bars(spark, sf, "1d")
+    return rounded(bt.null_prices(bars, bt.permute_returns(bars, N_NULL, seed=1)).drop("timeframe"), "close")
+
+
+def _null(spark, sf):
+    bars = src.event_bars(spark, sf)
+    observed = validation.param_sweep(bars, validation.grid(spark, {"entry": [0.3], "cost_bps": [5]}))
+    null = validation.null_metrics(bt.permute_returns(bars, N_NULL, seed=7), 0.3, 5)
+    return bt.null_test(rounded(observed, "sharpe"), rounded(null, "sharpe"), ("symbol", "timeframe"), "sharpe")
 
 
 @query
 def null_test(spark, sf):
-    return _null(spark, sf)
+    return _null(spark, sf).drop("timeframe")
 
 
-def _walk(spark, sf):
+def _walk(spark, sf, anchored=False):
     r = validation.threshold_returns(src.event_bars(spark, sf), validation.grid(spark, _GRID))
-    return validation.walk_forward(r, 200, 50, 50)
+    return r, validation.walk_forward(r, 200, 50, 50, anchored)
 
 
 @query
 def walk_forward(spark, sf):
-    return rounded(_walk(spark, sf), "train_sharpe", "test_sharpe", "test_total")
+    return rounded(_walk(spark, sf)[1].drop("timeframe"), "train_sharpe", "test_sharpe", "test_total")
+
+
+@query
+def walk_forward_anchored(spark, sf):
+    return rounded(_walk(spark, sf, True)[1].drop("timeframe"), "train_sharpe", "test_sharpe", "test_total")
+
+
+@query
+def stitched(spark, sf):
+    r, wf = _walk(spark, sf)
+    return rounded(validation.stitched(r, wf, 200, 50, 50).drop("timeframe"), "ret")
 
 
 @query
 def wf_stability(spark, sf):
-    return rounded(validation.wf_stability(_walk(spark, sf)), "train_sharpe", "test_sharpe", "decay")
+    s = validation.wf_stability(_walk(spark, sf)[1], validation.grid(spark, _GRID)).drop("timeframe")
+    return rounded(s, "train_sharpe", "test_sharpe", "decay", "sd_entry", "sd_cost_bps")
 
 
 def _mc_walk(spark, sf):
     null = bt.permute_returns(src.event_bars(spark, sf), N_NULL, seed=3)
-    return validation.mc_walk_forward(null, validation.grid(spark, _GRID), 200, 50, 50)
+    return rounded(validation.mc_walk_forward(null, validation.grid(spark, _GRID), 200, 50, 50), "test_sharpe")
 
 
 def _walk_test(stability, null):
-    return validation.walk_forward_test(rounded(stability, "test_sharpe"), rounded(null, "test_sharpe"))
+    return validation.walk_forward_test(rounded(stability, "test_sharpe"), null)
 
 
 @query
 def mc_walk_forward(spark, sf):
     """Every null series' mean test Sharpe ratio, beside the real one and its p value."""
-    null = rounded(_mc_walk(spark, sf), "test_sharpe")
-    return null.join(_walk_test(validation.wf_stability(_walk(spark, sf)), null), "symbol", "left").select("rep", "symbol", "test_sharpe", "observed", "n_null", "p_value", "rejects")
+    null = stored(_mc_walk(spark, sf))
+    test = _walk_test(validation.wf_stability(_walk(spark, sf)[1]), null)
+    return null.join(test, ["symbol", "timeframe"], "left").select("rep", "symbol", "test_sharpe", "observed", "n_null", "p_value", "rejects")
 
 
 @query
 def progress_gate(spark, sf):
-    stability = validation.wf_stability(_walk(spark, sf))
-    return validation.progress_gate(stability, _null(spark, sf, N_NULL), out_of_sample=_walk_test(stability, _mc_walk(spark, sf)))
+    stability = stored(validation.wf_stability(_walk(spark, sf)[1]))
+    gate = validation.progress_gate(
+        stability, _null(spark, sf), out_of_sample=_walk_test(stability, _mc_walk(spark, sf)), surface=_perturbed(spark, sf)
+    )
+    return gate.drop("timeframe")
 
 
-#: Three parameters of the Ishigami function; every symbol scales its second term by its own volatility.
+#: The strategy's parameters, one of each category.
 PROBLEM = sobol.load_problem({
     "parameters": [
-        {"name": "x1", "bounds": [-3.141592653589793, 3.141592653589793], "category": "signal-structural"},
-        {"name": "x2", "bounds": [-3.141592653589793, 3.141592653589793], "category": "signal-threshold"},
-        {"name": "x3", "bounds": [-3.141592653589793, 3.141592653589793], "category": "execution"},
+        {"name": "lookback", "bounds": [1, 5], "type": "int", "category": "signal-structural"},
+        {"name": "entry", "bounds": [0.05, 0.5], "category": "signal-threshold"},
+        {"name": "cost_bps", "bounds": [0, 50], "category": "execution"},
     ],
     "metrics": ["y"],
 })
 
 
 def _results(spark, sf):
-    """Samples under every user's bars: y = sin x1 + a sin^2 x2 + 0.1 x3^4 sin x1, a from the bars."""
-    a = src.user_bars(spark, sf).groupBy("symbol").agg(round6(F.avg(F.col("high") - F.col("low")) / 100 + 5).alias("a"))
-    s = sobol.saltelli_samples(spark, PROBLEM, 64)
-    y = F.sin("x1") + F.col("a") * F.pow(F.sin("x2"), 2) + 0.1 * F.pow("x3", 4) * F.sin("x1")
-    return joins.expand_params(a, s).withColumn("y", y)
+    """Every sample as the strategy's parameters over each symbol's daily bars: y is the total return."""
+    samples = sobol.saltelli_samples(spark, PROBLEM)
+    sets = samples.select(F.col("sample_id").alias("param_id"), "lookback", "entry", "cost_bps")
+    total = validation.param_sweep(src.event_bars(spark, sf, "1d"), sets).select(F.col("param_id").alias("sample_id"), "symbol", F.col("total").alias("y"))
+    return stored(rounded(total.join(samples, "sample_id"), "y"))
 
 
 def _indices(spark, sf):
@@ -403,8 +465,8 @@ def _indices(spark, sf):
 
 @query
 def saltelli_results(spark, sf):
-    r = _results(spark, sf).select("symbol", "sample_id", "base_id", "block", "j", "x1", "x2", "x3", "y")
-    return rounded(r, "x1", "x2", "x3", "y")
+    r = _results(spark, sf).select("symbol", "sample_id", "base_id", "block", "j", "lookback", "entry", "cost_bps", "y")
+    return rounded(r, "entry", "cost_bps")
 
 
 @query
@@ -445,13 +507,14 @@ def interaction_matrix(spark, sf):
 
 @query
 def params_at_bounds(spark, sf):
-    return sobol.params_at_bounds(rounded(_results(spark, sf), "y"), PROBLEM, "y", ["symbol"])
+    return sobol.params_at_bounds(_results(spark, sf), PROBLEM, "y", ["symbol"])
 
 
 @query
 def diagnostics(spark, sf):
-    idx, by = _indices(spark, sf), ["symbol"]
-    bounds = sobol.params_at_bounds(rounded(_results(spark, sf), "y"), PROBLEM, "y", by)
+    results, by = _results(spark, sf), ["symbol"]
+    idx = stored(sobol.sobol_indices(results, PROBLEM, "y", by))
+    bounds = sobol.params_at_bounds(results, PROBLEM, "y", by)
     return sobol.diagnostics(sobol.group_indices(idx, PROBLEM, by), sobol.cross_group(idx, PROBLEM, by), bounds, by)
 
 
@@ -462,12 +525,12 @@ def top_params(spark, sf):
 
 @query
 def heatmap(spark, sf):
-    return rounded(sobol.heatmap(_results(spark, sf), PROBLEM, "x1", "x2", "y", 20), "mean")
+    return rounded(sobol.heatmap(_results(spark, sf), PROBLEM, "entry", "cost_bps", "y", 20), "mean")
 
 
 @query
 def sweep(spark, sf):
-    return rounded(sobol.sweep(_results(spark, sf), PROBLEM, "x3", "y", 30), "mean", "sd", "centre")
+    return rounded(sobol.sweep(_results(spark, sf), PROBLEM, "cost_bps", "y", 30), "mean", "sd", "centre")
 
 
 @query
@@ -479,7 +542,7 @@ def fill_nan_mean(spark, sf):
 @query
 def missing_samples(spark, sf):
     r = _results(spark, sf).select("symbol", F.concat_ws("/", "symbol", F.col("sample_id").cast("string")).alias("sample_id"), "y")
-    return joins.missing_samples(r.select("sample_id"), r.filter("y > -3"))
+    return joins.missing_samples(r.select("sample_id"), r.filter("y > 0"))
 
 
 @query
@@ -490,8 +553,7 @@ def sample_plan(spark, sf):
 def _drained(stream: DataFrame) -> DataFrame:
     """All rows that a stream emits for what is there now."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    at = f"{base.rstrip('/')}/barflow-{uuid.uuid4().hex}"
+    at = shared_dir(spark)
     writer = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress")
     streams.replay(writer).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -505,8 +567,7 @@ def stream_ticks_to_bars(spark, sf):
 
 @query
 def stream_features(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    at = f"{base.rstrip('/')}/barflow-{uuid.uuid4().hex}"
+    at = shared_dir(spark)
     src.event_bars(spark, sf).write.parquet(at)
     specs = [("sma", {"period": 20}), ("ema", {"period": 20}), ("rsi", {"period": 14}), ("engulfing_candle", {})]
     out = _drained(streams.stream_features(streams.stream_bars(spark, at, 10_000), specs))

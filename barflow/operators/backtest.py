@@ -9,8 +9,8 @@ from ..functions.schema import KEYS, by_time
 
 
 def bar_returns(bars: DataFrame) -> DataFrame:
-    """``ret``: from this close to the next; null on the last bar."""
-    return bars.withColumn("ret", F.lead("close").over(by_time()) / F.col("close") - 1)
+    """``ret``: from this close to the next; null on the last bar and after a close of zero."""
+    return bars.withColumn("ret", F.try_divide(F.lead("close").over(by_time()), "close") - 1)
 
 
 def rolling_sharpe(returns: DataFrame, n: int) -> DataFrame:
@@ -39,20 +39,40 @@ def rolling_pair(pairs: DataFrame, n: int) -> DataFrame:
     })
 
 
-def run_backtest(bars: DataFrame, signals: DataFrame, hold: int = 5, cost_bps: float = 0.0) -> DataFrame:
-    """Long from a buy signal's bar for ``hold`` bars: position, ret (net of cost on changes)."""
-    s = signals.select("symbol", F.col("ts").alias("close_ts"), F.lit(1).alias("_sig")).distinct()
-    b = bar_returns(bars).join(s, ["symbol", "close_ts"], "left")
+def run_backtest(bars: DataFrame, signals: DataFrame, hold: int | None = 5, cost_bps: float = 0.0) -> DataFrame:
+    """Long from a buy signal's bar for ``hold`` bars: position, ret (net of cost on changes).
+
+    With ``hold=None`` a position is held from a buy signal to the next sell signal (side); of
+    two at one bar the sell counts. Signals with a timeframe act on bars of theirs only. A
+    missing return (last bar, zero close) counts as none.
+    """
+    keys = [c for c in KEYS if c in signals.columns]
+    side = F.max((F.col("side") == "sell").cast("int")) if "side" in signals.columns else F.lit(0)
+    s = signals.groupBy(*keys, F.col("ts").alias("close_ts")).agg((1 - side).alias("_sig"))
+    b = bar_returns(bars).join(s, [*keys, "close_ts"], "left")
     w = by_time()
-    held = F.coalesce(F.max("_sig").over(w.rowsBetween(-(hold - 1), 0)), F.lit(0))
+    if hold is None:
+        held = F.coalesce(F.last("_sig", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    else:
+        held = F.coalesce(F.max("_sig").over(w.rowsBetween(-(hold - 1), 0)), F.lit(0))
     b = b.withColumn("position", held).withColumn("_change", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0))))
     net = F.col("position") * F.coalesce("ret", F.lit(0.0)) - F.col("_change") * (cost_bps / 1e4)
     return b.select(*bars.columns, "position", F.col("_change").alias("turnover"), net.alias("ret"))
 
 
 def backtest_metrics(returns: DataFrame, by: tuple[str, ...], bars_per_year: float) -> DataFrame:
-    """sharpe, cagr, max_drawdown, profit_factor, total, turnover for each run key."""
+    """sharpe, cagr, max_drawdown, profit_factor, total, turnover, n_trades, win_rate for each run key.
+
+    A trade runs from its entry to the bar before the next one; what is still held at the last
+    bar counts as a trade, but not for the win rate. ``cagr`` compounds over a 365-day year.
+    """
     d = drawdown(returns, by)
+    w = Window.partitionBy(*by).orderBy("close_ts")
+    d = d.withColumn("_new", ((F.col("position") != 0) & (F.coalesce(F.lag("position").over(w), F.lit(0)) == 0)).cast("long"))
+    d = d.withColumn("_trade", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy(*by, "_trade")
+    closed = (F.col("_new") == 1) & (F.min(F.abs("position")).over(own) == 0)
+    d = d.withColumn("_closed", closed.cast("long")).withColumn("_won", (closed & (F.sum("ret").over(own) > 0)).cast("long"))
     n = F.count("ret")
     sd = F.stddev_samp("ret")
     m = d.groupBy(*by).agg(
@@ -62,9 +82,9 @@ def backtest_metrics(returns: DataFrame, by: tuple[str, ...], bars_per_year: flo
         F.min("drawdown").alias("max_drawdown"),
         (F.sum(F.greatest("ret", F.lit(0.0))) / F.nullif(F.abs(F.sum(F.least("ret", F.lit(0.0)))), F.lit(0.0))).alias("profit_factor"),
         F.sum("ret").alias("total"),
-        F.sum("turnover").alias("turnover"),
+        F.sum("turnover").alias("turnover"), F.sum("_new").alias("n_trades"), F.try_divide(F.sum("_won"), F.sum("_closed")).alias("win_rate"),
     )
-    cagr = F.exp(F.least(F.col("_log") * bars_per_year / F.col("n_bars"), F.lit(700.0))) - 1
+    cagr = F.exp(F.least(F.try_divide(F.col("_log") * bars_per_year, "n_bars"), F.lit(700.0))) - 1
     return m.withColumn("cagr", cagr).drop("_log")
 
 
@@ -79,16 +99,29 @@ def trades(positions: DataFrame, fee_bps: float = 0.0, slip_bps: float = 0.0) ->
         F.min_by("close", "close_ts").alias("entry_price"), F.max_by("_exit", "close_ts").alias("exit_price"),
     )
     cost = 2 * (fee_bps + slip_bps) / 1e4
-    return t.withColumn("pnl", F.col("exit_price") / F.col("entry_price") - 1 - cost)
+    return t.withColumn("pnl", F.try_divide("exit_price", "entry_price") - 1 - cost)  # null after an entry at zero
 
 
 def trade_concentration(trades_: DataFrame, n: int = 5) -> DataFrame:
-    """Of each symbol: total pnl, pnl of its n best trades, and what is left without them."""
-    w = Window.partitionBy("symbol").orderBy(F.desc("pnl"), "entry_ts")
+    """Of each symbol and timeframe: total pnl, pnl of its n best trades, what is left without them,
+    the best ones' share, and mean over deviation of all trades and of the rest."""
+    w = Window.partitionBy(*KEYS).orderBy(F.desc_nulls_last("pnl"), "entry_ts")
     t = trades_.withColumn("_r", F.row_number().over(w))
-    top = F.sum(F.when(F.col("_r") <= n, F.col("pnl")).otherwise(0.0))
-    g = t.groupBy("symbol").agg(F.count("*").alias("n_trades"), F.sum("pnl").alias("total_pnl"), top.alias("top_pnl"))
-    return g.withColumn("rest_pnl", F.col("total_pnl") - F.col("top_pnl"))
+    top, rest = F.when(F.col("_r") <= n, F.col("pnl")), F.when(F.col("_r") > n, F.col("pnl"))
+    ratio = lambda c: F.try_divide(F.avg(c), F.stddev_samp(c))
+    g = t.groupBy(*KEYS).agg(
+        F.count("*").alias("n_trades"), F.sum("pnl").alias("total_pnl"), F.coalesce(F.sum(top), F.lit(0.0)).alias("top_pnl"),
+        ratio(F.col("pnl")).alias("trade_sharpe"), ratio(rest).alias("rest_sharpe"),
+    )
+    return g.withColumns({"rest_pnl": F.col("total_pnl") - F.col("top_pnl"), "top_share": F.try_divide("top_pnl", "total_pnl")})
+
+
+def trade_periods(trades_: DataFrame, period: str = "MM") -> DataFrame:
+    """Trades, pnl and share of winners of each symbol, timeframe and calendar period of entry."""
+    at = F.trunc(F.timestamp_millis("entry_ts"), period).alias("period")
+    return trades_.groupBy(*KEYS, at).agg(
+        F.count("*").alias("n_trades"), F.sum("pnl").alias("total_pnl"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate")
+    )
 
 
 def net_positions(fills: DataFrame) -> DataFrame:
@@ -101,30 +134,47 @@ def net_positions(fills: DataFrame) -> DataFrame:
 
 
 def average_cost(fills: DataFrame) -> DataFrame:
-    """symbol, size, entry_price, realised pnl by average cost: sequential, so a helper a symbol.
+    """symbol, size, entry_price, realised: the pnl realised by average cost.
 
-    A symbol's fills come sorted by time; the loop keeps three numbers.
+    Sequential by nature: a partition holds whole symbols in order of time, and a loop carries
+    three numbers from fill to fill, so no symbol is ever held in memory. Rows lacking a size
+    or a price are left out.
     """
 
-    def ledger(pdf):
+    def ledger(batches):
         import pandas as pd
 
-        size = cost = realised = 0.0
-        for side, q, price in pdf.sort_values(["filled_at", "order_id"])[["side", "fill_size", "fill_price"]].itertuples(index=False):
-            q = q if side == "buy" else -q
-            if size * q >= 0:
-                cost = (cost * abs(size) + price * abs(q)) / (abs(size) + abs(q)) if q else cost
-            else:
-                closed = min(abs(size), abs(q))
-                realised += closed * (price - cost) * (1 if size > 0 else -1)
-                if abs(q) > abs(size):
-                    cost = price
-            size += q
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "size": [size], "entry_price": [cost if size else 0.0], "realised": [realised]})
-
-    return fills.select("symbol", "side", "fill_size", "fill_price", "filled_at", "order_id").groupBy("symbol").applyInPandas(
-        ledger, "symbol string, size double, entry_price double, realised double"
-    )
+        now, size, cost, realised = None, 0.0, 0.0, 0.0
+        for df in batches:
+            out = []
+            for symbol, side, q, price in df[["symbol", "side", "fill_size", "fill_price"]].itertuples(index=False):
+                if symbol != now:
+                    if now is not None:
+                        out.append((now, size, cost if size else 0.0, realised))
+                    now, size, cost, realised = symbol, 0.0, 0.0, 0.0
+                q = q if side == "buy" else -q
+                if size * q >= 0:
+                    cost = (cost * abs(size) + price * abs(q)) / (abs(size) + abs(q)) if q else cost
+                else:
+                    realised += min(abs(size), abs(q)) * (price - cost) * (1 if size > 0 else -1)
+                    cost = price if abs(q) > abs(size) else cost
+                size += q
+            yield pd.DataFrame(out, columns=["symbol", "size", "entry_price", "realised"])
+        if now is not None:
+            yield pd.DataFrame([(now, size, cost if size else 0.0, realised)], columns=["symbol", "size", "entry_price", "realised"])
+
+    rows = fills.filter("symbol is not null and fill_size is not null and fill_price is not null")
+    rows = rows.repartition("symbol").sortWithinPartitions("symbol", "filled_at", "order_id").select("symbol", "side", "fill_size", "fill_price")
+    return rows.mapInPandas(ledger, "symbol string, size double, entry_price double, realised double")
+
+
+def positions_from_fills(fills: DataFrame, prices: DataFrame) -> DataFrame:
+    """symbol, size, entry_price, realised, price, unrealised, exposure.
+
+    ``prices`` has symbol and price (its last one); without a price the last two are null.
+    """
+    p = average_cost(fills).join(prices.select("symbol", "price"), "symbol", "left")
+    return p.withColumns({"unrealised": F.col("size") * (F.col("price") - F.col("entry_price")), "exposure": F.col("size") * F.col("price")})
 
 
 #: A linear congruence modulo a Mersenne prime, squared between steps.
@@ -154,10 +204,27 @@ def permute_returns(bars: DataFrame, n_reps: int, seed: int = 0, block: int = 1)
     return here.join(drawn.select("rep", *KEYS, "_j", "ret"), ["rep", *KEYS, "_j"]).drop("_j")
 
 
+def null_prices(bars: DataFrame, null_returns: DataFrame) -> DataFrame:
+    """rep, symbol, timeframe, close_ts, close: prices rebuilt along null series, from the first close.
+
+    The close of a bar's successor follows its return, so each price stands at the bar after it.
+    """
+    first = bars.groupBy(*KEYS).agg(F.min_by("close", "close_ts").alias("_first"))
+    upto = Window.partitionBy("rep", *KEYS).orderBy("close_ts").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.exp(F.sum(F.log1p(F.greatest("ret", F.lit(-0.999999)))).over(upto))
+    return null_returns.join(first, list(KEYS)).select("rep", *KEYS, "close_ts", (F.col("_first") * grown).alias("close"))
+
+
 def null_test(observed: DataFrame, null: DataFrame, by: tuple[str, ...], metric: str) -> DataFrame:
-    """p value (1 + how many null values reach the observed) / (1 + n), and whether 5 % rejects."""
-    n = null.groupBy(*by).agg(F.collect_list(metric).alias("_null"))  # one number a repetition
-    j = observed.join(n, list(by))
-    reached = F.size(F.filter("_null", lambda x: x >= F.col(metric)))
-    p = (1 + reached) / (1 + F.size("_null"))
-    return j.select(*by, F.col(metric).alias("observed"), F.size("_null").cast("long").alias("n_null"), p.alias("p_value"), (p <= 0.05).alias("rejects"))
+    """p value (1 + how many null values reach the observed) / (1 + n), its quantile rank, and whether 5 % rejects.
+
+    Missing null values do not count; of a missing observed value nothing is rejected.
+    """
+    j = null.select(*by, F.col(metric).alias("_null")).join(observed.select(*by, metric), list(by))
+    reached, below = (F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("_null") >= F.col(metric), F.col("_null") < F.col(metric)))
+    n = F.count("_null")
+    g = j.groupBy(*by, F.col(metric).alias("observed")).agg(
+        n.alias("n_null"), ((1 + reached) / (1 + n)).alias("p_value"), F.try_divide(below, n).alias("quantile")
+    )
+    known = F.col("observed").isNotNull()
+    return g.withColumn("p_value", F.when(known, F.col("p_value"))).withColumn("rejects", F.coalesce(known & (F.col("p_value") <= 0.05), F.lit(False)))

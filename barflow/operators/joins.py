@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.schema import KEYS
+
 
-def asof_price(events: DataFrame, bars: DataFrame, ts: str) -> DataFrame:
-    """``events`` with ``price``: the close of the last bar of the symbol closed by then.
+def asof_price(events: DataFrame, bars: DataFrame, ts: str, bucket_ms: int = 86_400_000) -> DataFrame:
+    """``events`` with ``price``: the close of the last bar closed by then (null before the first).
 
-    A union and one window: one shuffle on the symbol, no range join.
+    Of the event's symbol, and of its timeframe if events have one; else bars of any timeframe
+    count, the longest of those that close at one time. A union and windows over (symbol,
+    bucket of time), with the last price of the buckets before in a table of one row a bucket:
+    no range join, and a symbol with most of the rows spreads over its buckets.
     """
-    e = events.select("symbol", F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_p"), F.struct(*events.columns).alias("_e"))
-    b = bars.select("symbol", F.col("close_ts").alias("_t"), F.lit(0).alias("_kind"), F.col("close").alias("_p"))
-    w = Window.partitionBy("symbol").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(b, allowMissingColumns=True).withColumn("price", F.last("_p", ignorenulls=True).over(w))
-    return both.filter("_kind = 1").select("_e.*", "price")
+    keys = [c for c in KEYS if c in events.columns]
+    opened = F.col("open_ts") if "open_ts" in bars.columns else F.col("close_ts")
+    e = events.select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_p"), F.struct(*events.columns).alias("_e"))
+    b = bars.select(*keys, F.col("close_ts").alias("_t"), F.lit(0).alias("_kind"), F.col("close").alias("_p"), opened.alias("_o"))
+    both = e.unionByName(b, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / bucket_ms))
+    newest = F.max_by("_p", F.when(F.col("_p").isNotNull(), F.struct(F.col("_t"), -F.col("_o"))))
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = both.groupBy(*keys, "_b").agg(newest.alias("_end")).select(*keys, "_b", F.last("_end", ignorenulls=True).over(over).alias("_before"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_kind", F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("_here", F.last("_p", ignorenulls=True).over(w)).filter("_kind = 1")
+    same = [here[c].eqNullSafe(before[c]) for c in [*keys, "_b"]]
+    return here.join(before, same, "left").select("_e.*", F.coalesce("_here", "_before").alias("price"))
 
 
 def align_symbols(bars: DataFrame, benchmark: str) -> DataFrame:
@@ -24,12 +39,18 @@ def align_symbols(bars: DataFrame, benchmark: str) -> DataFrame:
     return bars.filter(F.col("symbol") != benchmark).join(ref, ["timeframe", "close_ts"])
 
 
+#: Parameter sets that are broadcast at once: a few MB.
+SETS = 50_000
+
+
 def expand_params(bars: DataFrame, params: DataFrame) -> DataFrame:
-    """Bars under every parameter set. ``params`` is a small table by its nature (a sweep's rows):
-    its size is checked, and beyond 10,000 rows it is not broadcast."""
-    few = params.limit(10_001).count() <= 10_000
-    keyed = params.withColumn("_one", F.lit(1))
-    return bars.withColumn("_one", F.lit(1)).join(F.broadcast(keyed) if few else keyed, "_one").drop("_one")
+    """Bars under every parameter set. The sets are counted and broadcast in slices of about
+    ``SETS``, so bars stay where they are and no slice outgrows an executor."""
+    slices = -(-params.count() // SETS)
+    if slices <= 1:
+        return bars.crossJoin(F.broadcast(params))  # a sweep is the product of both
+    part = F.pmod(F.xxhash64(*params.columns), F.lit(slices))
+    return reduce(DataFrame.unionByName, [bars.crossJoin(F.broadcast(params.filter(part == i))) for i in range(slices)])
 
 
 def walk_windows(bars: DataFrame, train: int, test: int, step: int, anchored: bool = False) -> DataFrame:
@@ -56,6 +77,16 @@ def missing_samples(samples: DataFrame, results: DataFrame) -> DataFrame:
     return samples.join(results.select("sample_id"), "sample_id", "left_anti")
 
 
+def check_complete(samples: DataFrame, results: DataFrame, limit: float = 0.05) -> int:
+    """How many samples lack a result: a warning below a share of ``limit``, an error from there on."""
+    total, missing = samples.count(), missing_samples(samples, results).count()
+    if missing and missing >= limit * total:
+        raise ValueError(f"{missing} of {total} samples have no result ({missing / total:.1%}): run them again")
+    if missing:
+        warnings.warn(f"{missing} of {total} samples have no result ({missing / total:.1%})", stacklevel=2)
+    return missing
+
+
 def expire_signals(signals: DataFrame, at: int) -> DataFrame:
     """Signals still good at ``at``; expiry 0 or null is never."""
     e = F.coalesce("expires_at", F.lit(0))

@@ -105,7 +105,7 @@ def _wide(results: DataFrame, d: int, metric: str, by: list[str]) -> DataFrame:
 def sobol_indices(results: DataFrame, problem: dict, metric: str, by: list[str] | None = None) -> DataFrame:
     """kind (S1, ST, S2), param, param2, value for each group of ``by``: plain averages.
 
-    Estimators of Saltelli (2010) and Jansen over the standardised metric.
+    Estimators of Saltelli (2010) and Jansen over the standardised metric; null where it never varies.
     """
     by, names = by or [], _names(problem)
     d = len(names)
@@ -113,7 +113,7 @@ def sobol_indices(results: DataFrame, problem: dict, metric: str, by: list[str]
     both = F.explode(F.array("a", "b")).alias("_y")
     scale = w.select(*by, both).groupBy(*by).agg(F.avg("_y").alias("_mu"), F.stddev_pop("_y").alias("_sd"))
     w = w.join(scale, by) if by else w.crossJoin(F.broadcast(scale))  # one row
-    z = lambda c: (F.col(c) - F.col("_mu")) / F.col("_sd")
+    z = lambda c: F.try_divide(F.col(c) - F.col("_mu"), "_sd")
     s1 = lambda j: F.avg(z("b") * (z(f"ab{j}") - z("a")))
     st = lambda j: F.avg(F.pow(z("a") - z(f"ab{j}"), 2)) / 2
     s2 = lambda j, k: F.avg(z(f"ba{j}") * z(f"ab{k}") - z("a") * z("b")) - s1(j) - s1(k)
@@ -137,7 +137,7 @@ def sobol_confidence(results: DataFrame, problem: dict, metric: str, by: list[st
     def boot(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf[["a", "b", *[f"ab{j}" for j in range(d)]]].to_numpy()
         both = np.concatenate([y[:, 0], y[:, 1]])
-        y = (y - both.mean()) / both.std()
+        y = (y - both.mean()) / (both.std() or np.nan)
         rng = np.random.default_rng(seed)
         weight = rng.multinomial(len(y), np.full(len(y), 1 / len(y)), n_boot) / len(y)
         first = weight @ (y[:, 1:2] * (y[:, 2:] - y[:, :1]))
@@ -243,15 +243,19 @@ def _bin(name: str, bounds, n: int):
 
 
 def heatmap(results: DataFrame, problem: dict, p1: str, p2: str, metric: str, bins: int = 20) -> DataFrame:
-    """bin1, bin2, mean: equal-width bins, values beyond the bounds in the end bins."""
+    """bin1, bin2, mean: equal-width bins, values beyond the bounds in the end bins, a null mean where a cell is empty."""
     b = {p["name"]: p["bounds"] for p in problem["parameters"]}
-    return results.groupBy(_bin(p1, b[p1], bins).cast("long").alias("bin1"), _bin(p2, b[p2], bins).cast("long").alias("bin2")).agg(F.avg(metric).alias("mean"))
+    found = results.groupBy(_bin(p1, b[p1], bins).cast("long").alias("bin1"), _bin(p2, b[p2], bins).cast("long").alias("bin2")).agg(F.avg(metric).alias("mean"))
+    cell = F.col("id")
+    cells = results.sparkSession.range(bins * bins).select(F.floor(cell / bins).cast("long").alias("bin1"), (cell % bins).alias("bin2"))
+    return cells.join(found, ["bin1", "bin2"], "left")
 
 
 def sweep(results: DataFrame, problem: dict, param: str, metric: str, bins: int = 30) -> DataFrame:
-    """bin, centre, mean, sample deviation of the metric along one parameter."""
+    """bin, centre, mean, sample deviation of the metric along one parameter; nulls where a bin is empty."""
     lo, hi = next(p["bounds"] for p in problem["parameters"] if p["name"] == param)
     g = results.groupBy(_bin(param, (lo, hi), bins).cast("long").alias("bin")).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("sd"))
+    g = results.sparkSession.range(bins).withColumnRenamed("id", "bin").join(g, "bin", "left")
     return g.withColumn("centre", F.lit(float(lo)) + (F.col("bin") + 0.5) * ((hi - lo) / bins))
 
 

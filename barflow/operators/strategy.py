@@ -50,7 +50,8 @@ def recent_high(bars: DataFrame) -> DataFrame:
 
 
 def pullback_depth(bars: DataFrame) -> DataFrame:
-    return recent_high(bars).withColumn("pullback_depth", (F.col("recent_high") - F.col("close")) / F.col("recent_high"))
+    """How far the close lies under the highest high so far; null while that is zero."""
+    return recent_high(bars).withColumn("pullback_depth", F.try_divide(F.col("recent_high") - F.col("close"), "recent_high"))
 
 
 def _swing_runs(bars: DataFrame, price: str, out: str) -> DataFrame:
@@ -80,7 +81,7 @@ def trend_maturity(bars: DataFrame, early: int = 3, confirmed: int = 2, mature:
 
 
 def buy_the_dip(bars: DataFrame, early: int = 3, confirmed: int = 2, mature: int = 3, pullback: float = 0.03, lookback: int = 2, strict_legacy: bool = False) -> DataFrame:
-    """Signals: symbol, side, ts, expires_at, source, metadata."""
+    """Signals: symbol, timeframe, side, ts, expires_at, source, metadata."""
     b = trend_maturity(pullback_depth(bars), early, confirmed, mature, lookback, strict_legacy)
     w = by_time()
     before = F.lag("recent_high").over(w)
@@ -92,7 +93,7 @@ def buy_the_dip(bars: DataFrame, early: int = 3, confirmed: int = 2, mature: int
     blk = Window.partitionBy(*KEYS, "_segment", "_block").orderBy("close_ts").rowsBetween(Window.unboundedPreceding, 0)
     hit = b.withColumn("_hit", F.max("_pull").over(blk)).filter(F.col("_trend") & (F.col("_hit") == 1))
     return hit.select(
-        "symbol", F.lit("buy").alias("side"), F.col("close_ts").alias("ts"), F.lit(0).cast("long").alias("expires_at"),
+        *KEYS, F.lit("buy").alias("side"), F.col("close_ts").alias("ts"), F.lit(0).cast("long").alias("expires_at"),
         F.lit("buy_the_dip").alias("source"),
         F.struct(
             F.col("maturity").alias("trend_maturity"), "pullback_depth", "recent_high",

@@ -56,6 +56,6 @@ def user_bars(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFr
 def line_bars(spark: SparkSession, sf_dir: str, timeframe: str = "1d") -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return ticks_to_bars(
-        df, "l_shipdate", "l_suppkey", "l_extendedprice / l_quantity", "l_quantity", timeframe,
+        df, "l_shipdate", "l_suppkey", "try_divide(l_extendedprice, l_quantity)", "l_quantity", timeframe,
         ["l_orderkey", "l_linenumber", "l_partkey"],
     )

@@ -187,15 +187,140 @@ def test_streamed_bars_equal_batch(spark, tmp_path):
 
 
 def test_gate_compares_the_real_walk_forward_with_its_null(spark):
-    stability = spark.createDataFrame([("a", 0.1, 1, 9.5), ("b", 0.1, 1, 3.0), ("c", 0.1, 1, None)], "symbol string, decay double, n_params long, test_sharpe double")
-    null = spark.createDataFrame([(i, s, i / 10.0) for i in range(99) for s in "abc"], "rep long, symbol string, test_sharpe double")
+    form = "symbol string, timeframe string, decay double, n_params long, test_sharpe double"
+    stability = spark.createDataFrame([("a", "1h", 0.1, 1, 9.5), ("b", "1h", 0.1, 1, 3.0), ("c", "1h", 0.1, 1, None)], form)
+    null = spark.createDataFrame([(i, s, "1h", i / 10.0) for i in range(99) for s in "abc"], "rep long, symbol string, timeframe string, test_sharpe double")
     oos = validation.walk_forward_test(stability, null)
     got = {r.symbol: (r.n_null, r.p_value, r.rejects) for r in oos.collect()}
     assert got == {"a": (99, pytest.approx(0.05), True), "b": (99, pytest.approx(0.7), False)}
-    every = stability.select("symbol", F.lit(True).alias("rejects"))
+    every = stability.select("symbol", "timeframe", F.lit(True).alias("rejects"))
     gate = validation.progress_gate(stability, every, out_of_sample=oos)
-    assert {r.symbol: (r.stable, r.significant, r.go) for r in gate.collect()} == {"a": (True, True, True), "b": (True, False, False), "c": (True, False, False)}
+    assert {r.symbol: (r.stable, r.significant, r.beats_null, r.go) for r in gate.collect()} == {
+        "a": (True, True, True, True), "b": (True, True, False, False), "c": (True, True, False, False)}
+    rough = spark.createDataFrame([("a", "1h", True), ("a", "1h", False), ("b", "1h", True)], "symbol string, timeframe string, ok boolean")
+    assert {r.symbol: r.smooth for r in validation.progress_gate(stability, every, surface=rough).collect()} == {"a": False, "b": True, "c": False}
 
 
 def test_significance_queries_take_a_thousand_null_series():
     assert queries.N_NULL >= 1000
+
+
+def test_zero_prices_raise_nowhere(spark):
+    x = [5, 0, 0, 3, 4, 0, 2, 2.5, 3, 3.5, 0, 1, 1.2, 1.4]
+    b = make(spark, x).withColumn("high", F.col("close"))
+    assert [r is None for r in column(backtest.bar_returns(b), "ret")] == [False, True, True, False, False, True, False, False, False, False, True, False, False, True]
+    flat = b.withColumns({c: F.lit(0.0) for c in ("open", "high", "low", "close")})
+    assert set(column(strategy.pullback_depth(flat), "pullback_depth")) == {None}
+    for bars in (b, flat):
+        run = backtest.run_backtest(bars, strategy.buy_the_dip(bars, early=2), hold=3, cost_bps=5)
+        assert backtest.backtest_metrics(run, ("symbol", "timeframe"), 8760).count() == 1
+        backtest.trade_concentration(backtest.trades(run)).collect()
+        validation.param_sweep(bars, validation.grid(spark, {"entry": [0.1], "cost_bps": [0], "lookback": [1, 2]})).collect()
+    problem = sobol.load_problem({"parameters": [{"name": "a", "bounds": [0, 1]}, {"name": "b", "bounds": [0, 1]}], "metrics": ["y"]})
+    same = sobol.saltelli_samples(spark, problem, 8).withColumn("y", F.lit(2.0))
+    assert {r.value for r in sobol.sobol_indices(same, problem, "y").collect()} == {None}
+
+
+def test_two_timeframes_of_a_symbol_do_not_mix(spark):
+    hours = make(spark, [100, 90, 95, 80, 99, 70, 75, 60, 88, 91])
+    days = make(spark, [10, 9, 12, 8, 13, 7, 9, 14, 8, 9]).withColumn("timeframe", F.lit("1d"))
+    both, grid = hours.unionByName(days), validation.grid(spark, {"entry": [0.02, 0.1], "cost_bps": [0]})
+    key = lambda rows: sorted(map(tuple, rows))
+    for f in (lambda b: validation.param_sweep(b, grid), lambda b: validation.walk_forward(validation.threshold_returns(b, grid), 4, 2, 2),
+              lambda b: backtest.run_backtest(b, strategy.buy_the_dip(b, early=1, pullback=0.01), hold=2).drop("open_ts")):
+        assert key(f(both).collect()) == key(f(hours).collect() + f(days).collect())
+
+
+def test_metrics_count_trades(spark):
+    b = make(spark, [10, 11, 12, 11, 10, 9, 10, 11])
+    s = spark.createDataFrame([("a", "1h", "buy", 3600000 * 1 - 1), ("a", "1h", "sell", 3600000 * 3 - 1), ("a", "1h", "buy", 3600000 * 4 - 1), ("a", "1h", "sell", 3600000 * 5 - 1), ("a", "1h", "buy", 3600000 * 7 - 1)],
+                              "symbol string, timeframe string, side string, ts long")
+    run = backtest.run_backtest(b, s, hold=None)
+    assert column(run, "position") == [1, 1, 0, 1, 0, 0, 1, 1]
+    m = backtest.backtest_metrics(run, ("symbol", "timeframe"), 8).first()
+    assert (m.n_trades, m.win_rate, m.turnover) == (3, 0.5, 5)  # the third is still open
+    assert abs(m.cagr - (1.1 * 12 / 11 * 10 / 11 * 1.1 - 1)) < 1e-9
+
+
+def test_average_cost_equals_a_loop(spark):
+    rnd = random.Random(4)
+    rows = [(s, rnd.choice(["buy", "sell"]), float(rnd.randrange(0, 9)), float(rnd.randrange(1, 50)), i, str(i)) for i in range(300) for s in "abc"]
+    fills = spark.createDataFrame([*rows, ("a", "buy", None, 1.0, 5, "x"), (None, "buy", 1.0, 1.0, 5, "x")], "symbol string, side string, fill_size double, fill_price double, filled_at long, order_id string")
+    want = {}
+    for s, side, q, p, *_ in rows:
+        lots, realised = want.setdefault(s, [[0.0, 0.0], 0.0])
+        q = q if side == "buy" else -q
+        size, cost = lots
+        if size * q < 0:
+            closed = min(abs(size), abs(q))
+            realised += closed * (p - cost) * (1 if size > 0 else -1)
+            cost = p if abs(q) > abs(size) else cost
+        elif q:
+            cost = (cost * abs(size) + p * abs(q)) / abs(size + q)
+        want[s] = [[size + q, cost], realised]
+    prices = spark.createDataFrame([("a", 20.0), ("b", 30.0)], "symbol string, price double")
+    got = {r.symbol: r for r in backtest.positions_from_fills(fills, prices).collect()}
+    assert set(got) == set("abc") and got["c"].unrealised is None
+    for s, ((size, cost), realised) in want.items():
+        assert got[s].size == size and abs(got[s].realised - realised) < 1e-6 and abs(got[s].entry_price - (cost if size else 0.0)) < 1e-9
+    assert abs(got["a"].unrealised - got["a"].size * (20 - got["a"].entry_price)) < 1e-9 and got["b"].exposure == got["b"].size * 30
+    assert backtest.average_cost(fills.limit(0)).count() == 0
+
+
+def test_monte_carlo_walk_forward_equals_walk_forward(spark):
+    rnd, rows = random.Random(8), []
+    for rep in range(4):
+        for s in "ab":
+            rows += [(rep, s, "1h", i, rnd.gauss(0, 0.1)) for i in range(23)]
+    null = spark.createDataFrame(rows, "rep long, symbol string, timeframe string, close_ts long, ret double")
+    grid = validation.grid(spark, {"entry": [0.01, 0.05, 0.1], "cost_bps": [0, 20]})
+    sets = grid.orderBy("param_id").collect()
+    for anchored in (False, True):
+        got = {(r.rep, r.symbol): r.test_sharpe for r in validation.mc_walk_forward(null, grid, 8, 4, 4, anchored).collect()}
+        runs = []  # each series as a symbol of its own, through the set-based operator
+        for rep, s, t, i, ret in rows:
+            before = next((x[4] for x in rows if x[:2] == (rep, s) and x[3] == i - 1), None)
+            for p in sets:
+                pos = int(before is not None and -before >= p.entry)
+                runs.append((p.param_id, f"{rep}{s}", t, i, pos * (ret - p.cost_bps / 1e4)))
+        r = spark.createDataFrame(runs, "param_id long, symbol string, timeframe string, close_ts long, ret double")
+        want = {(int(x.symbol[0]), x.symbol[1]): x.test_sharpe for x in validation.wf_stability(validation.walk_forward(r, 8, 4, 4, anchored)).collect()}
+        assert set(got) == set(want) and all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-9) for k in got)
+
+
+def test_sobol_confidence_follows_the_sample_size(spark):
+    problem = sobol.load_problem({"parameters": [{"name": "x1", "bounds": [0, 1]}, {"name": "x2", "bounds": [0, 1]}], "metrics": ["y"]})
+    conf = {}
+    for n in (64, 4096):
+        r = sobol.saltelli_samples(spark, problem, n).withColumn("y", F.col("x1") * 3 + F.col("x2")).withColumn("s", F.lit("a"))
+        conf[n] = {x.param: (x.s1_conf, x.st_conf) for x in sobol.sobol_confidence(r, problem, "y", ["s"]).collect()}
+    for p in ("x1", "x2"):
+        for i in (0, 1):  # errors shrink as the root of the sample size: 8 times
+            assert 4 < conf[64][p][i] / conf[4096][p][i] < 16
+
+
+def test_missing_results_warn_and_then_raise(spark):
+    s = spark.range(100).withColumnRenamed("id", "sample_id")
+    assert joins.check_complete(s, s) == 0
+    with pytest.warns(UserWarning, match="3 of 100"):
+        assert joins.check_complete(s, s.filter("sample_id >= 3")) == 3
+    with pytest.raises(ValueError, match="5 of 100"):
+        joins.check_complete(s, s.filter("sample_id >= 5"))
+
+
+def test_params_in_slices_are_the_whole_product(spark, monkeypatch):
+    b, g = make(spark, [1, 2, 3]), validation.grid(spark, {"entry": [1, 2, 3], "cost_bps": [0, 1]})
+    monkeypatch.setattr(joins, "SETS", 2)
+    got = [(r.close_ts, r.param_id) for r in joins.expand_params(b, g).collect()]
+    assert len(got) == 18 and len(set(got)) == 18
+
+
+def test_asof_price_across_buckets(spark):
+    rnd = random.Random(1)
+    bars = [(s, "1h", t, float(t)) for s in "ab" for t in rnd.sample(range(1000), 40)]
+    events = [(s, rnd.randrange(1000), i) for i, s in enumerate("ab" * 100)] + [("c", 5, 999), (None, 5, 1000)]
+    b = spark.createDataFrame(bars, "symbol string, timeframe string, close_ts long, close double")
+    e = spark.createDataFrame(events, "symbol string, at long, n long")
+    for bucket in (7, 100, 10_000):
+        got = {r.n: r.price for r in joins.asof_price(e, b, "at", bucket).collect()}
+        assert got == {n: max((t for s2, _, t, _ in bars if s2 == s and t <= at), default=None) for s, at, n in events}
