@@ -19,11 +19,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
     """text, y of at most ``per_class`` documents of each class, none of them held out.
 
     Which documents: those least by a hash of the id, so that the choice depends on no order.
+    Of rows that share a ``doc_id`` the least text counts; labels without an id are left out.
     """
-    y = labels.filter(~held_out(mod, rest)).select("doc_id", F.col(label).alias("y"))
+    y = labels.filter(~held_out(mod, rest) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     picks = [y.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     picks = picks[0].unionByName(picks[1])
-    return docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picks), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:

@@ -5,14 +5,16 @@ and after it. The forward-backward pass gives each line its marginal; a document
 is the mean marginal weighted by line length, calibrated to a probability.
 
 Lines carry no labels of their own, so the chain is fitted with each line taking its
-document's label (documents of up to ``PER_CLASS`` a class, never held-out ones, cut into
-stretches of ``STRETCH`` lines), by gradient ascent on the conditional likelihood.
+document's label (up to ``PER_CLASS`` documents a class, never held-out ones, and of each up
+to ``STRETCHES`` stretches of ``STRETCH`` lines), by gradient ascent on the conditional likelihood.
 
 Features come from one pass over the bytes of many texts at once, as does the recursion:
 step t handles the t-th line of every document that has one.
 
 Edge cases: null texts and texts without a non-empty line have score 0; texts are never
-cut; rows are independent; with one class missing in the labels every score is 0.
+cut in scoring; rows are independent, so repeated rows and ``doc_id``s score alike; with one
+class missing in the labels every score is 0; an input column named score is replaced, other
+columns are kept.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from .common import materialize
 from .fitting import PER_CLASS, held_out, labelled_sample, logistic, sigmoid
 from .pretokens import chunks
 
-STRETCH = 40
+#: The fit sees at most so many stretches of so many lines of each sampled document, evenly spread.
+STRETCHES, STRETCH = 4, 40
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 
 _CLASS = np.zeros(256, np.uint8)  # bits: 1 white space, 2 symbol, 4 upper case, 8 digit, 16 stop, 32 letter
@@ -169,20 +172,20 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int, rest: int, label: str = "q
         for df in batches:
             for text, y in zip(df["text"], df["y"]):
                 x, _, _ = line_features([text])
-                yield pd.DataFrame({"y": [int(y)], "n": [len(x)], "x": [x.tobytes()]})
+                starts = np.arange(0, len(x), STRETCH)
+                starts = starts[np.unique(np.linspace(0, len(starts) - 1, STRETCHES).astype(int))] if len(starts) else starts
+                cut = [x[s : s + STRETCH] for s in starts.tolist()]
+                yield pd.DataFrame({"y": int(y), "n": [len(c) for c in cut], "x": [c.tobytes() for c in cut]})
 
-    got = sample.mapInPandas(features, "y int, n long, x binary").toPandas()  # at most 2 * per_class documents
-    got = got[got["n"] > 0]
+    got = sample.mapInPandas(features, "y int, n long, x binary").toPandas()  # at most 2 * per_class * STRETCHES rows of 6 KB
     wide = 3 * BASE + 1
     if got["y"].nunique() < 2:
         return Model(np.zeros(wide), np.zeros((2, 2)), None)
     x = np.concatenate([np.frombuffer(b, np.float32).reshape(-1, wide) for b in got["x"]]).astype(np.float64)
     n, y = got["n"].to_numpy(), got["y"].to_numpy()
-    cuts = [min(STRETCH, k - s) for k in n.tolist() for s in range(0, k, STRETCH)]
-    chains, state = Chains(np.array(cuts)), np.repeat(y, n)
-    # each document weighs the same within its class, so long ones do not drown the others
+    chains, state = Chains(n), np.repeat(y, n)
     w, trans = np.zeros(wide), np.zeros((2, 2))
-    bad_bad, good_good = (float(sum(c - 1 for c, v in zip(cuts, np.repeat(y, -(-n // STRETCH))) if v == s)) for s in (0, 1))
+    bad_bad, good_good = (float((n[y == s] - 1).sum()) for s in (0, 1))
     seen = np.array([[bad_bad, 0.0], [0.0, good_good]])
     grad_sum = np.full(wide, 1e-8)
     for _ in range(STEPS):
@@ -197,7 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int, rest: int, label: str = "q
         for df in batches:
             yield pd.DataFrame({"y": df["y"], "m": model.document_means(df["text"].tolist())})
 
-    m = sample.mapInPandas(means, "y int, m double").filter("not isnan(m)").toPandas()
+    m = sample.mapInPandas(means, "y int, m double").filter("m is not null and not isnan(m)").toPandas()  # a row a document
+    if m["y"].nunique() < 2:
+        return model
     model.calibration = logistic(m[["m"]].to_numpy(), m["y"].to_numpy())
     # the sample is balanced, the labels are not
     share = labels.filter(~held_out(mod, rest)).groupBy(F.col(label).alias("y")).count().collect()
@@ -207,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int, rest: int, label: str = "q
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score (double, 0 to 1)."""
+    """``docs`` with score (double, 0 to 1); an input column of that name is replaced, others are kept."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
