@@ -291,15 +291,77 @@ def test_classifiers_learn_and_score_everything(spark):
         assert held and sum(got[i].predicted == labels[i][col] for i in held) / len(held) > 0.9, name
 
 
-def test_toxicity_reads_long_runs_to_their_end(spark):
-    import random
+def test_forward_backward_equals_all_label_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    counts = np.array([3, 1, 0, 5, 4, 2])
+    n = int(counts.sum())
+    emit, trans = rng.normal(size=(n, 2)), rng.normal(size=(2, 2))
+    good, pairs, logz = quality_crf.forward_backward(emit, trans, quality_crf.Chains(counts))
+    want, want_pairs, total, at = np.zeros(n), np.zeros((2, 2)), 0.0, 0
+    for k in counts.tolist():
+        paths = list(product((0, 1), repeat=k))
+        weight = np.array([np.exp(sum(emit[at + i, s] for i, s in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))) for p in paths])
+        total += np.log(weight.sum()) if k else 0.0
+        for p, w in zip(paths, weight / weight.sum()):
+            for i, s in enumerate(p):
+                want[at + i] += w * s
+            for a, b in zip(p, p[1:]):
+                want_pairs[a, b] += w
+        at += k
+    assert np.allclose(good, want) and np.allclose(pairs, want_pairs) and np.isclose(logz, total)
+
+
+def test_document_means_weigh_lines_by_length():
+    model = quality_crf.Model(np.random.default_rng(1).normal(size=3 * quality_crf.BASE + 1), np.array([[0.5, -0.2], [0.1, 0.4]]), None)
+    texts = [t or "" for t in TEXTS] + ["one line\n\nanother longer line here\n### $$$"]
+    got = model.document_means(texts)
+    for t, g in zip(texts, got):
+        x, size, counts = quality_crf.line_features([t])
+        if not len(x):
+            assert np.isnan(g)
+            continue
+        good, _, _ = quality_crf.forward_backward(np.column_stack([np.zeros(len(x)), x @ model.weights]), model.trans, quality_crf.Chains(counts))
+        m = np.clip((good * [len(ln.encode()) for ln in t.split("\n") if ln]).sum() / sum(len(ln.encode()) for ln in t.split("\n") if ln), 1e-4, 1 - 1e-4)
+        assert np.isclose(g, np.log(m / (1 - m)))
+
+
+def test_toxicity_windows_cover_the_text():
+    rng = np.random.default_rng(0)
+    for text in ("one two three four five six seven", "one", "a b", "漢字仮名交文" * 50, "abcdefghij" * 30, "é漢" * 70, "x " * 5 + "สวัสดี" * 30 + " y z", "one\u00a0two" * 20):
+        got, words = toxicity.windows(text), text.encode().split()
+        for w in words:
+            if len(w) <= toxicity.LONG:
+                assert any(w in g.split() for g in got)
+            else:  # every stretch of 16 bytes that starts at a character lies in a window
+                for at in rng.integers(0, len(w) - 16, 30).tolist():
+                    if w[at] & 0xC0 != 0x80:
+                        assert any(w[at : at + 16] in g for g in got), (text, at)
+    assert toxicity.windows("a b c d e f") == [b" a b c ", b" c d e ", b" e f "]
+    assert toxicity.windows("") == [] == toxicity.windows(" \n ")
+
+
+def test_toxicity_hits_equal_plain_compression(spark):
+    import zstandard
+
+    model = toxicity.Model(b"the river and a zorgulous house by the river", b"the river and a stone house by the river", np.zeros(13))
+
+    def length(content, w):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(w))
+
+    texts = [*TEXTS, "a zorgulous stone house zorgulous river and more", "by the zorgulous, zorgulous river"]
+    got = {r.doc_id: r for r in toxicity._counts(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        w = toxicity.windows(t or "")
+        apart = [length(model.ordinary, x) - length(model.toxic, x) for x in w]
+        assert got[i].n == len(w) and got[i].hits == [sum(a >= x for a in apart) for x in toxicity.THRESHOLDS]
+    assert got[len(texts) - 1].hits[2] > 0
 
-    for run in ("漢字仮名交文" * 50, "abcdefghij" * 30, "สวัสดี" * 30, "é漢" * 70):
-        for size in toxicity.PIECES:
-            found = {p for p in toxicity.tokens(run) if size <= len(p) < size + 4}
-            step = len(run[0].encode())
-            assert all(any(run.encode()[a : a + size] == p[:size] for p in found) for a in range(0, 40 * step, step) if run.encode()[a] & 0xC0 != 0x80)
-    assert toxicity.tokens("one\u00a0two\u2014three\u2019s \u00abfour\u00bb") == [b"one", b"two", b"three", b"s", b"four"]
+
+def test_toxicity_finds_what_stands_late_in_long_runs(spark):
+    import random
 
     rnd, rows, labels = random.Random(1), [], []
     signs = [chr(0x4E00 + 7 * i) for i in range(300)]
@@ -315,19 +377,19 @@ def test_toxicity_reads_long_runs_to_their_end(spark):
     held = [i for i in range(400) if got[i].held_out]
     assert sum(got[i].predicted == labels[i][2] for i in held) / len(held) > 0.9
 
-    rows, labels = [], []
-    for i in range(300):  # learnt from spaced words, met in text without
-        w = [rnd.choice("red green blue tree house river cloud stone light wind".split()) for _ in range(40)]
-        if i % 3 == 0:
-            w[rnd.randrange(40)] = "zorgulous"
-        rows.append((i, " ".join(w)))
-        labels.append((i, 1, int(i % 3 == 0)))
-    plain = ["red", "house", "river", "light"] * 10
-    late = [*plain, "zorgulous", "wind"]
-    rows += [(1000, "".join(late)), (1001, "\u00a0".join(late)), (1002, "".join(plain)), (1003, "\u2014".join(plain))]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = by_id(toxicity.toxicity_query(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
-    assert [got[i].toxic_words > 0 for i in (1000, 1001, 1002, 1003)] == [True, True, False, False]
+
+def test_classifiers_on_awkward_rows(spark):
+    rows = [(i, t, "e", 0.5, "s") for i, t in enumerate(TEXTS)] + [(None, "one two", "e", 0.5, "s"), (3, "one", "f", 0.5, "s"), (3, "one", "f", 0.5, "s"), (8, "another text", "e", 0.5, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, extra string, score double, held_out string")
+    labels = [(i, i % 2, i % 2) for i in range(len(TEXTS))] + [(None, 1, 1), (3, None, None), (3, 0, 0)]
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for f in (quality_crf.quality_query, toxicity.toxicity_query):
+        for frame in (d, d.limit(0)):
+            for marks in (y, y.limit(0), y.filter("toxic = 1")):
+                got = f(frame, marks).collect()
+                assert len(got) == frame.count() and all(0 <= r.score <= 1 for r in got)
+    out = toxicity.score_documents(d, toxicity.Model())
+    assert sorted(out.columns) == sorted([*d.columns, "toxic_windows"]) and out.count() == len(rows)
 
 
 def test_pipeline(spark, tmp_path):
