@@ -10,12 +10,13 @@ of ``WINDOW`` words therefore arises in every copy of the window.
 
 Finding repeats then takes these steps, each a Spark job over all documents:
 
-1. rounds: emit the high-level symbols of each text, as hashes of their spans. Windows in
-   which no symbol's span fits (long runs) are emitted as they are.
+1. rounds: emit the high-level symbols of each text, by name and span. Windows in which no
+   symbol's span fits (long runs) are emitted as they are.
 2. names found twice or more, anywhere, are shared. Only windows around a shared span can
    be repeats.
-3. verify: those windows are compared by the hash of their words (96 bits); the first
-   (by doc_id, start) stays, every later one is a repeat.
+3. verify: those windows are compared by a cryptographic digest (96 bits) of their words
+   themselves, not of the words' hashes; the first (by doc_id, start) stays, every later one
+   is a repeat.
 4. words that a repeat covers are cut.
 
 What is compared goes by hash bucket in packed arrays, after each task has dropped its own
@@ -30,6 +31,7 @@ becomes the kept words with one space between where words went, and stays as it
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,9 +49,11 @@ WINDOW = 20
 LEVELS = (6, 5)
 #: Entries that a task gathers before it packs them.
 FLUSH = 1_000_000
+#: Text whose entries go to one bucket, about.
+BUCKET_BYTES = 6_000_000
 _NULL_ID = -(2**63)
 _FAR = 1 << 40
-_BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class SpanHash:
@@ -118,33 +122,35 @@ def _covered(lo: np.ndarray, hi: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def spans(words: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """lo, hi, kind of the spans to look up: every window holds one at least."""
+    """lo, hi, name of the spans to look up: every window holds one at least.
+
+    The name is the symbol's; 0 where a window is looked up as it is.
+    """
     n = len(words)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     ends = np.repeat(np.cumsum(lengths), lengths)
     open_ = np.arange(n) + window <= ends  # windows not yet covered
     if not open_.any():
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none.astype(np.uint64)
     s, kept = Symbols(words, doc), {}
     for level in range(1, max(LEVELS) + 1):
         s.round(level)
         if level in LEVELS:
             fits = (s.hi - s.lo <= window) & (s.lo >= 0)
-            kept[level] = s.lo[fits], s.hi[fits]
+            kept[level] = s.lo[fits], s.hi[fits], mix(s.name[fits] + np.full(1, level, np.uint64))
     out = []
     for level in sorted(LEVELS, reverse=True):
-        lo, hi = kept[level]
+        lo, hi, name = kept[level]
         # only spans that lie inside a window still open
         opened = np.concatenate(([0], np.cumsum(open_)))
         near = opened[np.minimum(lo + 1, n)] - opened[np.maximum(hi - window, 0)] > 0
-        lo, hi = lo[near], hi[near]
-        pair = np.unique(lo * 64 + (hi - lo))
+        pair, first = np.unique(lo[near] * 64 + (hi - lo)[near], return_index=True)
         lo, hi = pair >> 6, (pair >> 6) + (pair & 63)
-        out.append((lo, hi, np.full(len(lo), level)))
+        out.append((lo, hi, name[near][first]))
         open_ &= ~_covered(lo, hi, n, window)
     at = np.flatnonzero(open_)
-    out.append((at, at + window, np.zeros(len(at), np.int64)))
+    out.append((at, at + window, np.zeros(len(at), np.uint64)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -257,11 +263,11 @@ def shared_spans(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFra
             ids, texts = df["doc"].to_numpy(), df["text"].tolist()
             for a, b in chunks(texts):
                 words, n = hash_words([t.encode().split() for t in texts[a:b]], memo)
-                lo, hi, kind = spans(words, n, window)
+                lo, hi, name = spans(words, n, window)
                 if len(lo):
                     starts = np.cumsum(n) - n
                     doc = np.searchsorted(np.cumsum(n), lo, side="right")
-                    h = mix(SpanHash(words, _BASE[0])(lo, hi) + kind.astype(np.uint64) * GOLD)
+                    h = mix(SpanHash(words, _BASE)(lo, hi) + name * GOLD)
                     c = np.zeros(len(h), np.uint32)
                     yield from out.add(h, c, ids[a:b][doc], (lo - starts[doc]) * 64 + hi - lo)
         if out.size:
@@ -270,24 +276,38 @@ def shared_spans(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFra
     return _found(_rows(docs).mapInPandas(emit, _ROWS), first=False)
 
 
+def _digests(split: list[list[bytes]], doc: np.ndarray, place: np.ndarray, window: int) -> bytes:
+    """A digest of 12 bytes of each window's words, joined by one space; ``doc`` ascends."""
+    out, digest = [], hashlib.blake2b
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)]):
+        words = split[doc[a]]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        whole, at = b" ".join(words), place[a:b]
+        lo, hi = (ends[at] - [len(words[i]) + 1 for i in at.tolist()]).tolist(), (ends[at + window - 1] - 1).tolist()
+        out += [digest(whole[i:j], digest_size=12).digest() for i, j in zip(lo, hi)]
+    return b"".join(out)
+
+
 def repeated_windows(docs: DataFrame, shared: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
     """Step 3: doc, pos (starts) of the windows whose words also start earlier."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, out = WordHash(), _Gather(buckets, first=True)
+        out = _Gather(buckets, first=True)
         for df in batches:
             ids, texts, found = df["doc"].to_numpy(), df["text"].tolist(), df["pos"].tolist()
             for a, b in chunks(texts):
-                words, n = hash_words([t.encode().split() for t in texts[a:b]], memo)
-                starts, total = np.cumsum(n) - n, len(words)
+                split = [t.encode().split() for t in texts[a:b]]
+                n = np.fromiter(map(len, split), np.int64, b - a)
+                starts, total = np.cumsum(n) - n, int(n.sum())
                 doc = np.repeat(np.arange(b - a), n)
                 pos = np.concatenate([np.asarray(p, np.int64) + 64 * s for p, s in zip(found[a:b], starts)])
                 fits = np.arange(total) + window <= np.repeat(np.cumsum(n), n)
                 at = np.flatnonzero(fits & _covered(pos >> 6, (pos >> 6) + (pos & 63), total, window))
                 if len(at):
-                    h = SpanHash(words, _BASE[0])(at, at + window)
-                    c = (SpanHash(mix(words), _BASE[1])(at, at + window) >> np.uint64(32)).astype(np.uint32)
-                    yield from out.add(h, c, ids[a:b][doc[at]], at - starts[doc[at]])
+                    place = at - starts[doc[at]]
+                    digest = np.frombuffer(_digests(split, doc[at], place, window), [("h", "<u8"), ("c", "<u4")])
+                    yield from out.add(digest["h"], digest["c"], ids[a:b][doc[at]], place)
         if out.size:
             yield out.flush()
 
@@ -308,8 +328,9 @@ def _cut(text: str, pos, window: int) -> tuple[int, int, str]:
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Step 4: one row per row of ``docs``: row (struct of its columns), n_words, n_removed, kept (text)."""
     rows = _rows(docs)
-    # a bucket holds the entries of about 2000 documents
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // 2000)
+    # a bucket holds the entries of about BUCKET_BYTES of text, however long its documents are
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     shared = materialize(shared_spans(docs, buckets, window), "shared")
     repeats = materialize(repeated_windows(docs, shared, buckets, window), "repeats")
 

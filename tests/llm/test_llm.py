@@ -162,7 +162,11 @@ def test_every_window_holds_a_span():
     rng = np.random.default_rng(1)
     for alphabet in (1, 2, 50):
         w = rng.integers(1, alphabet + 1, 600).astype(np.uint64)
-        lo, hi, _ = substring_dedup.spans(w, np.array([400, 200]))
+        lo, hi, name = substring_dedup.spans(w, np.array([400, 200]))
+        again = substring_dedup.spans(np.concatenate((w[:400], w[:400])), np.array([400, 400]))
+        assert len(lo) == len(name)
+        half = again[0] < 400  # equal texts have equal symbols at equal places
+        assert np.array_equal(again[0][half], again[0][~half] - 400) and np.array_equal(again[2][half], again[2][~half])
         covered = substring_dedup._covered(lo, hi, 600, 20)
         assert covered[np.r_[0:381, 400:581]].all()
 
