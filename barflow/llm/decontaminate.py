@@ -7,9 +7,10 @@ text, look each up in the broadcast hash set of anchors, and keep only the few p
 that match. For those the whole window is compared with the text word by word, so a hit
 is never a hash collision.
 
-The broadcast is sent only while the benchmark has at most ``max_broadcast_windows``
-windows; beyond that the same join runs as a shuffled join. All of it is DataFrame and
-SQL functions: no Python runs on the executors.
+The broadcast is sent only while the windows, with their words and item ids, take at most
+``MAX_BROADCAST_BYTES``; beyond that the same join runs as a shuffled join. Only text with a
+looked-up position is shuffled. All of it is DataFrame and SQL functions: no Python runs on
+the executors.
 
 Edge cases: null and empty texts have no words and no hits; null or wordless items have
 no window; equal items count as separate items; documents are grouped by ``doc_id``, and
@@ -22,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import lower_ascii, materialize, only_ids
 
 N = 13
-#: 13 words and an anchor are about 200 bytes: 200,000 windows are 40 MB at most.
-MAX_BROADCAST_WINDOWS = 200_000
+#: Words, anchors and item ids of the windows that are broadcast, at most.
+MAX_BROADCAST_BYTES = 40_000_000
 
 
 def norm_words(text: Column) -> Column:
@@ -58,7 +59,8 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = N, key: str = "doc_id"
     """One row per document row: ``key``, ``text``, ``w`` (its words), and verified
     ``hits`` array<struct<start,len,items>>."""
     windows = materialize(benchmark_windows(bench, n), "windows")
-    small = windows.count() <= MAX_BROADCAST_WINDOWS
+    size = windows.agg(F.sum(F.octet_length(F.concat_ws(" ", "anchor", "win", "items")) + 8 * (F.size("win") + F.size("items")))).first()[0]
+    small = (size or 0) <= MAX_BROADCAST_BYTES
     by_anchor = windows.groupBy("anchor").agg(F.collect_list(F.struct("off", "win", "items")).alias("cands"))
     by_anchor = F.broadcast(by_anchor) if small else by_anchor
     words = docs.select(key, norm_words(F.col("text")).alias("w"))
@@ -72,8 +74,13 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = N, key: str = "doc_id"
         F.col(key).alias("_key"), (F.col("pos") - F.col("c.off")).alias("start"), "c.win", "c.items"
     )
     cands = found.groupBy("_key").agg(F.collect_set(F.struct("start", "win", "items")).alias("cands"))
-    out = docs.join(cands, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key")
-    out = out.withColumn("w", norm_words(F.col("text")))
+    cands = materialize(cands, "candidates")
+    # null keys find no partner in ``only_ids``: their rows all count as touched
+    ids, named, unnamed = cands.select(F.col("_key").alias(key)).filter(F.col(key).isNotNull()), docs.filter(F.col(key).isNotNull()), docs.filter(F.col(key).isNull())
+    touched = only_ids(named, ids, key).unionByName(unnamed)
+    touched = touched.join(cands, touched[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+    rest = only_ids(named, ids, key, without=True).withColumn("cands", F.lit(None).cast(cands.schema["cands"].dataType))
+    out = touched.unionByName(rest).withColumn("w", norm_words(F.col("text")))
     hits = F.expr(
         "transform(filter(cands, c -> slice(w, c.start + 1, size(c.win)) = c.win), "
         "c -> struct(c.start as start, size(c.win) as len, c.items as items))"
