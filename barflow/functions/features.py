@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .schema import by_time, last_rows, round6, typical_price
+from .schema import KEYS, TIMEFRAMES, by_time, last_rows, round6, typical_price
 
 
 @dataclass(frozen=True)
@@ -140,8 +140,13 @@ def spec(kind: str, **params) -> FeatureSpec:
     return BUILDERS[kind](**params)
 
 
-def feature_chain(bars: DataFrame, specs: Iterable[FeatureSpec]) -> DataFrame:
-    """``bars`` with one column for each spec: one exchange and one sort for all of them."""
+def feature_chain(bars: DataFrame, specs: Iterable[FeatureSpec], chunk_rows: int | None = None) -> DataFrame:
+    """``bars`` with one column for each spec: one exchange and one sort for all of them.
+
+    With ``chunk_rows`` a symbol's bars are dealt to chunks of so many, each with the bars before
+    it that features look back on, so that one long symbol spreads over many tasks. The
+    result is the same.
+    """
     specs = list(specs)
     ids = [s.id for s in specs]
     if len(set(ids)) != len(ids):
@@ -149,5 +154,31 @@ def feature_chain(bars: DataFrame, specs: Iterable[FeatureSpec]) -> DataFrame:
     missing = [d for s in specs for d in s.depends if d not in ids and d not in bars.columns]
     if missing:
         raise ValueError(f"features need columns that are not there: {missing}")
+    if chunk_rows:
+        chunked = _with_history(numbered(bars, chunk_rows), chunk_rows, max(s.lookback for s in specs))
+        named = chunked.withColumn("_symbol", F.col("symbol")).withColumn("symbol", F.concat_ws("\x00", "symbol", "_chunk"))
+        out = feature_chain(named, specs).filter("not _history")
+        return out.select(*[F.col("_symbol" if c == "symbol" else c).alias(c) for c in bars.columns], *ids)
     changed = bars.withColumn("_change", F.col("close") - F.lag("close").over(by_time()))
     return changed.select(*bars.columns, *[s.column() for s in specs])
+
+
+def numbered(bars: DataFrame, chunk_rows: int) -> DataFrame:
+    """``bars`` with ``bar_idx``, their number (from 0) within symbol and timeframe.
+
+    Bars are numbered within stretches of time that hold about ``chunk_rows``; a table of one
+    row a stretch gives what comes before. No window holds a whole symbol's bars.
+    """
+    step = F.coalesce(F.create_map(*[F.lit(x) for kv in TIMEFRAMES.items() for x in kv])[F.col("timeframe")], F.lit(TIMEFRAMES["1m"])).cast("long")
+    b = bars.withColumn("_t", F.floor(F.col("close_ts") / (step * chunk_rows)))
+    before = F.sum("_n").over(Window.partitionBy(*KEYS).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = b.groupBy(*KEYS, "_t").agg(F.count("*").alias("_n")).select(*KEYS, "_t", F.coalesce(before, F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(*KEYS, "_t").orderBy("close_ts"))
+    return b.withColumn("_i", here).join(offsets, [*KEYS, "_t"]).withColumn("bar_idx", F.col("_before") + F.col("_i") - 1).select(*bars.columns, "bar_idx")
+
+
+def _with_history(bars: DataFrame, chunk_rows: int, lookback: int) -> DataFrame:
+    """Bars under ``_chunk``, and once more (``_history``) under each later chunk that looks back on them."""
+    own = F.floor(F.col("bar_idx") / chunk_rows)
+    last = F.floor((F.col("bar_idx") + lookback) / chunk_rows)
+    return bars.withColumn("_chunk", F.explode(F.sequence(own, last))).withColumn("_history", F.col("_chunk") > own)

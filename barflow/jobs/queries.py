@@ -70,6 +70,12 @@ def feature_chain_lines(spark, sf):
     return rounded(ft.feature_chain(src.line_bars(spark, sf), SPECS), "open", "high", "low", "close")
 
 
+@query
+def feature_chain_chunked(spark, sf):
+    """Minute bars of a few long symbols, in chunks of 500."""
+    return ft.feature_chain(src.event_bars(spark, sf, "1m"), SPECS, chunk_rows=500)
+
+
 @query
 def swing_highlow(spark, sf):
     return ft.feature_chain(src.event_bars(spark, sf), [ft.swing_highlow(4)]).select("symbol", "close_ts", "swing_highlow_4")
@@ -167,6 +173,70 @@ def month_range(spark, sf):
     return months.join(b, "month", "left").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("symbol").alias("n_symbols"))
 
 
+@query
+def klines_csv(spark, sf):
+    """Bars written as headerless kline files and read back."""
+    path, b = f"{shared_dir(spark)}/klines", src.event_bars(spark, sf)
+    fields = {"open_time": "open_ts", "close_time": "close_ts", **{c: c for c in ("open", "high", "low", "close", "volume")}}
+    b.select(*[F.col(fields[c]).cast("string").alias(c) if c in fields else F.lit("0").alias(c) for c in files.KLINE_COLUMNS], "symbol").write.partitionBy("symbol").csv(path)
+    parts = [files.read_klines_csv(spark, f"{path}/symbol={s}", s, "1h")[0] for s in sorted(r["symbol"] for r in b.select("symbol").distinct().collect())]
+    return quality.fan_in(*parts)
+
+
+@query
+def kline_json(spark, sf):
+    """Bars of one symbol packed as one JSON payload a day, and parsed again."""
+    b = src.event_bars(spark, sf).filter("symbol = 'click'")
+    k = F.array(*[F.col(c).cast("string") for c in ("open_ts", "open", "high", "low", "close", "volume", "close_ts")])
+    bodies = b.groupBy(F.floor(F.col("open_ts") / 86_400_000).alias("day")).agg(F.to_json(F.collect_list(k)).alias("body"))
+    return files.parse_kline_json(bodies, "body", "click", "1h")
+
+
+@query
+def enriched_jsonl(spark, sf):
+    """Enriched bars written as JSON lines and read back."""
+    path = f"{shared_dir(spark)}/enriched"
+    files.write_enriched(ft.feature_chain(src.event_bars(spark, sf), SPECS), path)
+    doubles = ["open", "high", "low", "close", "volume", *[s.id for s in SPECS if s.id != "engulfing_candle"]]
+    schema = "timestamp long, open_ts long, engulfing_candle int, " + ", ".join(f"{c} double" for c in doubles) + ", symbol string, timeframe string"
+    return files.read_enriched(spark, path, schema).withColumnRenamed("timestamp", "close_ts").drop("time")
+
+
+@query
+def results_csv(spark, sf):
+    """A result table written as CSV with a header and read back with its columns checked."""
+    path = f"{shared_dir(spark)}/results"
+    files.write_samples(_results(spark, sf).select("symbol", "sample_id", "lookback", "entry", "cost_bps", "y"), path, csv=True)
+    return rounded(files.read_results(spark, path, ["sample_id", "lookback", "entry", "cost_bps", "y"]), "entry", "cost_bps", "y")
+
+
+@query
+def analysis_tables(spark, sf):
+    """Indices and categories as one long table, written and read back."""
+    path, idx = f"{shared_dir(spark)}/analysis", stored(_indices(spark, sf))
+    files.write_analysis({"indices": idx, "groups": sobol.group_indices(idx, PROBLEM, ["symbol"])}, path)
+    return rounded(files.read_analysis(spark, path), "value")
+
+
+@query
+def list_pairs(spark, sf):
+    """Customers as trading pairs, one exchange document a nation."""
+    pair = F.struct(
+        F.col("c_name").alias("symbol"), F.when(F.col("c_acctbal") > 0, "TRADING").otherwise("BREAK").alias("status"),
+        F.upper(F.col("c_mktsegment")).alias("quoteAsset"),
+    )
+    info = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_list(pair).alias("symbols"))
+    return files.list_pairs(info, "building", "CUSTOMER#00")
+
+
+@query
+def list_tickers(spark, sf):
+    """The last day of every symbol as a ticker, prices as text."""
+    b = src.event_bars(spark, sf, "1d").groupBy(F.concat(F.upper("symbol"), F.lit("USDT")).alias("symbol")).agg(
+        F.max_by("close", "close_ts").cast("string").alias("lastPrice"), F.max_by("volume", "close_ts").cast("string").alias("volume"))
+    return files.list_tickers(b, "usdt")
+
+
 @query
 def swing_points(spark, sf):
     return strategy.swing_points(src.event_bars(spark, sf)).drop("timeframe")
@@ -574,3 +644,11 @@ def stream_features(spark, sf):
     ids = ["sma_20", "ema_20", "rsi_14", "engulfing_candle"]
     out = out.select("symbol", "close_ts", "close", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ids])
     return out.withColumn("engulfing_candle", F.col("engulfing_candle").cast("int"))
+
+
+@query
+def stream_signals(spark, sf):
+    at = shared_dir(spark)
+    src.user_bars(spark, sf).write.parquet(at)
+    out = _drained(streams.stream_signals(streams.stream_bars(spark, at, 10_000)))
+    return rounded(out.drop("timeframe", "source"), "pullback_depth")

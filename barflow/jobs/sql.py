@@ -257,6 +257,17 @@ SQL = {
     "rollup_bars": f"""WITH {bars('event', '1m', 'fine')} SELECT symbol, '15m' AS timeframe, open_ts // 900000 * 900000 AS open_ts, open_ts // 900000 * 900000 + 899999 AS close_ts,
         arg_min(open, open_ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_ts) AS close, sum(volume) AS volume FROM fine GROUP BY symbol, open_ts // 900000""",
     "feature_chain": f"WITH {EV}, {CHANGE} SELECT {COLS}, {FEATURES} FROM ch",
+    "feature_chain_chunked": f"WITH {bars('event', '1m')}, {CHANGE} SELECT {COLS}, {FEATURES} FROM ch",
+    "klines_csv": f"WITH {EV} SELECT {COLS} FROM bars",
+    "kline_json": f"WITH {EV} SELECT {COLS} FROM bars WHERE symbol = 'click'",
+    "enriched_jsonl": f"WITH {EV}, {CHANGE} SELECT {COLS}, {FEATURES} FROM ch",
+    "results_csv": f"WITH {SOBOL} SELECT symbol, CAST(sample_id AS DOUBLE) AS sample_id, lookback, {r6('entry')} AS entry, {r6('cost_bps')} AS cost_bps, y FROM results",
+    "analysis_tables": f"""WITH {INDEX} SELECT 'indices' AS kind, concat_ws('/', symbol, kind, param, param2) AS key, 'value' AS name, {r6('value')} AS value FROM idx
+        UNION ALL SELECT 'groups', concat_ws('/', symbol, category), unnest(['s1', 'st']), unnest([{r6('s1')}, {r6('st')}]) FROM grp""",
+    "list_pairs": "SELECT c_name AS symbol, 'TRADING' AS status, upper(c_mktsegment) AS quoteAsset FROM customer WHERE c_acctbal > 0 AND upper(c_mktsegment) = 'BUILDING' AND lower(c_name) LIKE '%customer#00%'",
+    "list_tickers": f"WITH {DAY} SELECT upper(symbol) || 'USDT' AS symbol, arg_max(close, close_ts) AS lastPrice, arg_max(volume, close_ts) AS volume FROM bars GROUP BY symbol",
+    "stream_signals": f"""WITH {US}, {DIP} SELECT symbol, 'buy' AS side, close_ts AS ts, maturity AS trend_maturity, {r6('pullback_depth')} AS pullback_depth, recent_high,
+        CAST(higher_highs AS INTEGER) AS swing_high_count, CAST(higher_lows AS INTEGER) AS swing_low_count FROM sig""",
     "feature_chain_lines": f"WITH {LI}, {CHANGE} SELECT {RCOLS}, {FEATURES} FROM ch".replace(RCOLS, RCOLS),
     "swing_highlow": f"""WITH {EV}, s AS (SELECT *, {swings(2)}, count(*) OVER {rows(5)} AS n FROM bars) SELECT symbol, close_ts,
         CASE WHEN n = 5 THEN CASE WHEN swing_high IS NOT NULL AND swing_low IS NULL THEN 1 WHEN swing_low IS NOT NULL AND swing_high IS NULL THEN -1 ELSE 0 END END AS swing_highlow_4 FROM s""",

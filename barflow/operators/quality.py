@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import BAR_COLUMNS, KEYS, by_time, step_ms
 
 
-def drop_malformed(bars: DataFrame) -> DataFrame:
-    return bars.filter(F.col("close_ts") != 0)
+def drop_malformed(bars: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Bars with a closing time other than 0 or null; ``seen`` is told how many were dropped."""
+    good = F.coalesce(F.col("close_ts") != 0, F.lit(False))
+    if seen is not None:
+        bars = bars.observe(seen, F.sum((~good).cast("long")).alias("dropped"), F.count(F.lit(1)).alias("bars"))
+    return bars.filter(good)
 
 
 def quarantine(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -117,9 +117,20 @@ def write_samples(df: DataFrame, path: str, csv: bool = False) -> None:
 
 
 def write_analysis(tables: dict[str, DataFrame], path: str) -> None:
-    """Each analysis table under its name."""
+    """Each analysis table under its name, in long form: the keys that its columns are, and every number.
+
+    kind (the table), key (the texts of a row, joined by "/"), name (of the number), value.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        numbers = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "boolean")]
+        key = F.concat_ws("/", *[F.col(c) for c, t in df.dtypes if t == "string"])
+        long = df.select(key.alias("key"), *[F.col(c).cast("double").alias(c) for c in numbers]).unpivot(["key"], numbers, "name", "value")
+        long.write.mode("overwrite").parquet(f"{path}/kind={name}")
+
+
+def read_analysis(spark: SparkSession, path: str) -> DataFrame:
+    """kind, key, name, value of all tables that ``write_analysis`` wrote."""
+    return spark.read.schema("key string, name string, value double, kind string").parquet(path).select("kind", "key", "name", "value")
 
 
 def list_pairs(info: DataFrame, quote: str | None = None, search: str | None = None) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Streaming twins: bars as they come, bars out of ticks, rolling features, lossless fan-out, paced replay."""
+"""Streaming twins: bars as they come, bars out of ticks, features, signals, batches, lossless fan-out, paced replay."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.features import spec
 from ..functions.kernels import KERNELS
@@ -60,28 +63,146 @@ def replay(writer, interval: str | None = None):
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def stream_features(stream: DataFrame, specs: list[tuple[str, dict]]) -> DataFrame:
+def in_batches(df: DataFrame, n: int) -> DataFrame:
+    """``df`` (a stream or a table) with ``batch``: rows dealt to groups of at most ``n``, in the order they come.
+
+    On a stream a group also ends with its trigger, so ``replay``'s interval is the timeout.
+    """
+    if n <= 0:
+        raise ValueError("a batch has one row at least")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = 0
+        for b in batches:
+            yield b.assign(batch=(seen + np.arange(len(b))) // n)
+            seen += len(b)
+
+    return df.mapInPandas(deal, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
+
+
+NAMES = ["open_ts", "close_ts", "open", "high", "low", "close", "volume"]
+
+
+def _typed(bars: pd.DataFrame) -> pd.DataFrame:
+    return bars.astype({n: "int64" if n.endswith("_ts") else "float64" for n in NAMES})
+
+
+def stream_features(stream: DataFrame, specs: list[tuple[str, dict]], mode: str = "event_time", keep_late: bool = False) -> DataFrame:
     """Rolling features of a bar stream, with as many bars of history as they look back on.
 
     ``specs`` are (kind, options), as ``[("sma", {"period": 20})]``. State is the last bars of
-    each symbol. Bars at or before the last one seen are late or repeated and are dropped;
-    for bars in order the result equals ``feature_chain``.
+    each symbol and timeframe.
+
+    ``mode`` ``event_time``: bars at or before the last one seen are late or repeated and are
+    dropped, or with ``keep_late`` come without features, marked ``late``; for bars in order the
+    result equals ``feature_chain``. ``arrival``: every bar takes its place among the last ones
+    (before its equals; one older than all of a full history is gone at once), and comes with
+    the features of the newest bar as they then stand. Order of arrival is the order in the input.
     """
+    if mode not in ("event_time", "arrival"):
+        raise ValueError(f"unknown mode {mode!r}")
     built = [spec(kind, **options) for kind, options in specs]
     keep, ids = max(s.lookback for s in built), [s.id for s in built]
-    names = ["open_ts", "close_ts", "open", "high", "low", "close", "volume"]
+    columns = ["symbol", "timeframe", *NAMES, *ids, *["late"] * keep_late]
+
+    def features(bars: pd.DataFrame) -> dict:
+        return {i: KERNELS[kind](bars, **options) for i, (kind, options) in zip(ids, specs)}
+
+    def in_order(past: list, new: pd.DataFrame) -> tuple[pd.DataFrame, list]:
+        new = new.sort_values("close_ts", kind="stable")
+        gone = new.duplicated("close_ts") | (new["close_ts"] <= (past[-1][1] if past else -(2**63)))
+        late, new = new[gone], new[~gone]
+        old = pd.DataFrame(past, columns=NAMES)
+        bars = _typed(pd.concat([old, new], ignore_index=True) if past else new.reset_index(drop=True))
+        out = bars.assign(**features(bars), late=False).iloc[len(old) :]
+        if keep_late and len(late):
+            out = pd.concat([out, late.assign(**{i: np.nan for i in ids}, late=True)])
+        return out, bars.tail(keep).astype(object).values.tolist()
+
+    def as_they_come(past: list, new: pd.DataFrame) -> tuple[pd.DataFrame, list]:
+        rows = []
+        for bar in new.astype(object).values.tolist():
+            at = bisect_left([b[1] for b in past], bar[1])
+            past.insert(at, bar)
+            if len(past) > keep:
+                past.pop(0)
+            rows.append([v[-1] for v in features(_typed(pd.DataFrame(past, columns=NAMES))).values()])
+        return new.reset_index(drop=True).assign(**dict(zip(ids, np.array(rows, float).T)), late=False), past
 
     def step(key, batches, state):
         past = json.loads(state.get[0]) if state.exists else []
-        old = pd.DataFrame(past, columns=names)
-        new = pd.concat(list(batches)).sort_values("close_ts").drop_duplicates("close_ts")
-        if past:
-            new = new[new["close_ts"] > past[-1][1]]
-        bars = pd.concat([old, new[names]], ignore_index=True) if past else new[names].reset_index(drop=True)
-        bars = bars.astype({n: "int64" if n.endswith("_ts") else "float64" for n in names})
-        out = bars.assign(**{i: KERNELS[kind](bars, **options) for i, (kind, options) in zip(ids, specs)}).iloc[len(old) :]
-        state.update((json.dumps(bars.tail(keep).astype(object).values.tolist()),))
-        yield out.assign(symbol=key[0], timeframe=key[1])[["symbol", "timeframe", *names, *ids]]
-
-    schema = BAR_SCHEMA + "".join(f", `{i}` double" for i in ids)
+        new = _typed(pd.concat(list(batches))[NAMES])
+        out, past = (in_order if mode == "event_time" else as_they_come)(past, new)
+        state.update((json.dumps(past),))
+        yield out.assign(symbol=key[0], timeframe=key[1])[columns]
+
+    schema = BAR_SCHEMA + "".join(f", `{i}` double" for i in ids) + ", late boolean" * keep_late
     return stream.groupBy("symbol", "timeframe").applyInPandasWithState(step, schema, "bars string", "append", "NoTimeout")
+
+
+class DipState:
+    """What the pullback strategy remembers of a symbol, as plain numbers."""
+
+    def __init__(self, lookback: int, saved: dict | None = None):
+        self.lb = lookback
+        s = saved or {}
+        self.last, self.up, self.top, self.inside = s.get("last"), s.get("up", 0), s.get("top"), s.get("inside", False)
+        self.bars = s.get("bars", [])  # (high, low) of the last 2 * lookback + 1
+        self.swings = s.get("swings", {"high": [None, 0], "low": [None, 0]})  # last price, length of the rising run
+
+    def saved(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "lb"}
+
+    def take(self, high: float, low: float, close: float) -> None:
+        """One bar further."""
+        self.up = self.up + 1 if self.last is not None and close > self.last else 0
+        self.last = close
+        self.bars = [*self.bars, (high, low)][-(2 * self.lb + 1) :]
+        if len(self.bars) == 2 * self.lb + 1:
+            for i, (name, sign) in enumerate((("high", 1), ("low", -1))):
+                mid = sign * self.bars[self.lb][i]
+                if all(mid > sign * b[i] for k, b in enumerate(self.bars) if k != self.lb):
+                    before, run = self.swings[name]
+                    price = self.bars[self.lb][i]
+                    self.swings[name] = [price, run + 1 if before is not None and price > before else 0]
+        if self.top is None or high > self.top:
+            self.top, self.inside = high, False
+
+
+def stream_signals(
+    stream: DataFrame, early: int = 3, confirmed: int = 2, mature: int = 3, pullback: float = 0.03, lookback: int = 2
+) -> DataFrame:
+    """The pullback strategy on a bar stream: symbol, timeframe, side, ts, source, maturity and counts.
+
+    State is a dozen numbers a symbol and timeframe. Late and repeated bars are dropped; for
+    bars in order the signals equal those of ``buy_the_dip``.
+    """
+
+    def step(key, batches, state):
+        saved = json.loads(state.get[0]) if state.exists else {}
+        s, seen, out = DipState(lookback, saved.get("dip")), saved.get("seen"), []
+        bars = pd.concat(list(batches)).sort_values("close_ts", kind="stable").drop_duplicates("close_ts")
+        for b in bars[["close_ts", "high", "low", "close"]].itertuples(index=False):
+            if seen is not None and b.close_ts <= seen:
+                continue
+            seen = int(b.close_ts)
+            s.take(float(b.high), float(b.low), float(b.close))
+            depth = (s.top - b.close) / s.top if s.top else None
+            s.inside = s.inside or (depth is not None and depth >= pullback)
+            highs, lows = s.swings["high"][1], s.swings["low"][1]
+            both = min(highs, lows)
+            kind = "mature" if both >= mature else "confirmed" if both >= confirmed else "early" if s.up >= early else "none"
+            if kind != "none" and s.inside:
+                out.append((*key, "buy", seen, "buy_the_dip", kind, depth, s.top, highs, lows))
+                s.inside = False
+        state.update((json.dumps({"dip": s.saved(), "seen": seen}),))
+        yield pd.DataFrame(out, columns=SIGNAL_COLUMNS)
+
+    return stream.groupBy("symbol", "timeframe").applyInPandasWithState(step, SIGNAL_SCHEMA, "dip string", "append", "NoTimeout")
+
+
+SIGNAL_SCHEMA = (
+    "symbol string, timeframe string, side string, ts long, source string, trend_maturity string, pullback_depth double, recent_high double, "
+    "swing_high_count int, swing_low_count int"
+)
+SIGNAL_COLUMNS = [c.split()[0] for c in SIGNAL_SCHEMA.split(", ")]
