@@ -24,8 +24,8 @@ repeats: a name that a third of all documents share is one entry per task. Docum
 is shuffled only for documents with shared spans.
 
 Edge cases: null and short texts have no window; rows with one ``doc_id`` count as one
-document's versions (equal ones do not remove each other); a null ``doc_id`` counts as the
-smallest; empty tables work; extra columns are kept by ``remove_repeats``, whose ``text``
+document's versions: each is cut by its own text, and what stands at one start in several
+of them is no repeat; a null ``doc_id`` counts as the smallest; empty tables work; extra columns are kept by ``remove_repeats``, whose ``text``
 becomes the kept words with one space between where words went, and stays as it was elsewhere.
 """
 
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, only_ids
@@ -53,6 +53,8 @@ FLUSH = 1_000_000
 BUCKET_BYTES = 6_000_000
 _NULL_ID = -(2**63)
 _FAR = 1 << 40
+#: Bits of a position that tell which text of a doc_id it is of.
+VERSION = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,16 +196,19 @@ class _Gather:
         at = np.flatnonzero(new)
         many = np.diff(np.append(at, len(h))) > 1
         if self.first:  # all but the first are repeats, whatever other tasks hold
-            known = (doc > doc[at][group]) | (pos > pos[at][group])
+            known = (doc > doc[at][group]) | (pos >> VERSION > (pos >> VERSION)[at][group])
+            at = np.flatnonzero(~known & (new | (np.diff(pos, prepend=-1) != 0)))  # every version of the first
+            many = many[group]
         else:
             known = many[group]
+            many = many[group]
         rows = []
         if known.any():  # settled here: it passes through any bucket
             k = np.flatnonzero(known)
             k = k[np.lexsort((pos[k], doc[k]))]
             none = np.zeros(len(k), np.uint8)
             rows.append((int(h[0] % np.uint64(self.buckets)), True, _pack(none, none, doc[k], pos[k], none)))
-        h, c, doc, pos = h[at], c[at], doc[at], pos[at]
+        h, c, doc, pos, many = h[at], c[at], doc[at], pos[at], many[at]
         bucket = (h >> np.uint64(8)) % np.uint64(self.buckets)
         order = np.lexsort((pos, doc, bucket))
         cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -232,7 +237,7 @@ def _resolve(first: bool):
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
             at, group = np.flatnonzero(new), np.cumsum(new) - 1
             if first:
-                hit = (doc > doc[at][group]) | (pos > pos[at][group])
+                hit = (doc > doc[at][group]) | (pos >> VERSION > (pos >> VERSION)[at][group])
             else:
                 hit = (np.add.reduceat(many.astype(np.int64) + 1, at)[group] > 1) & (many == 0)
             docs.append(doc[hit])
@@ -249,9 +254,18 @@ def _found(entries: DataFrame, first: bool) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), text.alias("text"), _version(text).alias("v"))
+
+
+def _version(text: Column) -> Column:
+    """Tells apart the texts of one doc_id."""
+    return F.pmod(F.xxhash64(text), F.lit(1 << VERSION))
+
+
+def _own(pos: np.ndarray, v: int) -> np.ndarray:
+    """The positions, of a doc_id's, that are those of version ``v``."""
+    return pos[pos & ((1 << VERSION) - 1) == v] >> VERSION
 
 
 def shared_spans(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
@@ -260,7 +274,7 @@ def shared_spans(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFra
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, out = WordHash(), _Gather(buckets, first=False)
         for df in batches:
-            ids, texts = df["doc"].to_numpy(), df["text"].tolist()
+            ids, texts, v = df["doc"].to_numpy(), df["text"].tolist(), df["v"].to_numpy()
             for a, b in chunks(texts):
                 words, n = hash_words([t.encode().split() for t in texts[a:b]], memo)
                 lo, hi, name = spans(words, n, window)
@@ -269,7 +283,8 @@ def shared_spans(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFra
                     doc = np.searchsorted(np.cumsum(n), lo, side="right")
                     h = mix(SpanHash(words, _BASE)(lo, hi) + name * GOLD)
                     c = np.zeros(len(h), np.uint32)
-                    yield from out.add(h, c, ids[a:b][doc], (lo - starts[doc]) * 64 + hi - lo)
+                    pos = (lo - starts[doc]) * 64 + hi - lo
+                    yield from out.add(h, c, ids[a:b][doc], pos << VERSION | v[a:b][doc])
         if out.size:
             yield out.flush()
 
@@ -295,19 +310,20 @@ def repeated_windows(docs: DataFrame, shared: DataFrame, buckets: int, window: i
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = _Gather(buckets, first=True)
         for df in batches:
-            ids, texts, found = df["doc"].to_numpy(), df["text"].tolist(), df["pos"].tolist()
+            ids, texts, v = df["doc"].to_numpy(), df["text"].tolist(), df["v"].to_numpy()
+            found = [_own(np.asarray(p, np.int64), x) for p, x in zip(df["pos"], v.tolist())]
             for a, b in chunks(texts):
                 split = [t.encode().split() for t in texts[a:b]]
                 n = np.fromiter(map(len, split), np.int64, b - a)
                 starts, total = np.cumsum(n) - n, int(n.sum())
                 doc = np.repeat(np.arange(b - a), n)
-                pos = np.concatenate([np.asarray(p, np.int64) + 64 * s for p, s in zip(found[a:b], starts)])
+                pos = np.concatenate([p + 64 * s for p, s in zip(found[a:b], starts)])
                 fits = np.arange(total) + window <= np.repeat(np.cumsum(n), n)
                 at = np.flatnonzero(fits & _covered(pos >> 6, (pos >> 6) + (pos & 63), total, window))
                 if len(at):
                     place = at - starts[doc[at]]
                     digest = np.frombuffer(_digests(split, doc[at], place, window), [("h", "<u8"), ("c", "<u4")])
-                    yield from out.add(digest["h"], digest["c"], ids[a:b][doc[at]], place)
+                    yield from out.add(digest["h"], digest["c"], ids[a:b][doc[at]], place << VERSION | v[a:b][doc[at]])
         if out.size:
             yield out.flush()
 
@@ -315,12 +331,13 @@ def repeated_windows(docs: DataFrame, shared: DataFrame, buckets: int, window: i
     return _found(texts.mapInPandas(emit, _ROWS), first=True)
 
 
-def _cut(text: str, pos, window: int) -> tuple[int, int, str]:
+def _cut(text: str, pos, v: int, window: int) -> tuple[int, int, str]:
     words = text.encode().split()
     gone = np.zeros(len(words) + 1, np.int64)
     if pos is not None:
-        np.add.at(gone, np.asarray(pos), 1)
-        np.add.at(gone, np.asarray(pos) + window, -1)
+        at = _own(np.asarray(pos, np.int64), v)
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + window, -1)
     kept = [w for w, g in zip(words, np.cumsum(gone).tolist()) if not g]
     return len(words), len(words) - len(kept), b" ".join(kept).decode()
 
@@ -335,8 +352,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeats = materialize(repeated_windows(docs, shared, buckets, window), "repeats")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
-    def cut(text: pd.Series, pos: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_cut(t, p, window) for t, p in zip(text, pos)], columns=["n_words", "n_removed", "kept"])
+    def cut(text: pd.Series, pos: pd.Series, v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_cut(t, p, x, window) for t, p, x in zip(text, pos, v)], columns=["n_words", "n_removed", "kept"])
 
     keyed = docs.select(
         F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc")
@@ -344,7 +361,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ids = repeats.select("doc")
     touched = only_ids(keyed, ids, "doc").join(repeats, "doc").select("row", "pos")
     rest = only_ids(keyed, ids, "doc", without=True).select("row", F.lit(None).cast("array<long>").alias("pos"))
-    out = touched.unionByName(rest).withColumn("c", cut(F.coalesce("row.text", F.lit("")), F.col("pos")))
+    text = F.coalesce("row.text", F.lit(""))
+    out = touched.unionByName(rest).withColumn("c", cut(text, F.col("pos"), _version(text)))
     return out.select("row", "c.*")
 
 
