@@ -39,34 +39,41 @@ def prove_whole_tokens(tokenizer) -> set[str]:
     return {t for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)) if len(e.ids) == 1}
 
 
-def _load(source: bytes):
+def proven(source: bytes) -> tuple[bytes, frozenset[str]]:
+    """A tokenizer file's bytes and the strings that it encodes as one token: made once, before any counting."""
+    from tokenizers import Tokenizer
+
+    return source, frozenset(prove_whole_tokens(Tokenizer.from_buffer(source)))
+
+
+def _load(source: bytes, whole: frozenset[str]):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     key = hash(source)
     if key not in _state:
         tok = Tokenizer.from_buffer(source)
-        whole = prove_whole_tokens(tok)
         _state.clear()
-        _state[key] = (tok, whole, dict.fromkeys(whole, 1), [t.content for t in tok.get_added_tokens_decoder().values()])
+        _state[key] = (tok, dict.fromkeys(whole, 1), [t.content for t in tok.get_added_tokens_decoder().values()])
     return _state[key]
 
 
-def count_texts(source: bytes, texts: list[str]) -> list[int]:
-    """Tokens of each text, for a byte-level BPE in the tokenizers' JSON form."""
-    tok, whole, memo, special = _load(source)
+def count_texts(proof: tuple[bytes, frozenset[str]], texts: list[str]) -> list[int]:
+    """Tokens of each text, for a byte-level BPE in the tokenizers' JSON form, as ``proven``."""
+    tok, memo, special = _load(*proof)
+    firsts = {s[0] for s in special}
     odd, split = classes()[2], byte_level()
     out = []
     for a, b in chunks(texts):
         if len(memo) > MEMO_LIMIT:
             memo.clear()
-            memo.update(dict.fromkeys(whole, 1))
+            memo.update(dict.fromkeys(proof[1], 1))
         parts: list = []
         for t in texts[a:b]:
             n, pieces = 0, [t]
             if odd.search(t):
                 n, pieces = len(tok.encode(t, add_special_tokens=False).ids), []
-            elif "<" in t:  # every special string has one
+            elif any(c in t for c in firsts):
                 for s in special:
                     pieces = [y for x in pieces for y in x.split(s)]
                 n = len(pieces) - 1
@@ -82,12 +89,12 @@ def count_texts(source: bytes, texts: list[str]) -> list[int]:
 def token_counter(spark, path: str) -> Column:
     """A function of a text column giving its number of tokens (long)."""
     with open(path, "rb") as f:  # a vocabulary file: its size is fixed, about 2 MB
-        source = spark.sparkContext.broadcast(f.read())
+        proof = spark.sparkContext.broadcast(proven(f.read()))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(count_texts(source.value, s.tolist()), dtype="int64")
+            yield pd.Series(count_texts(proof.value, s.tolist()), dtype="int64")
 
     return count
 
