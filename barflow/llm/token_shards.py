@@ -200,6 +200,7 @@ def encode_texts(source: bytes, texts: list[str]) -> Iterator[bytes]:
     """
     tok, memo, special, width = _load(source)
     merge = tok.model.tokenize
+    firsts = {s[0] for s in special}
     odd, split, kind = classes()[2], word_level(), "H" if width == "<u2" else "I"
     for a, b in chunks(texts):
         if len(memo) > MEMO_LIMIT:
@@ -207,7 +208,7 @@ def encode_texts(source: bytes, texts: list[str]) -> Iterator[bytes]:
         parts: list = []
         for t in texts[a:b]:
             plain = unicodedata.is_normalized("NFC", t) and "Σ" not in t and not odd.search(t)
-            if plain and not ("<" in t and any(s in t for s in special)):
+            if plain and not (any(c in t for c in firsts) and any(s in t for s in special)):
                 parts.append(split.findall(t.lower()))
             else:
                 parts.append(np.array(tok.encode(t, add_special_tokens=False).ids, width).tobytes())

@@ -396,6 +396,88 @@ def test_classifiers_on_awkward_rows(spark):
     assert sorted(out.columns) == sorted([*d.columns, "toxic_windows"]) and out.count() == len(rows)
 
 
+AWKWARD = [(i, t, "e") for i, t in enumerate(TEXTS)] + [
+    (None, "one two", "e"), (None, LONG, "e"), (3, "one", "f"), (3, "one", "f"), (8, "another text " + LONG, "e"), (7, LONG, "e"), (5, None, "e"), (-4, LONG + " tail", "e"),
+    (20, " ".join(f"b{i}" for i in range(20)) + " and so on", "e"), (20, " ".join(f"b{i}" for i in range(20)) + " and so on", "e")]
+CLASHES = ["extra", "n_words", "kept", "hits", "hit", "w", "items", "ids", "_row", "failed", "_t", "row", "pos", "doc", "score", "base_failed", "size", "h", "decoded"]
+
+
+def awkward(spark, rows=AWKWARD):
+    d = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    for c in CLASHES[1:]:
+        d = d.withColumn(c, d["extra"])
+    return d
+
+
+def test_awkward_rows_equal_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from barflow.llm import sql
+
+    bench = [(1, " ".join(f"b{i}" for i in range(20))), (2, None), (3, ""), (None, "one two"), (5, "one two")]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    for rows in (AWKWARD, []):
+        d, con = awkward(spark, rows), duckdb.connect()
+        con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "extra"]).astype({"doc_id": "Int64", "text": "string", "extra": "string"}))
+        con.register("benchmark", pd.DataFrame([x for x in bench if x[0] is not None], columns=["item_id", "text"]).astype({"item_id": "int64", "text": "string"}))
+        for name, f in {
+            "op2_quality_rules": lambda: quality_rules.quality_rules_query(d),
+            "op8_decontaminate": lambda: decontaminate.decontaminate_query(d, b.filter("item_id is not null")),
+            "op9_substring_dedup": lambda: substring_dedup.substring_dedup_query(d),
+        }.items():
+            got, cur = f(), con.execute(sql.oracle_sql()[name])
+            names = [c[0] for c in cur.description]
+            want = sorted((tuple(r[names.index(c)] for c in got.columns) for r in cur.fetchall()), key=str)
+            assert sorted(map(tuple, got.collect()), key=str) == want, name
+            if rows and name != "op9_substring_dedup":
+                assert len(want) == len(rows)
+    assert decontaminate.decontaminate_query(awkward(spark), b).count() == len(AWKWARD)
+
+
+def test_awkward_rows_keep_their_columns(spark):
+    d = awkward(spark)
+    b = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string")
+    for f, n in ((quality_rules.keep_documents, None), (near_dedup.keep_one, None), (substring_dedup.remove_repeats, len(AWKWARD)),
+                 (lambda x: decontaminate.remove_documents(x, b), len(AWKWARD) - 2), (lambda x: decontaminate.remove_spans(x, b), len(AWKWARD))):
+        out = f(d).collect()
+        assert not out or list(out[0].asDict()) == d.columns
+        assert n is None or len(out) == n
+        assert all(r[c] in ("e", "f") for r in out for c in CLASHES)
+        assert f(awkward(spark, [])).columns == d.columns and f(awkward(spark, [])).count() == 0
+
+
+def test_awkward_rows_through_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    plain = [(i, t or "") for i, t, _ in AWKWARD]
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_count_query(awkward(spark), P.path("byte_bpe_50k.json")).collect())
+    assert got == Counter((i, len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids)) for i, t in plain)
+    tok, at, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0, Counter()
+    for i, t in sorted(plain, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode())):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want[i, at, len(ids), zlib.crc32(ids.tobytes())] += 1
+        at += len(ids)
+    assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_shards.token_shard_query(awkward(spark), P.path("word_bpe_49k.json")).collect()) == want
+    model = P.path("piece_bpe_32k.model")
+    both = unigram.decode_documents(unigram.encode_documents(awkward(spark), model), model).collect()
+    assert Counter((r.doc_id, r.decoded) for r in both) == Counter((i, t.replace("▁", " ")) for i, t in plain)
+    out = unigram.unigram_query(awkward(spark), model).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter((r.doc_id, r.n_tokens) for r in both)
+    for f in (token_counts.token_count_query, unigram.unigram_query):
+        assert f(awkward(spark, []), model if f is unigram.unigram_query else P.path("byte_bpe_50k.json")).count() == 0
+    assert token_shards.token_shard_query(awkward(spark, []), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_awkward_conversations(spark):
+    rows = [(1, 0, "user", None, "x"), (1, 0, "user", None, "x"), (1, None, None, "no turn", "x"), (None, 1, "assistant", LONG, "x"), (2, 5, "assistant", "a\\<|im_end|>\n<|x", "x"), (2, 5, "user", "", "x")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string")
+    got = {r.conv_id: r for r in chat.chat_query(spark, c).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {1: 3, None: 1, 2: 2, -1: 2}
+    assert got[None].loss_sha256 == hashlib.sha256(LONG.encode()).hexdigest() and got[2].loss_chars == len("a\\<|im_end|>\n<|x")
+
+
 def test_pipeline(spark, tmp_path):
     rnd = np.random.default_rng(0)
     vocabulary = [f"wo{i}" for i in range(900)] + ["the", "and", "of"] * 100
