@@ -478,14 +478,57 @@ def test_awkward_conversations(spark):
     assert got[None].loss_sha256 == hashlib.sha256(LONG.encode()).hexdigest() and got[2].loss_chars == len("a\\<|im_end|>\n<|x")
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline_equals_brute_force_stage_by_stage(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from barflow.llm import sql
+
     rnd = np.random.default_rng(0)
     vocabulary = [f"wo{i}" for i in range(900)] + ["the", "and", "of"] * 100
     texts = [" ".join(rnd.choice(vocabulary, 120)) for _ in range(30)]
-    texts += [texts[0], texts[1] + " the end", "too short", "### $$$ " * 60, None]
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, texts[2])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted(r.doc_id for r in out) == [i for i in range(30) if i != 2]
+    passage = " ".join(rnd.choice(vocabulary, 60))
+    texts += [texts[0], texts[1] + " the end", "too short", "### $$$ " * 60, None, texts[4][: len(texts[4]) // 2] + " " + texts[5], "  " + texts[6].upper().lower() + "\n"]
+    texts += [" ".join(rnd.choice(vocabulary, 80)) + "\n" + passage + " " + " ".join(rnd.choice(vocabulary, 50)) for _ in range(4)]
+    bench = [(1, texts[2]), (2, " ".join(texts[7].split()[30:50])), (3, None)]
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    table = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(table, columns=columns).astype({"text": "string"}))
+    cur = con.execute(sql.oracle_sql()["op2_quality_rules"])
+    at = [c[0] for c in cur.description]
+    kept = {r[at.index("doc_id")]: texts[r[at.index("doc_id")]] for r in cur.fetchall() if r[at.index("kept")]}
+    # one of each group of near copies
+    sets, comp = {i: near_dedup._shingles(near_dedup.words_of(t), 5) for i, t in kept.items()}, {i: i for i in kept}
+    for i in sorted(kept):
+        for j in kept:
+            if i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = {k: new if c == old else c for k, c in comp.items()}
+    kept = {i: t for i, t in kept.items() if comp[i] == i}
+    # no stretch that occurs earlier
+    seen, cut = set(), {}
+    for i in sorted(kept):
+        w, gone = words(kept[i]), set()
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            if g in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(g)
+        cut[i] = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else kept[i]
+    # no contaminated document
+    marks = [norm(t) for _, t in bench if t]
+    windows = {tuple(m[k : k + 13]) for m in marks for k in range(max(len(m) - 12, 1))}
+    for i in list(cut):
+        w = norm(cut[i])
+        hit = {p + q for p in range(len(w)) for q in range(13) if tuple(w[p : p + 13]) in windows}
+        if hit and 20 * len(hit) >= len(w):
+            del cut[i]
+
     c = unigram.codec(open(P.path("piece_bpe_32k.model"), "rb").read())
-    assert all(c.decode(np.array(r.ids)) == texts[r.doc_id] for r in out)
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(cut) and len(cut) < 36 and any(t != kept[i] for i, t in cut.items())
+    assert all(got[i].ids == c.encode(t).tolist() and c.decode(np.array(got[i].ids)) == t for i, t in cut.items())
