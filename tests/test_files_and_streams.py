@@ -160,3 +160,25 @@ def test_null_prices_end_where_the_returns_lead(spark):
     for rep in range(5):
         last = max((r for r in p if r.rep == rep), key=lambda r: r.close_ts)
         assert abs(last.close - 12) < 1e-9  # any order of the returns leads to the same end
+
+
+def test_tables_lie_in_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from barflow.sources import shared
+
+    def session(master, base):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda *_: base))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(session("spark://host:7077", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(session("local-cluster[2,1,1024]", None))
+    assert shared.shared_dir(session("yarn", "hdfs://x/y/")).startswith("hdfs://x/y/barflow-")
+    assert shared.shared_dir(session("local[2]", None)).startswith("file:///")
+    path = shared.shared_dir(spark)
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    shared.delete_dir(spark, path)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
