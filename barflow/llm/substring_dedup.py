@@ -37,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only_ids
+from .common import MAX_BROADCAST_IDS, materialize, only_ids
 from .hashing import GOLD, WordHash, hash_words, mix
 from .pretokens import chunks
 
@@ -48,7 +48,7 @@ WINDOW = 20
 #: Rounds whose symbols are used: the highest first, the next where those leave windows out.
 LEVELS = (6, 5)
 #: Entries that a task gathers before it packs them.
-FLUSH = 1_000_000
+FLUSH = 600_000
 #: Text whose entries go to one bucket, about.
 BUCKET_BYTES = 6_000_000
 _NULL_ID = -(2**63)
@@ -253,14 +253,16 @@ def _found(entries: DataFrame, first: bool) -> DataFrame:
     return hits.groupBy("doc").agg(F.collect_list("pos").alias("pos"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), text.alias("text"), _version(text).alias("v"))
-
-
-def _version(text: Column) -> Column:
-    """Tells apart the texts of one doc_id."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << VERSION))
+def _rows(docs: DataFrame, several: DataFrame | None = None) -> DataFrame:
+    """doc, text, v (tells apart the texts of a doc_id that has several; else 0), and the given row."""
+    text, doc = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc"), text.alias("text"))
+    if several is None:
+        return rows.withColumn("v", F.lit(0).cast("long"))
+    apart = several.select("doc", F.lit(True).alias("apart"))
+    rows = rows.join(F.broadcast(apart) if apart.count() <= MAX_BROADCAST_IDS else apart, "doc", "left")
+    version = F.when(F.col("apart"), F.pmod(F.xxhash64("text"), F.lit(1 << VERSION)))
+    return rows.select("row", "doc", "text", F.coalesce(version, F.lit(0).cast("long")).alias("v"))
 
 
 def _own(pos: np.ndarray, v: int) -> np.ndarray:
@@ -268,7 +270,7 @@ def _own(pos: np.ndarray, v: int) -> np.ndarray:
     return pos[pos & ((1 << VERSION) - 1) == v] >> VERSION
 
 
-def shared_spans(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+def shared_spans(rows: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
     """Steps 1 and 2: doc, pos (64 * start + length) of the spans that occur twice or more."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,7 +290,7 @@ def shared_spans(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFra
         if out.size:
             yield out.flush()
 
-    return _found(_rows(docs).mapInPandas(emit, _ROWS), first=False)
+    return _found(rows.select("doc", "text", "v").mapInPandas(emit, _ROWS), first=False)
 
 
 def _digests(split: list[list[bytes]], doc: np.ndarray, place: np.ndarray, window: int) -> bytes:
@@ -304,7 +306,7 @@ def _digests(split: list[list[bytes]], doc: np.ndarray, place: np.ndarray, windo
     return b"".join(out)
 
 
-def repeated_windows(docs: DataFrame, shared: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+def repeated_windows(rows: DataFrame, shared: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
     """Step 3: doc, pos (starts) of the windows whose words also start earlier."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,7 +329,7 @@ def repeated_windows(docs: DataFrame, shared: DataFrame, buckets: int, window: i
         if out.size:
             yield out.flush()
 
-    texts = only_ids(_rows(docs), shared.select("doc"), "doc").join(shared, "doc")
+    texts = only_ids(rows.select("doc", "text", "v"), shared.select("doc"), "doc").join(shared, "doc")
     return _found(texts.mapInPandas(emit, _ROWS), first=True)
 
 
@@ -346,23 +348,23 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Step 4: one row per row of ``docs``: row (struct of its columns), n_words, n_removed, kept (text)."""
     rows = _rows(docs)
     # a bucket holds the entries of about BUCKET_BYTES of text, however long its documents are
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    shared = materialize(shared_spans(docs, buckets, window), "shared")
-    repeats = materialize(repeated_windows(docs, shared, buckets, window), "repeats")
+    text = F.xxhash64("text")
+    each = rows.groupBy("doc").agg(F.sum(F.octet_length("text")).alias("size"), F.min(text).alias("a"), F.max(text).alias("z"))
+    size, apart = each.agg(F.sum("size"), F.sum((F.col("a") != F.col("z")).cast("long"))).first()
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // BUCKET_BYTES)
+    if apart:
+        rows = _rows(docs, materialize(each.filter("a <> z").select("doc"), "several"))
+    shared = materialize(shared_spans(rows, buckets, window), "shared")
+    repeats = materialize(repeated_windows(rows, shared, buckets, window), "repeats")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(text: pd.Series, pos: pd.Series, v: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_cut(t, p, x, window) for t, p, x in zip(text, pos, v)], columns=["n_words", "n_removed", "kept"])
 
-    keyed = docs.select(
-        F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc")
-    )
-    ids = repeats.select("doc")
-    touched = only_ids(keyed, ids, "doc").join(repeats, "doc").select("row", "pos")
-    rest = only_ids(keyed, ids, "doc", without=True).select("row", F.lit(None).cast("array<long>").alias("pos"))
-    text = F.coalesce("row.text", F.lit(""))
-    out = touched.unionByName(rest).withColumn("c", cut(text, F.col("pos"), _version(text)))
+    ids, keyed = repeats.select("doc"), rows.select("row", "doc", "v")
+    touched = only_ids(keyed, ids, "doc").join(repeats, "doc").select("row", "pos", "v")
+    rest = only_ids(keyed, ids, "doc", without=True).select("row", F.lit(None).cast("array<long>").alias("pos"), "v")
+    out = touched.unionByName(rest).withColumn("c", cut(F.coalesce("row.text", F.lit("")), F.col("pos"), F.col("v")))
     return out.select("row", "c.*")
 
 
