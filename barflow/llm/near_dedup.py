@@ -34,8 +34,8 @@ component; a text with fewer words than a shingle is one shingle; rows that shar
 ``doc_id``, so it joins what any of its texts is linked with, while ``keep_one`` follows the
 texts alone and removes the rows that are near copies, not others of their ``doc_id`` (rows
 equal in ``doc_id`` and text stay or go together); a null ``doc_id`` is linked with nothing
-and has a null component; empty tables work; extra columns are kept by ``keep_one``, whatever
-their names; ``near_duplicates`` reads ``doc_id`` and ``text`` only.
+and has a null component; empty tables work; extra columns of any
+name are kept by ``keep_one``; ``near_duplicates`` reads ``doc_id`` and ``text`` only.
 """
 
 from __future__ import annotations

@@ -195,7 +195,7 @@ class _Gather:
         group = np.cumsum(new) - 1
         at = np.flatnonzero(new)
         many = np.diff(np.append(at, len(h))) > 1
-        if self.first:  # all but the first are repeats, whatever other tasks hold
+        if self.first:  # all but the first are repeats, also if another task holds an earlier one
             known = (doc > doc[at][group]) | (pos >> VERSION > (pos >> VERSION)[at][group])
             at = np.flatnonzero(~known & (new | (np.diff(pos, prepend=-1) != 0)))  # every version of the first
             many = many[group]
