@@ -27,6 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def delete_dir(spark: SparkSession, path: str) -> None:
-    """Remove a folder from whatever store it lies in."""
+    """Remove a folder, in the store that its path names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
