@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .pretokens import chunks, classes, word_level
+from .pretokens import classes, word_level
 
 MAGIC = b"WVM1"
 #: Ids in a shard, at least, unless the data end: 2 bytes each, so that work stays in cache.
@@ -177,6 +177,21 @@ def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return rest[2 * bits : 2 * bits + docs], rest[2 * bits + docs :], WaveletMatrix(n, planes, rest[:bits].tolist(), list(ones))
 
 
+class Merged(dict):
+    """Pre-token -> its ids' bytes, merged by the library's model when first asked for; forgets all at ``MEMO_LIMIT``."""
+
+    def __init__(self, merge, kind: str):
+        super().__init__()
+        self.merge, self.kind = merge, kind
+
+    def __missing__(self, w: str) -> bytes:
+        if len(self) >= MEMO_LIMIT:
+            self.clear()
+        t = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_BYTES)
+        ids = self[w] = array(self.kind, [x.id for x in self.merge(t)]).tobytes()
+        return ids
+
+
 def _load(source: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -186,7 +201,8 @@ def _load(source: bytes):
         _state.clear()
         tok = Tokenizer.from_buffer(source)
         width = "<u2" if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        _state[key] = tok, {}, [t.content for t in tok.get_added_tokens_decoder().values()], width
+        merged = Merged(tok.model.tokenize, "H" if width == "<u2" else "I")
+        _state[key] = tok, merged, [t.content for t in tok.get_added_tokens_decoder().values()], width
     return _state[key]
 
 
@@ -198,26 +214,14 @@ def encode_texts(source: bytes, texts: list[str]) -> Iterator[bytes]:
     that normalisation would recompose, or a capital sigma (whose lower case depends on
     context) are encoded whole by the library.
     """
-    tok, memo, special, width = _load(source)
-    merge = tok.model.tokenize
-    firsts = {s[0] for s in special}
-    odd, split, kind = classes()[2], word_level(), "H" if width == "<u2" else "I"
-    for a, b in chunks(texts):
-        if len(memo) > MEMO_LIMIT:
-            memo.clear()
-        parts: list = []
-        for t in texts[a:b]:
-            plain = unicodedata.is_normalized("NFC", t) and "Σ" not in t and not odd.search(t)
-            if plain and not (any(c in t for c in firsts) and any(s in t for s in special)):
-                parts.append(split.findall(t.lower()))
-            else:
-                parts.append(np.array(tok.encode(t, add_special_tokens=False).ids, width).tobytes())
-        new = list(set().union(*(p for p in parts if isinstance(p, list))) - memo.keys())
-        for w in new:
-            t = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_BYTES)
-            memo[w] = array(kind, [x.id for x in merge(t)]).tobytes()
-        for p in parts:
-            yield b"".join(map(memo.__getitem__, p)) if isinstance(p, list) else p
+    tok, merged, special, width = _load(source)
+    firsts, odd, split, ids = {s[0] for s in special}, classes()[2], word_level(), merged.__getitem__
+    for t in texts:
+        plain = unicodedata.is_normalized("NFC", t) and "Σ" not in t and not odd.search(t)
+        if plain and not (any(c in t for c in firsts) and any(s in t for s in special)):
+            yield b"".join(map(ids, split.findall(t.lower())))
+        else:
+            yield np.array(tok.encode(t, add_special_tokens=False).ids, width).tobytes()
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
