@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_query
 from .common import table
 from .decontaminate import decontaminate_query
+from .divergence import divergence_query
+from .mixing import mixing_query
 from .near_dedup import near_dedup_query
 from .quality_crf import quality_query
 from .quality_rules import quality_rules_query
+from .repair import repair_query
 from .substring_dedup import substring_dedup_query
 from .token_counts import token_count_query
 from .token_shards import token_shard_query
@@ -66,8 +69,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_query(spark, table(spark, sf_dir, "conversations"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_query(table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_query(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_query(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_crf, op2_quality_rules, op3_toxicity, op4_sentencepiece, op5_token_shards, op6_near_dedup, op7_token_counts, op8_decontaminate,
-        op9_substring_dedup, op10_chat_format,
+        op9_substring_dedup, op10_chat_format, op11_divergence, op12_mixing, op13_repair,
     )}

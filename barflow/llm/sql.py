@@ -124,5 +124,63 @@ FROM d LEFT JOIN kept ON d.rid = kept.rid
 """
 
 
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT rid, lang, source, unnest(w) AS term FROM d), vocab AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10
+), g AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) g JOIN vocab v ON g.lang = v.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w)::HUGEINT AS p
+  FROM g WINDOW w AS (PARTITION BY lang, source)
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w)::HUGEINT AS q
+  FROM vocab WINDOW w AS (PARTITION BY lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(v, 0) AS value
+  FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source AS s1, y.source AS s2, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS v
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) z ON z.lang = a.lang AND z.s1 = a.source AND z.s2 = b.source
+), tops AS (
+  SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q
+), every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM tops)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 10
+"""
+
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
+    md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CASE row_number() OVER (ORDER BY source NULLS LAST) % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS w FROM d GROUP BY source
+), l AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS ws,
+    coalesce(sum(2 * source_size) OVER o, 0) AS full_before, coalesce(sum(w) OVER o, 0) AS w_before
+  FROM s WINDOW o AS (ORDER BY 2 * source_size * (10 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), g AS (
+  SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE),
+    max(CAST(3 * total - 2 * full_before AS DOUBLE) / CAST(2 * (ws - w_before) AS DOUBLE)) OVER () * w) AS target FROM l
+), b AS (
+  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) // greatest(source_size, 1) AS whole,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(whole * size + greatest(least(CAST(floor(target) AS BIGINT) - whole * source_size - before, size), 0) AS BIGINT) AS taken
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op6_near_dedup": OP6, "op8_decontaminate": OP8, "op9_substring_dedup": OP9, "op10_chat_format": OP10}
+    return {"op2_quality_rules": OP2, "op6_near_dedup": OP6, "op8_decontaminate": OP8, "op9_substring_dedup": OP9, "op10_chat_format": OP10,
+            "op11_divergence": OP11, "op12_mixing": OP12}
