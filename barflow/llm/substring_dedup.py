@@ -20,13 +20,18 @@ Finding repeats then takes these steps, each a Spark job over all documents:
 4. words that a repeat covers are cut.
 
 What is compared goes by hash bucket in packed arrays, after each task has dropped its own
-repeats: a name that a third of all documents share is one entry per task. Document text
-is shuffled only for documents with shared spans.
+repeats: a name that a third of all documents share is one entry per task. Where there are
+more than ``ROUTES`` buckets, entries go by range of buckets first, are gathered and dropped
+once more there, and reach their buckets in a second step, so that neither rows become tiny
+nor a name that every task knows arrives once for each of them. Document text is shuffled
+only for documents with shared spans, and for those that share a ``doc_id``.
 
 Edge cases: null and short texts have no window; rows with one ``doc_id`` count as one
 document's versions: each is cut by its own text, and what stands at one start in several
-of them is no repeat; a null ``doc_id`` counts as the smallest; empty tables work; extra columns are kept by ``remove_repeats``, whose ``text``
-becomes the kept words with one space between where words went, and stays as it was elsewhere.
+of them is no repeat; their distinct texts are numbered, and positions belong to a number. A
+null ``doc_id`` counts as the smallest; empty tables work; extra columns are kept by
+``remove_repeats``, whose ``text`` becomes the kept words with one space between where words
+went, and stays as it was elsewhere.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_IDS, materialize, only_ids
+from .common import materialize, only_ids, parallelism
 from .hashing import GOLD, WordHash, hash_words, mix
 from .pretokens import chunks
 
@@ -53,8 +58,8 @@ FLUSH = 600_000
 BUCKET_BYTES = 6_000_000
 _NULL_ID = -(2**63)
 _FAR = 1 << 40
-#: Bits of a position that tell which text of a doc_id it is of.
-VERSION = 20
+#: Ranges of buckets that entries are dealt to at once, and tasks that share one range.
+ROUTES, SALTS = 256, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,15 +161,19 @@ def spans(words: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _pack(h, c, doc, pos, many) -> bytes:
-    parts = [np.ascontiguousarray(x, t).tobytes() for x, t in ((h, "<u8"), (c, "<u4"), (doc, "<i8"), (pos, "<i8"), (many, "<u1"))]
-    return zstandard.ZstdCompressor(level=1).compress(len(h).to_bytes(8, "little") + b"".join(parts))
+_FIELDS = ("<u8", "<u4", "<i8", "<i8", "<i8", "<u1")
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """h, c (what is compared), doc, tid (which text of it), pos, many (whether another stood for it already)."""
+    parts = [np.ascontiguousarray(x, t).tobytes() for x, t in zip(arrays, _FIELDS)]
+    return zstandard.ZstdCompressor(level=1).compress(len(arrays[0]).to_bytes(8, "little") + b"".join(parts))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 8, []
     n = int.from_bytes(raw[:8], "little")
-    for t in ("<u8", "<u4", "<i8", "<i8", "<u1"):
+    for t in _FIELDS:
         out.append(np.frombuffer(raw, t, n, at))
         at += n * np.dtype(t).itemsize
     return tuple(out)
@@ -173,110 +182,153 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
 _ROWS = "bucket int, known boolean, data binary"
 
 
+def _sorted(parts: list[tuple]) -> tuple:
+    """The entries by what is compared, then by place; where each group starts, and each entry's group."""
+    h, c, doc, tid, pos, many = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((tid, pos, doc, c, h))
+    h, c, doc, tid, pos, many = (x[order] for x in (h, c, doc, tid, pos, many))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    return (h, c, doc, tid, pos, many), np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _repeats(entries: tuple, at: np.ndarray, group: np.ndarray, first: bool) -> np.ndarray:
+    """Which entries are repeats (``first``: of an earlier place; else of any other) and were not told before."""
+    _, _, doc, _, pos, many = entries
+    if first:
+        return (doc > doc[at][group]) | (pos > pos[at][group])
+    return (np.add.reduceat(many.astype(np.int64) + 1, at)[group] > 1) & (many == 0)
+
+
 class _Gather:
-    """Collects entries of a task, drops its own repeats, and packs the rest by bucket."""
+    """Collects entries of a task, drops its own repeats, and packs the rest by bucket or by range of buckets."""
 
-    def __init__(self, buckets: int, first: bool):
-        self.buckets, self.first, self.parts, self.size = buckets, first, [], 0
+    def __init__(self, buckets: int, first: bool, step: int, most: int):
+        self.buckets, self.first, self.step, self.most, self.parts, self.size = buckets, first, step, most, [], 0
 
-    def add(self, h, c, doc, pos) -> Iterator[pd.DataFrame]:
-        self.parts.append((h, c, doc, pos))
-        self.size += len(h)
-        if self.size >= FLUSH:
-            yield self.flush()
+    def add(self, *entries: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.parts.append(entries)
+        self.size += len(entries[0])
+        if self.size >= self.most:
+            yield from self.flush()
 
-    def flush(self) -> pd.DataFrame:
-        h, c, doc, pos = (np.concatenate(x) for x in zip(*self.parts))
+    def flush(self) -> Iterator[pd.DataFrame]:
+        if not self.size:
+            return
+        entries, at, group = _sorted(self.parts)
         self.parts, self.size = [], 0
-        order = np.lexsort((pos, doc, c, h))
-        h, c, doc, pos = h[order], c[order], doc[order], pos[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        group = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        many = np.diff(np.append(at, len(h))) > 1
-        if self.first:  # all but the first are repeats, also if another task holds an earlier one
-            known = (doc > doc[at][group]) | (pos >> VERSION > (pos >> VERSION)[at][group])
-            at = np.flatnonzero(~known & (new | (np.diff(pos, prepend=-1) != 0)))  # every version of the first
-            many = many[group]
-        else:
-            known = many[group]
-            many = many[group]
+        known = _repeats(entries, at, group, self.first)
+        bucket = ((entries[0] >> np.uint64(8)) % np.uint64(self.buckets)).astype(np.int64) // self.step * self.step
         rows = []
         if known.any():  # settled here: it passes through any bucket
             k = np.flatnonzero(known)
-            k = k[np.lexsort((pos[k], doc[k]))]
+            k = k[np.lexsort((entries[4][k], entries[3][k], entries[2][k]))]
             none = np.zeros(len(k), np.uint8)
-            rows.append((int(h[0] % np.uint64(self.buckets)), True, _pack(none, none, doc[k], pos[k], none)))
-        h, c, doc, pos, many = h[at], c[at], doc[at], pos[at], many[at]
-        bucket = (h >> np.uint64(8)) % np.uint64(self.buckets)
-        order = np.lexsort((pos, doc, bucket))
-        cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            i = order[cut[b] : cut[b + 1]]
-            if len(i):
-                rows.append((b, False, _pack(h[i], c[i], doc[i], pos[i], many[i])))
-        return pd.DataFrame(rows, columns=["bucket", "known", "data"])
+            rows.append((int(bucket[0]), True, _pack(none, none, *(entries[i][k] for i in (2, 3, 4)), none)))
+        if self.first:
+            stay = np.flatnonzero(~known)  # the first place, in all texts that have it there
+        else:
+            stay, more = at, np.bincount(group[known], minlength=len(at)) > 0
+            entries = *entries[:5], (entries[5] | more[group]).astype(np.uint8)
+        order = stay[np.lexsort((entries[4][stay], entries[2][stay], bucket[stay]))]
+        cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+            i = order[a:b]
+            rows.append((int(bucket[i[0]]), False, _pack(*(x[i] for x in entries))))
+        yield pd.DataFrame(rows, columns=["bucket", "known", "data"])
 
 
 def _resolve(first: bool):
-    """What is repeated among the entries of a bucket: doc, pos."""
+    """What is repeated among the entries of a bucket: doc, tid, pos."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for data in pdf.loc[pdf["known"], "data"]:
-            _, _, doc, pos, _ = _unpack(data)
-            docs.append(doc)
-            places.append(pos)
+        found = [_unpack(data)[2:5] for data in pdf.loc[pdf["known"], "data"]]
         packed = [_unpack(x) for x in pdf.loc[~pdf["known"], "data"]]
         if packed:
-            h, c, doc, pos, many = (np.concatenate(x) for x in zip(*packed))
-            order = np.lexsort((pos, doc, c, h))
-            h, c, doc, pos, many = h[order], c[order], doc[order], pos[order], many[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            at, group = np.flatnonzero(new), np.cumsum(new) - 1
-            if first:
-                hit = (doc > doc[at][group]) | (pos >> VERSION > (pos >> VERSION)[at][group])
-            else:
-                hit = (np.add.reduceat(many.astype(np.int64) + 1, at)[group] > 1) & (many == 0)
-            docs.append(doc[hit])
-            places.append(pos[hit])
-        return pd.DataFrame({"doc": np.concatenate(docs), "pos": np.concatenate(places)})
+            entries, at, group = _sorted(packed)
+            hit = _repeats(entries, at, group, first)
+            found.append(tuple(x[hit] for x in entries[2:5]))
+        doc, tid, pos = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"doc": doc, "tid": tid, "pos": pos})
 
     return one
 
 
-def _found(entries: DataFrame, first: bool) -> DataFrame:
-    """doc, pos array<long>: what is repeated, of packed entries; one row per document."""
-    hits = entries.groupBy("bucket").applyInPandas(_resolve(first), "doc long, pos long")
-    return hits.groupBy("doc").agg(F.collect_list("pos").alias("pos"))
-
-
-def _rows(docs: DataFrame, several: DataFrame | None = None) -> DataFrame:
-    """doc, text, v (tells apart the texts of a doc_id that has several; else 0), and the given row."""
-    text, doc = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc"), text.alias("text"))
-    if several is None:
-        return rows.withColumn("v", F.lit(0).cast("long"))
-    apart = several.select("doc", F.lit(True).alias("apart"))
-    rows = rows.join(F.broadcast(apart) if apart.count() <= MAX_BROADCAST_IDS else apart, "doc", "left")
-    version = F.when(F.col("apart"), F.pmod(F.xxhash64("text"), F.lit(1 << VERSION)))
-    return rows.select("row", "doc", "text", F.coalesce(version, F.lit(0).cast("long")).alias("v"))
-
-
-def _own(pos: np.ndarray, v: int) -> np.ndarray:
-    """The positions, of a doc_id's, that are those of version ``v``."""
-    return pos[pos & ((1 << VERSION) - 1) == v] >> VERSION
-
-
-def shared_spans(rows: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
-    """Steps 1 and 2: doc, pos (64 * start + length) of the spans that occur twice or more."""
+def _step(buckets: int) -> int:
+    """Buckets of a range: 1 while there are ``ROUTES`` at most."""
+    return -(-buckets // ROUTES)
+
+
+def _found(entries: DataFrame, buckets: int, first: bool) -> DataFrame:
+    """doc, tid, pos array<long>: what is repeated, of packed entries; one row per text."""
+    if _step(buckets) > 1:
+
+        def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out, now = _Gather(buckets, first, 1, FLUSH), None
+            for df in batches:
+                yield df[df["known"]]
+                for b, data in df.loc[~df["known"], ["bucket", "data"]].itertuples(index=False):
+                    if b != now:
+                        yield from out.flush()
+                        now = b
+                    yield from out.add(*_unpack(data))
+            yield from out.flush()
+
+        n = parallelism(entries.sparkSession, ROUTES * SALTS, 1)
+        salted = entries.withColumn("_salt", F.spark_partition_id() % SALTS).repartition(n, "bucket", "_salt")
+        entries = salted.sortWithinPartitions("bucket").drop("_salt").mapInPandas(again, _ROWS)
+    hits = entries.groupBy("bucket").applyInPandas(_resolve(first), "doc long, tid long, pos long")
+    return hits.groupBy("doc", "tid").agg(F.collect_list("pos").alias("pos"))
+
+
+class Texts:
+    """The texts of a table: most of a ``doc_id`` of their own (tid 0), some numbered within a shared one."""
+
+    def __init__(self, docs: DataFrame):
+        text, doc = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+        rows = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc"), text.alias("text"))
+        each = rows.groupBy("doc").agg(F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("n"))
+        size, apart = each.agg(F.sum("size"), F.sum((F.col("n") > 1).cast("long"))).first()
+        self.size, self.shared = size or 0, None
+        self.single = rows
+        if apart:
+            ids = materialize(each.filter("n > 1").select("doc"), "several")
+            self.single = only_ids(rows, ids, "doc", without=True)
+            self.shared = only_ids(rows, ids, "doc")
+            versions = materialize(self.shared.select("doc", "text").distinct(), "distinct")
+            self.versions = materialize(versions.withColumn("tid", F.monotonically_increasing_id() + 1), "versions")
+
+    def all(self) -> DataFrame:
+        """doc, tid, text of every distinct text."""
+        texts = self.single.select("doc", F.lit(0).cast("long").alias("tid"), "text")
+        return texts if self.shared is None else texts.unionByName(self.versions)
+
+    def having(self, found: DataFrame) -> DataFrame:
+        """doc, tid, text, pos of the texts in a stored table of doc, tid, pos."""
+        own = found.filter("tid = 0").drop("tid")
+        texts = only_ids(self.single.select("doc", "text"), own.select("doc"), "doc").join(own, "doc")
+        texts = texts.select("doc", F.lit(0).cast("long").alias("tid"), "text", "pos")
+        return texts if self.shared is None else texts.unionByName(self.versions.join(found.drop("doc"), "tid").select("doc", "tid", "text", "pos"))
+
+    def rows(self, found: DataFrame) -> DataFrame:
+        """row, pos (null where nothing was found) of every row."""
+        own, keyed = found.filter("tid = 0").select("doc", "pos"), self.single.select("row", "doc")
+        touched = only_ids(keyed, own.select("doc"), "doc").join(own, "doc").select("row", "pos")
+        out = touched.unionByName(only_ids(keyed, own.select("doc"), "doc", without=True).select("row", F.lit(None).cast("array<long>").alias("pos")))
+        if self.shared is None:
+            return out
+        numbered = self.shared.join(self.versions, ["doc", "text"]).select("row", "tid")
+        return out.unionByName(numbered.join(found.filter("tid > 0").select("tid", "pos"), "tid", "left").select("row", "pos"))
+
+
+def shared_spans(texts: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+    """Steps 1 and 2: doc, tid, pos (64 * start + length) of the spans that occur twice or more."""
+    step = _step(buckets)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, out = WordHash(), _Gather(buckets, first=False)
+        memo, out = WordHash(), _Gather(buckets, False, step, FLUSH)
         for df in batches:
-            ids, texts, v = df["doc"].to_numpy(), df["text"].tolist(), df["v"].to_numpy()
+            ids, tids, texts = df["doc"].to_numpy(), df["tid"].to_numpy(), df["text"].tolist()
             for a, b in chunks(texts):
                 words, n = hash_words([t.encode().split() for t in texts[a:b]], memo)
                 lo, hi, name = spans(words, n, window)
@@ -284,13 +336,11 @@ def shared_spans(rows: DataFrame, buckets: int, window: int = WINDOW) -> DataFra
                     starts = np.cumsum(n) - n
                     doc = np.searchsorted(np.cumsum(n), lo, side="right")
                     h = mix(SpanHash(words, _BASE)(lo, hi) + name * GOLD)
-                    c = np.zeros(len(h), np.uint32)
                     pos = (lo - starts[doc]) * 64 + hi - lo
-                    yield from out.add(h, c, ids[a:b][doc], pos << VERSION | v[a:b][doc])
-        if out.size:
-            yield out.flush()
+                    yield from out.add(h, np.zeros(len(h), np.uint32), ids[a:b][doc], tids[a:b][doc], pos, np.zeros(len(h), np.uint8))
+        yield from out.flush()
 
-    return _found(rows.select("doc", "text", "v").mapInPandas(emit, _ROWS), first=False)
+    return _found(texts.select("doc", "tid", "text").mapInPandas(emit, _ROWS), buckets, first=False)
 
 
 def _digests(split: list[list[bytes]], doc: np.ndarray, place: np.ndarray, window: int) -> bytes:
@@ -306,14 +356,15 @@ def _digests(split: list[list[bytes]], doc: np.ndarray, place: np.ndarray, windo
     return b"".join(out)
 
 
-def repeated_windows(rows: DataFrame, shared: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
-    """Step 3: doc, pos (starts) of the windows whose words also start earlier."""
+def repeated_windows(texts: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+    """Step 3: doc, tid, pos (starts) of the windows whose words also start earlier, of texts with their shared spans."""
+    step = _step(buckets)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = _Gather(buckets, first=True)
+        out = _Gather(buckets, True, step, FLUSH)
         for df in batches:
-            ids, texts, v = df["doc"].to_numpy(), df["text"].tolist(), df["v"].to_numpy()
-            found = [_own(np.asarray(p, np.int64), x) for p, x in zip(df["pos"], v.tolist())]
+            ids, tids, texts = df["doc"].to_numpy(), df["tid"].to_numpy(), df["text"].tolist()
+            found = [np.asarray(p, np.int64) for p in df["pos"]]
             for a, b in chunks(texts):
                 split = [t.encode().split() for t in texts[a:b]]
                 n = np.fromiter(map(len, split), np.int64, b - a)
@@ -325,19 +376,17 @@ def repeated_windows(rows: DataFrame, shared: DataFrame, buckets: int, window: i
                 if len(at):
                     place = at - starts[doc[at]]
                     digest = np.frombuffer(_digests(split, doc[at], place, window), [("h", "<u8"), ("c", "<u4")])
-                    yield from out.add(digest["h"], digest["c"], ids[a:b][doc[at]], place << VERSION | v[a:b][doc[at]])
-        if out.size:
-            yield out.flush()
+                    yield from out.add(digest["h"], digest["c"], ids[a:b][doc[at]], tids[a:b][doc[at]], place, np.zeros(len(at), np.uint8))
+        yield from out.flush()
 
-    texts = only_ids(rows.select("doc", "text", "v"), shared.select("doc"), "doc").join(shared, "doc")
-    return _found(texts.mapInPandas(emit, _ROWS), first=True)
+    return _found(texts.select("doc", "tid", "text", "pos").mapInPandas(emit, _ROWS), buckets, first=True)
 
 
-def _cut(text: str, pos, v: int, window: int) -> tuple[int, int, str]:
+def _cut(text: str, pos, window: int) -> tuple[int, int, str]:
     words = text.encode().split()
     gone = np.zeros(len(words) + 1, np.int64)
     if pos is not None:
-        at = _own(np.asarray(pos, np.int64), v)
+        at = np.asarray(pos, np.int64)
         np.add.at(gone, at, 1)
         np.add.at(gone, at + window, -1)
     kept = [w for w, g in zip(words, np.cumsum(gone).tolist()) if not g]
@@ -346,25 +395,17 @@ def _cut(text: str, pos, v: int, window: int) -> tuple[int, int, str]:
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Step 4: one row per row of ``docs``: row (struct of its columns), n_words, n_removed, kept (text)."""
-    rows = _rows(docs)
+    texts = Texts(docs)
     # a bucket holds the entries of about BUCKET_BYTES of text, however long its documents are
-    text = F.xxhash64("text")
-    each = rows.groupBy("doc").agg(F.sum(F.octet_length("text")).alias("size"), F.min(text).alias("a"), F.max(text).alias("z"))
-    size, apart = each.agg(F.sum("size"), F.sum((F.col("a") != F.col("z")).cast("long"))).first()
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // BUCKET_BYTES)
-    if apart:
-        rows = _rows(docs, materialize(each.filter("a <> z").select("doc"), "several"))
-    shared = materialize(shared_spans(rows, buckets, window), "shared")
-    repeats = materialize(repeated_windows(rows, shared, buckets, window), "repeats")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.size // BUCKET_BYTES)
+    shared = materialize(shared_spans(texts.all(), buckets, window), "shared")
+    repeats = materialize(repeated_windows(texts.having(shared), buckets, window), "repeats")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
-    def cut(text: pd.Series, pos: pd.Series, v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_cut(t, p, x, window) for t, p, x in zip(text, pos, v)], columns=["n_words", "n_removed", "kept"])
+    def cut(text: pd.Series, pos: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_cut(t, p, window) for t, p in zip(text, pos)], columns=["n_words", "n_removed", "kept"])
 
-    ids, keyed = repeats.select("doc"), rows.select("row", "doc", "v")
-    touched = only_ids(keyed, ids, "doc").join(repeats, "doc").select("row", "pos", "v")
-    rest = only_ids(keyed, ids, "doc", without=True).select("row", F.lit(None).cast("array<long>").alias("pos"), "v")
-    out = touched.unionByName(rest).withColumn("c", cut(F.coalesce("row.text", F.lit("")), F.col("pos"), F.col("v")))
+    out = texts.rows(repeats).withColumn("c", cut(F.coalesce("row.text", F.lit("")), F.col("pos")))
     return out.select("row", "c.*")
 
 

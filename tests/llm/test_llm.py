@@ -158,6 +158,38 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(docs(spark, texts)).columns == docs(spark).columns
 
 
+def brute_cut(rows):
+    """Counter of (doc_id, n_words, n_removed, digest): each row cut by its own text, places compared by (id, start)."""
+    first, split = {}, [(-(2**63) if i is None else i, i, words(t)) for i, t in rows]
+    for k, _, w in split:
+        for s in range(len(w) - 19):
+            g = tuple(w[s : s + 20])
+            first[g] = min(first.get(g, (k, s)), (k, s))
+    out = Counter()
+    for k, i, w in split:
+        gone = {s + x for s in range(len(w) - 19) if first[tuple(w[s : s + 20])] < (k, s) for x in range(20)}
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        out[i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    return out
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark, monkeypatch):
+    """Thousands of texts without an id, and ids with several texts; buckets reached in one step and in two."""
+    rng = np.random.default_rng(8)
+    run = [f"r{i}" for i in range(60)]
+    rows = [(7, " ".join(run[:25])), (7, " ".join(f"q{i}" for i in range(40))), (1, " ".join(f"q{i}" for i in range(22))), (7, " ".join(run[:25]))]
+    for i in range(3000):
+        at = int(rng.integers(0, 40))
+        middle = run[at : at + 20 + i % 3] if i % 7 == 0 else [f"m{i}"] * (i % 4)
+        rows.append((None if i % 3 else int(rng.integers(0, 40)), " ".join([f"a{i}"] * (i % 5) + middle + [f"z{i}"] * 25)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_cut(rows)
+    for routes, flush in ((256, 600_000), (2, 500)):
+        monkeypatch.setattr(substring_dedup, "ROUTES", routes)
+        monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+        assert Counter(map(tuple, substring_dedup.substring_dedup_query(d).collect())) == want
+
+
 def test_every_window_holds_a_span():
     rng = np.random.default_rng(1)
     for alphabet in (1, 2, 50):
