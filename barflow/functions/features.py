@@ -124,8 +124,25 @@ def swing_highlow(period: int) -> FeatureSpec:
     return FeatureSpec(f"swing_highlow_{p}", p + 1, build)
 
 
+def difference(a: str, b: str) -> FeatureSpec:
+    """One feature less another, as of a fast and a slow average."""
+    return FeatureSpec(f"{a}_minus_{b}", 1, lambda: round6(F.col(a) - F.col(b)), (a, b))
+
+
+def mean_of(source: str, period: int) -> FeatureSpec:
+    """Mean of a feature's last ``period`` values; null while one of them is."""
+    p = _period(period)
+
+    def build() -> Column:
+        w = last_rows(p)
+        return F.when(F.count(source).over(w) == p, round6(F.avg(source).over(w)))
+
+    return FeatureSpec(f"{source}_mean_{p}", p, build, (source,))
+
+
 BUILDERS = {
     "sma": sma, "ema": ema, "rsi": rsi, "vwap": vwap, "engulfing_candle": engulfing_candle, "swing_highlow": swing_highlow,
+    "difference": difference, "mean_of": mean_of,
 }
 
 
@@ -140,27 +157,68 @@ def spec(kind: str, **params) -> FeatureSpec:
     return BUILDERS[kind](**params)
 
 
-def feature_chain(bars: DataFrame, specs: Iterable[FeatureSpec], chunk_rows: int | None = None) -> DataFrame:
-    """``bars`` with one column for each spec: one exchange and one sort for all of them.
+def stages(specs: Iterable[FeatureSpec], columns: Iterable[str] = ()) -> list[list[FeatureSpec]]:
+    """The specs in as few rounds as their dependencies are deep; a round needs what earlier ones made.
 
-    With ``chunk_rows`` a symbol's bars are dealt to chunks of so many, each with the bars before
-    it that features look back on, so that one long symbol spreads over many tasks. The
-    result is the same.
+    ``columns`` are there from the start. Within a round the given order stays. Duplicate ids,
+    needs that nothing meets, and cycles (named with their members) are errors.
     """
-    specs = list(specs)
-    ids = [s.id for s in specs]
+    left, have, rounds = list(specs), set(columns), []
+    ids = [s.id for s in left]
     if len(set(ids)) != len(ids):
         raise ValueError(f"duplicate feature ids: {sorted(i for i in set(ids) if ids.count(i) > 1)}")
-    missing = [d for s in specs for d in s.depends if d not in ids and d not in bars.columns]
+    missing = [d for s in left for d in s.depends if d not in ids and d not in have]
     if missing:
         raise ValueError(f"features need columns that are not there: {missing}")
+    have -= set(ids)  # a feature stands before a column of its name
+    while left:
+        ready = [s for s in left if have.issuperset(s.depends)]
+        if not ready:
+            raise ValueError(f"features depend on each other in a cycle: {' -> '.join(_cycle(left))}")
+        rounds.append(ready)
+        have.update(s.id for s in ready)
+        left = [s for s in left if s.id not in have]
+    return rounds
+
+
+def _cycle(specs: list[FeatureSpec]) -> list[str]:
+    """One cycle among specs none of which can go first: following needs must come round."""
+    needs = {s.id: s.depends for s in specs}
+    path = [specs[0].id]
+    while True:
+        then = next(d for d in needs[path[-1]] if d in needs)
+        if then in path:
+            return [*path[path.index(then) :], then]
+        path.append(then)
+
+
+def history(rounds: list[list[FeatureSpec]]) -> int:
+    """Bars that the specs look back on, along their dependencies."""
+    reach: dict[str, int] = {}
+    for s in (s for r in rounds for s in r):
+        reach[s.id] = s.lookback + max((reach.get(d, 0) for d in s.depends), default=0)
+    return max(reach.values(), default=1)
+
+
+def feature_chain(bars: DataFrame, specs: Iterable[FeatureSpec], chunk_rows: int | None = None) -> DataFrame:
+    """``bars`` with one column for each spec: one exchange and one sort for all of them.
+
+    Specs may depend on each other in any order of the list; each round of ``stages`` is one
+    select, and all of them share the exchange. With ``chunk_rows`` a symbol's bars are dealt to
+    chunks of so many, each with the bars before it that features look back on, so that one
+    long symbol spreads over many tasks. The result is the same.
+    """
+    specs = list(specs)
+    rounds, ids = stages(specs, bars.columns), [s.id for s in specs]
     if chunk_rows:
-        chunked = _with_history(numbered(bars, chunk_rows), chunk_rows, max(s.lookback for s in specs))
+        chunked = with_history(numbered(bars, chunk_rows), chunk_rows, history(rounds))
         named = chunked.withColumn("_symbol", F.col("symbol")).withColumn("symbol", F.concat_ws("\x00", "symbol", "_chunk"))
         out = feature_chain(named, specs).filter("not _history")
         return out.select(*[F.col("_symbol" if c == "symbol" else c).alias(c) for c in bars.columns], *ids)
-    changed = bars.withColumn("_change", F.col("close") - F.lag("close").over(by_time()))
-    return changed.select(*bars.columns, *[s.column() for s in specs])
+    out = bars.withColumn("_change", F.col("close") - F.lag("close").over(by_time()))
+    for ready in rounds:
+        out = out.select("*", *[s.column() for s in ready])
+    return out.select(*bars.columns, *ids)
 
 
 def numbered(bars: DataFrame, chunk_rows: int) -> DataFrame:
@@ -177,7 +235,7 @@ def numbered(bars: DataFrame, chunk_rows: int) -> DataFrame:
     return b.withColumn("_i", here).join(offsets, [*KEYS, "_t"]).withColumn("bar_idx", F.col("_before") + F.col("_i") - 1).select(*bars.columns, "bar_idx")
 
 
-def _with_history(bars: DataFrame, chunk_rows: int, lookback: int) -> DataFrame:
+def with_history(bars: DataFrame, chunk_rows: int, lookback: int) -> DataFrame:
     """Bars under ``_chunk``, and once more (``_history``) under each later chunk that looks back on them."""
     own = F.floor(F.col("bar_idx") / chunk_rows)
     last = F.floor((F.col("bar_idx") + lookback) / chunk_rows)

@@ -1,13 +1,17 @@
 """The rolling indicators as numpy kernels over one symbol's bars in time order.
 
 Used where bars come in pieces with their history (streams); equal to the column forms.
-NaN stands for an absent value.
+Bars are columns by name, as a frame or as a dict of arrays; a feature that depends on others
+finds them among the columns. NaN stands for an absent value.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
-import pandas as pd
+
+Bars = Mapping[str, np.ndarray]
 
 
 def _round6(x: np.ndarray) -> np.ndarray:
@@ -26,12 +30,12 @@ def _rolling(x: np.ndarray, p: int, f) -> np.ndarray:
     return out
 
 
-def sma(bars: pd.DataFrame, period: int) -> np.ndarray:
-    return _round6(_rolling(bars["close"].to_numpy(), period, lambda w: w.mean(axis=1)))
+def sma(bars: Bars, period: int) -> np.ndarray:
+    return _round6(_rolling(np.asarray(bars["close"]), period, lambda w: w.mean(axis=1)))
 
 
-def ema(bars: pd.DataFrame, period: int, smoothing: float = 2.0) -> np.ndarray:
-    x, p, a = bars["close"].to_numpy(), period, smoothing / (period + 1)
+def ema(bars: Bars, period: int, smoothing: float = 2.0) -> np.ndarray:
+    x, p, a = np.asarray(bars["close"]), period, smoothing / (period + 1)
     out = np.full(len(x), np.nan)
     for i in range(p - 1, min(len(x), 2 * p - 1)):  # shorter history: the seed is the first p
         e = x[:p].mean()
@@ -44,24 +48,24 @@ def ema(bars: pd.DataFrame, period: int, smoothing: float = 2.0) -> np.ndarray:
     return _round6(out)
 
 
-def rsi(bars: pd.DataFrame, period: int) -> np.ndarray:
-    d = np.diff(bars["close"].to_numpy())
+def rsi(bars: Bars, period: int) -> np.ndarray:
+    d = np.diff(np.asarray(bars["close"]))
     up, down = (_rolling(np.maximum(s * d, 0), period, lambda w: w.mean(axis=1)) for s in (1, -1))
     with np.errstate(divide="ignore", invalid="ignore"):
         value = np.where(down == 0, 100.0, _round6(100 - 100 / (1 + up / down)))
-    return np.concatenate([[np.nan], np.where(np.isnan(up), np.nan, value)])[: len(bars)]
+    return np.concatenate([[np.nan], np.where(np.isnan(up), np.nan, value)])[: len(bars["close"])]
 
 
-def vwap(bars: pd.DataFrame, period: int) -> np.ndarray:
-    v = bars["volume"].to_numpy()
-    money = (bars["high"] + bars["low"] + bars["close"]).to_numpy() / 3 * v
+def vwap(bars: Bars, period: int) -> np.ndarray:
+    high, low, close, v = (np.asarray(bars[c]) for c in ("high", "low", "close", "volume"))
+    money = (high + low + close) / 3 * v
     a, b = (_rolling(x, period, lambda w: w.sum(axis=1)) for x in (money, v))
     with np.errstate(divide="ignore", invalid="ignore"):
         return _round6(np.where(b == 0, np.nan, a / b))
 
 
-def engulfing_candle(bars: pd.DataFrame) -> np.ndarray:
-    o, c = bars["open"].to_numpy(), bars["close"].to_numpy()
+def engulfing_candle(bars: Bars) -> np.ndarray:
+    o, c = np.asarray(bars["open"]), np.asarray(bars["close"])
     out = np.full(len(o), np.nan)
     up = c > o
     turn_up = up[1:] & ~up[:-1] & (o[1:] < c[:-1]) & (c[1:] > o[:-1])
@@ -70,4 +74,25 @@ def engulfing_candle(bars: pd.DataFrame) -> np.ndarray:
     return out
 
 
-KERNELS = {"sma": sma, "ema": ema, "rsi": rsi, "vwap": vwap, "engulfing_candle": engulfing_candle}
+def swing_highlow(bars: Bars, period: int) -> np.ndarray:
+    lb, high, low = period // 2, np.asarray(bars["high"]), np.asarray(bars["low"])
+    out = np.full(len(high), np.nan)
+    if len(high) > period:
+        (h, l), others = (_windows(x, period + 1) for x in (high, low)), np.arange(period + 1) != lb
+        is_high, is_low = h[:, lb] > h[:, others].max(axis=1), l[:, lb] < l[:, others].min(axis=1)
+        out[period:] = is_high.astype(int) - is_low.astype(int)
+    return out
+
+
+def difference(bars: Bars, a: str, b: str) -> np.ndarray:
+    return _round6(np.asarray(bars[a], float) - np.asarray(bars[b], float))
+
+
+def mean_of(bars: Bars, source: str, period: int) -> np.ndarray:
+    return _round6(_rolling(np.asarray(bars[source], float), period, lambda w: w.mean(axis=1)))
+
+
+KERNELS = {
+    "sma": sma, "ema": ema, "rsi": rsi, "vwap": vwap, "engulfing_candle": engulfing_candle, "swing_highlow": swing_highlow,
+    "difference": difference, "mean_of": mean_of,
+}

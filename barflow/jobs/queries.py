@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import features as ft
 from ..functions.schema import bars_per_year, round6, typical_price
 from ..operators import backtest as bt
-from ..operators import joins, quality, sobol, strategy, validation
+from ..operators import joins, nulls, quality, sobol, strategy, validation
 from ..sources import bars as src
 from ..sources import files
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, stored
 from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,13 +37,6 @@ def table(spark, sf, name) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, for queries that read it several times."""
-    path = f"{shared_dir(df.sparkSession)}/stored"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @query
 def ticks_to_bars(spark, sf):
     return src.event_bars(spark, sf, "1h")
@@ -76,6 +69,16 @@ def feature_chain_chunked(spark, sf):
     return ft.feature_chain(src.event_bars(spark, sf, "1m"), SPECS, chunk_rows=500)
 
 
+@query
+def feature_dependencies(spark, sf):
+    """Features of features, each before what it needs: the mean of the gap of two averages, and how far the gap is from it."""
+    gap = ft.difference("ema_20", "ema_50")
+    mean = ft.mean_of(gap.id, 9)
+    bars = quality.drop_malformed(src.event_bars(spark, sf, "1h"))
+    out = ft.feature_chain(bars, [ft.difference(gap.id, mean.id), mean, ft.sma(20), gap, ft.ema(50), ft.ema(20)])
+    return out.select("symbol", "close_ts", F.col(gap.id).alias("gap"), F.col(mean.id).alias("gap_mean"), F.col(f"{gap.id}_minus_{mean.id}").alias("gap_left"))
+
+
 @query
 def swing_highlow(spark, sf):
     return ft.feature_chain(src.event_bars(spark, sf), [ft.swing_highlow(4)]).select("symbol", "close_ts", "swing_highlow_4")
@@ -179,17 +182,16 @@ def klines_csv(spark, sf):
     path, b = f"{shared_dir(spark)}/klines", src.event_bars(spark, sf)
     fields = {"open_time": "open_ts", "close_time": "close_ts", **{c: c for c in ("open", "high", "low", "close", "volume")}}
     b.select(*[F.col(fields[c]).cast("string").alias(c) if c in fields else F.lit("0").alias(c) for c in files.KLINE_COLUMNS], "symbol").write.partitionBy("symbol").csv(path)
-    parts = [files.read_klines_csv(spark, f"{path}/symbol={s}", s, "1h")[0] for s in sorted(r["symbol"] for r in b.select("symbol").distinct().collect())]
-    return quality.fan_in(*parts)
+    return files.read_klines_csv(spark, path, F.regexp_extract("_metadata.file_path", "symbol=([^/]+)/", 1), "1h")[0]
 
 
 @query
 def kline_json(spark, sf):
-    """Bars of one symbol packed as one JSON payload a day, and parsed again."""
-    b = src.event_bars(spark, sf).filter("symbol = 'click'")
+    """Bars packed as one JSON payload a symbol and day, and parsed again."""
+    b = src.event_bars(spark, sf)
     k = F.array(*[F.col(c).cast("string") for c in ("open_ts", "open", "high", "low", "close", "volume", "close_ts")])
-    bodies = b.groupBy(F.floor(F.col("open_ts") / 86_400_000).alias("day")).agg(F.to_json(F.collect_list(k)).alias("body"))
-    return files.parse_kline_json(bodies, "body", "click", "1h")
+    bodies = b.groupBy("symbol", F.floor(F.col("open_ts") / 86_400_000).alias("day")).agg(F.to_json(F.collect_list(k)).alias("body"))
+    return files.parse_kline_json(bodies, "body", F.col("symbol"), "1h")
 
 
 @query
@@ -266,6 +268,27 @@ def buy_the_dip(spark, sf):
     )
 
 
+@query
+def trend_maturity_chunked(spark, sf):
+    """Trends of a few long symbols' minute bars, by scans over chunks of 400."""
+    b = strategy.trend_maturity(src.event_bars(spark, sf, "1m"), chunk_rows=400)
+    return b.select("symbol", "close_ts", "higher_highs", "higher_lows", "consecutive_up", "maturity")
+
+
+@query
+def buy_the_dip_chunked(spark, sf):
+    """Signals on minute bars, by scans over chunks of 400."""
+    s = strategy.buy_the_dip(src.event_bars(spark, sf, "1m"), chunk_rows=400)
+    return s.select("symbol", "ts", "metadata.trend_maturity", round6(F.col("metadata.pullback_depth")).alias("pullback_depth"), "metadata.recent_high")
+
+
+@query
+def drawdown_chunked(spark, sf):
+    """Drawdowns of hourly bars, by scans over chunks of 50."""
+    d = bt.drawdown(bt.bar_returns(src.event_bars(spark, sf)), chunk_rows=50)
+    return rounded(d.select("symbol", "close_ts", "drawdown"), "drawdown")
+
+
 @query
 def expire_signals(spark, sf):
     s = strategy.buy_the_dip(src.event_bars(spark, sf)).withColumn("expires_at", F.col("ts") + 86_400_000)
@@ -329,8 +352,7 @@ def run_backtest(spark, sf):
 @query
 def backtest_metrics(spark, sf):
     m = bt.backtest_metrics(_run(spark, sf), ("symbol", "timeframe"), bars_per_year("1h"))
-    m = m.withColumn("cagr", F.least("cagr", F.lit(1000.0)))  # beyond it only the last digits differ
-    return rounded(m, "sharpe", "cagr", "max_drawdown", "profit_factor", "total", "win_rate")
+    return rounded(m.drop("cagr"), "sharpe", "log_cagr", "max_drawdown", "profit_factor", "total", "win_rate")
 
 
 @query
@@ -448,7 +470,7 @@ def null_prices(spark, sf):
 def _null(spark, sf):
     bars = src.event_bars(spark, sf)
     observed = validation.param_sweep(bars, validation.grid(spark, {"entry": [0.3], "cost_bps": [5]}))
-    null = validation.null_metrics(bt.permute_returns(bars, N_NULL, seed=7), 0.3, 5)
+    null = nulls.null_scores(bars, N_NULL, 0.3, 5, bars_per_year("1h"), seed=7)
     return bt.null_test(rounded(observed, "sharpe"), rounded(null, "sharpe"), ("symbol", "timeframe"), "sharpe")
 
 
@@ -457,6 +479,13 @@ def null_test(spark, sf):
     return _null(spark, sf).drop("timeframe")
 
 
+@query
+def null_test_metrics(spark, sf):
+    """Sharpe ratio, growth and drawdown of the real daily series against a thousand null ones in blocks of three."""
+    found = nulls.null_scores(src.event_bars(spark, sf, "1d"), N_NULL, 0.1, 5, bars_per_year("1d"), seed=11, block=3, observed=True)
+    return rounded(nulls.significance(rounded(found, *nulls.SCORES)).drop("timeframe"), "p_value", "quantile")
+
+
 def _walk(spark, sf, anchored=False):
     r = validation.threshold_returns(src.event_bars(spark, sf), validation.grid(spark, _GRID))
     return r, validation.walk_forward(r, 200, 50, 50, anchored)
@@ -485,8 +514,8 @@ def wf_stability(spark, sf):
 
 
 def _mc_walk(spark, sf):
-    null = bt.permute_returns(src.event_bars(spark, sf), N_NULL, seed=3)
-    return rounded(validation.mc_walk_forward(null, validation.grid(spark, _GRID), 200, 50, 50), "test_sharpe")
+    bars = src.event_bars(spark, sf)
+    return rounded(validation.seeded_walk_forward(bars, N_NULL, validation.grid(spark, _GRID), 200, 50, 50, seed=3), "test_sharpe")
 
 
 def _walk_test(stability, null):

@@ -259,7 +259,7 @@ SQL = {
     "feature_chain": f"WITH {EV}, {CHANGE} SELECT {COLS}, {FEATURES} FROM ch",
     "feature_chain_chunked": f"WITH {bars('event', '1m')}, {CHANGE} SELECT {COLS}, {FEATURES} FROM ch",
     "klines_csv": f"WITH {EV} SELECT {COLS} FROM bars",
-    "kline_json": f"WITH {EV} SELECT {COLS} FROM bars WHERE symbol = 'click'",
+    "kline_json": f"WITH {EV} SELECT {COLS} FROM bars",
     "enriched_jsonl": f"WITH {EV}, {CHANGE} SELECT {COLS}, {FEATURES} FROM ch",
     "results_csv": f"WITH {SOBOL} SELECT symbol, CAST(sample_id AS DOUBLE) AS sample_id, lookback, {r6('entry')} AS entry, {r6('cost_bps')} AS cost_bps, y FROM results",
     "analysis_tables": f"""WITH {INDEX} SELECT 'indices' AS kind, concat_ws('/', symbol, kind, param, param2) AS key, 'value' AS name, {r6('value')} AS value FROM idx
@@ -303,6 +303,21 @@ SQL = {
         UNION ALL SELECT symbol, close_ts, 'swing_low', swing_low FROM s WHERE swing_low IS NOT NULL""",
     "consecutive_up": f"WITH {US}, {UPS} SELECT symbol, close_ts, consecutive_up FROM trend",
     "pullback_depth": f"WITH {EV}, {UPS} SELECT symbol, close_ts, recent_high, {r6('pullback_depth')} AS pullback_depth FROM trend",
+    "trend_maturity_chunked": f"WITH {bars('event', '1m')}, {UPS} SELECT symbol, close_ts, higher_highs, higher_lows, consecutive_up, maturity FROM trend",
+    "buy_the_dip_chunked": f"WITH {bars('event', '1m')}, {DIP} SELECT symbol, close_ts AS ts, maturity AS trend_maturity, {r6('pullback_depth')} AS pullback_depth, recent_high FROM sig",
+    "drawdown_chunked": f"WITH {EV}, {RET}, {DD.format(src='ret')} SELECT symbol, close_ts, {r6('drawdown')} AS drawdown FROM dr",
+    "feature_dependencies": f"""WITH {EV}, {CHANGE}, g0 AS (SELECT symbol, timeframe, close_ts, {_ema(20)}, {_ema(50)} FROM ch),
+        g1 AS (SELECT *, {r6('ema_20 - ema_50')} AS gap FROM g0), g2 AS (SELECT *, CASE WHEN count(gap) OVER {rows(9)} = 9 THEN {r6(f'avg(gap) OVER {rows(9)}')} END AS gap_mean FROM g1)
+        SELECT symbol, close_ts, gap, gap_mean, {r6('gap - gap_mean')} AS gap_left FROM g2""",
+    "null_test_metrics": f"""WITH {DAY}, {RET}, {perm(N_NULL, 11, 3)}, every AS (SELECT rep, symbol, close_ts, ret FROM null_ret UNION ALL SELECT -1, symbol, close_ts, ret FROM pr),
+        nn AS (SELECT rep, symbol, close_ts, coalesce(CASE WHEN -lag(ret) OVER (PARTITION BY rep, symbol ORDER BY close_ts) >= 0.1 THEN 1 ELSE 0 END, 0) * (ret - 0.0005) AS r FROM every),
+        gr AS (SELECT *, sum(ln(1 + greatest(r, -0.999999))) OVER (PARTITION BY rep, symbol ORDER BY close_ts) AS g FROM nn),
+        dn AS (SELECT *, exp(g - greatest(max(g) OVER (PARTITION BY rep, symbol ORDER BY close_ts), 0)) - 1 AS d FROM gr),
+        sc AS (SELECT rep, symbol, {r6('avg(r) / nullif(stddev_samp(r), 0)')} AS sharpe, {r6('arg_max(g, close_ts) * 365 / count(*)')} AS log_cagr, {r6('min(d)')} AS max_drawdown FROM dn GROUP BY rep, symbol),
+        ln AS (SELECT rep, symbol, unnest(['sharpe', 'log_cagr', 'max_drawdown']) AS metric, unnest([sharpe, log_cagr, max_drawdown]) AS v FROM sc)
+        SELECT o.symbol, o.metric, o.v AS observed, count(n.v) AS n_null, {r6('CASE WHEN o.v IS NOT NULL THEN (1 + count(*) FILTER (n.v >= o.v)) / (1 + count(n.v)) END')} AS p_value,
+          {r6('count(*) FILTER (n.v < o.v) / nullif(count(n.v), 0)')} AS quantile, coalesce(CASE WHEN o.v IS NOT NULL THEN (1 + count(*) FILTER (n.v >= o.v)) / (1 + count(n.v)) END <= 0.05, false) AS rejects
+        FROM ln o JOIN ln n ON o.symbol = n.symbol AND o.metric = n.metric AND n.rep >= 0 WHERE o.rep = -1 GROUP BY o.symbol, o.metric, o.v""",
     "trend_maturity": f"WITH {EV}, {UPS} SELECT symbol, close_ts, higher_highs, higher_lows, consecutive_up, maturity FROM trend",
     "buy_the_dip": f"""WITH {US}, {DIP} SELECT symbol, 'buy' AS side, close_ts AS ts, maturity AS trend_maturity, {r6('pullback_depth')} AS pullback_depth, recent_high,
         CAST(higher_highs AS INTEGER) AS swing_high_count, CAST(higher_lows AS INTEGER) AS swing_low_count FROM sig""",
@@ -328,7 +343,7 @@ SQL = {
         g AS (SELECT symbol, timeframe, tr, min(abs(position)) = 0 AS closed, sum(ret) > 0 AS won FROM t WHERE tr > 0 GROUP BY symbol, timeframe, tr),
         w AS (SELECT symbol, timeframe, count(*) AS n_trades, count(*) FILTER (closed AND won) / nullif(count(*) FILTER (closed), 0) AS win_rate FROM g GROUP BY symbol, timeframe),
         m AS (SELECT symbol, timeframe, count(ret) AS n_bars, {r6('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(8760.0)')} AS sharpe, {r6('min(drawdown)')} AS max_drawdown,
-        {r6('least(exp(least(sum(ln(1 + greatest(ret, -0.999999))) * 8760.0 / nullif(count(ret), 0), 700.0)) - 1, 1000.0)')} AS cagr,
+        {r6('sum(ln(1 + greatest(ret, -0.999999))) * 8760.0 / nullif(count(ret), 0)')} AS log_cagr,
         {r6('sum(greatest(ret, 0.0)) / nullif(abs(sum(least(ret, 0.0))), 0)')} AS profit_factor, {r6('sum(ret)')} AS total, CAST(sum(turnover) AS BIGINT) AS turnover FROM dr GROUP BY symbol, timeframe)
         SELECT m.*, coalesce(n_trades, 0) AS n_trades, {r6('win_rate')} AS win_rate FROM m LEFT JOIN w USING (symbol, timeframe)""",
     "trades": f"WITH {TRADES} SELECT symbol, entry_ts, exit_ts, bars_held, entry_price, exit_price, {r6('pnl')} AS pnl FROM trades",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schema import KEYS, by_time
+from .scan import Scan, in_chunks, scan
 
 
 def bar_returns(bars: DataFrame) -> DataFrame:
@@ -20,11 +21,21 @@ def rolling_sharpe(returns: DataFrame, n: int) -> DataFrame:
     return returns.withColumn("rolling_sharpe", F.when(full & (sd > 0), F.avg("ret").over(w) / F.nullif(sd, F.lit(0.0))))
 
 
-def drawdown(returns: DataFrame, keys=KEYS) -> DataFrame:
-    """equity (compounded), drawdown (equity over its maximum so far, less one)."""
+def drawdown(returns: DataFrame, keys=KEYS, chunk_rows: int | None = None) -> DataFrame:
+    """equity (compounded), drawdown (equity over its maximum so far, less one).
+
+    With ``chunk_rows`` by scans over chunks, for long symbols (``keys`` are then symbol and timeframe).
+    """
+    grown = F.log1p(F.greatest(F.coalesce("ret", F.lit(0.0)), F.lit(-0.999999)))
+    fall = F.col("equity") / F.greatest("_top", F.lit(1.0)) - 1
+    if chunk_rows:
+        if tuple(keys) != KEYS:
+            raise ValueError(f"chunks are of {', '.join(KEYS)}")
+        r = scan(in_chunks(returns, chunk_rows, 0, {}), {"_log": Scan("sum", grown)}).withColumn("equity", F.exp("_log"))
+        return scan(r, {"_top": Scan("max", F.col("equity"))}).select(*returns.columns, "equity", fall.alias("drawdown"))
     upto = Window.partitionBy(*keys).orderBy("close_ts").rowsBetween(Window.unboundedPreceding, 0)
-    r = returns.withColumn("equity", F.exp(F.sum(F.log1p(F.greatest(F.coalesce("ret", F.lit(0.0)), F.lit(-0.999999)))).over(upto)))
-    return r.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(upto), F.lit(1.0)) - 1)
+    r = returns.withColumn("equity", F.exp(F.sum(grown).over(upto)))
+    return r.withColumn("_top", F.max("equity").over(upto)).withColumn("drawdown", fall).drop("_top")
 
 
 def rolling_pair(pairs: DataFrame, n: int) -> DataFrame:
@@ -61,7 +72,7 @@ def run_backtest(bars: DataFrame, signals: DataFrame, hold: int | None = 5, cost
 
 
 def backtest_metrics(returns: DataFrame, by: tuple[str, ...], bars_per_year: float) -> DataFrame:
-    """sharpe, cagr, max_drawdown, profit_factor, total, turnover, n_trades, win_rate for each run key.
+    """sharpe, cagr, log_cagr (log of 1 + cagr), max_drawdown, profit_factor, total, turnover, n_trades, win_rate for each run key.
 
     A trade runs from its entry to the bar before the next one; what is still held at the last
     bar counts as a trade, but not for the win rate. ``cagr`` compounds over a 365-day year.
@@ -84,8 +95,8 @@ def backtest_metrics(returns: DataFrame, by: tuple[str, ...], bars_per_year: flo
         F.sum("ret").alias("total"),
         F.sum("turnover").alias("turnover"), F.sum("_new").alias("n_trades"), F.try_divide(F.sum("_won"), F.sum("_closed")).alias("win_rate"),
     )
-    cagr = F.exp(F.least(F.try_divide(F.col("_log") * bars_per_year, "n_bars"), F.lit(700.0))) - 1
-    return m.withColumn("cagr", cagr).drop("_log")
+    m = m.withColumn("log_cagr", F.try_divide(F.col("_log") * bars_per_year, "n_bars")).drop("_log")
+    return m.withColumn("cagr", F.expm1(F.least("log_cagr", F.lit(700.0))))
 
 
 def trades(positions: DataFrame, fee_bps: float = 0.0, slip_bps: float = 0.0) -> DataFrame:

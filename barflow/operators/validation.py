@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.schema import KEYS
 from .backtest import MODULUS, bar_returns, mixed, null_test
 from .joins import SETS, expand_params
+from .nulls import from_seeds
 
 
 def _whole(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -172,12 +173,12 @@ def null_metrics(null_returns: DataFrame, entry: float, cost_bps: float) -> Data
     return n.groupBy("rep", *KEYS).agg(F.sum("_r").alias("total"), (F.avg("_r") / F.nullif(F.stddev_samp("_r"), F.lit(0.0))).alias("sharpe"))
 
 
-def mc_walk_forward(null_returns: DataFrame, params: DataFrame, train: int, test: int, step: int, anchored: bool = False) -> DataFrame:
-    """Walk-forward on every null series: rep, symbol, timeframe, mean test Sharpe ratio.
+def _walk_scorer(params: DataFrame, train: int, test: int, step: int, anchored: bool):
+    """A function from one series of returns to its mean test Sharpe ratio, or None where no window fits.
 
-    A null series is scored under all parameter sets in one numpy pass, so neither series times
-    sets nor windows times bars ever become rows. ``params`` is a sweep's small table: its
-    rows (``SETS`` at most) go to every task.
+    A series is scored under all parameter sets in one numpy pass, so neither series times sets
+    nor windows times bars ever become rows. ``params`` is a sweep's small table: its rows
+    (``SETS`` at most) go to every task.
     """
     if train % step or test % step:
         raise ValueError("train and test must be multiples of step")
@@ -187,8 +188,7 @@ def mc_walk_forward(null_returns: DataFrame, params: DataFrame, train: int, test
     entry, cost = (np.array([r[c] for r in rows]) for c in ("entry", "cost_bps"))
     tr, te = train // step, test // step
 
-    def score(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        ret = df.sort_values("close_ts")["ret"].to_numpy()
+    def score(ret: np.ndarray) -> float | None:
         total, squares = np.zeros((2, len(entry), len(ret) // step))
         whole = total.shape[1] * step
         for at in range(0, len(entry), 256):  # so many sets at a time
@@ -202,7 +202,22 @@ def mc_walk_forward(null_returns: DataFrame, params: DataFrame, train: int, test
             if np.isfinite(first).any():
                 test_sharpe.append(then[np.nanargmax(first)])
         good = [x for x in test_sharpe if np.isfinite(x)]
-        out = pd.DataFrame([(*key, np.mean(good) if good else np.nan)] if test_sharpe else [], columns=["rep", *KEYS, "test_sharpe"])
+        return (float(np.mean(good)) if good else np.nan) if test_sharpe else None
+
+    return score
+
+
+def mc_walk_forward(null_returns: DataFrame, params: DataFrame, train: int, test: int, step: int, anchored: bool = False) -> DataFrame:
+    """Walk-forward on every null series: rep, symbol, timeframe, mean test Sharpe ratio.
+
+    Series without a window are left out. Of series that are rows already; ``seeded_walk_forward``
+    draws them where they are scored.
+    """
+    one = _walk_scorer(params, train, test, step, anchored)
+
+    def score(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        found = one(df.sort_values("close_ts")["ret"].to_numpy())
+        out = pd.DataFrame([] if found is None else [(*key, found)], columns=["rep", *KEYS, "test_sharpe"])
         return out.astype({"rep": "int64", "test_sharpe": "float64"})
 
     rows = null_returns.select("rep", *KEYS, "close_ts", "ret")
@@ -210,6 +225,19 @@ def mc_walk_forward(null_returns: DataFrame, params: DataFrame, train: int, test
     return out.withColumn("test_sharpe", F.when(~F.isnan("test_sharpe"), F.col("test_sharpe")))
 
 
+def seeded_walk_forward(
+    bars: DataFrame, n_reps: int, params: DataFrame, train: int, test: int, step: int, anchored: bool = False, seed: int = 0, block: int = 1
+) -> DataFrame:
+    """``mc_walk_forward`` on the series of ``permute_returns``, drawn from their seeds in the tasks that score them."""
+    one = _walk_scorer(params, train, test, step, anchored)
+
+    def score(ret: np.ndarray) -> dict[str, np.ndarray]:
+        found = [one(r) for r in ret]
+        return {"test_sharpe": np.array([np.nan if x is None else x for x in found]), "_fits": np.array([float(x is not None) for x in found])}
+
+    return from_seeds(bars, n_reps, score, ["test_sharpe", "_fits"], seed, block).filter("_fits = 1").drop("_fits")
+
+
 def _ratio(total: np.ndarray, squares: np.ndarray, n: int) -> np.ndarray:
     """Mean over deviation; not a number where there is no deviation."""
     mean = total / n

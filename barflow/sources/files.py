@@ -36,10 +36,13 @@ def _parse(df: DataFrame, symbol: Column, timeframe: Column) -> tuple[DataFrame,
     return bars, df.filter(~ok)
 
 
-def read_klines_csv(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_klines_csv(
+    spark: SparkSession, path: str, symbol: str | Column | None = None, timeframe: str | Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Bars and bad rows of headerless 12-column files. A header or a short row is just a bad row.
 
-    Without ``symbol`` and ``timeframe`` they come from file names like ``BTCUSDT-1h-2024-01.csv``.
+    ``symbol`` and ``timeframe`` are texts or columns (as of ``_metadata``); without them they come from
+    file names like ``BTCUSDT-1h-2024-01.csv``.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*KLINE_COLUMNS, "_raw"]])
     df = spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", ignoreLeadingWhiteSpace=False)
@@ -47,17 +50,21 @@ def read_klines_csv(spark: SparkSession, path: str, symbol: str | None = None, t
     file = F.col("_metadata.file_name")
     return _parse(
         df,
-        F.lit(symbol) if symbol else F.regexp_extract(file, name, 1),
-        F.lit(timeframe) if timeframe else F.regexp_extract(file, name, 2),
+        F.lit(symbol) if symbol is not None else F.regexp_extract(file, name, 1),
+        F.lit(timeframe) if timeframe is not None else F.regexp_extract(file, name, 2),
     )
 
 
-def parse_kline_json(df: DataFrame, body: str, symbol: str, timeframe: str) -> DataFrame:
-    """Bars from JSON arrays of arrays; short rows are dropped, a price that is no number is 0.0."""
-    rows = df.select(F.posexplode(F.from_json(body, "array<array<string>>")).alias("pos", "k")).filter(F.size("k") >= 7)
+def parse_kline_json(df: DataFrame, body: str, symbol: str | Column, timeframe: str | Column) -> DataFrame:
+    """Bars from JSON arrays of arrays; short rows are dropped, a price that is no number is 0.0.
+
+    ``symbol`` and ``timeframe`` are texts or columns of ``df``.
+    """
+    rows = df.select(F.lit(symbol).alias("_symbol"), F.lit(timeframe).alias("_timeframe"), F.posexplode(F.from_json(body, "array<array<string>>")).alias("pos", "k"))
+    rows = rows.filter(F.size("k") >= 7)
     num = lambda i: F.coalesce(F.get("k", i).try_cast("double"), F.lit(0.0))
     out = rows.select(
-        F.lit(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"), F.get("k", 0).try_cast("long").alias("open_ts"),
+        F.col("_symbol").alias("symbol"), F.col("_timeframe").alias("timeframe"), F.get("k", 0).try_cast("long").alias("open_ts"),
         F.get("k", 6).try_cast("long").alias("close_ts"), num(1).alias("open"), num(2).alias("high"), num(3).alias("low"),
         num(4).alias("close"), num(5).alias("volume"),
     )

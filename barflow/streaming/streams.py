@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.features import spec
+from ..functions.features import history, spec, stages
 from ..functions.kernels import KERNELS
 from ..functions.schema import step_ms
 
@@ -101,12 +100,20 @@ def stream_features(stream: DataFrame, specs: list[tuple[str, dict]], mode: str
     """
     if mode not in ("event_time", "arrival"):
         raise ValueError(f"unknown mode {mode!r}")
+    unknown = sorted({kind for kind, _ in specs} - set(KERNELS))
+    if unknown:
+        raise ValueError(f"features that no stream can compute: {', '.join(unknown)}")
     built = [spec(kind, **options) for kind, options in specs]
-    keep, ids = max(s.lookback for s in built), [s.id for s in built]
+    rounds, ids = stages(built), [s.id for s in built]
+    keep, order = history(rounds), [ids.index(s.id) for r in rounds for s in r]
     columns = ["symbol", "timeframe", *NAMES, *ids, *["late"] * keep_late]
 
-    def features(bars: pd.DataFrame) -> dict:
-        return {i: KERNELS[kind](bars, **options) for i, (kind, options) in zip(ids, specs)}
+    def features(bars) -> dict:
+        have = {n: np.asarray(bars[n]) for n in NAMES}
+        for i in order:
+            kind, options = specs[i]
+            have[ids[i]] = KERNELS[kind](have, **options)
+        return {i: have[i] for i in ids}
 
     def in_order(past: list, new: pd.DataFrame) -> tuple[pd.DataFrame, list]:
         new = new.sort_values("close_ts", kind="stable")
@@ -120,21 +127,21 @@ def stream_features(stream: DataFrame, specs: list[tuple[str, dict]], mode: str
         return out, bars.tail(keep).astype(object).values.tolist()
 
     def as_they_come(past: list, new: pd.DataFrame) -> tuple[pd.DataFrame, list]:
+        last = np.array(past, float).reshape(-1, len(NAMES))
         rows = []
-        for bar in new.astype(object).values.tolist():
-            at = bisect_left([b[1] for b in past], bar[1])
-            past.insert(at, bar)
-            if len(past) > keep:
-                past.pop(0)
-            rows.append([v[-1] for v in features(_typed(pd.DataFrame(past, columns=NAMES))).values()])
-        return new.reset_index(drop=True).assign(**dict(zip(ids, np.array(rows, float).T)), late=False), past
+        for bar in new.to_numpy(float):
+            last = np.insert(last, np.searchsorted(last[:, 1], bar[1]), bar, axis=0)[-keep:]
+            rows.append([v[-1] for v in features(dict(zip(NAMES, last.T))).values()])
+        return new.reset_index(drop=True).assign(**dict(zip(ids, np.array(rows, float).T)), late=False), last.tolist()
 
     def step(key, batches, state):
         past = json.loads(state.get[0]) if state.exists else []
-        new = _typed(pd.concat(list(batches))[NAMES])
-        out, past = (in_order if mode == "event_time" else as_they_come)(past, new)
+        if mode == "event_time":  # put in order whole: a trigger's files bound it
+            batches = [pd.concat(list(batches))]
+        for batch in batches:
+            out, past = (in_order if mode == "event_time" else as_they_come)(past, _typed(batch[NAMES]))
+            yield out.assign(symbol=key[0], timeframe=key[1])[columns]
         state.update((json.dumps(past),))
-        yield out.assign(symbol=key[0], timeframe=key[1])[columns]
 
     schema = BAR_SCHEMA + "".join(f", `{i}` double" for i in ids) + ", late boolean" * keep_late
     return stream.groupBy("symbol", "timeframe").applyInPandasWithState(step, schema, "bars string", "append", "NoTimeout")
