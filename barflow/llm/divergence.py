@@ -8,7 +8,8 @@
    is rare for certain.
 2. count: the table is read again; a task adds up its own counts by (language, source,
    term) and drops the terms that are rare for certain before anything is shuffled. Survivors
-   are counted exactly, and those in enough documents of their language are kept.
+   are counted exactly, and those in enough documents of their language are kept. (A task
+   stops counting a term's documents at ``MIN_DOCS``: the sum reaches it all the same.)
 3. shares: p = 1 + floor(10^9 (count + 2) / (N + 2 V)), in whole numbers throughout. A source's
    absent terms all have one share, p0.
 4. pairs: the sum of f(p, q) over all terms of two sources is a sum over their terms as if
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -43,7 +45,7 @@ WIDTH, DEPTH = 1 << 24, 3
 #: Cells of a block, the unit of merging.
 BLOCK = 1 << 18
 #: Entries of a task's counts before they are handed on.
-FLUSH = 400_000
+FLUSH = 1_000_000
 #: Rows of a table of sources that are broadcast, at most.
 MAX_BROADCAST_SOURCES = 100_000
 
@@ -62,6 +64,19 @@ def _cells(lang: bytes, found: list[bytes], width: int, depth: int) -> np.ndarra
     return np.stack([(mix(h + np.full(1, k, np.uint64) * GOLD) % np.uint64(width)).astype(np.int64) for k in range(depth)])
 
 
+class _Frequencies:
+    """Documents of each term of a language, counted up to ``least``: what has reached it is passed over."""
+
+    def __init__(self, least: int):
+        self.least, self.counts, self.full, self.seen = least, Counter(), set(), 0
+
+    def add(self, found: set[bytes]) -> None:
+        self.counts.update(found - self.full)
+        self.seen += 1
+        if self.seen & 127 == 0:
+            self.full.update(t for t, n in self.counts.items() if n >= self.least)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
@@ -93,19 +108,20 @@ def sketch(docs: DataFrame, least: int = MIN_DOCS, width: int = WIDTH, depth: in
     block, kind = min(BLOCK, width), _Sketch(least, 8, 1).cells.dtype
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, counts, size = _Sketch(least, width, depth), defaultdict(Counter), 0
+        out, langs, size = _Sketch(least, width, depth), defaultdict(lambda: _Frequencies(least)), 0
         for df in batches:
             for lang, text in zip(df["lang"], df["text"]):
-                c = counts[lang]
-                size -= len(c)
-                c.update(set(terms(text)))
-                size += len(c)
+                f = langs[lang]
+                size -= len(f.counts)
+                f.add(set(terms(text)))
+                size += len(f.counts)
                 if size >= FLUSH:
-                    for k, v in counts.items():
-                        out.add(k, v)
-                    counts, size = defaultdict(Counter), 0
-        for k, v in counts.items():
-            out.add(k, v)
+                    for k, f in langs.items():
+                        out.add(k, f.counts)
+                    langs.clear()
+                    size = 0
+        for k, f in langs.items():
+            out.add(k, f.counts)
         yield pd.DataFrame(out.blocks(), columns=["block", "data"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,40 +155,60 @@ def may_be_kept(bits: np.ndarray, lang: str, found: list[bytes]) -> np.ndarray:
     return out
 
 
+class _Counts:
+    """A task's counts by source and term, and documents by term, of the terms that may be kept."""
+
+    def __init__(self, bits: np.ndarray, least: int):
+        self.bits, self.verdicts, self.size = bits, defaultdict(dict), 0
+        self.sources, self.langs = defaultdict(Counter), defaultdict(lambda: _Frequencies(least))
+
+    def add(self, lang: str, source: str, found: list[bytes]) -> None:
+        n = self.sources[lang, source]
+        self.size -= len(n)
+        n.update(found)
+        self.size += len(n)
+        self.langs[lang].add(set(found))
+
+    def _rows(self, lang: str, source: str | None, counts: Counter) -> pa.RecordBatch:
+        verdicts = self.verdicts[lang]
+        new = [t for t in counts if t not in verdicts]
+        verdicts.update(zip(new, may_be_kept(self.bits, lang, new).tolist()))
+        kept = [(t, n) for t, n in counts.items() if verdicts[t]]
+        columns = [pa.repeat(pa.scalar(x, pa.string()), len(kept)) for x in (lang, source)]
+        columns += [pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n"])
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for (lang, source), counts in self.sources.items():
+            yield self._rows(lang, source, counts)
+        for lang, f in self.langs.items():
+            yield self._rows(lang, None, f.counts)
+        for x in (self.sources, self.langs, self.verdicts):
+            x.clear()
+        self.size = 0
+
+
 def kept_counts(docs: DataFrame, least: int = MIN_DOCS, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
     """lang, source, term, n: exact counts of the terms in at least ``least`` documents of their language."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(sketch(docs, least, width, depth))
 
-    def rows(counts: dict) -> Iterator[pd.DataFrame]:
-        for (lang, source), (n, in_docs) in counts.items():
-            found = list(n)
-            found = [t for t, good in zip(found, may_be_kept(bits.value, lang, found)) if good]
-            out = [(lang, source, t.decode(), n[t], in_docs[t]) for t in found]
-            yield pd.DataFrame(out, columns=["lang", "source", "term", "n", "docs"])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, size = defaultdict(lambda: (Counter(), Counter())), 0
-        for df in batches:
-            for lang, source, text in zip(df["lang"], df["source"], df["text"]):
-                n, in_docs = counts[lang, source]
-                found = terms(text)
-                size -= len(n)
-                n.update(found)
-                in_docs.update(set(found))
-                size += len(n)
-                if size >= FLUSH:
-                    yield from rows(counts)
-                    counts.clear()
-                    size = 0
-        yield from rows(counts)
-
-    survivors = _texts(docs).mapInPandas(count, "lang string, source string, term string, n long, docs long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts(bits.value, least)
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                counts.add(*row[:2], terms(row[2]))
+                if counts.size >= FLUSH:
+                    yield from counts.flush()
+        yield from counts.flush()
+
+    # a row without a source has the documents of its term
+    survivors = _texts(docs).mapInArrow(count, "lang string, source string, term string, n long")
     # one exchange for the sums by source and by language: both lie within a term's partition
     n = parallelism(spark, 0, 1)
-    exact = survivors.repartition(n, "lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    all_docs = F.sum("docs").over(Window.partitionBy("lang", "term"))
-    return exact.withColumn("_all", all_docs).filter(F.col("_all") >= least).select("lang", "source", "term", "n")
+    exact = survivors.repartition(n, "lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    in_docs = F.max(F.when(F.col("source").isNull(), F.col("n"))).over(Window.partitionBy("lang", "term"))
+    return exact.withColumn("_docs", in_docs).filter((F.col("_docs") >= least) & F.col("source").isNotNull()).drop("_docs")
 
 
 def share(n: Column, total: Column, v: Column) -> Column:
