@@ -7,12 +7,16 @@ partitioning and order, so any list of specs is one exchange and one sort.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .kernels import KERNELS
 from .schema import KEYS, TIMEFRAMES, by_time, last_rows, round6, typical_price
 
 
@@ -22,6 +26,9 @@ class FeatureSpec:
     lookback: int
     build: Callable[[], Column] = field(compare=False)
     depends: tuple[str, ...] = ()
+    #: Kind and options of its numpy kernel; whether its values are whole numbers.
+    kernel: tuple[str, dict] | None = field(default=None, compare=False)
+    whole: bool = False
 
     def column(self) -> Column:
         return self.build().alias(self.id)
@@ -43,7 +50,7 @@ def sma(period: int) -> FeatureSpec:
         w = last_rows(p)
         return F.when(F.count("close").over(w) == p, round6(F.avg("close").over(w)))
 
-    return FeatureSpec(f"sma_{p}", p, build)
+    return FeatureSpec(f"sma_{p}", p, build, kernel=("sma", {"period": p}))
 
 
 def ema(period: int, smoothing: float = 2.0) -> FeatureSpec:
@@ -60,7 +67,7 @@ def ema(period: int, smoothing: float = 2.0) -> FeatureSpec:
         value = F.aggregate(F.slice(c, p + 1, p), seed, lambda e, x: x * F.lit(alpha) + e * F.lit(1 - alpha))
         return F.when(F.size(c) >= p, round6(value))
 
-    return FeatureSpec(name, 2 * p, build)
+    return FeatureSpec(name, 2 * p, build, kernel=("ema", {"period": p, "smoothing": smoothing}))
 
 
 def rsi(period: int) -> FeatureSpec:
@@ -73,7 +80,7 @@ def rsi(period: int) -> FeatureSpec:
         value = F.when(down == 0, F.lit(100.0)).otherwise(round6(100 - 100 / (1 + up / F.nullif(down, F.lit(0.0)))))
         return F.when(F.count(d).over(w) == p, value)
 
-    return FeatureSpec(f"rsi_{p}", p + 1, build)
+    return FeatureSpec(f"rsi_{p}", p + 1, build, kernel=("rsi", {"period": p}))
 
 
 def vwap(period: int) -> FeatureSpec:
@@ -85,7 +92,7 @@ def vwap(period: int) -> FeatureSpec:
         money, volume = F.sum(typical_price() * F.col("volume")).over(w), F.sum("volume").over(w)
         return F.when(F.count("close").over(w) == p, round6(money / F.nullif(volume, F.lit(0.0))))
 
-    return FeatureSpec(f"vwap_{p}", p, build)
+    return FeatureSpec(f"vwap_{p}", p, build, kernel=("vwap", {"period": p}))
 
 
 def engulfing_candle() -> FeatureSpec:
@@ -103,7 +110,7 @@ def engulfing_candle() -> FeatureSpec:
             .otherwise(0)
         )
 
-    return FeatureSpec("engulfing_candle", 2, build)
+    return FeatureSpec("engulfing_candle", 2, build, kernel=("engulfing_candle", {}), whole=True)
 
 
 def swing_highlow(period: int) -> FeatureSpec:
@@ -121,12 +128,17 @@ def swing_highlow(period: int) -> FeatureSpec:
         enough = F.count(F.lit(1)).over(w.rowsBetween(-p, 0)) == p + 1
         return F.when(enough, F.when(is_high & ~is_low, 1).when(is_low & ~is_high, -1).otherwise(0))
 
-    return FeatureSpec(f"swing_highlow_{p}", p + 1, build)
+    return FeatureSpec(f"swing_highlow_{p}", p + 1, build, kernel=("swing_highlow", {"period": p}), whole=True)
+
+
+def named_column(name: str) -> Column:
+    """The column of a name that may have dots, as ``ema_5_s1.5``."""
+    return F.col(f"`{name}`")
 
 
 def difference(a: str, b: str) -> FeatureSpec:
     """One feature less another, as of a fast and a slow average."""
-    return FeatureSpec(f"{a}_minus_{b}", 1, lambda: round6(F.col(a) - F.col(b)), (a, b))
+    return FeatureSpec(f"{a}_minus_{b}", 1, lambda: round6(named_column(a) - named_column(b)), (a, b), ("difference", {"a": a, "b": b}))
 
 
 def mean_of(source: str, period: int) -> FeatureSpec:
@@ -134,10 +146,10 @@ def mean_of(source: str, period: int) -> FeatureSpec:
     p = _period(period)
 
     def build() -> Column:
-        w = last_rows(p)
-        return F.when(F.count(source).over(w) == p, round6(F.avg(source).over(w)))
+        w, c = last_rows(p), named_column(source)
+        return F.when(F.count(c).over(w) == p, round6(F.avg(c).over(w)))
 
-    return FeatureSpec(f"{source}_mean_{p}", p, build, (source,))
+    return FeatureSpec(f"{source}_mean_{p}", p, build, (source,), ("mean_of", {"source": source, "period": p}))
 
 
 BUILDERS = {
@@ -200,25 +212,76 @@ def history(rounds: list[list[FeatureSpec]]) -> int:
     return max(reach.values(), default=1)
 
 
-def feature_chain(bars: DataFrame, specs: Iterable[FeatureSpec], chunk_rows: int | None = None) -> DataFrame:
+def feature_chain(bars: DataFrame, specs: Iterable[FeatureSpec], chunk_rows: int | None = None, kernels: bool = False) -> DataFrame:
     """``bars`` with one column for each spec: one exchange and one sort for all of them.
 
     Specs may depend on each other in any order of the list; each round of ``stages`` is one
     select, and all of them share the exchange. With ``chunk_rows`` a symbol's bars are dealt to
     chunks of so many, each with the bars before it that features look back on, so that one
-    long symbol spreads over many tasks. The result is the same.
+    long symbol spreads over many tasks. With ``kernels`` numpy computes the features, over Arrow
+    batches of sorted partitions, which pays for long periods. The result is the same for bars without nulls.
     """
     specs = list(specs)
     rounds, ids = stages(specs, bars.columns), [s.id for s in specs]
     if chunk_rows:
         chunked = with_history(numbered(bars, chunk_rows), chunk_rows, history(rounds))
         named = chunked.withColumn("_symbol", F.col("symbol")).withColumn("symbol", F.concat_ws("\x00", "symbol", "_chunk"))
-        out = feature_chain(named, specs).filter("not _history")
-        return out.select(*[F.col("_symbol" if c == "symbol" else c).alias(c) for c in bars.columns], *ids)
+        out = feature_chain(named, specs, kernels=kernels).filter("not _history")
+        return out.select(*[named_column("_symbol" if c == "symbol" else c).alias(c) for c in bars.columns], *map(named_column, ids))
+    if kernels:
+        return _by_kernels(bars, rounds, ids)
     out = bars.withColumn("_change", F.col("close") - F.lag("close").over(by_time()))
     for ready in rounds:
         out = out.select("*", *[s.column() for s in ready])
-    return out.select(*bars.columns, *ids)
+    return out.select(*map(named_column, [*bars.columns, *ids]))
+
+
+#: Columns that kernels read.
+_NUMBERS = ("open", "high", "low", "close", "volume")
+
+
+def _by_kernels(bars: DataFrame, rounds: list[list[FeatureSpec]], ids: list[str]) -> DataFrame:
+    """Kernels over each symbol's bars, a batch at a time behind the tail of bars that features look back on."""
+    specs, keep = [s for r in rounds for s in r], history(rounds)
+    lacking = [s.id for s in specs if s.kernel is None]
+    if lacking:
+        raise ValueError(f"features without a kernel: {', '.join(lacking)}")
+    ints = {s.id for s in specs if s.whole}
+
+    def segments(batch: pa.RecordBatch) -> list[int]:
+        """Where symbol or timeframe change."""
+        n, new = batch.num_rows, np.zeros(batch.num_rows, bool)
+        for k in KEYS:
+            codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return [0, *np.flatnonzero(new).tolist(), n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tail = None, {c: np.zeros(0) for c in _NUMBERS}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = {c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in _NUMBERS}
+            made: dict[str, list] = {i: [] for i in ids}
+            cuts = segments(batch)
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(batch.column(k)[a].as_py() for k in KEYS)
+                if key != now:
+                    now, tail = key, {c: np.zeros(0) for c in _NUMBERS}
+                old = len(tail["close"])
+                have = {c: np.concatenate([tail[c], numbers[c][a:b]]) for c in _NUMBERS}
+                for s in specs:
+                    kind, options = s.kernel
+                    have[s.id] = KERNELS[kind](have, **options)
+                    made[s.id].append(have[s.id][old:])
+                tail = {c: have[c][-keep:] for c in _NUMBERS}
+            values = {i: np.concatenate(v) for i, v in made.items()}
+            columns = [pa.array(np.nan_to_num(v).astype("int32") if i in ints else v, mask=np.isnan(v)) for i, v in values.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *ids])
+
+    types = [T.StructField(i, T.IntegerType() if i in ints else T.DoubleType()) for i in ids]
+    dealt = bars.repartition(*KEYS).sortWithinPartitions(*KEYS, "close_ts")
+    return dealt.mapInArrow(run, T.StructType([*bars.schema.fields, *types]))
 
 
 def numbered(bars: DataFrame, chunk_rows: int) -> DataFrame:

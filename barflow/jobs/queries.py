@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import features as ft
 from ..functions.schema import bars_per_year, round6, typical_price
 from ..operators import backtest as bt
-from ..operators import joins, nulls, quality, sobol, strategy, validation
+from ..operators import joins, nulls, quality, sobol, strategy, sweeps, validation
 from ..sources import bars as src
 from ..sources import files
 from ..sources.shared import shared_dir, stored
-from ..streaming import streams
+from ..streaming import streams, timed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -416,6 +416,26 @@ def best_params(spark, sf):
     return validation.best_params(_swept(spark, sf), ["symbol"], "total")
 
 
+#: Periods of two averages, and costs: 2,000 sets.
+CROSS = {"fast": [2, 3, 4, 5, 6, 8, 10, 12, 15, 20], "slow": [10, 15, 20, 25, 30, 35, 40, 45, 50, 60], "cost_bps": list(range(20))}
+#: The pullback strategy's parameters: 1,296 sets.
+DIPS = {"early": [2, 3, 4], "confirmed": [1, 2], "pullback": [0.0, 0.01, 0.03, 0.1, 0.2, 0.4], "lookback": [1, 2, 3], "hold": [1, 3, 5, 8], "cost_bps": [0, 5, 10]}
+
+
+@query
+def sweep_ema_cross(spark, sf):
+    """Crossings of two averages over hourly bars, for every pair of periods and cost."""
+    m = sweeps.strategy_sweep(src.event_bars(spark, sf), validation.grid(spark, CROSS), sweeps.EmaCross())
+    return rounded(m.drop("timeframe"), "total", "sharpe")
+
+
+@query
+def sweep_buy_the_dip(spark, sf):
+    """The pullback strategy over hourly bars, in chunks of 300 bars."""
+    m = sweeps.strategy_sweep(src.event_bars(spark, sf), validation.grid(spark, DIPS), sweeps.BuyTheDip(), chunk_rows=300)
+    return rounded(m.drop("timeframe"), "total", "sharpe")
+
+
 def _perturbed(spark, sf):
     p = validation.perturb(validation.grid(spark, {"entry": [0.1, 0.3], "cost_bps": [5]}), ["entry", "cost_bps"], combined=True)
     m = validation.param_sweep(src.event_bars(spark, sf), p)
@@ -681,3 +701,34 @@ def stream_signals(spark, sf):
     src.user_bars(spark, sf).write.parquet(at)
     out = _drained(streams.stream_signals(streams.stream_bars(spark, at, 10_000)))
     return rounded(out.drop("timeframe", "source"), "pullback_depth")
+
+
+@query
+def stream_klines(spark, sf):
+    """Headerless kline files of every symbol, read as a stream."""
+    path, b = f"{shared_dir(spark)}/klines", src.event_bars(spark, sf)
+    fields = {"open_time": "open_ts", "close_time": "close_ts", **{c: c for c in ("open", "high", "low", "close", "volume")}}
+    b.select(*[F.col(fields[c]).cast("string").alias(c) if c in fields else F.lit("0").alias(c) for c in files.KLINE_COLUMNS], "symbol").write.partitionBy("symbol").csv(path)
+    return _drained(streams.stream_klines(spark, path, 10_000, F.regexp_extract("_metadata.file_path", "symbol=([^/]+)/", 1), "1h")[0])
+
+
+@query
+def stream_ordered_features(spark, sf):
+    """Bars that come up to six hours late, held back until they are in order."""
+    at, delay, parts = shared_dir(spark), 6 * 3_600_000, 4
+    b = stored(src.event_bars(spark, sf).withColumn("_key", F.col("close_ts") + F.pmod(F.xxhash64("symbol", "close_ts"), F.lit(delay))))
+    low, high = b.agg(F.min("_key"), F.max("_key")).first()
+    step = ((high or 0) - (low or 0)) // parts + 1
+    for i in range(parts):  # one file after the other
+        mine = b.filter(F.floor((F.col("_key") - F.lit(low or 0)) / step) == i).drop("_key")
+        mine.coalesce(1).write.mode("append").parquet(at)
+    specs = [("difference", {"a": "sma_20", "b": "ema_20"}), ("sma", {"period": 20}), ("ema", {"period": 20}), ("rsi", {"period": 14})]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    timed.use_timers(spark)
+    try:
+        out = _drained(timed.ordered_features(streams.stream_bars(spark, at, 1), specs, "6 hours"))
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    ids = {"sma_20": "sma_20", "ema_20": "ema_20", "rsi_14": "rsi_14", "sma_20_minus_ema_20": "gap"}
+    return out.select("symbol", "close_ts", "close", *[F.when(~F.isnan(c), F.col(c)).alias(n) for c, n in ids.items()])

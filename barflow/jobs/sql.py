@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.schema import TIMEFRAMES
 from ..operators.backtest import MODULUS, mixed
+from ..operators.sequences import permutation, sobol_number
 from ..operators.validation import FACTORS
-from .queries import N_NULL, SWEEP
+from .queries import CROSS, DIPS, N_NULL, SWEEP
 
 R6 = "(round(round(({}) * 1e6, 3)) / 1e6 + 0.0)"
 
@@ -152,12 +155,13 @@ def sweep_sql() -> str:
 
 
 def lhs_sql(bounds: dict, n: int, seed: int, ints=()) -> str:
-    cols = []
+    table, cols = f"SELECT CAST(range AS BIGINT) AS param_id FROM range({n})", []
     for k, (name, (lo, hi)) in enumerate(bounds.items()):
-        rank = f"(row_number() OVER (ORDER BY {mixed('param_id', str(1000 * seed + k))}, param_id) - 1)"
-        value = f"{float(lo)} + ({rank} + (({mixed('param_id', str(1000 * seed + 500 + k))}) + 0.5) / {MODULUS}) / {n} * ({hi} - {lo})"
+        for step, sql in permutation("param_id", n, 1000 * seed + 10 * k, f"s{k}"):
+            table, last = f"SELECT *, {sql} AS {step} FROM ({table})", step
+        value = f"{float(lo)} + ({last} + (({mixed('param_id', str(1000 * seed + 500 + k))}) + 0.5) / {MODULUS}) / {n} * ({hi} - {lo})"
         cols.append(f"round_even({value}, 0) AS {name}" if name in ints else f"{value} AS {name}")
-    return f"params AS (SELECT param_id, {', '.join(cols)} FROM (SELECT CAST(range AS BIGINT) AS param_id FROM range({n})))"
+    return f"params AS MATERIALIZED (SELECT param_id, {', '.join(cols)} FROM ({table}))"
 
 
 def lookback_sql(most: int, params: str = "params") -> str:
@@ -168,6 +172,48 @@ def lookback_sql(most: int, params: str = "params") -> str:
 ths AS (SELECT {params}.*, symbol, {pos} AS position, {pos} * coalesce(ret, 0.0) - {pos} * cost_bps / 1e4 AS ret FROM fl, {params})"""
 
 
+def product_sql(axes: dict[str, list]) -> str:
+    """Every combination of the axes' values, numbered in the axes' order."""
+    stride, number, tables = 1, [], []
+    for name, values in reversed(axes.items()):
+        number.append(f"{name}_i * {stride}")
+        tables.append(f"(SELECT unnest({[float(v) for v in values]}::DOUBLE[]) AS {name}, unnest(range(0, {len(values)})) AS {name}_i)")
+        stride *= len(values)
+    return f"params AS (SELECT CAST({' + '.join(number)} AS BIGINT) AS param_id, {', '.join(axes)} FROM {', '.join(tables)})"
+
+
+#: Position -> metrics of each parameter set and symbol.
+SWEPT = f"""n0 AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY param_id, symbol ORDER BY close_ts), 0) AS earlier FROM held),
+n1 AS (SELECT *, position * coalesce(ret, 0.0) - abs(position - earlier) * cost_bps / 1e4 AS net FROM n0)
+SELECT param_id, symbol, count(*) AS n_bars, CAST(sum(CASE WHEN position > earlier THEN 1 ELSE 0 END) AS BIGINT) AS n_trades, {r6('sum(net)')} AS total,
+  {r6('avg(net) / nullif(stddev_samp(net), 0)')} AS sharpe FROM n1 GROUP BY param_id, symbol"""
+
+
+def cross_sql() -> str:
+    periods = sorted({*CROSS["fast"], *CROSS["slow"]})
+    long = ", ".join(f"CAST({p} AS DOUBLE)" for p in periods)
+    pick = lambda k: f"list_extract(emas, list_position([{long}], {k}))"
+    return f"""{EV}, {RET}, {product_sql(CROSS)}, e0 AS (SELECT symbol, close_ts, ret, {', '.join(_ema(p) for p in periods)} FROM ret),
+e1 AS (SELECT symbol, close_ts, ret, [{', '.join(f'ema_{p}' for p in periods)}] AS emas FROM e0),
+held AS (SELECT param_id, symbol, close_ts, ret, cost_bps, coalesce(CASE WHEN {pick('fast')} > {pick('slow')} THEN 1 ELSE 0 END, 0) AS position FROM e1, params)"""
+
+
+def dips_sql() -> str:
+    parts = []
+    for lb in DIPS["lookback"]:
+        chain = UPS.replace(swings(2), swings(lb)).replace("FROM bars)", "FROM ret)")
+        parts.append(re.sub(r"\b(u0|u1|u2|u3|trend)\b", rf"\1_{lb}", chain))
+    union = " UNION ALL ".join(f"SELECT CAST({lb} AS DOUBLE) AS lookback, symbol, close_ts, ret, high, recent_high, pullback_depth, consecutive_up, least(higher_highs, higher_lows) AS swung FROM trend_{lb}" for lb in DIPS["lookback"])
+    own, upto = "PARTITION BY param_id, symbol ORDER BY close_ts", "ROWS UNBOUNDED PRECEDING"
+    return f"""{EV}, {RET}, {product_sql(DIPS)}, {', '.join(parts)}, every AS ({union}),
+d0 AS (SELECT *, coalesce(high > lag(recent_high) OVER (PARTITION BY lookback, symbol ORDER BY close_ts), true) AS nw, row_number() OVER (PARTITION BY lookback, symbol ORDER BY close_ts) AS i FROM every),
+d1 AS (SELECT param_id, symbol, close_ts, ret, cost_bps, hold, i, nw, swung >= confirmed OR consecutive_up >= early AS tr, pullback_depth >= pullback AS pl FROM d0 JOIN params USING (lookback)),
+d2 AS (SELECT *, max(CASE WHEN pl THEN i END) OVER ({own} {upto}) AS lp, max(CASE WHEN nw THEN i END) OVER ({own} {upto}) AS ln,
+  coalesce(max(CASE WHEN tr THEN i END) OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lt FROM d1),
+d3 AS (SELECT *, max(CASE WHEN tr AND lp >= ln AND lp > lt THEN i END) OVER ({own} {upto}) AS ls FROM d2),
+held AS (SELECT param_id, symbol, close_ts, ret, cost_bps, coalesce(CASE WHEN i - ls < hold THEN 1 ELSE 0 END, 0) AS position FROM d3)"""
+
+
 def walk(anchored: bool = False) -> str:
     start, whole = ("UNBOUNDED PRECEDING", "b * 50 + 200") if anchored else ("CURRENT ROW", "200")
     return f"""wb AS (SELECT *, (row_number() OVER (PARTITION BY param_id, symbol, timeframe ORDER BY close_ts) - 1) // 50 AS b FROM thr),
@@ -191,7 +237,7 @@ _PARAMS = [("lookback", 1.0, 5.0, "signal-structural"), ("entry", 0.05, 0.5, "si
 
 def _value(k: int) -> str:
     name, lo, hi, _ = _PARAMS[k]
-    u = lambda d: f"(({mixed('base_id', str(d))}) + 0.5) / {MODULUS}"
+    u = lambda d: sobol_number("base_id", d, 1024, xor=lambda a, b: f"xor({a}, {b})")
     from_b = f"block = 'B' OR (block = 'AB' AND coalesce(j = {k}, false)) OR (block = 'BA' AND NOT coalesce(j = {k}, false))"
     value = f"{lo} + CASE WHEN {from_b} THEN {u(3 + k)} ELSE {u(k)} END * {hi - lo}"
     return f"round_even({value}, 0) AS {name}" if name == "lookback" else f"{value} AS {name}"
@@ -266,6 +312,9 @@ SQL = {
         UNION ALL SELECT 'groups', concat_ws('/', symbol, category), unnest(['s1', 'st']), unnest([{r6('s1')}, {r6('st')}]) FROM grp""",
     "list_pairs": "SELECT c_name AS symbol, 'TRADING' AS status, upper(c_mktsegment) AS quoteAsset FROM customer WHERE c_acctbal > 0 AND upper(c_mktsegment) = 'BUILDING' AND lower(c_name) LIKE '%customer#00%'",
     "list_tickers": f"WITH {DAY} SELECT upper(symbol) || 'USDT' AS symbol, arg_max(close, close_ts) AS lastPrice, arg_max(volume, close_ts) AS volume FROM bars GROUP BY symbol",
+    "stream_klines": f"WITH {EV} SELECT {COLS} FROM bars",
+    "stream_ordered_features": f"""WITH {EV}, {CHANGE}, f AS (SELECT symbol, close_ts, close, {_sma(20)}, {_ema(20)}, {_rsi(14)} FROM ch)
+        SELECT *, {r6('sma_20 - ema_20')} AS gap FROM f WHERE close_ts <= (SELECT max(close_ts) FROM bars) - 21600000""",
     "stream_signals": f"""WITH {US}, {DIP} SELECT symbol, 'buy' AS side, close_ts AS ts, maturity AS trend_maturity, {r6('pullback_depth')} AS pullback_depth, recent_high,
         CAST(higher_highs AS INTEGER) AS swing_high_count, CAST(higher_lows AS INTEGER) AS swing_low_count FROM sig""",
     "feature_chain_lines": f"WITH {LI}, {CHANGE} SELECT {RCOLS}, {FEATURES} FROM ch".replace(RCOLS, RCOLS),
@@ -303,6 +352,8 @@ SQL = {
         UNION ALL SELECT symbol, close_ts, 'swing_low', swing_low FROM s WHERE swing_low IS NOT NULL""",
     "consecutive_up": f"WITH {US}, {UPS} SELECT symbol, close_ts, consecutive_up FROM trend",
     "pullback_depth": f"WITH {EV}, {UPS} SELECT symbol, close_ts, recent_high, {r6('pullback_depth')} AS pullback_depth FROM trend",
+    "sweep_ema_cross": f"WITH {cross_sql()}, {SWEPT}",
+    "sweep_buy_the_dip": f"WITH {dips_sql()}, {SWEPT}",
     "trend_maturity_chunked": f"WITH {bars('event', '1m')}, {UPS} SELECT symbol, close_ts, higher_highs, higher_lows, consecutive_up, maturity FROM trend",
     "buy_the_dip_chunked": f"WITH {bars('event', '1m')}, {DIP} SELECT symbol, close_ts AS ts, maturity AS trend_maturity, {r6('pullback_depth')} AS pullback_depth, recent_high FROM sig",
     "drawdown_chunked": f"WITH {EV}, {RET}, {DD.format(src='ret')} SELECT symbol, close_ts, {r6('drawdown')} AS drawdown FROM dr",

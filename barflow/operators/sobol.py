@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .backtest import MODULUS, mixed
+from .sequences import sobol_number
 
 #: The closed sets a problem may use.
 CATEGORIES = ("signal-structural", "signal-threshold", "execution")
@@ -62,14 +63,17 @@ def sample_plan(n_rows: DataFrame, problem: dict, n: int = 1024) -> DataFrame:
     )
 
 
-def saltelli_samples(spark: SparkSession, problem: dict, n: int = 1024, seed: int = 0) -> DataFrame:
+def saltelli_samples(spark: SparkSession, problem: dict, n: int = 1024, seed: int = 0, sequence: str = "sobol") -> DataFrame:
     """sample_id, base_id, block (A, AB, BA, B), j, and one column for each parameter.
 
-    The uniforms come from an arithmetic hash of (base_id, dimension): the same anywhere.
+    A and B are the two halves of a point of Sobol's sequence (``sobol``), or of an arithmetic hash of
+    (base_id, dimension) (``hash``). Either way a row follows from its base_id alone.
     """
+    if sequence not in ("sobol", "hash"):
+        raise ValueError(f"unknown sequence {sequence!r}")
     params = problem["parameters"]
     d = len(params)
-    u = lambda k: F.expr(f"(({mixed('base_id', str(k + 2 * d * seed))}) + 0.5) / {MODULUS}")
+    u = lambda k: F.expr(sobol_number("base_id", k, n, seed) if sequence == "sobol" else f"(({mixed('base_id', str(k + 2 * d * seed))}) + 0.5) / {MODULUS}")
     base = spark.range(n).withColumnRenamed("id", "base_id")
     base = base.withColumns({f"_u{k}": u(k) for k in range(2 * d)})
     blocks = [("A", None), *[(b, j) for b in ("AB", "BA") for j in range(d)], ("B", None)]

@@ -14,6 +14,7 @@ from ..functions.schema import KEYS
 from .backtest import MODULUS, bar_returns, mixed, null_test
 from .joins import SETS, expand_params
 from .nulls import from_seeds
+from .sequences import permuted
 
 
 def _whole(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -30,17 +31,25 @@ def grid(spark: SparkSession, axes: dict[str, list[float]], ints: Iterable[str]
 
 
 def lhs_params(spark: SparkSession, bounds: dict[str, tuple[float, float]], n: int, seed: int = 0, ints: Iterable[str] = ()) -> DataFrame:
-    """Latin hypercube: in each dimension every one of n strata is used once; ``ints`` are rounded half to even."""
+    """Latin hypercube: in each dimension every one of n strata is used once; ``ints`` are rounded half to even.
+
+    A set's stratum in a dimension is a keyed permutation of its number: sets need not know each other.
+    """
     df = spark.range(n).withColumnRenamed("id", "param_id")
     for k, (name, (lo, hi)) in enumerate(bounds.items()):
-        h = F.expr(mixed("param_id", str(1000 * seed + k)))
-        order = spark.range(n).withColumnRenamed("id", "param_id").withColumn("_h", h)
-        rank = F.row_number().over(Window.partitionBy(F.lit(k)).orderBy("_h", "param_id")) - 1  # n rows by design
+        df = permuted(df, "param_id", n, 1000 * seed + 10 * k, f"_s{k}")
         jitter = F.expr(f"(({mixed('param_id', str(1000 * seed + 500 + k))}) + 0.5) / {MODULUS}")
-        df = df.join(order.select("param_id", (F.lit(float(lo)) + (rank + jitter) / n * (hi - lo)).alias(name)), "param_id")
+        df = df.withColumn(name, F.lit(float(lo)) + (F.col(f"_s{k}") + jitter) / n * (hi - lo)).drop(f"_s{k}")
     return _whole(df, ints)
 
 
+def random_params(spark: SparkSession, bounds: dict[str, tuple[float, float]], n: int, seed: int = 0, ints: Iterable[str] = ()) -> DataFrame:
+    """Independent uniform sets, each from its number; ``ints`` are rounded half to even."""
+    u = {name: F.expr(f"(({mixed('param_id', str(1000 * seed + 700 + k))}) + 0.5) / {MODULUS}") for k, name in enumerate(bounds)}
+    df = spark.range(n).withColumnRenamed("id", "param_id")
+    return _whole(df.select("param_id", *[(F.lit(float(lo)) + u[name] * (hi - lo)).alias(name) for name, (lo, hi) in bounds.items()]), ints)
+
+
 def threshold_returns(bars: DataFrame, params: DataFrame) -> DataFrame:
     """Each bar under each parameter set: long for a bar after a fall of ``entry`` or more.
 

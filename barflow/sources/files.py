@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import warnings
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,14 +46,21 @@ def read_klines_csv(
     ``symbol`` and ``timeframe`` are texts or columns (as of ``_metadata``); without them they come from
     file names like ``BTCUSDT-1h-2024-01.csv``.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*KLINE_COLUMNS, "_raw"]])
-    df = spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", ignoreLeadingWhiteSpace=False)
-    name = r"([A-Z0-9]+)-(\w+)-\d{4}-\d{2}"
+    return parse_klines(spark.read.schema(KLINE_SCHEMA).csv(path, **KLINE_OPTIONS), symbol, timeframe)
+
+
+KLINE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in [*KLINE_COLUMNS, "_raw"]])
+KLINE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw", "ignoreLeadingWhiteSpace": False}
+_NAME = r"([A-Z0-9]+)-(\w+)-\d{4}-\d{2}"
+
+
+def parse_klines(df: DataFrame, symbol: str | Column | None = None, timeframe: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bars and bad rows of a table or stream of kline files' rows."""
     file = F.col("_metadata.file_name")
     return _parse(
         df,
-        F.lit(symbol) if symbol is not None else F.regexp_extract(file, name, 1),
-        F.lit(timeframe) if timeframe is not None else F.regexp_extract(file, name, 2),
+        F.lit(symbol) if symbol is not None else F.regexp_extract(file, _NAME, 1),
+        F.lit(timeframe) if timeframe is not None else F.regexp_extract(file, _NAME, 2),
     )
 
 
@@ -71,27 +80,41 @@ def parse_kline_json(df: DataFrame, body: str, symbol: str | Column, timeframe:
     return out.filter("open_ts is not null and close_ts is not null")
 
 
+#: Lines of an archive's member that a task holds at a time.
+LINES = 100_000
+
+
 def read_kline_archives(spark: SparkSession, glob: str, months: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Bars and bad rows of zip archives: the first ``.csv`` member of each. No file at all is an error."""
+    """Bars and bad rows of zip archives: the first ``.csv`` member of each. No file at all is an error.
+
+    With ``months`` (like ``2024-01``) only archives of theirs are read, and each month without one is
+    warned of. A member is inflated piece by piece.
+    """
     files = spark.read.format("binaryFile").load(glob)
     if months is not None:
-        files = files.filter(F.regexp_extract("path", r"(\d{4}-\d{2})\.zip$", 1).isin(months))
+        month = F.regexp_extract("path", r"(\d{4}-\d{2})\.zip$", 1)
+        files = files.filter(month.isin(months))
+        found = {r[0] for r in files.select(month).distinct().collect()}  # of the months asked for
+        for m in months:
+            if m not in found:
+                warnings.warn(f"no archive of {m} matches {glob}", stacklevel=2)
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for path, content in zip(df["path"], df["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     member = next((m for m in z.namelist() if m.endswith(".csv")), None)
-                    if member:
-                        text = z.read(member).decode("utf-8", "replace").splitlines()
-                        yield pd.DataFrame({"path": path, "line": [x for x in text if x]})
+                    if member is None:
+                        continue
+                    with io.TextIOWrapper(z.open(member), "utf-8", "replace") as text:
+                        while part := [x.rstrip("\r\n") for x in islice(text, LINES)]:
+                            yield pd.DataFrame([(path, x) for x in part if x], columns=["path", "line"])
 
     if not files.select("path").head(1):
         raise FileNotFoundError(f"no archive matches {glob}")
     cut = files.select("path", "content").mapInPandas(lines, "path string, line string").select("path", F.split("line", ",").alias("f"))
     df = cut.select("path", *[F.get("f", i).alias(c) for i, c in enumerate(KLINE_COLUMNS)])
-    name = r"([A-Z0-9]+)-(\w+)-\d{4}-\d{2}"
-    return _parse(df, F.regexp_extract("path", name, 1), F.regexp_extract("path", name, 2))
+    return _parse(df, F.regexp_extract("path", _NAME, 1), F.regexp_extract("path", _NAME, 2))
 
 
 def month_range(spark: SparkSession, start: str, end: str) -> DataFrame:

@@ -11,7 +11,7 @@ _local: list[str] = []
 _roots: dict[str, str] = {}
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     """The path, and the file system of the store that it names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     if base not in _roots:
         _roots[base] = f"{base.rstrip('/')}/barflow-{uuid.uuid4().hex}"
         if getattr(spark.sparkContext, "_jvm", None):
-            at, store = _hadoop(spark, _roots[base])
+            at, store = hadoop_path(spark, _roots[base])
             store.mkdirs(at)
             store.deleteOnExit(at)
     return f"{_roots[base]}/{uuid.uuid4().hex}"
@@ -54,5 +54,5 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
 
 def delete_dir(spark: SparkSession, path: str) -> None:
     """Remove a folder, in the store that its path names."""
-    at, store = _hadoop(spark, path)
+    at, store = hadoop_path(spark, path)
     store.delete(at, True)

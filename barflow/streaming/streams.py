@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from ..functions.features import history, spec, stages
 from ..functions.kernels import KERNELS
 from ..functions.schema import step_ms
+from ..sources.files import KLINE_OPTIONS, KLINE_SCHEMA, parse_klines
+from ..sources.shared import hadoop_path
 
 BAR_SCHEMA = "symbol string, timeframe string, open_ts long, close_ts long, open double, high double, low double, close double, volume double"
 
@@ -23,6 +25,12 @@ def stream_bars(spark: SparkSession, path: str, files_per_trigger: int = 1, sche
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def stream_klines(spark: SparkSession, path: str, files_per_trigger: int = 1, symbol=None, timeframe=None) -> tuple[DataFrame, DataFrame]:
+    """Bars and bad rows of headerless kline files as they come, so many files a trigger; as ``read_klines_csv``."""
+    df = spark.readStream.schema(KLINE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).csv(path, **KLINE_OPTIONS)
+    return parse_klines(df, symbol, timeframe)
+
+
 def stream_ticks_to_bars(ticks: DataFrame, ts: str, symbol: str, price: str, size: str, timeframe: str, delay: str = "10 minutes") -> DataFrame:
     """Tumbling bars, each emitted once when the watermark has passed its end.
 
@@ -42,21 +50,44 @@ def stream_ticks_to_bars(ticks: DataFrame, ts: str, symbol: str, price: str, siz
     )
 
 
-def fan_out(stream: DataFrame, sinks: Iterable[Callable[[DataFrame, int], None]], checkpoint: str):
-    """Each micro-batch to every sink in turn, nothing dropped; returns the stream writer."""
-    sinks = list(sinks)
+Sink = Callable[[DataFrame, int], None]
+
+
+def fan_out(stream: DataFrame, sinks: Iterable[Sink], checkpoint: str):
+    """Each micro-batch to every sink in turn, nothing dropped; returns the stream writer.
+
+    A ledger beside the checkpoint has one mark for each sink and batch that is done: where a later sink fails,
+    the retry goes on with that one and does not write the others' rows again. A sink that can write a
+    batch twice without harm (``to_epochs``) gets it exactly once, whatever stops the driver.
+    """
+    sinks, spark = list(sinks), stream.sparkSession
 
     def send(batch: DataFrame, epoch: int) -> None:
+        marks = [hadoop_path(spark, f"{checkpoint}/sinks/{i}/{epoch}") for i in range(len(sinks))]
+        left = [i for i, (at, store) in enumerate(marks) if not store.exists(at)]
+        if not left:
+            return
         batch.persist()
         try:
-            for sink in sinks:
-                sink(batch, epoch)
+            for i in left:
+                sinks[i](batch, epoch)
+                at, store = marks[i]
+                store.create(at, True).close()
         finally:
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
 
 
+def to_epochs(path: str) -> Sink:
+    """A sink of Parquet, one folder a batch: a batch that is written again takes the place of its first try."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
 def replay(writer, interval: str | None = None):
     """Start a writer paced by an interval ("100 milliseconds"), or as a backfill of what is there."""
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -86,6 +117,25 @@ def _typed(bars: pd.DataFrame) -> pd.DataFrame:
     return bars.astype({n: "int64" if n.endswith("_ts") else "float64" for n in NAMES})
 
 
+def rolling(specs: list[tuple[str, dict]]) -> tuple[int, list[str], Callable]:
+    """Bars that specs look back on, their ids, and a function from bars in order to their values."""
+    unknown = sorted({kind for kind, _ in specs} - set(KERNELS))
+    if unknown:
+        raise ValueError(f"features that no stream can compute: {', '.join(unknown)}")
+    built = [spec(kind, **options) for kind, options in specs]
+    rounds, ids = stages(built), [s.id for s in built]
+    order = [ids.index(s.id) for r in rounds for s in r]
+
+    def features(bars) -> dict:
+        have = {n: np.asarray(bars[n]) for n in NAMES}
+        for i in order:
+            kind, options = specs[i]
+            have[ids[i]] = KERNELS[kind](have, **options)
+        return {i: have[i] for i in ids}
+
+    return history(rounds), ids, features
+
+
 def stream_features(stream: DataFrame, specs: list[tuple[str, dict]], mode: str = "event_time", keep_late: bool = False) -> DataFrame:
     """Rolling features of a bar stream, with as many bars of history as they look back on.
 
@@ -100,21 +150,9 @@ def stream_features(stream: DataFrame, specs: list[tuple[str, dict]], mode: str
     """
     if mode not in ("event_time", "arrival"):
         raise ValueError(f"unknown mode {mode!r}")
-    unknown = sorted({kind for kind, _ in specs} - set(KERNELS))
-    if unknown:
-        raise ValueError(f"features that no stream can compute: {', '.join(unknown)}")
-    built = [spec(kind, **options) for kind, options in specs]
-    rounds, ids = stages(built), [s.id for s in built]
-    keep, order = history(rounds), [ids.index(s.id) for r in rounds for s in r]
+    keep, ids, features = rolling(specs)
     columns = ["symbol", "timeframe", *NAMES, *ids, *["late"] * keep_late]
 
-    def features(bars) -> dict:
-        have = {n: np.asarray(bars[n]) for n in NAMES}
-        for i in order:
-            kind, options = specs[i]
-            have[ids[i]] = KERNELS[kind](have, **options)
-        return {i: have[i] for i in ids}
-
     def in_order(past: list, new: pd.DataFrame) -> tuple[pd.DataFrame, list]:
         new = new.sort_values("close_ts", kind="stable")
         gone = new.duplicated("close_ts") | (new["close_ts"] <= (past[-1][1] if past else -(2**63)))
