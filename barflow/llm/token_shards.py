@@ -33,12 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import parallelism, shared_dir
 from .pretokens import classes, word_level
 
 MAGIC = b"WVM1"
 #: Ids in a shard, at least, unless the data end: 2 bytes each, so that work stays in cache.
 SHARD_IDS = 1 << 17
+#: Text of a part, about, and characters of it that rows of one id are parted by.
+PART_BYTES, HEAD = 64_000_000, 64
 BLOCK = 512  # ids between two rank counts
 MEMO_LIMIT = 1_000_000
 _NULL_ID = -(2**63)
@@ -255,8 +257,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             yield flush()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").mapInPandas(
+    # rows without an id are many or few: texts part them, by a prefix that keeps the order of texts
+    rows = rows.withColumn("_head", F.substring("text", 1, HEAD))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = parallelism(spark, size, PART_BYTES)
+    rows.repartitionByRange(n, "id", "_head").sortWithinPartitions("id", "text").select("id", "text").mapInPandas(
         shards, "part int, shard int, n_ids long, data binary"
     ).write.option("compression", "uncompressed").parquet(path)
 
