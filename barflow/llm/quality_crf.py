@@ -205,8 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int, rest: int, label: str = "q
         return model
     model.calibration = logistic(m[["m"]].to_numpy(), m["y"].to_numpy())
     # the sample is balanced, the labels are not
-    share = labels.filter(~held_out(mod, rest)).groupBy(F.col(label).alias("y")).count().collect()
-    share = {r["y"]: r["count"] for r in share if r["y"] in (0, 1)}
+    share = labels.filter(~held_out(mod, rest) & F.col(label).isin(0, 1)).groupBy(F.col(label).alias("y")).count().collect()  # two rows
+    share = {r["y"]: r["count"] for r in share}
     model.calibration[1] += np.log(share[1] / share[0])
     return model
 
