@@ -23,34 +23,41 @@ def _windows(x: np.ndarray, p: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, p)
 
 
-def _rolling(x: np.ndarray, p: int, f) -> np.ndarray:
+def _sums(x: np.ndarray, p: int) -> np.ndarray:
+    """Sum of the last p values, added in order as a plain loop would; NaN until there are as many."""
     out = np.full(len(x), np.nan)
     if len(x) >= p:
-        out[p - 1 :] = f(_windows(x, p))
+        total = np.zeros(len(x) - p + 1)
+        for i in range(p):
+            total += x[i : len(x) - p + 1 + i]
+        out[p - 1 :] = total
     return out
 
 
 def sma(bars: Bars, period: int) -> np.ndarray:
-    return _round6(_rolling(np.asarray(bars["close"]), period, lambda w: w.mean(axis=1)))
+    return _round6(_sums(np.asarray(bars["close"]), period) / period)
 
 
 def ema(bars: Bars, period: int, smoothing: float = 2.0) -> np.ndarray:
     x, p, a = np.asarray(bars["close"]), period, smoothing / (period + 1)
     out = np.full(len(x), np.nan)
     for i in range(p - 1, min(len(x), 2 * p - 1)):  # shorter history: the seed is the first p
-        e = x[:p].mean()
-        for v in x[p : i + 1]:
+        e = sum(x[:p].tolist()) / p
+        for v in x[p : i + 1].tolist():
             e = v * a + e * (1 - a)
         out[i] = e
-    if len(x) >= 2 * p:  # a full window is a fixed weight vector
-        weight = np.concatenate([np.full(p, (1 - a) ** p / p), a * (1 - a) ** np.arange(p - 1, -1, -1)])
-        out[2 * p - 1 :] = _windows(x, 2 * p) @ weight
+    n = len(x) - 2 * p + 1
+    if n > 0:  # every full window at once, step by step
+        e = _sums(x, p)[p - 1 : p - 1 + n] / p
+        for i in range(p, 2 * p):
+            e = x[i : i + n] * a + e * (1 - a)
+        out[2 * p - 1 :] = e
     return _round6(out)
 
 
 def rsi(bars: Bars, period: int) -> np.ndarray:
     d = np.diff(np.asarray(bars["close"]))
-    up, down = (_rolling(np.maximum(s * d, 0), period, lambda w: w.mean(axis=1)) for s in (1, -1))
+    up, down = (_sums(np.maximum(s * d, 0), period) / period for s in (1, -1))
     with np.errstate(divide="ignore", invalid="ignore"):
         value = np.where(down == 0, 100.0, _round6(100 - 100 / (1 + up / down)))
     return np.concatenate([[np.nan], np.where(np.isnan(up), np.nan, value)])[: len(bars["close"])]
@@ -59,7 +66,7 @@ def rsi(bars: Bars, period: int) -> np.ndarray:
 def vwap(bars: Bars, period: int) -> np.ndarray:
     high, low, close, v = (np.asarray(bars[c]) for c in ("high", "low", "close", "volume"))
     money = (high + low + close) / 3 * v
-    a, b = (_rolling(x, period, lambda w: w.sum(axis=1)) for x in (money, v))
+    a, b = (_sums(x, period) for x in (money, v))
     with np.errstate(divide="ignore", invalid="ignore"):
         return _round6(np.where(b == 0, np.nan, a / b))
 
@@ -78,8 +85,8 @@ def swing_highlow(bars: Bars, period: int) -> np.ndarray:
     lb, high, low = period // 2, np.asarray(bars["high"]), np.asarray(bars["low"])
     out = np.full(len(high), np.nan)
     if len(high) > period:
-        (h, l), others = (_windows(x, period + 1) for x in (high, low)), np.arange(period + 1) != lb
-        is_high, is_low = h[:, lb] > h[:, others].max(axis=1), l[:, lb] < l[:, others].min(axis=1)
+        (h, w), others = (_windows(x, period + 1) for x in (high, low)), np.arange(period + 1) != lb
+        is_high, is_low = h[:, lb] > h[:, others].max(axis=1), w[:, lb] < w[:, others].min(axis=1)
         out[period:] = is_high.astype(int) - is_low.astype(int)
     return out
 
@@ -89,7 +96,7 @@ def difference(bars: Bars, a: str, b: str) -> np.ndarray:
 
 
 def mean_of(bars: Bars, source: str, period: int) -> np.ndarray:
-    return _round6(_rolling(np.asarray(bars[source], float), period, lambda w: w.mean(axis=1)))
+    return _round6(_sums(np.asarray(bars[source], float), period) / period)
 
 
 KERNELS = {

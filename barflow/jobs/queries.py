@@ -55,18 +55,18 @@ def rollup_bars(spark, sf):
 @query
 def feature_chain(spark, sf):
     bars = quality.drop_malformed(src.event_bars(spark, sf, "1h"))
-    return ft.feature_chain(bars, SPECS)
+    return ft.feature_chain(bars, SPECS, kernels=True)
 
 
 @query
 def feature_chain_lines(spark, sf):
-    return rounded(ft.feature_chain(src.line_bars(spark, sf), SPECS), "open", "high", "low", "close")
+    return rounded(ft.feature_chain(src.line_bars(spark, sf), SPECS, kernels=True), "open", "high", "low", "close")
 
 
 @query
 def feature_chain_chunked(spark, sf):
     """Minute bars of a few long symbols, in chunks of 500."""
-    return ft.feature_chain(src.event_bars(spark, sf, "1m"), SPECS, chunk_rows=500)
+    return ft.feature_chain(src.event_bars(spark, sf, "1m"), SPECS, chunk_rows=500, kernels=True)
 
 
 @query
