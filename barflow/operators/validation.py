@@ -55,16 +55,17 @@ def threshold_returns(bars: DataFrame, params: DataFrame) -> DataFrame:
 
     The fall is over one bar, or over ``lookback`` bars where the sets have that column. Falls
     are computed once for each lookback; parameter sets only compare with them. A fall from a
-    zero close is none.
+    zero close is none. Bars are numbered (``bar_idx``) before they meet the sets.
     """
     w = Window.partitionBy(*KEYS).orderBy("close_ts")
     most = int(params.agg(F.max("lookback")).first()[0] or 1) if "lookback" in params.columns else 1
     falls = F.array(*[1 - F.try_divide("close", F.lag("close", k).over(w)) for k in range(1, most + 1)])
-    e = expand_params(bar_returns(bars).select(*KEYS, "close_ts", "ret", falls.alias("_falls")), params)
+    index = F.row_number().over(w).cast("long") - 1
+    e = expand_params(bar_returns(bars).select(*KEYS, "close_ts", "ret", index.alias("bar_idx"), falls.alias("_falls")), params)
     fall = F.get("_falls", (F.col("lookback") - 1).cast("int") if "lookback" in params.columns else F.lit(0))
     pos = F.coalesce((fall >= F.col("entry")).cast("int"), F.lit(0))
     net = pos * F.coalesce("ret", F.lit(0.0)) - pos * F.col("cost_bps") / 1e4
-    return e.select("param_id", "symbol", "timeframe", "close_ts", pos.alias("position"), net.alias("ret"))
+    return e.select("param_id", "symbol", "timeframe", "close_ts", "bar_idx", pos.alias("position"), net.alias("ret"))
 
 
 def param_sweep(bars: DataFrame, params: DataFrame) -> DataFrame:
@@ -110,6 +111,8 @@ def best_params(metrics: DataFrame, by: list[str], metric: str) -> DataFrame:
 
 
 def _buckets(returns: DataFrame, step: int) -> DataFrame:
+    if "bar_idx" in returns.columns:  # numbered already: bars are added up by bucket before anything is shuffled
+        return returns.withColumn("_b", F.floor(F.col("bar_idx") / step).cast("long"))
     w = Window.partitionBy("param_id", *KEYS).orderBy("close_ts")
     return returns.withColumn("_b", F.floor((F.row_number().over(w) - 1) / step).cast("long"))
 
