@@ -26,8 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pretokens import chunks
 
@@ -232,10 +234,26 @@ def decoder(spark: SparkSession, path: str):
     return decode
 
 
-def encode_documents(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ``ids`` array<int> and ``n_tokens``."""
-    ids = encoder(df.sparkSession, path)(F.coalesce(F.col(text_col), F.lit("")))
-    return df.withColumn("ids", ids).withColumn("n_tokens", F.size("ids").cast("long"))
+def encode_documents(df: DataFrame, path: str, text_col: str = "text", chars: int = 1_000_000) -> DataFrame:
+    """``df`` with ``ids`` array<int> and ``n_tokens``.
+
+    A worker hands its rows on after about ``chars`` characters, so that neither texts nor ids of a
+    whole batch are held twice.
+    """
+    source, rest = _source(df.sparkSession, path), df.drop("ids", "n_tokens")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(source.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            for a, b in chunks(texts, chars):
+                ids = [c.encode(t) for t in texts[a:b]]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], [*batch.schema.names, "ids"])
+
+    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rest.mapInArrow(encode, schema).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 def decode_documents(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
