@@ -482,9 +482,10 @@ def permute_returns(spark, sf):
 
 @query
 def null_prices(spark, sf):
-    """Prices rebuilt along every null series of daily bars."""
+    """Prices rebuilt along every null series of daily bars, as logarithms: their digits count alike at any size."""
     bars = src.event_bars(spark, sf, "1d")
-    return rounded(bt.null_prices(bars, bt.permute_returns(bars, N_NULL, seed=1)).drop("timeframe"), "close")
+    p = bt.null_prices(bars, bt.permute_returns(bars, N_NULL, seed=1))
+    return p.select("rep", "symbol", "close_ts", round6(F.log("close")).alias("log_close"))
 
 
 def _null(spark, sf):

@@ -419,7 +419,7 @@ SQL = {
         SELECT cost_bps, lookback, {r6('avg(total)')} AS mean_total, count(*) AS n FROM t GROUP BY cost_bps, lookback""",
     "permute_returns": f"WITH {DAY}, {RET}, {perm(N_NULL, 1, 3)} SELECT rep, symbol, close_ts, {r6('ret')} AS ret FROM null_ret",
     "null_prices": f"""WITH {DAY}, {RET}, {perm(N_NULL, 1)}, f AS (SELECT symbol, arg_min(close, close_ts) AS f FROM bars GROUP BY symbol)
-        SELECT rep, symbol, close_ts, {r6('f * exp(sum(ln(1 + greatest(ret, -0.999999))) OVER (PARTITION BY rep, symbol ORDER BY close_ts ROWS UNBOUNDED PRECEDING))')} AS close FROM null_ret JOIN f USING (symbol)""",
+        SELECT rep, symbol, close_ts, {r6('ln(nullif(f, 0)) + sum(ln(1 + greatest(ret, -0.999999))) OVER (PARTITION BY rep, symbol ORDER BY close_ts ROWS UNBOUNDED PRECEDING)')} AS log_close FROM null_ret JOIN f USING (symbol)""",
     "null_test": f"WITH {NULL} SELECT symbol, observed, n_null, p_value, quantile, coalesce(p_value <= 0.05, false) AS rejects FROM nt",
     "walk_forward": f"WITH {EV}, {RET}, {GRID}, {THR}, {WALK} SELECT {WF_COLS} FROM wf",
     "walk_forward_anchored": f"WITH {EV}, {RET}, {GRID}, {THR}, {walk(True)} SELECT {WF_COLS} FROM wf",
