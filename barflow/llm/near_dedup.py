@@ -17,8 +17,10 @@ are never listed:
 1. families. Each bucket has ``LEADERS`` leaders (the first by a hash); a member within reach
    of one joins its family. One bit of each place goes along in the buckets: bits that differ
    are places that differ, so most pairs are told apart there.
-2. buckets whose other members are still of several families are compared with themselves,
-   block against block, and yield the fewest pairs that tie their families together.
+2. where a bucket's other members are still of several families, those outside its largest
+   family are compared with all members of other families (the largest is never compared with
+   itself) and yield the families that they tie together. A bucket of N with m such members
+   costs N x m comparisons at most.
 3. links. Two nodes within reach are of one family now. Each family is dealt to blocks of
    about ``BLOCK_BYTES`` of text; a task holds two blocks, compares all their full shingle
    sets (by the words, not by hashes), and yields a spanning forest of the links; a family
@@ -58,7 +60,7 @@ _CUTS = np.linspace(0, POSITIONS, CHUNKS + 1).astype(int)
 _CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(_CUTS))
 #: Leaders of a bucket: with these all others are compared first.
 LEADERS = 2
-#: Members of a bucket's block, about.
+#: Members of a bucket's block, about: those that one row meets at a time.
 BLOCK = 512
 #: Text of a family's block, about: bytes, and nodes.
 BLOCK_BYTES, BLOCK_NODES = 1 << 19, 512
@@ -169,9 +171,8 @@ def _packed(nodes: DataFrame) -> DataFrame:
 
 def _told_apart(x: Column) -> Column:
     """Bytes of a long (an exclusive or) that are not zero."""
-    for s in (4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    low = x.bitwiseOR(F.shiftrightunsigned(x, 4)).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F))
+    return F.bit_count((low + F.lit(0x0F0F0F0F0F0F0F0F)).bitwiseAND(F.lit(0x1010101010101010)))
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -185,6 +186,16 @@ def _xor(a: str, b: str, columns) -> list[Column]:
     return [F.col(a + c).bitwiseXOR(F.col(b + c)) for c in columns]
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Set sizes allow the similarity, and the places' bits do not tell more than ``REACH`` places apart."""
+    fits = 100 * F.least(a + "n", b + "n") >= percent * F.greatest(a + "n", b + "n")
+    return fits & (_sum([F.bit_count(x) for x in _xor(a, b, ("b0", "b1"))]) <= REACH)
+
+
+def _within_reach(a: str, b: str, percent: int) -> Column:
+    return _may_link(a, b, percent) & (_sum([_told_apart(x) for x in _xor(a, b, _LONGS)]) <= REACH)
+
+
 def _prefixed(df: DataFrame, prefix: str, columns) -> list[Column]:
     """Columns under a prefix, not null: conditions on them compile to short code."""
     return [F.coalesce(df[c], F.lit(0).cast("long")).alias(prefix + c) for c in columns]
@@ -211,25 +222,6 @@ class Forest(dict):
         return x != y
 
 
-def _within_reach(x: dict, y: dict | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs of families that a block (or two) of one bucket ties together, without the needless ones."""
-    one = y is None
-    y = x if one else y
-    a, b = np.asarray(x["n"])[:, None], np.asarray(y["n"])[None, :]
-    apart = np.asarray(x["fam"])[:, None] != np.asarray(y["fam"])[None, :]
-    fits = apart & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-    i, j = np.nonzero(np.triu(fits, 1) if one else fits)
-    left, right = (np.frombuffer(b"".join(v["sig"]), np.uint8).reshape(-1, POSITIONS) for v in (x, y))
-    forest, out = Forest(), []
-    for at in range(0, len(i), 50_000):
-        p, q = i[at : at + 50_000], j[at : at + 50_000]
-        near = (left[p] != right[q]).sum(axis=1) <= REACH
-        for u, v in set(zip(np.asarray(x["fam"])[p[near]].tolist(), np.asarray(y["fam"])[q[near]].tolist())):
-            if forest.join(u, v):
-                out.append((u, v))
-    return out
-
-
 def _against(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Each block (keys, block, of) beside each other block of its key once, the other's columns suffixed with 2.
 
@@ -243,27 +235,30 @@ def _against(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     return i.join(j, [*keys, "block2"]).select(*columns, *[c + "2" for c in columns])
 
 
-def tied_families(told: DataFrame, nodes: DataFrame, percent: int, keep: Scratch) -> DataFrame:
+def tied_families(filed: DataFrame, packed: DataFrame, percent: int, keep: Scratch) -> DataFrame:
     """a, b: families tied by two members of one bucket within reach, enough to join all that are.
 
-    ``told`` has key, id, fam. A bucket is dealt to blocks of about ``BLOCK`` members.
+    ``filed`` has key, id, fam. A bucket's largest family is not compared with itself: its other
+    members meet the whole bucket, dealt to blocks of about ``BLOCK`` members, and each other once.
     """
-    mixed = told.groupBy("key").agg(F.count("*").alias("size"), F.min("fam").alias("lo"), F.max("fam").alias("hi")).filter("lo < hi")
-    rows = told.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).alias("of")), "key").join(nodes.select("id", "n", "sig"), "id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "of"))
-    blocks = keep.write(rows.groupBy("key", "block", "of").agg(*[F.collect_list(c).alias(c) for c in ("fam", "n", "sig")]), "blocks")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            two, out = "fam2" in df, []
-            for r in df.to_dict("records"):
-                out += _within_reach(r, {c: r[c + "2"] for c in ("fam", "n", "sig")} if two else None, percent)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    inside = blocks.select("fam", "n", "sig").mapInPandas(compare, "a long, b long")
-    across = _against(blocks, ["key"], ["fam", "n", "sig"]).mapInPandas(compare, "a long, b long")
-    out = keep.write(inside.unionByName(across).distinct(), "ties")
-    keep.drop(blocks)
+    each = filed.groupBy("key", "fam").agg(F.count("*").alias("c"))
+    top = F.max_by("fam", F.struct("c", "fam")).alias("top")
+    mixed = each.groupBy("key").agg(top, F.ceil(F.sum("c") / BLOCK).alias("of"), F.count("*").alias("fams")).filter("fams > 1")
+    mixed = keep.write(mixed.select(F.col("key").alias("in_key"), "top", "of"), "mixed")
+
+    whole = ("n", "b0", "b1", *_LONGS)
+    others = filed.join(_few(mixed), (F.col("key") == F.col("in_key")) & (F.col("fam") != F.col("top"))).drop("in_key").join(packed, "id")
+    others = others.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("block"), "top", *_prefixed(others, "o", ("id", "fam", *whole)))
+    large = mixed.filter("of > 1").select(F.col("in_key").alias("key"), "of")
+    members = filed.join(_few(large), "key", "left").join(packed, "id")
+    block = F.pmod(F.xxhash64("id"), F.coalesce("of", F.lit(1).cast("long"))).alias("block")
+    members = members.select("key", block, *_prefixed(members, "m", ("id", "fam", *whole)))
+
+    apart = (F.col("ofam") != F.col("mfam")) & ((F.col("mfam") == F.col("top")) | (F.col("mid") > F.col("oid")))
+    same = [others[c] == members[c] for c in ("key", "block")]
+    met = others.join(members, [*same, apart & _within_reach("o", "m", percent)])
+    out = keep.write(met.select(F.least("ofam", "mfam").alias("a"), F.greatest("ofam", "mfam").alias("b")).distinct(), "ties")
+    keep.drop(mixed)
     return out
 
 
@@ -278,20 +273,19 @@ def families(nodes: DataFrame, percent: int, keep: Scratch) -> DataFrame:
     few = ("n", "b0", "b1")
     lead = told.filter(F.col("r") <= LEADERS).select(F.col("key").alias("lead_key"), F.col("id").alias("lead"), F.col("r").alias("lead_r"), *_prefixed(told, "l", few))
     member = told.filter("r > 1").select("key", "id", "r", *_prefixed(told, "m", few))
-    fits = 100 * F.least("mn", "ln") >= percent * F.greatest("mn", "ln")
-    bits = _sum([F.bit_count(x) for x in _xor("m", "l", ("b0", "b1"))])
-    pairs = member.join(lead, (F.col("key") == F.col("lead_key")) & (F.col("lead_r") < F.col("r")) & fits & (bits <= REACH))
+    pairs = member.join(lead, (F.col("key") == F.col("lead_key")) & (F.col("lead_r") < F.col("r")) & _may_link("m", "l", percent))
     left = packed.select("id", *_prefixed(packed, "x", _LONGS))
     right = packed.select(F.col("id").alias("lead"), *_prefixed(packed, "y", _LONGS))
     near = pairs.select("id", "lead").distinct().join(left, "id").join(right, "lead")
     near = near.filter(_sum([_told_apart(x) for x in _xor("x", "y", _LONGS)]) <= REACH)
     found = components(near.select(F.col("id").alias("a"), F.col("lead").alias("b")), keep)
 
-    rest = told.filter(F.col("r") > LEADERS).select("key", "id").join(_few(found), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("fam"))
-    ties = tied_families(rest, nodes, percent, keep)
+    rest = told.filter(F.col("r") > LEADERS).select("key", "id").join(_few(found), "id", "left")
+    rest = keep.write(rest.select("key", "id", F.coalesce("comp", "id").alias("fam")), "rest")
+    ties = tied_families(rest, packed, percent, keep)
     if ties.head(1):
         found = _followed(found, components(ties, keep), keep)
-    keep.drop(told, packed, ties)
+    keep.drop(told, packed, rest, ties)
     return found
 
 

@@ -2,14 +2,17 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barflow.llm import chat, decontaminate, near_dedup, quality_crf, quality_rules, substring_dedup, token_counts, token_shards, toxicity, unigram
+from barflow.llm.common import Scratch
 
 P = pytest.importorskip("public_tokenizers")
 LONG = " ".join(f"w{i % 97}x{i % 89}" for i in range(3000))
@@ -122,6 +125,58 @@ def test_signature_buckets_hold_every_pair_within_reach(spark):
     assert met.count() == 200
 
 
+def shuffled(spark):
+    """Bytes that local tasks have written for shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    time.sleep(0.5)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_a_bucket_compares_its_large_family_with_others_only(spark, monkeypatch):
+    rng, tie, cost = np.random.default_rng(1), near_dedup.tied_families, []
+
+    def changed(x, places):
+        x = x.copy()
+        x[places] ^= 1
+        return x
+
+    def measured(*args):
+        before = shuffled(spark)
+        out = tie(*args)
+        cost.append(shuffled(spark) - before)
+        return out
+
+    monkeypatch.setattr(near_dedup, "tied_families", measured)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (512, 1024):
+            base = rng.integers(0, 256, near_dedup.POSITIONS).astype(np.uint8)
+            sigs = [changed(base, rng.choice(128, 12, replace=False)) for _ in range(n)]
+            # within reach of few of the family; far from it, but of the same first chunk; and a copy of that
+            sigs.append(changed(sigs[7], 40 + rng.choice(88, 42, replace=False)))
+            far = np.concatenate((base[:8], rng.integers(0, 256, 120).astype(np.uint8)))
+            sigs += [far, changed(far, 60 + np.arange(40)), np.concatenate((base[:8], rng.integers(0, 256, 120).astype(np.uint8)))]
+            x = np.array(sigs)
+            forest = near_dedup.Forest()
+            for i in range(len(x)):
+                for j in np.flatnonzero((x[i] != x).sum(axis=1) <= near_dedup.REACH).tolist():
+                    forest.join(i, j)
+            nodes = spark.createDataFrame([(i, 100, s.tobytes()) for i, s in enumerate(sigs)], "id long, n long, sig binary")
+            got = {r.id: r.comp for r in near_dedup.families(nodes, 80, Scratch(spark)).collect()}
+            assert {i: got.get(i, i) for i in range(len(x))} == {i: forest.top(i) for i in range(len(x))}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # twice the family: twice the rows that move, not four times
+    assert cost[1] < 2.2 * cost[0], cost
+
+
+def test_bytes_of_signatures_that_differ_are_counted(spark):
+    rows = [(0,), (1,), (-1,), (-(1 << 63),), (0x0100F00000800010,), (0x7F00000000000000,)]
+    got = spark.createDataFrame(rows, "x long").select("x", near_dedup._told_apart(F.col("x")).alias("d")).collect()
+    assert [r.d for r in got] == [sum(b > 0 for b in r.x.to_bytes(8, "little", signed=True)) for r in got]
+
+
 def test_links_between_is_a_spanning_forest():
     rng = np.random.default_rng(3)
     base = [f"q{i}" for i in range(60)]
